@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bits of the key bitmap at most: 2^26 bits are 8 MB, whatever the size of the input.
-BITMAP_BITS = 26
+#: Bits of a key bitmap: 2^25 are at most 2^19 rows of two longs, whatever the size of the input.
+BITMAP_BITS = 25
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,29 +47,30 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _slot(key: Column, bits: int) -> tuple[Column, Column]:
+    at = F.pmod(F.xxhash64(key), F.lit(1 << bits))
+    return F.shiftright(at, 6), (at.bitwiseAND(F.lit(63))).cast("int")
+
+
 def key_bitmap(keys: DataFrame, key: str, bits: int = BITMAP_BITS) -> DataFrame:
-    """A bitmap of the hashed values of a column, in 4 KB rows: at most 2^bits / 8 bytes, however many keys.
+    """A bitmap of the hashed values of a column, 64 bits a row: at most 2^bits / 64 rows, however many keys.
 
     It prunes rows before a shuffle: no key is missed, and a few others may pass, which the join after it removes.
-    Columns: bm_bucket, bm_bits.
+    Columns: bm_word, bm_bits.
     """
-    at = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << bits)) + 1
-    return (
-        keys.select(at.alias("at"))
-        .groupBy(F.bitmap_bucket_number("at").alias("bm_bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bm_bits"))
-    )
+    word, bit = _slot(F.col(key), bits)
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))
+    return keys.select(word.alias("bm_word"), bit.alias("bit")).groupBy("bm_word").agg(F.bit_or(one).alias("bm_bits"))
 
 
 def with_bit(df: DataFrame, key: Column, bitmap: DataFrame, flag: str, bits: int = BITMAP_BITS) -> DataFrame:
     """Add a boolean column: may the key be among those of the bitmap? The bitmap's size is bounded, so it is broadcast."""
-    at = F.pmod(F.xxhash64(key), F.lit(1 << bits)) + 1
-    byte = F.conv(F.hex(F.substring(F.col("bm_bits"), F.floor(F.col("_pos") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    out = (
-        df.withColumn("_at", at)
-        .withColumn("_bucket", F.bitmap_bucket_number("_at"))
-        .withColumn("_pos", F.bitmap_bit_position("_at"))
-        .join(F.broadcast(bitmap), F.col("_bucket") == F.col("bm_bucket"), "left")
-        .withColumn(flag, F.coalesce(F.pmod(F.floor(byte / F.pow(F.lit(2.0), F.col("_pos") % 8)), F.lit(2)) == 1, F.lit(False)))
+    word, bit = _slot(key, bits)
+    held = F.call_function("shiftright", F.col("bm_bits"), F.col("_bit")).bitwiseAND(F.lit(1)) == 1
+    return (
+        df.withColumn("_word", word)
+        .withColumn("_bit", bit)
+        .join(F.broadcast(bitmap), F.col("_word") == F.col("bm_word"), "left")
+        .withColumn(flag, F.coalesce(held, F.lit(False)))
+        .drop("_word", "_bit", "bm_word", "bm_bits")
     )
-    return out.drop("_at", "_bucket", "_pos", "bm_bucket", "bm_bits")

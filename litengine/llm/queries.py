@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join, substring_dedup
+from . import line_dedup, ngram_join, substring_dedup
 from .common import documents
 
 
@@ -29,6 +29,31 @@ FROM r LEFT JOIN n ON n.doc_id = r.x GROUP BY r.x
 """
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.without_repeated_lines(documents(spark, sf_dir)).select("doc_id", "text")
+
+
+OP3_SQL = r"""
+WITH l AS (
+  SELECT doc_id, i AS line_no, raw, lower(trim(raw)) AS line FROM (
+    SELECT doc_id, unnest(ls) AS raw, unnest(range(len(ls))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL))
+), d AS (
+  SELECT line, string_split(line, ' ') AS ws, min((doc_id, line_no)) AS first FROM l WHERE line <> '' GROUP BY line
+), v AS (
+  SELECT line, first, unnest(range(0, len(ws) + 1)) AS place,
+    unnest(list_concat([line], list_transform(range(1, len(ws) + 1), lambda i: array_to_string(list_concat(ws[:i - 1], ws[i + 1:]), ' ')))) AS v
+  FROM d WHERE len(ws) >= 8
+), e AS (
+  SELECT DISTINCT a.line FROM v a JOIN v b ON a.v = b.v AND (a.place = b.place OR a.place = 0 OR b.place = 0) AND b.first < a.first
+), k AS (
+  SELECT l.doc_id, l.line_no, l.raw FROM l LEFT JOIN d ON d.line = l.line LEFT JOIN e ON e.line = l.line
+  WHERE l.line = '' OR len(d.ws) < 4 OR ((l.doc_id, l.line_no) = d.first AND e.line IS NULL)
+)
+SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE coalesce((SELECT string_agg(raw, chr(10) ORDER BY line_no) FROM k WHERE k.doc_id = documents.doc_id), '') END AS text
+FROM documents
+"""
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_runs(documents(spark, sf_dir))
 
@@ -38,4 +63,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_join": OP2_SQL}
+    return {"op2_ngram_join": OP2_SQL, "op3_line_dedup": OP3_SQL}

@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, line_dedup, ngram_join, substring_dedup
+from . import decontamination, line_dedup, mixing, ngram_join, substring_dedup
 from .common import documents
 
 
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(documents(spark, sf_dir)).select("doc_id", "mix_topic", "mix_tokens", "mix_p", "mix_weight")
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_sets(documents(spark, sf_dir))
 
@@ -67,4 +71,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_join": OP2_SQL, "op3_line_dedup": OP3_SQL}
+    return {"op1_source_mixing": mixing.oracle_sql(), "op2_ngram_join": OP2_SQL, "op3_line_dedup": OP3_SQL}

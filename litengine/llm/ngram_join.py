@@ -3,9 +3,9 @@
 Texts with equal sets are one class, and only class representatives go on. A global order of n-grams puts those that
 many representatives hold last, so that a prefix holds rare ones. Two sets that are similar enough share an n-gram of
 their prefixes; representatives meet there. In such a bucket the representative with the fewest rare n-grams is the
-pivot, and the others are compared with it first: what is linked to it needs no comparison with the rest that is. Then
-whatever stands outside its pivot's component is compared with all of the bucket, so that no link between components is
-lost, and no group of copies costs the square of its size.
+pivot, and the others are compared with it first: what is linked to it needs no comparison with the rest that is. A second pivot
+is taken from what stands outside. What then still stands outside its first pivot's component passes the filters
+against everyone who shares that pivot, in blocks, so that no link between components is lost.
 """
 
 from __future__ import annotations
@@ -26,8 +26,10 @@ from .words import batches, mix, shingle_sets
 FREQUENT = 32
 #: The share of all n-grams, by hash, whose frequency is counted; prefixes are taken from there first.
 COUNTED = 0.3
-#: Hash classes of the suffix filter.
-CLASSES = 128
+#: Hash classes of the suffix filter; counts of 255 are open upwards.
+CLASSES = 256
+#: Representatives of a block, when those that share a pivot are compared.
+BLOCK = 512
 
 _LOW = np.int64(-(2**63) + int(COUNTED * 2**64))
 _MASK = (1 << BITMAP_BITS) - 1
@@ -67,7 +69,7 @@ def _profiles(rule: Rule):
             rows: list[tuple] = []
             for doc, s in _sets(batch, rule):
                 u = s.view(np.uint64)
-                counts = np.minimum(np.bincount((u >> np.uint64(57)).astype(np.int64), minlength=CLASSES), 65535).astype(np.uint16)
+                counts = np.minimum(np.bincount((u >> np.uint64(56)).astype(np.int64), minlength=CLASSES), 255).astype(np.uint8)
                 rows.append((doc, len(s), int(np.bitwise_xor.reduce(mix(u)).view(np.int64)) if len(s) else 0, int(u.sum(dtype=np.uint64).view(np.int64)) if len(s) else 0, counts.tobytes()))
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "n_shingles", "d1", "d2", "classes"])
@@ -130,6 +132,10 @@ def _fits(rule: Rule, n1: Column, n2: Column, pos1: Column, pos2: Column) -> Col
     return (100 * F.least(n1, n2) >= rule.percent * F.greatest(n1, n2)) & (F.least(n1 - pos1, n2 - pos2) >= least)
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, CLASSES)
+
+
 def _suffix(rule: Rule):
     """Drop pairs whose counts by hash class leave too little to share."""
 
@@ -137,10 +143,10 @@ def _suffix(rule: Rule):
         for batch in source:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, CLASSES) for c in ("ca", "cb"))
+            x, y = _matrix(batch.column("ca")), _matrix(batch.column("cb"))
             n1, n2 = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
             ok = np.minimum(x, y).sum(1, dtype=np.int64) >= rule.overlap(n1, n2)
-            ok |= (x == 65535).any(1) | (y == 65535).any(1)
+            ok |= (x == 255).any(1) | (y == 255).any(1)
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
     return run
@@ -200,27 +206,84 @@ def similar_sets(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     by = Window.partitionBy("token")
     buckets = grouped.withColumn("pivot", F.min(head).over(by)).withColumn("last", F.max("doc_id").over(by)).withColumn("first", F.min("doc_id").over(by))
     buckets = stored(
-        buckets.where("first < last").select("token", "doc_id", "n", "pos", F.col("pivot.doc_id").alias("p"), F.col("pivot.n").alias("pn"), F.col("pivot.pos").alias("ppos")),
+        buckets.where("first < last").select("token", "doc_id", "n", "pos", "rare", F.col("pivot.doc_id").alias("p"), F.col("pivot.n").alias("pn"), F.col("pivot.pos").alias("ppos")),
         "buckets",
     )
     order = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     star = buckets.where("doc_id <> p").where(_fits(rule, F.col("n"), F.col("pn"), F.col("pos"), F.col("ppos")))
-    star = star.select(*order(F.col("doc_id"), F.col("p"))).distinct()
+    star = stored(star.select(*order(F.col("doc_id"), F.col("p"))).distinct(), "star")
     links = _links(star, texts, profiles, rule)
-    found = stored(components(links), "components")
-    rest = _rest(buckets, found, rule, order).join(star, ["a", "b"], "left_anti")
-    more = _links(rest, texts, profiles, rule)
-    found = components(links.unionByName(more))
+    groups = stored(buckets.groupBy("p", "doc_id").agg(F.first("n").alias("n"), F.first("rare").alias("rare")), "groups")
+
+    rows = _labelled(groups, stored(components(links), "components"))
+    second = rows.where("comp <> pcomp").groupBy("p").agg(F.min(F.struct("rare", "doc_id", "n", "comp")).alias("q"))
+    pairs = rows.join(second, "p").where("comp <> q.comp").where(100 * F.least("n", "q.n") >= percent * F.greatest("n", "q.n"))
+    pairs = pairs.select(*order(F.col("doc_id"), F.col("q.doc_id"))).distinct().join(star, ["a", "b"], "left_anti")
+    links = links.unionByName(_links(pairs, texts, profiles, rule))
+
+    rows = _labelled(groups, stored(components(links), "components"))
+    links = links.unionByName(_links(_rest(rows, profiles, rule), texts, profiles, rule))
+    found = components(links)
     rep_of = profiles.join(classes, ["d1", "d2", "n_shingles"], "left").select("doc_id", "n_shingles", "rep")
     return rep_of.join(found, rep_of.rep == found.id, "left").select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
 
-def _rest(buckets: DataFrame, found: DataFrame, rule: Rule, order) -> DataFrame:
-    """Pairs of a bucket in different components, one of them outside the pivot's."""
+def _labelled(groups: DataFrame, found: DataFrame) -> DataFrame:
     label = lambda c, to: found.select(F.col("id").alias(c), F.col("component").alias(to))
-    rows = buckets.join(label("doc_id", "comp"), "doc_id", "left").join(label("p", "pcomp"), "p", "left")
-    rows = stored(rows.select("token", "doc_id", "n", "pos", F.coalesce("comp", "doc_id").alias("comp"), F.coalesce("pcomp", "p").alias("pcomp")), "labelled")
-    outside = rows.where("comp <> pcomp").select("token", *(F.col(c).alias(f"{c}2") for c in ("doc_id", "n", "pos", "comp")))
-    pairs = outside.join(rows, "token").where("comp <> comp2").where((F.col("comp") == F.col("pcomp")) | (F.col("doc_id") < F.col("doc_id2")))
-    pairs = pairs.where(_fits(rule, F.col("n"), F.col("n2"), F.col("pos"), F.col("pos2")))
-    return pairs.select(*order(F.col("doc_id"), F.col("doc_id2"))).distinct()
+    rows = groups.join(label("doc_id", "comp"), "doc_id", "left").join(label("p", "pcomp"), "p", "left")
+    return stored(rows.select("p", "doc_id", "n", "rare", F.coalesce("comp", "doc_id").alias("comp"), F.coalesce("pcomp", "p").alias("pcomp")), "labelled")
+
+
+def _rest(rows: DataFrame, profiles: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs that share a pivot, stand in different components, one of them outside the pivot's, and pass the filters."""
+    out = (F.col("comp") != F.col("pcomp")).cast("int")
+    blocks = rows.groupBy("p").agg(F.ceil(F.sum(out) / BLOCK).alias("outer"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("inner")).where("outer > 0")
+    rows = rows.join(blocks, "p").join(profiles.select("doc_id", "classes"), "doc_id")
+    own = lambda of: F.pmod(F.xxhash64("doc_id"), F.col(of))
+    every = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.col(of) - 1))
+    kept = ["doc_id", "n", "comp", "pcomp", "classes"]
+    left = rows.where("comp <> pcomp").select("p", own("outer").alias("o"), every("inner").alias("i"), F.lit(True).alias("left"), *kept)
+    right = rows.select("p", every("outer").alias("o"), own("inner").alias("i"), F.lit(False).alias("left"), *kept)
+    both = left.unionByName(right).repartition("p", "o", "i").sortWithinPartitions("p", "o", "i")
+    return both.mapInArrow(_compared(rule), "a long, b long").distinct()
+
+
+def _compared(rule: Rule):
+    """Length and suffix filters within each (p, o, i); these come sorted, and each is about two blocks long at most."""
+
+    def pairs(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        left = t.column("left").to_numpy(zero_copy_only=False)
+        doc, n, comp, pcomp = (t.column(c).to_numpy() for c in ("doc_id", "n", "comp", "pcomp"))
+        x, y = np.flatnonzero(left), np.flatnonzero(~left)
+        # Pairs of two rows outside are met from either side; one is enough.
+        ok = (comp[x][:, None] != comp[y]) & ((comp[y] == pcomp[y]) | (doc[x][:, None] < doc[y]))
+        ok &= 100 * np.minimum(n[x][:, None], n[y]) >= rule.percent * np.maximum(n[x][:, None], n[y])
+        i, j = np.nonzero(ok)
+        if not len(i):
+            return doc[:0], doc[:0]
+        sums = np.empty(len(i), np.int64)
+        m = _matrix(t.column("classes").combine_chunks())
+        for k in range(0, len(i), 1 << 14):
+            u, v = m[x[i[k : k + (1 << 14)]]], m[y[j[k : k + (1 << 14)]]]
+            sums[k : k + (1 << 14)] = np.where((u == 255).any(1) | (v == 255).any(1), 1 << 40, np.minimum(u, v).sum(1, dtype=np.int64))
+        keep = sums >= rule.overlap(n[x[i]].astype(np.int64), n[y[j]].astype(np.int64))
+        a, b = doc[x[i[keep]]], doc[y[j[keep]]]
+        return np.minimum(a, b), np.maximum(a, b)
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in source:
+            t = pa.Table.from_batches([batch])
+            t = t if held is None else pa.concat_tables([held, t])
+            if not t.num_rows:
+                continue
+            keys = np.stack([t.column(c).to_numpy() for c in ("p", "o", "i")])
+            starts = np.concatenate(([0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1))
+            found = [pairs(t.slice(s, e - s)) for s, e in zip(starts[:-1], starts[1:], strict=True)]
+            held = t.slice(starts[-1])
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["a", "b"])
+        if held is not None and held.num_rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in pairs(held)], names=["a", "b"])
+
+    return run

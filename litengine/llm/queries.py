@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language_id, line_dedup, mixing, ngram_join, quality, substring_dedup, toxicity
+from . import decontamination, language_id, line_dedup, mixing, ngram_join, pii, quality, substring_dedup, toxicity
 from .common import documents
 
 
@@ -71,6 +71,11 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontamination.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return pii.found(docs, pii.fit(docs))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_runs(documents(spark, sf_dir))
 

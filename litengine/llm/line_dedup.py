@@ -28,22 +28,19 @@ def _lines(docs: DataFrame) -> DataFrame:
     return cut.withColumn("line", F.lower(F.trim("line"))).where("line <> ''")
 
 
-def _part(words: Column, start: Column, n: Column) -> Column:
-    return F.array_join(F.slice(words, start, n), " ")
+def _n_words(line: str) -> Column:
+    """Words of a line that is cut at single spaces."""
+    return F.octet_length(line) - F.octet_length(F.replace(F.col(line), F.lit(" "), F.lit(""))) + 1
 
 
-def _halves(n: Column, words: Column) -> Column:
-    """Keys of the first and last k words, for k half the length of the shorter line of a pair: lines of n words meet n - 1, n or n + 1."""
-    k, less = F.floor(n / 2), F.floor((n - 1) / 2)
-    keys = []
-    for size in (k, less):
-        keys.append(F.xxhash64(F.lit("first"), size, _part(words, F.lit(1), size.cast("int"))))
-        keys.append(F.xxhash64(F.lit("last"), size, _part(words, (n - size + 1).cast("int"), size.cast("int"))))
-    return F.array_distinct(F.array(*keys))
+def _half(name: str, size: str) -> Column:
+    """A key of the first or last words of a line."""
+    return F.expr(f"xxhash64('{name}', {size}, substring_index(line, ' ', {'' if name == 'first' else '-'}{size}))")
 
 
-def _without(words: Column, i: Column, n: Column) -> Column:
-    return F.concat_ws(" ", F.slice(words, F.lit(1), i - 1), F.slice(words, i + 1, n))
+def _without(line: str, place: str, n: str) -> str:
+    """SQL for a line less the word at a place from 1 to n."""
+    return f"concat_ws(' ', if({place} = 1, null, substring_index({line}, ' ', {place} - 1)), if({place} = {n}, null, substring_index({line}, ' ', {place} - {n})))"
 
 
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, min_edit_words: int = MIN_EDIT_WORDS) -> DataFrame:
@@ -54,25 +51,35 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, min_edit_words:
     number rank alike: none is earlier. Null texts, null doc_ids and empty texts have no lines.
     """
     lines = _lines(docs)
-    words = F.split("line", " ")
-    keyed = lines.select("doc_id", "line_no", F.xxhash64("line").alias("h"), F.size(words).alias("n"), words.alias("words")).where(F.col("n") >= min_words)
-    keyed = keyed.select("doc_id", "line_no", "h", "n", F.when(F.col("n") >= min_edit_words, _halves(F.col("n"), F.col("words"))).alias("keys"))
+    keyed = lines.withColumn("n", _n_words("line")).where(F.col("n") >= min_words)
+    # Halves of the shorter line of a pair: lines of n words meet n - 1, n or n + 1.
+    keyed = keyed.withColumn("k", F.floor(F.col("n") / 2).cast("int")).withColumn("less", F.floor((F.col("n") - 1) / 2).cast("int"))
+    long_enough = F.col("n") >= min_edit_words
+    both = long_enough & (F.col("k") > F.col("less"))
+    keyed = stored(
+        keyed.select(
+            "doc_id", "line_no", F.xxhash64("line").alias("h"), "n",
+            F.when(long_enough, _half("first", "k")).alias("f1"), F.when(long_enough, _half("last", "k")).alias("l1"),
+            F.when(both, _half("first", "less")).alias("f2"), F.when(both, _half("last", "less")).alias("l2"),
+        ), "lines",
+    )
     rank = F.struct("doc_id", "line_no")
-    distinct = stored(keyed.groupBy("h").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys")), "lines")
+    halves = ("f1", "l1", "f2", "l2")
+    distinct = stored(keyed.groupBy("h").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), *(F.first(c).alias(c) for c in halves)), "distinct-lines")
 
-    # Lines that share a half with another one, and so may have a neighbour.
-    halves = distinct.where("keys is not null").select("h", F.explode("keys").alias("key"))
-    shared = halves.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi").select("key")
-    near = halves.join(shared, "key").select("h").distinct()
-    near = stored(distinct.join(near, "h").select("h", "n", "first"), "near-lines")
+    # Lines that share a half with another one, and so may have a neighbour: the edit is in the other half.
+    keys = distinct.where("f1 is not null").select("h", F.explode(F.array(*(F.struct(F.lit(c[0]).alias("side"), F.col(c).alias("key")) for c in halves))).alias("e")).where("e.key is not null")
+    keys = keys.select("h", "e.side", "e.key")
+    shared = keys.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi").select("key")
+    near = keys.join(shared, "key").groupBy("h").agg(F.max(F.col("side") == "f").alias("early"), F.max(F.col("side") == "l").alias("late"))
+    near = stored(distinct.join(near, "h").select("h", "n", "first", "early", "late"), "near-lines")
 
     likely = with_bit(lines.withColumn("h", F.xxhash64("line")), F.col("h"), key_bitmap(near, "h"), "likely").where("likely")
-    texts = likely.join(near.select("h", "first"), "h").where("doc_id = first.doc_id and line_no = first.line_no").dropDuplicates(["h"])
-    texts = stored(texts.select("h", "first", "line"), "near-texts")
-    words, n = F.split("line", " "), F.size(F.split("line", " "))
-    variants = texts.select("h", "first", words.alias("words"), n.alias("n")).select(
-        "h", "first", F.explode(F.transform(F.sequence(F.lit(0), F.col("n")), lambda i: F.struct(i.alias("place"), F.when(i == 0, F.col("h")).otherwise(F.xxhash64(_without(F.col("words"), i, F.col("n")))).alias("v")))).alias("e")
-    ).select("h", "first", "e.place", "e.v")
+    texts = likely.join(near, "h").where("doc_id = first.doc_id and line_no = first.line_no").dropDuplicates(["h"])
+    texts = stored(texts.select("h", "first", "line", "n", "early", "late"), "near-texts")
+    places = F.expr("sequence(if(late, 1, cast((n - 1) / 2 as int) + 1), if(early, n, n - cast((n - 1) / 2 as int)))")
+    changed = texts.select("h", "first", "line", "n", F.explode(places).alias("place")).select("h", "first", "place", F.expr(f"xxhash64({_without('line', 'place', 'n')})").alias("v"))
+    variants = changed.unionByName(texts.select("h", "first", F.lit(0).alias("place"), F.col("h").alias("v")))
 
     # The earliest of each variant: by place, of the line itself (place 0), and of all places.
     by_place, by_variant = Window.partitionBy("v", "place"), Window.partitionBy("v")
@@ -88,8 +95,9 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, min_edit_words:
 
     # Once for each line: do the two lines differ by one word, as their keys say?
     verified = found.join(texts.select("h", F.col("line").alias("l1")), "h").join(texts.select(F.col("h").alias("h2"), F.col("line").alias("l2")), "h2")
-    side = lambda line, place: F.when(F.col(place) == 0, F.col(line)).otherwise(_without(F.split(line, " "), F.col(place), F.size(F.split(line, " "))))
-    edits = stored(verified.where(side("l1", "place") == side("l2", "place2")).select("h", "to"), "line-edits")
+    verified = verified.withColumn("n1", _n_words("l1")).withColumn("n2", _n_words("l2"))
+    side = lambda line, place, n: F.expr(f"if({place} = 0, {line}, {_without(line, place, n)})")
+    edits = stored(verified.where(side("l1", "place", "n1") == side("l2", "place2", "n2")).select("h", "to"), "line-edits")
 
     drop = stored(distinct.join(edits, "h", "left").where("copies > 1 or to is not null").select("h", "first", "to"), "line-drops")
     hit = with_bit(keyed.select("doc_id", "line_no", "h"), F.col("h"), key_bitmap(drop, "h"), "likely").where("likely").join(drop, "h")

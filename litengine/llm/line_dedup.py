@@ -113,9 +113,10 @@ def without_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, min_edit
     A text of which all lines go becomes empty. Rows without such lines skip the join's shuffle.
     """
     drops = stored(repeated_lines(docs, min_words, min_edit_words).select("doc_id", "line_no").distinct(), "dropped-lines")
-    by_doc = drops.groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone"))
-    flagged = with_bit(docs, F.col("doc_id").cast("long"), key_bitmap(drops, "doc_id"), "_hit")
-    hit = flagged.where("_hit").drop("_hit").withColumn("_id", F.col("doc_id").cast("long")).join(by_doc.withColumnRenamed("doc_id", "_id"), "_id", "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    hit = hit.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept))
-    return flagged.where("not _hit").select(docs.columns).unionByName(hit.select(docs.columns))
+    by_doc = drops.groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
+    flagged = with_bit(rows, F.col("doc_id"), key_bitmap(drops, "doc_id"), "hit")
+    hit = flagged.where("hit").join(by_doc, "doc_id", "left")
+    kept = F.array_join(F.filter(F.split("row.text", "\n"), lambda line, i: ~F.array_contains(F.col("gone"), i)), "\n")
+    hit = hit.select(F.col("row").withField("text", F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(kept)).alias("row"))
+    return flagged.where("not hit").select("row.*").unionByName(hit.select("row.*")).select(docs.columns)

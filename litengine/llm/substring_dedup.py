@@ -103,20 +103,22 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with repeated runs cut out of text, and a column removed: the cut spans with their original offsets.
+    """docs with repeated runs cut out of text, and a column removed (in place of any of that name): the cut spans with their original offsets.
 
     Every row stays; a text that is all repeats is left with its white space. Rows without runs skip the join's shuffle.
     """
     runs = stored(repeated_runs(docs, min_words), "runs")
     spans = runs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed"))
     kind = "array<struct<start:int,end:int>>"
-    flagged = with_bit(docs, F.col("doc_id"), key_bitmap(runs, "doc_id"), "_hit")
-    hit = flagged.where("_hit").drop("_hit").join(spans, "doc_id", "left")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    flagged = with_bit(rows, F.col("doc_id"), key_bitmap(runs, "doc_id"), "hit")
+    hit = flagged.where("hit").join(spans, "doc_id", "left")
     gaps = F.expr(
         "concat(transform(sequence(0, size(removed) - 1), k -> substring(text, if(k = 0, 0, removed[k - 1].end) + 1,"
         " removed[k].start - if(k = 0, 0, removed[k - 1].end))), array(substring(text, removed[size(removed) - 1].end + 1)))"
     )
-    hit = hit.withColumn("text", F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(gaps, "")))
-    rest = flagged.where("not _hit").drop("_hit").withColumn("removed", F.lit(None).cast(kind))
-    order = [*docs.columns, "removed"]
-    return rest.select(order).unionByName(hit.select(order))
+    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(gaps, ""))
+    hit = hit.select(F.col("row").withField("text", text).alias("row"), "removed")
+    rest = flagged.where("not hit").select("row", F.lit(None).cast("array<struct<start:int,end:int>>").alias("removed"))
+    columns = [c for c in docs.columns if c != "removed"]
+    return rest.unionByName(hit).select(*(F.col(f"row.{c}") for c in columns), "removed")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import modest_batches, stored
 
 #: Distinct vectors that a list should hold, lists at most, and sampled vectors a list for the clustering.
 LIST_SIZE, MAX_LISTS, SAMPLED = 64, 8192, 16
@@ -255,6 +255,7 @@ def neighbours(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     no part, nor do rows without an id or with another number of components than most. Equal scores go by vec_id. Rows
     that repeat an id and a vector count once. Fewer other vectors than k give fewer ranks; no vectors an empty table.
     """
+    modest_batches(vectors)
     spark = vectors.sparkSession
     every_row = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("embedding")).mapInArrow(_vectors, VECTORS)
     rows = stored(every_row, "vectors")

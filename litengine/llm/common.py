@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of an Arrow batch.
+BATCH_ROWS = 2000
 #: Bits of a key bitmap: 2^25 are at most 2^19 rows of two longs, whatever the size of the input.
 BITMAP_BITS = 25
 
@@ -38,6 +40,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def modest_batches(df: DataFrame) -> None:
+    """Arrow batches of at most 2000 rows for this session, so that a task's memory stays small with long texts."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """True where crc32 of doc_id as text leaves no remainder by 5; a null doc_id counts as held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(True))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import modest_batches, stored
 from .words import batches, fold, split
 
 NGRAM = 3
@@ -219,6 +219,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     texts, on either side match nothing; items that share an id count as one with several texts; a repeated document
     row comes once. Words are cut at ASCII white space and A-Z count as a-z. No benchmark items give an empty table.
     """
+    modest_batches(docs)
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     parts = []

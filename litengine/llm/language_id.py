@@ -16,13 +16,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, modest_batches
 from .training import sample
 from .words import batches
 
 BUCKETS = 1 << 16
 DIMENSIONS = 16
 SIZES = (3, 4)
+#: Bytes of text whose subwords are in memory at once.
+BLOCK = 1 << 18
 #: Labelled rows that training takes at most.
 TRAINING_ROWS = 4000
 EPOCHS = 3
@@ -79,22 +81,34 @@ class Model:
     threshold: float
 
     def probabilities(self, texts: pa.Array) -> np.ndarray:
-        out = np.empty((len(texts), len(self.languages)))
-        for i, j in batches(pc.fill_null(texts, "")):
-            means = _means(self.scores, texts[i:j])
-            out[i:j] = _softmax(means / self.temperature)
-        return out
+        return _softmax(_means(self.scores, pc.fill_null(texts, "")) / self.temperature)
 
 
 def _means(table: np.ndarray, texts: pa.Array) -> np.ndarray:
-    """The mean of table's rows over each text's subwords; zeros for a text without any."""
+    """The mean of table's rows over each text's subwords; zeros for a text without any. A long text goes piece by piece."""
+    sums, n = np.zeros((len(texts), table.shape[1])), np.zeros(len(texts), np.int64)
+    for i, j in batches(texts, BLOCK):
+        part = texts[i:j]
+        if j - i == 1 and len(part[0].as_py()) > BLOCK:
+            whole = part[0].as_py()
+            part = pa.array([whole[k : k + BLOCK] for k in range(0, len(whole), BLOCK)])
+            for piece in part:
+                s, m = _sums(table, pa.array([piece.as_py()]))
+                sums[i : i + 1] += s
+                n[i] += m[0]
+        else:
+            sums[i:j], n[i:j] = _sums(table, part)
+    return sums / np.maximum(n, 1)[:, None]
+
+
+def _sums(table: np.ndarray, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     ids, starts = subwords(texts)
-    sums = np.zeros((len(texts), table.shape[1]))
     n = np.diff(starts)
+    sums = np.zeros((len(texts), table.shape[1]))
     if len(ids):
         some = n > 0
         sums[some] = np.add.reduceat(table[ids], starts[:-1][some], axis=0)
-    return sums / np.maximum(n, 1)[:, None]
+    return sums, n
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -105,9 +119,9 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 def train(texts: pa.Array, languages: list[str], seed: int = 5) -> Model:
     """Each language weighs the same, however many texts it has. One text in five only calibrates."""
     names = tuple(sorted(set(languages)))
-    y = np.array([names.index(x) for x in languages])
+    y = np.array([names.index(x) for x in languages], np.int64)
     bags = []
-    for i, j in batches(texts):
+    for i, j in batches(texts, BLOCK):
         ids, starts = subwords(texts[i:j])
         for a, b in zip(starts[:-1], starts[1:], strict=True):
             u, n = np.unique(ids[a:b], return_counts=True)
@@ -146,6 +160,7 @@ def train(texts: pa.Array, languages: list[str], seed: int = 5) -> Model:
 
 def fit(docs: DataFrame, rows: int = TRAINING_ROWS) -> Model:
     """Learns from text and lang of a bounded sample of the documents outside the held-out fold."""
+    modest_batches(docs)
     known = docs.where(~held_out()).where("lang is not null and text is not null").select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     got = sample(known, rows)
     return train(got.column("text").combine_chunks(), got.column("lang").to_pylist())

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BITMAP_BITS, key_bitmap, stored, with_bit
+from .common import BITMAP_BITS, key_bitmap, modest_batches, stored, with_bit
 from .graph import components
 from .words import batches, mix, shingle_sets
 
@@ -189,6 +189,7 @@ def similar_sets(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     which is linked with nothing. Rows with equal texts and other doc_ids are linked; a row that is repeated as it is
     comes out as often. A row without a doc_id keeps its size and has no component. An empty table gives an empty one.
     """
+    modest_batches(docs)
     rule, spark, texts = Rule(n, percent), docs.sparkSession, _texts(docs)
     profiles = stored(texts.mapInArrow(_profiles(rule), PROFILE), "profiles")
     classes = stored(

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import modest_batches
 from .training import sample
 
 KINDS = ("email", "ip", "card", "phone")
@@ -330,6 +331,7 @@ def found(docs: DataFrame, model: Model) -> DataFrame:
 
     A null text is an empty one. Rows without a doc_id, and repeated ones, come like others. The model has a fixed size.
     """
+    modest_batches(docs)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, modest_batches
 from .training import sample
 from .words import batches, fold, split
 
@@ -206,6 +206,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     Null texts score as empty ones, by the bins of a text without words. Null doc_ids count as held out. Repeated rows
     come as often. The model is a table of fixed size.
     """
+    modest_batches(docs)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

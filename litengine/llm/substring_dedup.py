@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import key_bitmap, stored, with_bit
+from .common import key_bitmap, modest_batches, stored, with_bit
 from .words import batches, fold, mix, split
 
 RADIUS = 3
@@ -75,6 +75,7 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     Repeats within one text count too. Ties do not occur: a rank is a document and an offset, and of rows that share a
     doc_id and a text only one is kept by `without_repeats`. Other columns of docs are not looked at.
     """
+    modest_batches(docs)
     units = docs.select("doc_id", "text").where("doc_id is not null and text is not null").mapInArrow(_units, UNITS)
     first = stored(
         units.groupBy("digest")

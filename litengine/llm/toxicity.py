@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, modest_batches
 from .training import sample
 
 #: Labelled rows that training takes at most.
@@ -232,6 +232,7 @@ def scored(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     Null and empty texts score as texts without entries. Null doc_ids count as held out. Repeated rows come as often.
     The lexicon is bounded by its training sample.
     """
+    modest_batches(docs)
     sent = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

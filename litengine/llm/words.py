@@ -82,7 +82,7 @@ class Words:
         return lead[at] - lead[self.rows[row]]
 
 
-def batches(texts: pa.Array, size: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def batches(texts: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of about so many bytes, so that memory does not follow the size of Arrow's batches."""
     offsets = np.frombuffer(texts.buffers()[1], np.int32 if pa.types.is_string(texts.type) else np.int64)[texts.offset : texts.offset + len(texts) + 1]
     i = 0

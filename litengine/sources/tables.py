@@ -23,7 +23,7 @@ def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def markdown_files(spark: SparkSession, root: str) -> DataFrame:
     """SRC8, SRC10, RET47: all Markdown files under a folder: path and text, by lower-case path."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root)
+    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
     return files.select(F.col("_metadata.file_path").alias("path"), C("value").alias("text")).orderBy(F.lower("path"))
 
 

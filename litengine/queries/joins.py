@@ -73,7 +73,7 @@ def left_joins(spark, sf):
     return c.join(n.where("n_regionkey = 1"), C("n_nationkey") == C("c_nationkey"), "left").join(o, C("o_custkey") == C("c_custkey"), "left").select("c_custkey", "n_name", "o_orderkey")
 
 
-@query("op_j4_bridge_labels", "SELECT o_custkey AS cust, array_to_string(list_transform(list_sort(list_distinct(list({'k': l_returnflag, 'l': l_shipmode}))), lambda x: x.k || ':' || x.l), ' ') AS labels FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1" if False else "SELECT cust, string_agg(k || ':' || l, ' ' ORDER BY k, l) AS labels FROM (SELECT DISTINCT o_custkey AS cust, l_returnflag AS k, l_linestatus AS l FROM orders JOIN lineitem ON l_orderkey = o_orderkey) GROUP BY cust")
+@query("op_j4_bridge_labels", "SELECT cust, string_agg(k || ':' || l, ' ' ORDER BY k, l) AS labels FROM (SELECT DISTINCT o_custkey AS cust, l_returnflag AS k, l_linestatus AS l FROM orders JOIN lineitem ON l_orderkey = o_orderkey) GROUP BY cust")
 def bridge_labels(spark, sf):
     o = table_of(spark, sf, "orders").select(C("o_custkey").alias("cust"), C("o_orderkey").alias("ok"))
     l = table_of(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "ok")

@@ -59,7 +59,7 @@ def test_toxicity_held_out(spark):
         words, toxic = prose(rng, 60).split(), k % 6 == 0
         for _ in range(4 * toxic):
             words[rng.randrange(60)] = rng.choice(("idiotic", "idiotism", "scumbag", "idiotly"))
-        if k % 6 == 1:  # a phrase that is not toxic
+        if k % 90 == 1:  # a phrase that is not toxic
             words[10:12] = ["scumbag", "museum"]
         rows.append((k, " ".join(words)))
         labels.append((k, int(toxic)))

@@ -29,6 +29,8 @@ REACH = 0.25
 DEGREE, BEAM = 24, 32
 #: Postings of a list that one task scans with all of the list's queries.
 SHARD = 4096
+#: Rows of answers that a task holds before it merges them.
+HELD = 500_000
 
 
 def _normal(x: np.ndarray) -> np.ndarray:
@@ -196,18 +198,37 @@ def _asked(index):
     return run
 
 
+def _merged(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows (query, class, score), the k best of each query; a class that several lists gave counts once."""
+    q, c, score = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((c, -score, q))
+    q, c, score = q[order], c[order], score[order]
+    new = np.ones(len(q), bool)
+    new[1:] = (q[1:] != q[:-1]) | (c[1:] != c[:-1])
+    q, c, score = q[new], c[new], score[new]
+    keep = np.arange(len(q)) - np.searchsorted(q, q, "left") < k
+    return q[keep], c[keep], score[keep]
+
+
 def _scanned(k: int):
-    """Rows come sorted by list and shard, queries first. Keeps the k best classes of each query in each of these."""
+    """Rows come sorted by list and shard, queries first. Keeps the k best classes of each query over the task's lists.
+
+    What is kept is merged whenever it passes `HELD` rows, and handed on when merging does not make it half of that.
+    """
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, q_ids, q, q_norm, best, who = None, [], [], None, None, None
         asking: list[np.ndarray] = []
 
-        def result():
-            if best is None or not len(who):
-                return None
-            row, col = np.nonzero(who >= 0)
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(q_ids)[row]), pa.array(who[row, col]), pa.array(best[row, col])], names=["q", "c", "score"])
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def take() -> None:
+            if best is not None and len(who):
+                row, col = np.nonzero(who >= 0)
+                found.append((np.concatenate(q_ids)[row], who[row, col], best[row, col]))
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in found.pop()], names=["q", "c", "score"])
 
         for batch in source:
             if not batch.num_rows:
@@ -217,9 +238,11 @@ def _scanned(k: int):
             for s, e in zip(cut[:-1], cut[1:], strict=True):
                 part, where, side = batch.slice(s, e - s), (int(keys[0, s]), int(keys[1, s])), keys[2, s]
                 if where != now:
-                    done = result()
-                    if done is not None:
-                        yield done
+                    take()
+                    if sum(len(x[0]) for x in found) > HELD:
+                        found[:] = [_merged(found, k)]
+                        if len(found[0][0]) > HELD // 2:
+                            yield rows()
                     now, q_ids, asking, q, best, who = where, [], [], None, None, None
                 if side == 0:
                     q_ids.append(part.column("rep").to_numpy())
@@ -238,9 +261,10 @@ def _scanned(k: int):
                     every, names = np.concatenate((best, score), 1), np.concatenate((who, np.broadcast_to(ids, score.shape)), 1)
                     order = np.lexsort((names, -every), axis=1)[:, :k]
                     best, who = np.take_along_axis(every, order, 1), np.take_along_axis(names, order, 1)
-        done = result()
-        if done is not None:
-            yield done
+        take()
+        if found:
+            found[:] = [_merged(found, k)]
+            yield rows()
 
     return run
 

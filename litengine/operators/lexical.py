@@ -147,8 +147,9 @@ def retrieved(rows: DataFrame, posted: DataFrame, key: str, plan: QueryPlan, lim
         # FIL6: a query of one or two characters is looked for as a whole word.
         norm = F.concat(F.lit(" "), normalize_for_search(C("text")), F.lit(" "))
         channels.append(rows.where(F.contains(norm, F.lit(f" {plan.normal} "))).select(key, F.lit(0.25).alias("bm25")))
-    best = [c.orderBy(F.desc("bm25"), key).limit(pool(offset, limit)) for c in channels]
-    found = scored(signals(rows.join(fused(best, key), key), plan))
+    best = [c.orderBy(F.desc(F.round("bm25", 9)), key).limit(pool(offset, limit)) for c in channels]
+    # Scores that differ by less than a millionth are ties, which ids break.
+    found = scored(signals(rows.join(fused(best, key), key), plan)).withColumn("score", F.round("score", 6))
     found = found.withColumn("base_rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("score"), key)))
     if coverage:
         return diversified(found.select(key, "document_id", "source_type", "score", "bm25", "base_rank"), "document_id", "source_type", "score", key).orderBy("rank").offset(offset).limit(limit)

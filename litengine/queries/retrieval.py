@@ -60,7 +60,7 @@ NORM = "trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
 HIT = lambda t: "(" + " OR ".join(f"contains({NORM.format(c)}, '{t}')" for c in ("title", "section", "tags", "text")) + ")"
 
 
-@query("op_ret13_lexical", f"""WITH {FRAGMENTS}, {bm25_sql(['the', 'and'], True)}, p AS (SELECT * FROM (SELECT row_id, greatest(0, bm25) AS bm25 FROM bm) ORDER BY bm25 DESC, row_id LIMIT 400)
+@query("op_ret13_lexical", f"""WITH {FRAGMENTS}, {bm25_sql(['the', 'and'], True)}, p AS (SELECT * FROM (SELECT row_id, greatest(0, bm25) AS bm25 FROM bm) ORDER BY round(bm25, 9) DESC, row_id LIMIT 400)
 SELECT row_id, round(bm25 + 4.0 * {HIT('the and')}::INT + 2.5 * ({HIT('the')}::INT + {HIT('and')}::INT) / 2 + 2.0 * (contains({NORM.format('title')}, 'the') OR contains({NORM.format('title')}, 'and'))::INT
 + 1.25 * (contains({NORM.format('section')}, 'the') OR contains({NORM.format('section')}, 'and'))::INT + 1.25 * (contains({NORM.format('tags')}, 'the') OR contains({NORM.format('tags')}, 'and'))::INT, 6) AS score
 FROM p JOIN f USING (row_id) ORDER BY score DESC, row_id LIMIT 20""")
@@ -127,12 +127,12 @@ def channel_fusion(spark, sf):
 
 
 column_query("op_ret20_heuristic", "documents", "doc_id", lambda: X.heuristic_score(["the", "an"], C("text"), C("source"), C("lang"), F.lit("a tag"), C("doc_id") % 8, C("doc_id") % 3, F.lit(2), F.lit(0.5)), "round(10 * (contains(lower(text), 'the')::INT + contains(lower(text), 'an')::INT) / 2 + 6 * (contains(source, 'the') OR contains(source, 'an'))::INT + 5 * (contains(lang, 'the') OR contains(lang, 'an'))::INT + 1.5 * least(len(regexp_extract_all(lower(text), 'the')) + len(regexp_extract_all(lower(text), 'an')), 5) + 2 * least(doc_id % 8, 5) + 2 * least(doc_id % 3, 5) + 2 + 0.5, 6)")
-column_query("op_ret23_grouped_score", "documents", "doc_id", lambda: X.grouped_text_score(C("text"), "the and", ["the", "of"]), "round(4.0 * contains(lower(text), 'the and')::INT + 1.2 * (regexp_matches(' ' || regexp_replace(lower(text), '[^\\p{L}\\p{N}]', ' ', 'g') || ' ', ' the ')::INT + regexp_matches(' ' || regexp_replace(lower(text), '[^\\p{L}\\p{N}]', ' ', 'g') || ' ', ' of ')::INT), 6)")
-column_query("op_ret25_section_adjustment", "part", "p_partkey", lambda: X.section_adjustment(F.when(C("p_size") % 4 == 0, "Methods").when(C("p_size") % 4 == 1, "Introduction").when(C("p_size") % 4 == 2, "References").otherwise("Abstract")), "CASE p_size % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.25 WHEN 2 THEN -0.55 ELSE -0.15 END")
+column_query("op_ret23_grouped_score", "documents", "doc_id", lambda: X.grouped_text_score(C("text"), "the and", ["the", "of"]), "(round(4.0 * contains(lower(text), 'the and')::INT + 1.2 * (regexp_matches(' ' || regexp_replace(lower(text), '[^\\p{L}\\p{N}]', ' ', 'g') || ' ', ' the ')::INT + regexp_matches(' ' || regexp_replace(lower(text), '[^\\p{L}\\p{N}]', ' ', 'g') || ' ', ' of ')::INT), 6))::DOUBLE")
+column_query("op_ret25_section_adjustment", "part", "p_partkey", lambda: X.section_adjustment(F.when(C("p_size") % 4 == 0, "Methods").when(C("p_size") % 4 == 1, "Introduction").when(C("p_size") % 4 == 2, "References").otherwise("Abstract")), "(CASE p_size % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.25 WHEN 2 THEN -0.55 ELSE -0.15 END)::DOUBLE")
 column_query("op_ret32_tier", "events", "event_id", lambda: X.tier(C("value") - 1, F.when(C("user_id") % 5 == 0, "References").otherwise("Body")), "CASE WHEN user_id % 5 = 0 THEN 'reference' WHEN value > 1 THEN 'primary' ELSE 'secondary' END")
-column_query("op_ret39_object_score", "part", "p_partkey", lambda: X.object_score("brand 1", C("p_brand"), F.array(F.lit("x"), C("p_type")), C("p_size") % 9, C("p_size") % 4, C("p_size") > 45), "round(least(1.0, greatest(0.0, CASE WHEN regexp_replace(lower(p_brand), '[\\s_-]+', '', 'g') = 'brand1' OR regexp_replace(lower(p_type), '[\\s_-]+', '', 'g') = 'brand1' THEN 0.42 WHEN contains(regexp_replace(lower(p_brand), '[\\s_-]+', '', 'g'), 'brand1') OR contains(regexp_replace(lower(p_type), '[\\s_-]+', '', 'g'), 'brand1') THEN 0.34 ELSE 0.14 END + 0.05 * least(p_size % 9, 5) + 0.03 * least(p_size % 4, 5) - CASE WHEN p_size > 45 THEN 0.3 ELSE 0 END)), 6)")
+column_query("op_ret39_object_score", "part", "p_partkey", lambda: X.object_score("brand 1", C("p_brand"), F.array(F.lit("x"), C("p_type")), C("p_size") % 9, C("p_size") % 4, C("p_size") > 45), "(round(least(1.0, greatest(0.0, CASE WHEN regexp_replace(lower(p_brand), '[\\s_-]+', '', 'g') = 'brand1' OR regexp_replace(lower(p_type), '[\\s_-]+', '', 'g') = 'brand1' THEN 0.42 WHEN contains(regexp_replace(lower(p_brand), '[\\s_-]+', '', 'g'), 'brand1') OR contains(regexp_replace(lower(p_type), '[\\s_-]+', '', 'g'), 'brand1') THEN 0.34 ELSE 0.14 END + 0.05 * least(p_size % 9, 5) + 0.03 * least(p_size % 4, 5) - CASE WHEN p_size > 45 THEN 0.3 ELSE 0 END)), 6))::DOUBLE")
 column_query("op_ret43_note_passage", "conversations", "conv_id, turn", lambda: X.note_passage(C("role"), F.lit(" "), C("text")), "role || CASE WHEN trim(text) <> '' THEN chr(10) || text ELSE '' END")
-column_query("op_ret45_term_points", "conversations", "conv_id, turn", lambda: X.term_points(["the", "de", "the", "an"], C("text")), "3.0 * (contains(lower(text), 'the')::INT + contains(lower(text), 'de')::INT + contains(lower(text), 'an')::INT)")
+column_query("op_ret45_term_points", "conversations", "conv_id, turn", lambda: X.term_points(["the", "de", "the", "an"], C("text")), "(3.0 * (contains(lower(text), 'the')::INT + contains(lower(text), 'de')::INT + contains(lower(text), 'an')::INT))::DOUBLE")
 column_query("op_ret46_library_rank", "part", "p_partkey", lambda: F.coalesce(X.library_rank("1", C("p_partkey").cast("string"), C("p_name"), C("p_brand")), F.lit(-1)), "CASE WHEN p_partkey = 1 THEN 0 WHEN lower(p_name) = '1' THEN 1 WHEN lower(p_name) LIKE '1%' THEN 2 WHEN contains(lower(p_brand), '1') THEN 3 ELSE -1 END")
 
 

@@ -92,7 +92,8 @@ class Graph:
             new = self.near[np.take_along_axis(ids, pick, 1)].reshape(n, -1)
             new = np.where(np.repeat(live, self.near.shape[1], 1), new, -1)
             fresh = (new >= 0) & ~seen[rows, new]
-            seen[rows, np.where(fresh, new, new.max(1, keepdims=True).clip(0))] |= fresh
+            row, col = np.nonzero(fresh)
+            seen[row, new[row, col]] = True
             far = np.where(fresh, self._distance(q, np.maximum(new, 0)), np.inf)
             ids, dist = np.concatenate((ids, np.where(fresh, new, -1)), 1), np.concatenate((dist, far), 1)
             done = np.concatenate((done, ~fresh), 1)

@@ -27,8 +27,9 @@ def cosine(a: Column, b: Column) -> Column:
 
 def l2_normalize(a: Column) -> Column:
     """MTH3: a vector without length stays as it is."""
-    length = norm(a)
-    return F.when(length > 0, F.transform(a, lambda x: x.cast("double") / length)).otherwise(F.transform(a, lambda x: x.cast("double")))
+    # The length goes in as an array, so that it is worked out once and not for every component.
+    length = F.array_repeat(norm(a), F.size(a))
+    return F.zip_with(a, length, lambda x, n: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))
 
 
 def score_of_distance(d: Column) -> Column:

@@ -25,7 +25,7 @@ def hash_embedding(df: DataFrame, key: str, text: str, dimensions: int = DIMENSI
     sums = parts.groupBy(key, C("p.at").alias("at")).agg(F.sum("p.x").alias("x"))
     by = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("at", "x"))).alias("m"))
     raw = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(C("m")[i], F.lit(0.0)))
-    return by.select(key, V.l2_normalize(raw).alias("vector"))
+    return by.select(key, raw.alias("raw")).select(key, V.l2_normalize(C("raw")).alias("vector"))
 
 
 EMBEDDERS: dict[str, Callable[..., DataFrame]] = {"hash-text-v1": hash_embedding}

@@ -19,12 +19,12 @@ def chunks(df: DataFrame, text: str = "text", size: int = 500, overlap: int = 50
     n, step = F.length(text), size - overlap
     last = F.greatest(F.lit(0), F.ceil((n - size) / step)).cast("int")
     starts = F.when(n > whole, F.sequence(F.lit(0), last * step, F.lit(step))).otherwise(F.array(F.lit(0)))
-    out = df.where(n > 0).withColumn("start", F.explode(starts)).withColumn("end", F.when(n > whole, F.least(n, C("start") + size)).otherwise(n))
+    width = F.when(n > whole, F.lit(size)).otherwise(n)
+    shown = F.filter(starts, lambda s: F.trim(F.substring(C(text), s + 1, width)) != "")
+    out = df.where(n > 0).select("*", F.posexplode(shown).alias("chunk_index", "start")).withColumn("end", F.least(n, C("start") + width))
     cut = lambda a, b: F.substring(C(text), a + 1, b - a)
     out = out.withColumn("chunk_text", F.trim(cut(C("start"), C("end"))))
-    out = out.withColumn("overlap_before", cut(F.greatest(F.lit(0), C("start") - overlap), C("start"))).withColumn("overlap_after", cut(C("end"), F.least(n, C("end") + overlap)))
-    keep = F.filter(starts, lambda s: (s < C("start")) & (F.trim(F.substring(C(text), s + 1, F.lit(size))) != ""))
-    return out.where(C("chunk_text") != "").withColumn("chunk_index", F.size(keep))
+    return out.withColumn("overlap_before", cut(F.greatest(F.lit(0), C("start") - overlap), C("start"))).withColumn("overlap_after", cut(C("end"), F.least(n, C("end") + overlap)))
 
 
 def markdown_nodes(df: DataFrame, key: str, text: str = "text") -> DataFrame:

@@ -25,7 +25,10 @@ _ACCENTED = [chr(c) for c in range(0xC0, 0x250) if len(unicodedata.normalize("NF
 
 def tokens(x: Column) -> Column:
     """Words without accents, in lower case, split at everything but letters and numbers; an array."""
-    bare = F.translate(F.regexp_replace(x, r"[^\p{L}\p{N}\p{Co}]+", " "), "".join(_ACCENTED), "".join(unicodedata.normalize("NFD", c)[0] for c in _ACCENTED))
+    words = F.regexp_replace(x, r"[^\p{L}\p{N}\p{Co}]+", " ")
+    # Folding looks up every character; a text whose bytes are its characters has none to fold.
+    folded = F.translate(words, "".join(_ACCENTED), "".join(unicodedata.normalize("NFD", c)[0] for c in _ACCENTED))
+    bare = F.when(F.octet_length(words) == F.length(words), words).otherwise(folded)
     return F.filter(F.split(F.lower(bare), " "), lambda w: w != "")
 
 
@@ -36,9 +39,9 @@ def postings(rows: DataFrame, key: str, columns: Sequence[str] = tuple(WEIGHTS))
     return out.select(key, C("f.field").alias("field"), F.posexplode("f.words").alias("pos", "token"))
 
 
-def lengths(posted: DataFrame, key: str) -> DataFrame:
-    """Words of each row over all columns."""
-    return posted.groupBy(key).agg(F.count(F.lit(1)).alias("words"))
+def lengths(rows: DataFrame, key: str, columns: Sequence[str] = tuple(WEIGHTS)) -> DataFrame:
+    """Words of each row over all columns: an expression of the row, no shuffle."""
+    return rows.select(key, sum((F.size(tokens(F.coalesce(C(c), F.lit("")))) for c in columns), F.lit(0)).alias("words"))
 
 
 def occurrences(posted: DataFrame, key: str, phrases: Sequence[str]) -> DataFrame:
@@ -60,8 +63,9 @@ def bm25(rows: DataFrame, posted: DataFrame, key: str, phrases: Sequence[str], e
     weight = F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv])
     f = found.groupBy("phrase", key).agg(F.sum(C("n") * weight[C("field")]).alias("f"))
     df = f.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
-    size = lengths(posted, key)
-    n, total = rows.count(), size.agg(F.sum("words")).first()[0] or 1
+    size = lengths(rows, key)
+    n, total = size.agg(F.count(F.lit(1)), F.sum("words")).first()
+    total = total or 1
     idf = F.log((F.lit(n) - C("df") + 0.5) / (C("df") + 0.5))
     scored = f.join(df, "phrase").join(size, key).withColumn("idf", F.when(idf <= 0, FLOOR).otherwise(idf))
     part = C("idf") * C("f") * (K1 + 1) / (C("f") + K1 * (1 - B + B * C("words") / F.lit(total / max(1, n))))

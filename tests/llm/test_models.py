@@ -33,7 +33,7 @@ def test_mixture_reaches_targets(spark, docs):
 
 
 def test_mixture_is_a_calibrated_sample(spark):
-    rows = [(k, "word " * (1 + k % 5), ("en", "fr")[k % 2], "big" if k % 3 else f"s{k % 4}") for k in range(4000)]
+    rows = [(k, " ".join(["word"] * (1 + k % 5)), ("en", "fr")[k % 2], "big" if k % 3 else f"s{k % 4}") for k in range(4000)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     got, again = mixing.mixed(frame).collect(), mixing.mixed(frame.repartition(3)).collect()
     assert sorted(r.doc_id for r in got) == sorted(r.doc_id for r in again)

@@ -7,7 +7,7 @@ fitting works on the cells alone. A source with a third of all rows is a few cel
 from __future__ import annotations
 
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,8 +23,18 @@ SEED = "mix-1"
 
 DIMENSIONS = ("source", "lang", "topic")
 
-#: Topics by the first of these strings that a text holds. Fixed values, a parameter of the operators below.
+#: Topics by the first pattern that a text holds. Fixed values, a parameter of the operators below. Before each pattern stand
+#: screens: a text that it matches holds all strings of one of these, in any case. No pattern is tried on other texts; where
+#: it is None, the screens decide.
 TOPICS = (
+    ("licence", ((("licensed under",), ("licenced under",), ("all rights reserved",), ("copyright",)), None)),
+    ("secret", ((("password", "="), ("token", "="), ("akia",)), r"(?i)password\s*=|token\s*=|AKIA[0-9A-Z]{16}")),
+    ("contact", ((("@",), ("+",)), r"[A-Za-z0-9._%+-]@[A-Za-z0-9-]+\.|\+[0-9]")),
+    ("table", (((" | ",),), None)),
+    ("markup", ((("###",), ("<", ">")), r"<[a-z]+>|###")),
+)
+#: What `oracle_sql` tells topics by.
+SQL_TOPICS = (
     ("licence", ("icensed under", "ll rights reserved", "opyright")),
     ("secret", ("password", "token =", "AKIA")),
     ("contact", ("@", "+")),
@@ -35,21 +45,20 @@ OTHER = "prose"
 
 
 def with_cells(docs: DataFrame, topics=TOPICS) -> DataFrame:
-    """row (all columns), doc_id, _source, _lang, _topic (never null: null is `unknown`), _tokens (spaces and line ends, plus one)."""
+    """row (all columns), doc_id, _source, _lang, _topic (never null: null is `unknown`), _tokens (words between ASCII white space)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.struct("*").alias("row"), text.alias("_text"), F.lower(text).alias("_low"))
     topic = F.lit(OTHER)
-    for name, strings in reversed(topics):
-        topic = F.when(reduce(or_, (text.contains(s) for s in strings)), F.lit(name)).otherwise(topic)
-    # Words are counted by what cuts them, which needs no regular expression.
-    bare = F.replace(F.replace(text, F.lit(" "), F.lit("")), F.lit("\n"), F.lit(""))
-    tokens = F.when(text == "", 0).otherwise(F.octet_length(text) - F.octet_length(bare) + 1)
-    return docs.select(
-        F.struct("*").alias("row"),
-        F.col("doc_id"),
-        F.coalesce(F.col("source").cast("string"), F.lit("unknown")).alias("_source"),
-        F.coalesce(F.col("lang").cast("string"), F.lit("unknown")).alias("_lang"),
+    for name, (screens, pattern) in reversed(topics):
+        held = reduce(or_, (reduce(and_, (F.col("_low").contains(s) for s in screen)) for screen in screens))
+        topic = F.when(held & F.col("_text").rlike(pattern) if pattern else held, F.lit(name)).otherwise(topic)
+    return rows.select(
+        F.col("row"),
+        F.col("row.doc_id").alias("doc_id"),
+        F.coalesce(F.col("row.source").cast("string"), F.lit("unknown")).alias("_source"),
+        F.coalesce(F.col("row.lang").cast("string"), F.lit("unknown")).alias("_lang"),
         topic.alias("_topic"),
-        tokens.cast("long").alias("_tokens"),
+        F.size(F.array_remove(F.split("_text", r"[\x20\x09-\x0D]+"), "")).cast("long").alias("_tokens"),
     )
 
 
@@ -114,7 +123,7 @@ def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, b
 
 def oracle_sql(rounds: int = ROUNDS) -> str:
     """`mixed` with default parameters, less text, as DuckDB SQL."""
-    cases = " ".join("WHEN " + " OR ".join(f"contains(t, '{x}')" for x in strings) + f" THEN '{name}'" for name, strings in TOPICS)
+    cases = " ".join("WHEN " + " OR ".join(f"contains(t, '{x}')" for x in strings) + f" THEN '{name}'" for name, strings in SQL_TOPICS)
     steps, last = [], "f0"
     for k in range(rounds):
         for dim in DIMENSIONS:

@@ -50,6 +50,22 @@ def test_mixing_odd_tables(docs, nothing):
     assert not {300, 301} & {r.doc_id for r in kept}
 
 
+TOLD = (
+    ("COPYRIGHT 2020 by no one", "licence"), ("ALL RIGHTS RESERVED", "licence"), ("Licenced under terms", "licence"), ("Password = x", "secret"), ("TOKEN\t= x", "secret"),
+    ("akia" + "0" * 16, "secret"), ("jo@mail.org", "contact"), ("call +1 234", "contact"), ("a | b", "table"), ("<p>open", "markup"), ("### head", "markup"),
+    ("forgot my password again", "prose"), ("AKIA", "prose"), ("at @ home", "prose"), ("1 + x", "prose"), ("</", "prose"), ("a|b", "prose"), ("token here, and x = 1", "prose"), ("", "prose"), (None, "prose"),
+)
+
+
+def test_topics_and_words(spark):
+    """Topics whatever the case, and never by a mark alone; words between runs of any ASCII white space."""
+    texts = [t for t, _ in TOLD] + ["a\tb\x0bc\x0cd\r\n    e  f \n", "  ", "\u00a0 \u00e9 x\u2003y", "\x01 \x02"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source")
+    got = {r.doc_id: r for r in mixing.with_cells(frame).collect()}
+    assert [got[k]._topic for k in range(len(TOLD))] == [topic for _, topic in TOLD]
+    assert [got[k]._tokens for k in range(len(texts))] == [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in texts]
+
+
 # --- op4
 
 

@@ -27,7 +27,8 @@ from .training import sample
 KINDS = ("email", "ip", "card", "phone")
 #: Texts that training takes at most, windows it makes of them, and passes over these.
 TRAINING_ROWS, WINDOWS, EPOCHS = 1500, 900, 6
-LONGEST = 14
+#: Tokens of a segment at most: a name of three parts, [at], and a host of five labels with [dot] between them.
+LONGEST = 26
 #: Characters of context on either side of what starts a window.
 MARGIN = 24
 #: The marginal probability at which a span is added.
@@ -40,7 +41,15 @@ _PARTS = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\s]")
-_TRIGGER = re.compile(r"[0-9][0-9 ().+/-]{5,}[0-9]|[0-9]+(?:[ .]+[0-9]+){3}|@|[\[(] ?at ?[\])]", re.I)
+#: Digits in groups, four numbers with dots in brackets or apart, an at-sign in any form with the host behind it, and a bare
+#: `at` where a dot of the host is spelled out.
+_DOT = r"(?: ?[\[(] ?(?:\.|dot) ?[\])] ?| dot )"
+_TRIGGER = re.compile(
+    rf"[0-9][0-9 ().+/-]{{5,}}[0-9]|[0-9]+(?:(?:[ .]+|{_DOT})[0-9]+){{3}}"
+    rf"|(?:@|[\[(] ?at ?[\])])(?: ?[a-z0-9-]++(?:(?:\.|{_DOT})[a-z0-9-]++)++)?"
+    rf"|(?<=[a-z0-9_]) at [a-z0-9-]++(?:\.[a-z0-9-]++)*+{_DOT}[a-z0-9-]++(?:(?:\.|{_DOT})[a-z0-9-]++)*+",
+    re.I | re.A,
+)
 
 Span = tuple[int, int, int]
 
@@ -239,8 +248,8 @@ def rewritten(rng: random.Random, kind: int, span: str) -> str:
     """A form of a base span that people write and the patterns miss."""
     digits = re.sub(r"[^0-9]", "", span)
     if kind == 0:
-        at = rng.choice(("(at)", "[at]", " (at) ", " [at] ", " @ "))
-        dot = rng.choice((".", ".", " dot ", "[dot]", "(dot)"))
+        at = rng.choice(("(at)", "[at]", " (at) ", " [at] ", " @ ", " at "))
+        dot = rng.choice((" dot ", "[dot]", "(dot)") if at == " at " else (".", ".", " dot ", "[dot]", "(dot)"))
         name, _, host = span.partition("@")
         return name + at + host.replace(".", dot)
     if kind == 1:
@@ -256,23 +265,23 @@ def train(texts: list[str], seed: int = 7) -> Model:
     rng = random.Random(seed)
     data: list[tuple[Lattice, dict[tuple[int, int], int]]] = []
     for text in texts:
-        spans = base_spans(text)
-        for lo, hi in windows(text)[:20]:
-            inside = [x for x in sorted(spans, key=lambda x: x[1]) if lo <= x[1] and x[2] <= hi]
-            inside = [x for k, x in enumerate(inside) if k == 0 or x[1] >= inside[k - 1][2]]
-            out, truth, at = "", [], lo
-            for kind, s, e in inside:
-                piece = text[s:e]
-                if rng.random() < 0.5:
-                    piece = rewritten(rng, kind, piece)
-                out += text[at:s]
-                truth.append((kind, len(out), len(out) + len(piece)))
-                out, at = out + piece, e
-            out += text[at:hi]
-            lat = lattice(out, 0, len(out))
+        # Rewritten first, so that windows open here on what they open on in the search.
+        pieces, truth, at, size = [], [], 0, 0
+        for kind, s, e in sorted(base_spans(text), key=lambda x: x[1]):
+            if s < at:
+                continue
+            piece = rewritten(rng, kind, text[s:e]) if rng.random() < 0.5 else text[s:e]
+            pieces += [text[at:s], piece]
+            size += s - at + len(piece)
+            truth.append((kind, size - len(piece), size))
+            at = e
+        out = "".join([*pieces, text[at:]])
+        for lo, hi in windows(out)[:20]:
+            inside = [x for x in truth if x[1] < hi and lo < x[2]]
+            lat = lattice(out, lo, hi)
             place = {(lat.start[i], lat.end[j - 1]): k for k, (i, j) in enumerate(lat.segments)}
-            gold = {place[s, e]: kind for kind, s, e in truth if (s, e) in place}
-            if len(gold) == len(truth) and lat.segments:
+            gold = {place[s, e]: kind for kind, s, e in inside if (s, e) in place}
+            if len(gold) == len(inside) and lat.segments:
                 data.append((lat, gold))
         if len(data) >= WINDOWS:
             break

@@ -244,6 +244,25 @@ def test_added_spans():
     assert hits >= 15, hits
 
 
+def test_every_rewritten_form_is_searched():
+    """Whatever training rewrites a span into lies in a window of the search, and is a segment of its lattice."""
+    rng = random.Random(9)
+    spans = [(0, "first.last@mail.example.com"), (0, "a.b.c@x.y.z.example.org"), (0, "jo7@host.net"), (1, "192.168.10.1"), (1, "8.8.8.8"), (2, "4111 1111 1111 1111"), (2, "4111111111111111110"), (3, "+1 (212) 555-1000"), (3, "+49 30 1234567")]
+    forms = {(kind, pii.rewritten(rng, kind, span)) for kind, span in spans for _ in range(300)}
+    forms |= {(0, "first.last [at] mail[dot]example[dot]com"), (0, "jo at host dot com"), (1, "192[.]168[.]10[.]1"), (1, "10(.)0(.)0(.)7")}
+    for kind, form in forms:
+        text = f"{prose(rng, 30)} {form} {prose(rng, 30)}"
+        s = text.index(form)
+        held = [w for w in pii.windows(text) if w[0] <= s and s + len(form) <= w[1]]
+        assert len(held) == 1, (kind, form)
+        lat = pii.lattice(text, *held[0])
+        # A bracket before the first digit belongs to the span.
+        assert (s, s + len(form)) in {(lat.start[i], lat.end[j - 1]) for i, j in lat.segments}, (kind, form)
+    assert pii.windows("we met at noon and at example.com, dot the i") == []
+    for text in ("a@" * 50_000, "@" + "a" * 200_000, "@a." * 50_000, " at a" * 50_000, "x at " + "a." * 100_000, "x at a dot " * 30_000, "1[.]" * 50_000):
+        pii.windows(text)
+
+
 def test_marginals_sum_over_segmentations():
     """The forward-backward pass against an enumeration of all segmentations."""
     text = "on 12 34 5678 x"

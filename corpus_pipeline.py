@@ -22,7 +22,7 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated and nearly repeated lines go, the earliest stay. Documents left without any characters go, n_chars follows the text."""
-    kept = line_dedup.without_repeated_lines(docs)
+    kept = line_dedup.without_repeated_lines(docs, min_words=1)
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return kept.where("trim(text) <> ''").select(docs.columns)

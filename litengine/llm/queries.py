@@ -34,7 +34,7 @@ FROM r LEFT JOIN n ON n.doc_id = r.x GROUP BY r.x
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.without_repeated_lines(documents(spark, sf_dir)).select("doc_id", "text")
+    return line_dedup.without_repeated_lines(documents(spark, sf_dir), min_words=1).select("doc_id", "text")
 
 
 OP3_SQL = r"""

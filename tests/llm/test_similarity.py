@@ -120,6 +120,19 @@ def test_repeated_lines(spark, docs, corpus):
     assert texts == Counter((i, keep(i, t)) for i, t in rows)
 
 
+def test_short_lines_go_from_the_query_and_the_pipeline(spark, tmp_path):
+    """Exact copies of lines of one to three words go too; the earliest stay."""
+    import corpus_pipeline
+    from litengine.llm import queries
+
+    rows = [(0, "end\nthe end\nonly here\n\nno more of"), (1, "END\nanother\n the end \n\nno more of"), (2, "end\nend"), (3, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    want = {0: rows[0][1], 1: "another\n", 2: "", 3: None}
+    assert {r.doc_id: r.text for r in queries.op3_line_dedup(spark, str(tmp_path)).collect()} == want
+    assert {r.doc_id: r.text for r in corpus_pipeline.lines(spark, frame, str(tmp_path)).collect()} == {0: want[0], 1: want[1]}
+
+
 def test_substring_dedup(spark):
     """Passages of 60 words in the middle of lines are found wherever they are repeated; other texts stay."""
     rng = random.Random(4)

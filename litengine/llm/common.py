@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,11 +16,13 @@ BITMAP_BITS = 25
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, one is made in local mode (tests) only."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         made = spark.sparkContext.getCheckpointDir()
         if not made:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="litengine-"))
             made = spark.sparkContext.getCheckpointDir()
         path = made
@@ -52,6 +55,16 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
+def packed(docs: DataFrame, **more: Column) -> DataFrame:
+    """row (all columns as one struct), so that no name of docs meets one of an operator's own, doc_id as a long, and more."""
+    return docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), *(c.alias(name) for name, c in more.items()))
+
+
+def unpacked(rows: DataFrame, columns: list[str], *more: Column | str) -> DataFrame:
+    """The columns of `row` again, whatever their names, and more."""
+    return rows.select(*(F.col("row").getField(c).alias(c) for c in columns), *more)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
-import math
-
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Bytes of text that a sample holds at most, about, and bytes of one text in it: longer ones are scored, but not learned from.
+SAMPLE_BYTES, TEXT_BYTES = 32 << 20, 1 << 20
+
+
+def sample(rows: DataFrame, bound: int, by: str | None = None) -> pa.Table:
+    """About `bound` rows and at most about `SAMPLE_BYTES` of text, chosen by a hash of doc_id, whole texts, in the order of doc_id.
 
-def sample(rows: DataFrame, bound: int) -> pa.Table:
-    """About `bound` rows, chosen by a hash of doc_id, whole texts, in the order of doc_id. rows has columns doc_id and text."""
-    there = rows.count()
-    if there > bound:
-        share = math.ceil(bound / there * (1 << 30))
-        rows = rows.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) < share)
-    return rows.orderBy("doc_id", "text").toArrow()
+    rows has columns doc_id and text. With `by`, each value of that column may take an equal part of the bounds, so that
+    a rare one is learned from as well; its values are to be few (languages).
+    """
+    rows = rows.where(F.octet_length("text") <= TEXT_BYTES)
+    key = F.col(by) if by else F.lit(0)
+    sizes = rows.groupBy(key.alias("part")).agg(F.count(F.lit(1)).alias("there"), F.sum(F.octet_length("text")).alias("bytes")).toArrow().to_pylist()
+    share = F.lit(0.0)
+    for r in sizes:
+        own = min(1.0, bound / len(sizes) / r["there"], SAMPLE_BYTES / len(sizes) / max(1, r["bytes"]))
+        share = F.when(key.eqNullSafe(F.lit(r["part"])), F.lit(own)).otherwise(share) if by else F.lit(own)
+    spot = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return rows.where(spot < share).orderBy("doc_id", "text").toArrow()

@@ -34,24 +34,31 @@ FROM r LEFT JOIN n ON n.doc_id = r.x GROUP BY r.x
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.without_repeated_lines(documents(spark, sf_dir), min_words=1).select("doc_id", "text")
+    return line_dedup.without_repeated_lines(documents(spark, sf_dir)).select("doc_id", "text")
 
 
 OP3_SQL = r"""
-WITH l AS (
+WITH RECURSIVE l AS (
   SELECT doc_id, i AS line_no, raw, lower(trim(raw)) AS line FROM (
     SELECT doc_id, unnest(ls) AS raw, unnest(range(len(ls))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL))
 ), d AS (
-  SELECT line, string_split(line, ' ') AS ws, min((doc_id, line_no)) AS first FROM l WHERE line <> '' GROUP BY line
+  SELECT *, row_number() OVER (ORDER BY first) AS id FROM (
+    SELECT line, string_split(line, ' ') AS ws, min((doc_id, line_no)) AS first FROM l WHERE line <> '' GROUP BY line)
 ), v AS (
-  SELECT line, first, unnest(range(0, len(ws) + 1)) AS place,
+  SELECT id, unnest(range(0, len(ws) + 1)) AS place,
     unnest(list_concat([line], list_transform(range(1, len(ws) + 1), lambda i: array_to_string(list_concat(ws[:i - 1], ws[i + 1:]), ' ')))) AS v
-  FROM d WHERE len(ws) >= 8
+  FROM d WHERE len(ws) >= 5
 ), e AS (
-  SELECT DISTINCT a.line FROM v a JOIN v b ON a.v = b.v AND (a.place = b.place OR a.place = 0 OR b.place = 0) AND b.first < a.first
+  SELECT a.id, list(DISTINCT b.id) AS earlier FROM v a JOIN v b ON a.v = b.v AND (a.place = b.place OR a.place = 0 OR b.place = 0) AND b.id < a.id GROUP BY ALL
+), o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY id) AS i FROM e
+), r(i, gone) AS (  -- in rank order, a line goes if one of those before it and near it has not gone
+  SELECT 0::BIGINT, []::BIGINT[]
+  UNION ALL
+  SELECT o.i, CASE WHEN len(list_filter(o.earlier, lambda x: NOT list_contains(r.gone, x))) > 0 THEN list_append(r.gone, o.id) ELSE r.gone END FROM r JOIN o ON o.i = r.i + 1
+), g AS (SELECT unnest(gone) AS id FROM (SELECT gone FROM r ORDER BY i DESC LIMIT 1)
 ), k AS (
-  SELECT l.doc_id, l.line_no, l.raw FROM l LEFT JOIN d ON d.line = l.line LEFT JOIN e ON e.line = l.line
-  WHERE l.line = '' OR len(d.ws) < 4 OR ((l.doc_id, l.line_no) = d.first AND e.line IS NULL)
+  SELECT l.doc_id, l.line_no, l.raw FROM l LEFT JOIN d ON d.line = l.line LEFT JOIN g ON g.id = d.id
+  WHERE l.line = '' OR ((l.doc_id, l.line_no) = d.first AND g.id IS NULL)
 )
 SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE coalesce((SELECT string_agg(raw, chr(10) ORDER BY line_no) FROM k WHERE k.doc_id = documents.doc_id), '') END AS text
 FROM documents

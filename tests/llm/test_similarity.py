@@ -1,10 +1,14 @@
 """op2, op3 and op8 against plain Python over all pairs."""
 
+import bisect
 import random
 import re
 from collections import Counter
 
+import pyarrow as pa
+
 from litengine.llm import graph, line_dedup, ngram_join, substring_dedup
+from litengine.llm.words import fold, split
 
 from .conftest import clashing, prose
 
@@ -71,7 +75,8 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def brute_lines(rows, min_words=4, min_edit=8):
+def brute_lines(rows, min_words=1, min_edit=5):
+    """Lines that go, each with the place of the line that stays for it: in rank order, one is kept unless a kept one is equal or near."""
     lines = sorted({(i, k, line.strip(" ").lower()) for i, t in rows if i is not None and t is not None for k, line in enumerate(t.split("\n"))})
     first = {}
     for i, k, line in lines:
@@ -84,12 +89,18 @@ def brute_lines(rows, min_words=4, min_edit=8):
             a, b = b, a
         return len(a) == len(b) + 1 and any(a[:p] + a[p + 1 :] == b for p in range(len(a)))
 
-    gone = set()
-    long_lines = [(at, line.split(" ")) for line, at in first.items() if len(line.split(" ")) >= min_edit]
-    edits = {at for at, a in long_lines if any(other < at and near(a, b) for other, b in long_lines)}
+    gone, kept, edits = {}, [], {}
+    for line, at in sorted(first.items(), key=lambda x: x[1]):
+        words = line.split(" ")
+        if len(words) >= min_edit:
+            to = min((other for other, b in kept if other < at and near(words, b)), default=None)
+            if to:
+                edits[line] = to
+            else:
+                kept.append((at, words))
     for i, k, line in lines:
-        if line and len(line.split(" ")) >= min_words and (first[line] != (i, k) or (i, k) in edits):
-            gone.add((i, k))
+        if line and len(line.split(" ")) >= min_words and (first[line] != (i, k) or line in edits):
+            gone[i, k] = edits.get(line, first[line])
     return gone
 
 
@@ -113,13 +124,26 @@ def test_repeated_lines(spark, docs, corpus):
     frame = spark.createDataFrame(more, "doc_id long, text string").unionByName(docs.select("doc_id", "text"))
     rows = more + [r[:2] for r in corpus]
     got = {(r.doc_id, r.line_no): r for r in line_dedup.repeated_lines(frame).collect()}
-    assert set(got) == brute_lines(rows)
-    assert all((r.first_doc_id, r.first_line_no) < (r.doc_id, r.line_no) for r in got.values())
+    want = brute_lines(rows)
+    assert {k: (r.first_doc_id, r.first_line_no) for k, r in got.items()} == want
+    assert not set(want) & set(want.values())
     texts = Counter((r.doc_id, r.text) for r in line_dedup.without_repeated_lines(frame).collect())
     keep = lambda i, t: t if t is None or i is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in got)
     assert texts == Counter((i, keep(i, t)) for i, t in rows)
 
 
+def test_a_chain_of_lines_keeps_one_within_the_bound_of_each(spark):
+    """Each of these lines is one word from the last; a line goes only for one that stays. A line that is a variant of others joins in."""
+    words = [f"w{k}" for k in range(12)]
+    rows = [(k, " ".join([f"x{q}" for q in range(k)] + words[k:])) for k in range(12)]
+    rows += [(50, " ".join(words[:6])), (51, " ".join(words[:3] + words[4:6] + ["a"])), (52, " ".join(words[:3] + words[4:6])), (53, " ".join(words[:3] + words[4:6] + ["b"])), (54, " ".join(words[:6]))]
+    rows += [(100 + k, f"user u{k} joined the room now") for k in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.line_no): (r.first_doc_id, r.first_line_no) for r in line_dedup.repeated_lines(frame).collect()}
+    assert got == brute_lines(rows)
+    assert not set(got) & set(got.values()) and len(got) > 300
+
+
 def test_short_lines_go_from_the_query_and_the_pipeline(spark, tmp_path):
     """Exact copies of lines of one to three words go too; the earliest stay."""
     import corpus_pipeline
@@ -155,6 +179,61 @@ def test_substring_dedup(spark):
         assert left[i] == want + t[at:]
 
 
+def brute_runs(rows, min_words=substring_dedup.MIN_WORDS, radius=substring_dedup.RADIUS):
+    """Runs by plain loops: word pairs' hashes give the cuts, and blocks are compared as tuples of words."""
+    blocks, seen = [], {}
+    for i, text in rows:
+        if i is None or text is None:
+            continue
+        starts = [0, *(k + 1 for k, c in enumerate(text) if c == "\n")]
+        found = [(m.start(), m.end(), m.group(), bisect.bisect_right(starts, m.start())) for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+        hashed = fold(split(pa.array([text])).hashes(), 2).tolist()
+        pair = [hashed[k] if k + 1 < len(found) and found[k + 1][3] == found[k][3] else 2**64 - 1 for k in range(len(found))]
+        near = lambda k: [pair[q] for q in range(max(0, k - radius), min(len(found), k + radius + 1)) if q != k and found[q][3] == found[k][3]]
+        cuts = [k for k in range(len(found)) if k == 0 or found[k][3] != found[k - 1][3] or (pair[k] < 2**64 - 1 and all(pair[k] < x for x in near(k)))]
+        stops = [*cuts[1:], len(found)] if cuts else []
+        own = [(k, next((e for e in stops if e - k >= min_words), None)) for k in cuts]
+        own = [(k, e) for k, e in own if e is not None]
+        own += [(k, len(found)) for k, e in own[-1:] if e < len(found)]
+        low = [re.sub("[A-Z]", lambda m: m.group().lower(), w[2]) for w in found]
+        for k, e in own:
+            words = tuple(low[k:e])
+            blocks.append((i, text, k, e, found[k][0], found[e - 1][1], words))
+            seen[words] = min(seen.get(words, (i, found[k][0])), (i, found[k][0]))
+    covered: dict = {}
+    for i, text, k, e, start, end, words in blocks:
+        if seen[words] < (i, start):
+            covered.setdefault((i, text), set()).add((k, e, start, end))
+    out = Counter()
+    for (i, _), spans in covered.items():
+        runs: list[list[int]] = []
+        for k, e, start, end in sorted(spans):
+            if runs and k <= runs[-1][1]:
+                runs[-1][1:] = [max(runs[-1][1], e), runs[-1][2], max(runs[-1][3], end)]
+            else:
+                runs.append([k, e, start, end])
+        out.update((i, start, end, e - k) for k, e, start, end in runs)
+    return out
+
+
+def test_repeated_runs_are_exact_and_stable(spark, docs, corpus):
+    """Against plain loops; the same however rows are dealt to tasks and batches; nothing is stitched from several texts."""
+    rng = random.Random(14)
+    lines = [prose(rng, 9) for _ in range(40)]
+    more = [(1000 + k, "\n".join(rng.choice(lines) for _ in range(rng.randint(2, 9)))) for k in range(80)]
+    words = [f"word{k}" for k in range(34)]
+    more += [(2000 + k, w) for k, w in enumerate(words)] + [(2100, "\n".join(words))]  # each line stands elsewhere, never next to another
+    more += [(2200, " ".join(words)), (2201, " ".join(words)), (2201, prose(rng, 30) + " " + " ".join(words)), (2300, None), (None, " ".join(words)), (2301, "")]
+    rows = more + [r[:2] for r in corpus]
+    frame = spark.createDataFrame(more, "doc_id long, text string").unionByName(docs.select("doc_id", "text"))
+    found = lambda f: Counter((r.doc_id, r.start, r.end, r.n_words) for r in substring_dedup.repeated_runs(f).collect())
+    want = brute_runs(rows)
+    assert found(frame) == want and len(want) > 30
+    assert found(frame.repartition(13)) == want == found(frame.coalesce(1))
+    assert not any(i == 2100 for i, *_ in want)
+    assert any(i == 2201 for i, *_ in want)
+
+
 def test_odd_tables(spark, docs, nothing):
     for f in (ngram_join.similar_sets, line_dedup.repeated_lines, line_dedup.without_repeated_lines, substring_dedup.repeated_runs, substring_dedup.without_repeats):
         assert f(nothing).count() == 0

@@ -20,20 +20,39 @@ held = lambda i: i is None or zlib.crc32(str(i).encode()) % 5 == 0
 # --- op1
 
 
-def test_mixture_reaches_targets(spark, docs):
-    targets = {"source": {"src0": 0.1, "src1": 0.4, "src2": 0.2, "src3": 0.2, "unknown": 0.1}, "lang": {"en": 0.5, "de": 0.2, "fr": 0.2, "unknown": 0.1}}
-    cells = mixing.fitted(docs, targets, rounds=60).toPandas()
-    assert abs(cells.weight.sum() - 1) < 1e-6
-    # The last marginal that was fitted holds; the others nearly do where cells allow it.
-    for dim in ("lang", "source"):
-        got = cells.groupby(f"_{dim}").weight.sum()
-        for name in ("en", "de", "fr") if dim == "lang" else ("src1", "src2"):
-            assert abs(got[name] - targets[dim][name]) < 0.06, (dim, name, got)
-    assert ((cells.p >= 0) & (cells.p <= 1)).all()
+def expected(cells, dim):
+    """Shares of a marginal in the expected sample, and its tokens over all."""
+    kept = (cells.p * cells.tokens).groupby(cells[f"_{dim}"]).sum()
+    return kept / kept.sum(), (cells.p * cells.tokens).sum() / cells.tokens.sum()
+
+
+def test_mixture_reaches_targets(spark):
+    """Small values that are asked for more than they have give all of it, and others make up for it: targets and budget hold."""
+    rng, rows = random.Random(21), []
+    for k in range(3000):
+        source = "big" if k % 3 else f"s{k % 5}"
+        rows.append((k, " ".join(["word"] * rng.randint(1, 30)), rng.choice(("en", "en", "en", "de", "fr")), source))
+    rows += [(5000 + k, "all rights reserved by one", "xx", "rare") for k in range(4)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    targets = {"source": {"big": 0.4, "s0": 0.15, "s1": 0.15, "s2": 0.1, "s3": 0.1, "s4": 0.1}, "lang": {"en": 0.5, "de": 0.25, "fr": 0.25}}
+    cells = mixing.fitted(frame, targets, budget=0.3).toPandas()
+    assert ((cells.p >= 0) & (cells.p <= 1)).all() and abs(cells.weight.sum() - 1) < 1e-9
+    for dim, asked in targets.items():
+        got, size = expected(cells, dim)
+        assert abs(size - 0.3) < 0.003
+        assert all(abs(got[name] - share) < 0.005 for name, share in asked.items()), (dim, got)
+    # By default, rare values are asked for more than they have: their cells are kept whole, and the budget still holds.
+    cells = mixing.fitted(frame).toPandas()
+    got, size = expected(cells, "lang")
+    assert abs(size - 0.5) < 0.005 and cells[cells._source == "rare"].p.min() == 1
+    for dim in mixing.DIMENSIONS:
+        got, _ = expected(cells, dim)
+        want = cells.groupby(f"_{dim}")[f"target_{dim}"].first()
+        assert (abs(got - want / want.sum()) < 0.005).all(), (dim, got, want / want.sum())
 
 
 def test_mixture_is_a_calibrated_sample(spark):
-    rows = [(k, " ".join(["word"] * (1 + k % 5)), ("en", "fr")[k % 2], "big" if k % 3 else f"s{k % 4}") for k in range(4000)]
+    rows = [(k, "word " * (1 + k % 5), ("en", "fr")[k % 2], "big" if k % 3 else f"s{k % 4}") for k in range(4000)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     got, again = mixing.mixed(frame).collect(), mixing.mixed(frame.repartition(3)).collect()
     assert sorted(r.doc_id for r in got) == sorted(r.doc_id for r in again)

@@ -24,4 +24,4 @@ def sample(rows: DataFrame, bound: int, by: str | None = None) -> pa.Table:
         own = min(1.0, bound / len(sizes) / r["there"], SAMPLE_BYTES / len(sizes) / max(1, r["bytes"]))
         share = F.when(key.eqNullSafe(F.lit(r["part"])), F.lit(own)).otherwise(share) if by else F.lit(own)
     spot = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return rows.where(spot < share).orderBy("doc_id", "text").toArrow()
+    return rows.where(spot < share).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])

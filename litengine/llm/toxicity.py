@@ -2,9 +2,11 @@
 
 Folding maps look-alike letters of other scripts and digits or signs that stand for letters to plain small letters, one
 for one. The lexicon is learned: words and word beginnings that are far more common in texts marked toxic, each with a
-log odds ratio as its weight. Exception phrases are learned as well: neighbouring words with which an entry is not
-toxic; an entry inside one does not count. The weights found are summed, divided by a power of the text's length in
-words, and put through a logistic curve.
+log odds ratio as its weight. Harmless phrases are found first: neighbouring words that stand together in texts not marked
+toxic and hardly in others; what stands inside one doesn't speak for or against a word. Exception phrases are pairs of an
+entry and a neighbour with which it is not toxic; an entry inside one does not count, whatever stands between its words
+beside letters and digits. The weights found are summed, divided by a power of the text's length in words, and put
+through a logistic curve.
 """
 
 from __future__ import annotations
@@ -136,15 +138,28 @@ class Lexicon:
         machine = self.machine()
         if not len(machine) or not text:
             return []
+        # Runs of signs between words count as one space; `place` leads back to the text.
+        plain = f" {fold(text)} "
+        letter = np.frombuffer(plain.encode("utf-32-le", "surrogatepass"), np.uint32)
+        single = np.ones(len(letter), bool)
+        single[1:] = (letter[1:] != 32) | (letter[:-1] != 32)
+        place = np.flatnonzero(single) - 1
         found: dict[int, tuple[int, float]] = {}
-        except_at = []
-        for end, (kind, n, weight) in machine.iter(f" {fold(text)} "):
-            start = end - n if kind == "stem" else end - n - 1
+        harmless = []
+        for end, (kind, n, weight) in machine.iter(letter[single].tobytes().decode("utf-32-le", "surrogatepass")):
+            start = end - n + 1 if kind == "stem" else end - n
             if kind == "exception":
-                except_at.append((start, start + n))
+                harmless.append((start, start + n))
             elif start not in found or weight > found[start][1]:
                 found[start] = (start + n, weight)
-        return sorted((s, e, w) for s, (e, w) in found.items() if not any(a <= s and e <= b for a, b in except_at))
+        harmless.sort()
+        out, k, reach = [], 0, -1
+        for s, (e, w) in sorted(found.items()):
+            while k < len(harmless) and harmless[k][0] <= s:
+                reach, k = max(reach, harmless[k][1]), k + 1
+            if e > reach:
+                out.append((int(place[s]), int(place[e - 1]) + 1, w))
+        return out
 
     def raw(self, text: str) -> tuple[float, int]:
         return sum(w for _, _, w in self.spans(text)), len(text.split())
@@ -177,15 +192,18 @@ def train(texts: list[str], toxic: list[int]) -> Lexicon:
     y = np.array(toxic, float)
     if not len(y) or not 0 < y.sum() < len(y):
         return Lexicon(intercept=-3.0 if not y.sum() else 3.0)
+    folded = [fold(t).split() for t in texts]
+    a, b = y.sum() + 1, len(y) - y.sum() + 1
+    least = max(MIN_TEXTS, MIN_SHARE * y.sum())
+    harmless = _harmless(folded, toxic, least)
     words: tuple[Counter, Counter] = (Counter(), Counter())
     stems: tuple[Counter, Counter] = (Counter(), Counter())
-    folded = [fold(t).split() for t in texts]
     for ws, t in zip(folded, toxic, strict=True):
         own = set(ws)
+        if not harmless.keys().isdisjoint(own):
+            own = {w for k, w in enumerate(ws) if w not in harmless or not (ws[k - 1 : k] and (ws[k - 1], w) in harmless[w] or ws[k + 1 : k + 2] and (w, ws[k + 1]) in harmless[w])}
         words[t].update(own)
         stems[t].update({w[:n] for w in own for n in STEMS if len(w) > n})
-    a, b = y.sum() + 1, len(y) - y.sum() + 1
-    least = max(MIN_TEXTS, MIN_SHARE * y.sum())
     weigh = lambda c, w: math.log((c[1][w] + 0.5) / a) - math.log((c[0][w] + 0.5) / b)
     # An entry's lead must also be beyond chance, however many words there are.
     sure = lambda c, w: (c[1][w] - a * (c[0][w] + 0.5) / b) / math.sqrt(c[1][w] + 1) > 2.0
@@ -204,6 +222,27 @@ def train(texts: list[str], toxic: list[int]) -> Lexicon:
     return lexicon
 
 
+def _harmless(folded: list[list[str]], toxic: list[int], least: float) -> dict[str, set[tuple[str, str]]]:
+    """For words that enough toxic texts hold: the pairs with a neighbour that toxic texts hold far more seldom than others do."""
+    words, n_toxic = Counter(), sum(toxic)
+    for ws, t in zip(folded, toxic, strict=True):
+        if t:
+            words.update(set(ws))
+    known = {w for w, n in words.items() if n >= least and len(w) > 2}
+    seen: tuple[Counter, Counter] = (Counter(), Counter())
+    for ws, t in zip(folded, toxic, strict=True):
+        if not known.isdisjoint(ws):
+            seen[t].update({(x, z) for x, z in zip(ws, ws[1:], strict=False) if x in known or z in known})
+    ratio = n_toxic / max(1, len(toxic) - n_toxic)
+    out: dict[str, set[tuple[str, str]]] = {}
+    for pair, n in seen[0].items():
+        if n * ratio >= 2 and seen[1][pair] < n * ratio / 4:
+            for w in pair:
+                if w in known:
+                    out.setdefault(w, set()).add(pair)
+    return out
+
+
 def _exceptions(folded: list[list[str]], toxic: list[int], lexicon: Lexicon) -> Iterator[str]:
     """Pairs of an entry and a neighbour that stand in texts not marked toxic, and hardly in others."""
     seen: tuple[Counter, Counter] = (Counter(), Counter())
@@ -230,7 +269,8 @@ def scored(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """A row for each of docs: doc_id, held_out, score (0 to 1), predicted (score >= 0.5), spans (code points) that count.
 
     Null and empty texts score as texts without entries. Null doc_ids count as held out. Repeated rows come as often.
-    The lexicon is bounded by its training sample.
+    Very long texts are read whole; other columns are not looked at. An empty table gives an empty one. The lexicon is
+    bounded by its training sample.
     """
     modest_batches(docs)
     sent = docs.sparkSession.sparkContext.broadcast(lexicon)

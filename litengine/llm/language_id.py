@@ -16,14 +16,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, modest_batches
+from .common import held_out, modest_batches, packed, unpacked
 from .training import sample
 from .words import batches
 
 BUCKETS = 1 << 16
 DIMENSIONS = 16
 SIZES = (3, 4)
-#: Bytes of text whose subwords are in memory at once.
+#: Bytes of text whose subwords are in memory at once; a longer text's are taken piece by piece, none of them lost or added.
 BLOCK = 1 << 18
 #: Labelled rows that training takes at most.
 TRAINING_ROWS = 4000
@@ -36,8 +36,8 @@ UNKNOWN = "und"
 _UPPER, _LOWER = np.uint32(0x9E3779B1), np.uint32(16)
 
 
-def subwords(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all subwords, text by text, and where each text's begin (one more entry than texts)."""
+def _plain(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all texts in lower case, runs of what are no letters as one space, one of these before each text; and where each begins."""
     low = pc.utf8_lower(pc.fill_null(texts, ""))
     offsets = np.frombuffer(low.buffers()[1], np.int32 if pa.types.is_string(low.type) else np.int64)[low.offset : low.offset + len(low) + 1].astype(np.int64)
     raw = low.buffers()[2]
@@ -50,7 +50,21 @@ def subwords(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     keep[offsets[:-1][offsets[:-1] < len(data)]] = True
     # One space between words, and one before the first.
     seen = np.concatenate(([0], np.cumsum(keep)))
-    data, offsets = data[keep].astype(np.uint32), seen[offsets]
+    return data[keep], seen[offsets]
+
+
+def _buckets(data: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of runs of n bytes, and which of the runs are subwords: a space may only be their first or last byte."""
+    m = len(data) - n + 1
+    h = np.zeros(m, np.uint32)
+    for k in range(n):
+        h = h * np.uint32(257) + data[k : k + m]
+    return ((h * _UPPER + np.uint32(n)) >> _LOWER).astype(np.int64), (data[1 : m + 1] != 32) & (data[n - 2 : n - 2 + m] != 32)
+
+
+def subwords(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all subwords, text by text, and where each text's begin (one more entry than texts)."""
+    data, offsets = _plain(texts)
     ids, row = [], np.repeat(np.arange(len(texts)), np.diff(offsets))
     counts = np.zeros(len(texts), np.int64)
     parts = []
@@ -58,19 +72,16 @@ def subwords(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         m = len(data) - n + 1
         if m <= 0:
             continue
-        h = np.zeros(m, np.uint32)
-        for k in range(n):
-            h = h * np.uint32(257) + data[k : k + m]
-        inside = row[:m] == row[n - 1 :]
-        inside &= (data[1 : m + 1] != 32) & (data[n - 2 : n - 2 + m] != 32)
-        ids.append(((h * _UPPER + np.uint32(n)) >> _LOWER)[inside])
+        found, inside = _buckets(data, n)
+        inside &= row[:m] == row[n - 1 :]
+        ids.append(found[inside])
         parts.append(row[:m][inside])
         counts += np.bincount(parts[-1], minlength=len(texts))
     starts = np.concatenate(([0], np.cumsum(counts)))
     if not ids:
         return np.zeros(0, np.int64), starts
     order = np.argsort(np.concatenate(parts), kind="stable")
-    return np.concatenate(ids).astype(np.int64)[order], starts
+    return np.concatenate(ids)[order], starts
 
 
 @dataclass(frozen=True)
@@ -85,19 +96,19 @@ class Model:
 
 
 def _means(table: np.ndarray, texts: pa.Array) -> np.ndarray:
-    """The mean of table's rows over each text's subwords; zeros for a text without any. A long text goes piece by piece."""
+    """The mean of table's rows over each text's subwords; zeros for a text without any."""
     sums, n = np.zeros((len(texts), table.shape[1])), np.zeros(len(texts), np.int64)
     for i, j in batches(texts, BLOCK):
-        part = texts[i:j]
-        if j - i == 1 and len(part[0].as_py()) > BLOCK:
-            whole = part[0].as_py()
-            part = pa.array([whole[k : k + BLOCK] for k in range(0, len(whole), BLOCK)])
-            for piece in part:
-                s, m = _sums(table, pa.array([piece.as_py()]))
-                sums[i : i + 1] += s
-                n[i] += m[0]
+        if j - i == 1 and texts[i].as_buffer() is not None and texts[i].as_buffer().size > BLOCK:
+            data, _ = _plain(texts[i:j])
+            for size in SIZES:
+                # Pieces share what a run over their border needs.
+                for k in range(0, len(data) - size + 1, BLOCK):
+                    found, inside = _buckets(data[k : k + BLOCK + size - 1], size)
+                    sums[i] += table[found[inside]].sum(0, dtype=np.float64)
+                    n[i] += inside.sum()
         else:
-            sums[i:j], n[i:j] = _sums(table, part)
+            sums[i:j], n[i:j] = _sums(table, texts[i:j])
     return sums / np.maximum(n, 1)[:, None]
 
 
@@ -132,7 +143,7 @@ def train(texts: pa.Array, languages: list[str], seed: int = 5) -> Model:
     order = rng.permutation(len(bags))
     kept, used = order[: len(order) // 5], order[len(order) // 5 :]
     weight = 1 / np.maximum(np.bincount(y[used], minlength=len(names)), 1)
-    weight = weight / max(weight[y[used]].mean(), 1e-9)
+    weight = weight / weight[y[used]].mean() if len(used) else weight
     steps, done = EPOCHS * max(1, len(used)), 0
     for _ in range(EPOCHS):
         for k in rng.permutation(used):
@@ -159,10 +170,10 @@ def train(texts: pa.Array, languages: list[str], seed: int = 5) -> Model:
 
 
 def fit(docs: DataFrame, rows: int = TRAINING_ROWS) -> Model:
-    """Learns from text and lang of a bounded sample of the documents outside the held-out fold."""
+    """Learns from text and lang of a bounded sample of the documents outside the held-out fold; each language may take an equal part of it."""
     modest_batches(docs)
     known = docs.where(~held_out()).where("lang is not null and text is not null").select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    got = sample(known, rows)
+    got = sample(known, rows, by="lang")
     return train(got.column("text").combine_chunks(), got.column("lang").to_pylist())
 
 
@@ -190,8 +201,9 @@ def predicted(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """A row for each of docs: doc_id, held_out, lang_pred, score, rejected.
 
     A null text, or one without letters, is `und` with score 0 and rejected. Where no row has a language to learn from,
-    every text is `und`. Null doc_ids count as held out. Rows that repeat come as often. The model has 2^16 rows of one
-    number for each language, whatever the input.
+    every text is `und`. Null doc_ids count as held out. Rows that repeat come as often. Very long texts are read whole.
+    Other columns are not looked at; an empty table gives an empty one. The model has 2^16 rows of one number for each
+    language, whatever the input.
     """
     model = model or fit(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
@@ -201,17 +213,17 @@ def predicted(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """The rows of docs that language ID does not reject, unchanged."""
+    """The rows of docs that language ID does not reject, unchanged, whatever their columns are called."""
     model = model or fit(docs)
     if not model.languages:
         return docs.limit(0)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
+    rows = packed(docs, text=F.col("text").cast("string")).select("row", "text")
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            texts = pc.fill_null(batch.column(at).cast(pa.string()), "")
+            texts = pc.fill_null(batch.column(1), "")
             ok = (sent.value.probabilities(texts).max(1) >= sent.value.threshold) & pc.match_substring_regex(texts, r"\p{L}").to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array(ok))
+            yield batch.select([0]).filter(pa.array(ok))
 
-    return docs.mapInArrow(run, docs.schema)
+    return unpacked(rows.mapInArrow(run, rows.select("row").schema), docs.columns)

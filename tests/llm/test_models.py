@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -94,7 +95,7 @@ def test_toxicity_held_out(spark):
         words, toxic = prose(rng, 60).split(), k % 6 == 0
         for _ in range(4 * toxic):
             words[rng.randrange(60)] = rng.choice(("idiotic", "idiotism", "scumbag", "idiotly"))
-        if k % 90 == 1:  # a phrase that is not toxic
+        if k % 6 == 1:  # a phrase that is not toxic
             words[10:12] = ["scumbag", "museum"]
         rows.append((k, " ".join(words)))
         labels.append((k, int(toxic)))
@@ -106,10 +107,42 @@ def test_toxicity_held_out(spark):
     assert len(wrong) <= 2
     assert "scumbag museum" in lexicon.exceptions
     assert lexicon.score("you are an 1d10tic sсumbаg") > 0.5 > lexicon.score("the scumbag museum is open in 1999!")
+    for between in (", ", "  ", "-", "... \n "):
+        text = f"the Scumbag{between}museum and one scumbag too"
+        assert [(s, text[s:e]) for s, e, _ in lexicon.spans(text)] == [(text.rindex("scumbag"), "scumbag")]
     r = got[0]
     assert all(toxicity.fold(rows[0][1][s.start : s.end]).startswith(("idio", "scum")) for s in r.spans)
 
 
+def brute_toxic(lexicon, text):
+    """Entries by a search for each, on folded text with single spaces; the heaviest of those that begin together; none inside an exception."""
+    plain = re.sub(" +", " ", f" {toxicity.fold(text)} ")
+    at = lambda w: [m.start() + 1 for m in re.finditer(f"(?= {re.escape(w)})", plain)]
+    hits = [(s, len(w), x) for w, x in lexicon.stems.items() for s in at(w)] + [(s, len(w), x) for w, x in lexicon.words.items() for s in at(f"{w} ")]
+    apart = [(s, s + len(w)) for w in lexicon.exceptions for s in at(f"{w} ")]
+    heaviest = {}
+    for s, n, x in hits:
+        if s not in heaviest or x > heaviest[s][1]:
+            heaviest[s] = (n, x)
+    return sorted((plain[s : s + n], x) for s, (n, x) in heaviest.items() if not any(a <= s and s + n <= b for a, b in apart))
+
+
+def test_toxicity_against_a_search_for_each_entry(spark, docs, corpus, nothing):
+    rng = random.Random(8)
+    lexicon = toxicity.Lexicon({"scumbag": 4.0, "bag": 3.5}, {"idio": 5.0, "scum": 3.0}, frozenset({"scumbag museum", "old scumbag", "idiotic joke"}))
+    parts = ("scumbag", "Scumbags", "museum", "idiotic", "1d10t", "joke", "old", "bag", ",", "  ", "- ", "fine", "\n", "é")
+    texts = ["".join(rng.choice(parts) + rng.choice((" ", "", ", ")) for _ in range(rng.randint(0, 30))) for _ in range(300)] + ["scumbag " * 50_000]
+    for t in texts:
+        got = lexicon.spans(t)
+        assert sorted((re.sub(" +", " ", toxicity.fold(t[s:e])), w) for s, e, w in got) == brute_toxic(lexicon, t), t
+    rows = toxicity.scored(clashing(docs), lexicon).collect()
+    assert Counter(r.doc_id for r in rows) == Counter(r[0] for r in corpus)
+    want = {r[0]: lexicon.score(r[1] or "") for r in corpus}
+    assert all(abs(r.score - want[r.doc_id]) < 1e-12 and not r.spans for r in rows)
+    marks = spark.createDataFrame([], "doc_id long, toxic int")
+    assert toxicity.scored(nothing, toxicity.fit(nothing, marks)).count() == 0 and all(0 <= r.score <= 1 for r in toxicity.scored(docs, toxicity.fit(docs, marks)).collect())
+
+
 def test_folding_keeps_length():
     for text in ("1D10T!! 1999 о Trаsh $cum", "ÀÉ straße İ", "", "a\x00b", "𝔘 4ever"):
         assert len(toxicity.fold(text)) == len(text)
@@ -133,6 +166,34 @@ def test_language_held_out(spark, docs, corpus):
     assert language_id.accepted(clashing(docs), model).count() == language_id.accepted(docs, model).count()
 
 
+def brute_means(table, text):
+    """The mean over all runs of three and four bytes of a text's letters, one by one."""
+    raw = bytes(c if 97 <= c <= 122 or c >= 0x80 else 32 for c in text.lower().encode())
+    plain = re.sub(rb"([^ ]) +", rb"\1 ", re.sub(rb"^ +", b" ", raw))
+    rows = []
+    for n in language_id.SIZES:
+        for k in range(len(plain) - n + 1):
+            if 32 not in plain[k + 1 : k + n - 1]:
+                h = 0
+                for c in plain[k : k + n]:
+                    h = (h * 257 + c) % 2**32
+                rows.append(table[((h * 0x9E3779B1 + n) % 2**32) >> 16])
+    return np.sum(rows, 0, dtype=float) / max(1, len(rows)) if rows else np.zeros(table.shape[1])
+
+
+def test_language_means_against_plain_loops(monkeypatch):
+    """Long texts give what short ones do, whatever the pieces."""
+    import pyarrow as pa
+
+    rng = random.Random(1)
+    table = np.random.default_rng(0).normal(size=(language_id.BUCKETS, 3)).astype(np.float32)
+    texts = ["", "a", "ab", "Ab 12 cd", "  été -- ÉTÉ", "ß", "x" * 400, prose(rng, 200), " ".join(prose(rng, 30, "fr") + " 12 " for _ in range(20)), "日本語" * 60]
+    want = np.array([brute_means(table, t) for t in texts])
+    for size in (1 << 18, 64, 7):
+        monkeypatch.setattr(language_id, "BLOCK", size)
+        assert np.allclose(language_id._means(table, pa.array(texts)), want, atol=1e-6)
+
+
 def test_language_without_labels(docs, nothing):
     from pyspark.sql import functions as F
 
@@ -305,9 +366,29 @@ def test_marginals_sum_over_segmentations():
     for t, chosen in paths:
         for k, kind in chosen:
             want[k, kind] += np.exp(t) / whole
-    assert np.allclose(pii._forward(lat, score)[2], want)
+    assert np.allclose(pii.marginals(lat, score), want)
     top = max(paths, key=lambda p: p[0])
-    assert tuple(pii.best(lat, score, [])) == top[1]
+    i, j = zip(*lat.segments, strict=True)
+    best = pii.Best(lat.n)
+    best.feed(list(i), list(j), score)
+    assert [(a, b, kind) for a, b, kind, _ in best.spans()] == [(*lat.segments[k], kind) for k, kind in top[1]]
+
+
+def test_bands_give_what_a_whole_window_does(monkeypatch):
+    """Windows longer than a band are scored piece by piece, with the same result; a megabyte of numbers takes seconds."""
+    rng = random.Random(3)
+    texts = [f"{prose(rng, 8)} {(f'jo.{k}@mail{k % 9}.example.com', f'{k % 250}.{k % 99}.13.9', f'+1 ({200 + k % 700}) 555-{1000 + k}')[k % 3]} {prose(rng, 6)}" for k in range(300)]
+    model = pii.train(texts)
+    numbers = " ".join(str(rng.randrange(10 ** rng.randint(1, 6))) for _ in range(900)) + " jo [at] mail [dot] example.com 212.555.1000 " + "host 10[.]0[.]0[.]7 is up " * 40
+    assert len(pii.windows(numbers)) == 1
+    whole = pii.added_spans(numbers, pii.base_spans(numbers), model)
+    monkeypatch.setattr(pii, "BAND", 64)
+    assert pii.added_spans(numbers, pii.base_spans(numbers), model) == whole and len(whole) > 10
+    monkeypatch.undo()
+    long = " ".join(str(rng.randrange(1000)) for _ in range(260_000))
+    began = time.time()
+    pii.added_spans(long, pii.base_spans(long), model)
+    assert len(long) > 10**6 and time.time() - began < 30
 
 
 # --- op9

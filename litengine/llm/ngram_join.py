@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BITMAP_BITS, key_bitmap, modest_batches, stored, with_bit
@@ -29,7 +29,7 @@ COUNTED = 0.3
 #: Hash classes of the suffix filter; counts of 255 are open upwards.
 CLASSES = 256
 #: Representatives of a block, when those that share a pivot are compared.
-BLOCK = 512
+BLOCK = 256
 
 _LOW = np.int64(-(2**63) + int(COUNTED * 2**64))
 _MASK = (1 << BITMAP_BITS) - 1
@@ -187,7 +187,8 @@ def similar_sets(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
     Columns doc_id and text are read, others ignored. A text without words, an empty or a null one has an empty set,
     which is linked with nothing. Rows with equal texts and other doc_ids are linked; a row that is repeated as it is
-    comes out as often. A row without a doc_id keeps its size and has no component. An empty table gives an empty one.
+    comes out as often. A row without a doc_id keeps its size and has no component. Very long texts are read whole. An
+    empty table gives an empty one.
     """
     modest_batches(docs)
     rule, spark, texts = Rule(n, percent), docs.sparkSession, _texts(docs)
@@ -201,15 +202,12 @@ def similar_sets(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     frequent = one.mapInArrow(_counted(rule), "token long, n int").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
     bits = spark.sparkContext.broadcast(_bits(spark, frequent))
     rows = one.mapInArrow(_prefixes(rule, bits), "token long, doc_id long, n int, pos int, rare int")
-    # Buckets: all of an n-gram's rows with its pivot; n-grams of one representative end here.
-    head = F.struct("rare", "doc_id", "n", "pos")
-    grouped = rows.select("token", "doc_id", "n", "pos", "rare")
-    by = Window.partitionBy("token")
-    buckets = grouped.withColumn("pivot", F.min(head).over(by)).withColumn("last", F.max("doc_id").over(by)).withColumn("first", F.min("doc_id").over(by))
-    buckets = stored(
-        buckets.where("first < last").select("token", "doc_id", "n", "pos", "rare", F.col("pivot.doc_id").alias("p"), F.col("pivot.n").alias("pn"), F.col("pivot.pos").alias("ppos")),
-        "buckets",
-    )
+    # Buckets: all of an n-gram's rows with its pivot; n-grams of one representative end here. The pivot is a minimum that
+    # is combined before the shuffle, and only rows that meet another go on, so that a frequent n-gram is no group of one task.
+    heads = rows.groupBy("token").agg(F.min(F.struct("rare", "doc_id", "n", "pos")).alias("pivot"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    heads = stored(heads.where("first < last").select("token", F.col("pivot.doc_id").alias("p"), F.col("pivot.n").alias("pn"), F.col("pivot.pos").alias("ppos")), "pivots")
+    met = with_bit(rows, F.col("token"), key_bitmap(heads, "token"), "met").where("met").drop("met")
+    buckets = stored(met.join(heads, "token").select("token", "doc_id", "n", "pos", "rare", "p", "pn", "ppos"), "buckets")
     order = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     star = buckets.where("doc_id <> p").where(_fits(rule, F.col("n"), F.col("pn"), F.col("pos"), F.col("ppos")))
     star = stored(star.select(*order(F.col("doc_id"), F.col("p"))).distinct(), "star")

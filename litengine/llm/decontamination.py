@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import modest_batches, stored
+from .common import modest_batches, packed, stored, unpacked
 from .words import batches, fold, split
 
 NGRAM = 3
@@ -26,8 +26,10 @@ BLOCK_CHARS = 4_000_000
 #: Share of an item's best possible alignment score at which a passage counts as a copy of it.
 THRESHOLD = 0.55
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: Items of fewer words are only found as a whole.
+#: Items of fewer words are only found as a whole: a share of their score would be a few common words.
 SHORT = 8
+#: Pairs of an n-gram of a text and a seed that are looked at together, whatever number of items share a seed.
+PAIRS = 1 << 18
 
 
 class Items:
@@ -151,8 +153,25 @@ def _search(block: Items, first, hashes, row, threshold):
     hit = np.flatnonzero(block.probe[(grams >> np.uint64(44)).astype(np.int64)])
     lo, hi = np.searchsorted(block.seed_key, grams[hit], "left"), np.searchsorted(block.seed_key, grams[hit], "right")
     n = np.where(row[hit] == row[np.minimum(hit + NGRAM - 1, len(row) - 1)], hi - lo, 0) if len(hit) else hi - lo
-    if not n.sum():
+    hit, lo, n = hit[n > 0], lo[n > 0], n[n > 0]
+    reach = np.cumsum(n)
+    best: dict[tuple[int, int], tuple] = {}
+    begin = 0
+    while begin < len(hit):
+        stop = max(begin + 1, int(np.searchsorted(reach, (reach[begin - 1] if begin else 0) + PAIRS, "right")))
+        for text, item, score, s, e in _scored(block, first, hashes, row, hit[begin:stop], lo[begin:stop], n[begin:stop], threshold):
+            now = best.get((text, item))
+            if now is None or (-score, s, e) < (-now[0], now[1], now[2]):
+                best[text, item] = (score, s, e)
+        begin = stop
+    if not best:
         return None
+    found = sorted((*k, *v) for k, v in best.items())
+    return tuple(np.array(c) for c in zip(*found, strict=True))
+
+
+def _scored(block: Items, first, hashes, row, hit, lo, n, threshold) -> list[tuple[int, int, float, int, int]]:
+    """Alignments over the threshold around some of a batch's seeds: row, item, score, and its range of words."""
     at = np.repeat(hit, n)
     seed = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     item, text = block.seed_item[seed], row[at]
@@ -190,12 +209,7 @@ def _search(block: Items, first, hashes, row, threshold):
             p = some[q]
             hi_word = int(begin[p] + end[q])
             out.append((int(text[p]), int(item[p]), float(share[q]), int(max(begin[p], hi_word - size[p])), hi_word))
-    if not out:
-        return None
-    out.sort(key=lambda x: (x[0], x[1], -x[2], x[3]))
-    out = [x for k, x in enumerate(out) if k == 0 or x[:2] != out[k - 1][:2]]
-    r, item, score, lo_w, hi_w = (np.array(c) for c in zip(*out, strict=True))
-    return r, item, score, lo_w, hi_w
+    return out
 
 
 def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[tuple[np.ndarray, list[str]]]:
@@ -217,7 +231,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     Documents that hold no item within the threshold have no row. An item of fewer than `SHORT` words has to stand in
     the text word for word; one of fewer than `NGRAM` words is not looked for. Rows without an id, and null or empty
     texts, on either side match nothing; items that share an id count as one with several texts; a repeated document
-    row comes once. Words are cut at ASCII white space and A-Z count as a-z. No benchmark items give an empty table.
+    row comes once. Words are cut at ASCII white space and A-Z count as a-z. Very long texts are read whole, and other
+    columns of docs not looked at. No benchmark items, or no docs, give an empty table.
     """
     modest_batches(docs)
     spark = docs.sparkSession
@@ -244,5 +259,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs less the rows whose doc_id `contaminated` names. Rows without a doc_id stay."""
-    found = stored(contaminated(docs, benchmark, threshold).select(F.col("doc_id").alias("_id")).distinct(), "contaminated")
-    return docs.join(found, docs["doc_id"].cast("long") == F.col("_id"), "left_anti")
+    found = stored(contaminated(docs, benchmark, threshold).select("doc_id").distinct(), "contaminated")
+    return unpacked(packed(docs).join(found, "doc_id", "left_anti"), docs.columns)

@@ -204,7 +204,8 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     """A row for each of docs: doc_id, held_out, score (0 to 1), predicted (score >= `GOOD`).
 
     Null texts score as empty ones, by the bins of a text without words. Null doc_ids count as held out. Repeated rows
-    come as often. The model is a table of fixed size.
+    come as often. Very long texts are read whole; other columns are not looked at. An empty table gives an empty one.
+    The model is a table of fixed size.
     """
     modest_batches(docs)
     sent = docs.sparkSession.sparkContext.broadcast(model)

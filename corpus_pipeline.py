@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litengine.llm import decontamination, language_id, line_dedup, mixing, ngram_join
-from litengine.llm.common import documents, stored
+from litengine.llm.common import documents, packed, stored, unpacked
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,17 +22,18 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated and nearly repeated lines go, the earliest stay. Documents left without any characters go, n_chars follows the text."""
-    kept = line_dedup.without_repeated_lines(docs, min_words=1)
-    if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return kept.where("trim(text) <> ''").select(docs.columns)
+    kept = line_dedup.without_repeated_lines(docs).where("trim(text) <> ''")
+    if "n_chars" not in docs.columns:
+        return kept
+    size = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return unpacked(kept.select(F.struct("*").withField("n_chars", size).alias("row")), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one with the least doc_id. Rows without a doc_id stay."""
-    groups = ngram_join.similar_sets(docs).select(F.col("doc_id").alias("_id"), "component_id")
-    gone = stored(groups.where("_id <> component_id").select("_id").distinct(), "near-duplicates")
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_id"), "left_anti")
+    groups = ngram_join.similar_sets(docs).where("doc_id <> component_id")
+    gone = stored(groups.select("doc_id").distinct(), "near-duplicates")
+    return unpacked(packed(docs).join(gone, "doc_id", "left_anti"), docs.columns)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +54,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("mixing", mixture),
 ]
 
-#: SQL can't express the language model, so the stages are tested against brute force.
+#: SQL can't express the language model, so tests/llm/test_pipeline.py tests the stages against plain Python.
 ORACLE_SQL = None
 
 

@@ -61,14 +61,13 @@ def _scaled(rows: DataFrame, by: str | None, have: str, x: str, goal: str, order
 
     The number: in the order of have / x, the rows before a row are full, and the rest share what is left of the goal.
     """
-    group = [F.col(by)] if by else [F.lit(0)]
-    up = Window.partitionBy(*group).orderBy(F.col("_r").asc_nulls_last(), *order)
-    down = Window.partitionBy(*group).orderBy(F.col("_r").desc_nulls_first(), *(F.desc(c) for c in order))
+    by_need = Window.partitionBy(F.col(by) if by else F.lit(0)).orderBy(F.col("_r").asc_nulls_last(), *order)
+    before, whole = by_need.rowsBetween(Window.unboundedPreceding, -1), by_need.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = rows.withColumn("_r", F.when(F.col(x) > 0, F.col(have) / F.col(x)))
-    full = F.coalesce(F.sum(have).over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    rest = F.sum(x).over(down.rowsBetween(Window.unboundedPreceding, 0))
+    full = F.coalesce(F.sum(have).over(before), F.lit(0.0))
+    rest = F.greatest(F.col(x), F.sum(x).over(whole) - F.coalesce(F.sum(x).over(before), F.lit(0.0)))
     rows = rows.withColumn("_l", F.try_divide(F.col(goal) - full, rest))
-    rows = rows.withColumn("_l", F.max(F.when(F.col("_l") <= F.col("_r"), F.col("_l"))).over(Window.partitionBy(*group)))
+    rows = rows.withColumn("_l", F.max(F.when(F.col("_l") <= F.col("_r"), F.col("_l"))).over(whole))
     return rows.withColumn(x, F.when(F.col(x) > 0, F.coalesce(F.least(have, F.col("_l") * F.col(x)), have)).otherwise(0.0)).drop("_r", "_l")
 
 
@@ -139,9 +138,9 @@ def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, b
 def _sql_scaled(by: str | None, have: str, x: str, goal: str, order: str, source: str) -> str:
     """`_scaled` as a SELECT."""
     group = by or "0"
-    back = ", ".join(f"{c} DESC" for c in order.split(", "))
-    full = f"coalesce(sum({have}) OVER (PARTITION BY {group} ORDER BY r NULLS LAST, {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
-    rest = f"sum({x}) OVER (PARTITION BY {group} ORDER BY r DESC NULLS FIRST, {back} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    before = f"OVER (PARTITION BY {group} ORDER BY r NULLS LAST, {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    full = f"coalesce(sum({have}) {before}, 0)"
+    rest = f"greatest({x}, sum({x}) OVER (PARTITION BY {group}) - coalesce(sum({x}) {before}, 0))"
     return (
         f"SELECT * EXCLUDE (r, l, m) REPLACE (CASE WHEN {x} > 0 THEN coalesce(CASE WHEN m IS NULL THEN NULL ELSE least({have}, m * {x}) END, {have}) ELSE 0 END AS {x})"
         f" FROM (SELECT *, max(CASE WHEN l <= r THEN l END) OVER (PARTITION BY {group}) AS m FROM (SELECT *, ({goal} - {full}) / nullif({rest}, 0) AS l FROM"

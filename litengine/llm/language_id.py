@@ -131,23 +131,29 @@ def train(texts: pa.Array, languages: list[str], seed: int = 5) -> Model:
     """Each language weighs the same, however many texts it has. One text in five only calibrates."""
     names = tuple(sorted(set(languages)))
     y = np.array([names.index(x) for x in languages], np.int64)
-    bags = []
+    # Distinct buckets of each text and their shares, end to end: few large arrays, which leave nothing behind.
+    buckets, shares, sizes = [], [], [0]
     for i, j in batches(texts, BLOCK):
         ids, starts = subwords(texts[i:j])
         for a, b in zip(starts[:-1], starts[1:], strict=True):
-            u, n = np.unique(ids[a:b], return_counts=True)
-            bags.append((u, (n / max(1, b - a)).astype(np.float32)))
+            u, n = np.unique(ids[a:b].astype(np.uint16), return_counts=True)
+            buckets.append(u)
+            shares.append((n / max(1, b - a)).astype(np.float32))
+            sizes.append(len(u))
+    ends = np.cumsum(sizes)
+    buckets, shares = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((buckets, np.uint16), (shares, np.float32)))
+    bag = lambda k: (buckets[ends[k] : ends[k + 1]], shares[ends[k] : ends[k + 1]])
     rng = np.random.default_rng(seed)
     table = rng.normal(0, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS)).astype(np.float32)
     out = np.zeros((DIMENSIONS, len(names)), np.float32)
-    order = rng.permutation(len(bags))
+    order = rng.permutation(len(texts))
     kept, used = order[: len(order) // 5], order[len(order) // 5 :]
     weight = 1 / np.maximum(np.bincount(y[used], minlength=len(names)), 1)
     weight = weight / weight[y[used]].mean() if len(used) else weight
     steps, done = EPOCHS * max(1, len(used)), 0
     for _ in range(EPOCHS):
         for k in rng.permutation(used):
-            u, n = bags[k]
+            u, n = bag(k)
             mean = n @ table[u]
             p = _softmax((mean @ out)[None])[0]
             p[y[k]] -= 1
@@ -158,7 +164,7 @@ def train(texts: pa.Array, languages: list[str], seed: int = 5) -> Model:
             done += 1
     scores = (table @ out).astype(np.float32)
     kept = kept if len(kept) else used
-    logits = np.array([bags[k][1] @ scores[bags[k][0]] for k in kept]).reshape(len(kept), len(names))
+    logits = np.array([n @ scores[u] for u, n in map(bag, kept)]).reshape(len(kept), len(names))
     grid = np.geomspace(0.05, 20, 61)
     loss = [-np.log(np.maximum(_softmax(logits / t)[np.arange(len(kept)), y[kept]], 1e-12)).mean() for t in grid] if len(kept) else [0.0]
     t = float(grid[int(np.argmin(loss))])

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Dashes that count as a hyphen, and prefixes, markers and units of the library's records.
 DASHES = "‐‑‒–—−"
-METADATA_MARKERS = ("doi", "issn", "copyright", "received", "accepted")
+METADATA_PREFIXES = ("- backend:", "backend:")
+METADATA_MARKERS = ("backend:", "page_count:", "pages_with_text:", "headings_detected:", "sections_detected:")
 NAMESPACE_URL = "6ba7b8119dad11d180b400c04fd430c8"
 
 
@@ -38,9 +41,9 @@ def build_index_text(*parts: Column) -> Column:
 
 
 def infer_language(x: Column) -> Column:
-    """STR6: zh, en, mixed or und, by which of CJK and Latin letters occur."""
-    cjk, latin = x.rlike(r"[\x{4e00}-\x{9fff}]"), x.rlike("[A-Za-z]")
-    return F.when(cjk & latin, "mixed").when(cjk, "zh").when(latin, "en").otherwise("und")
+    """STR6: zh, en, mixed or und, by which of CJK (from U+3400 on) and Latin letters occur; null for a null or blank text."""
+    cjk, latin = x.rlike(r"[\x{3400}-\x{9fff}]"), x.rlike("[A-Za-z]")
+    return F.when(x.rlike(r"[^\s\x00]"), F.when(cjk & latin, "mixed").when(cjk, "zh").when(latin, "en").otherwise("und"))
 
 
 def html_to_text(x: Column) -> Column:
@@ -145,8 +148,11 @@ def hash_tokens(x: Column) -> Column:
 
 
 def token_set(x: Column) -> Column:
-    """STR25: distinct lower-case tokens of two or more letters and digits, and CJK runs."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(x), F.lit(r"([a-z0-9]{2,}|[\x{4e00}-\x{9fff}]+)"), 1))
+    """STR25: distinct lower-case tokens of two or more letters and digits, CJK runs of two or more, and the pairs in runs of four or more."""
+    low = F.lower(x)
+    long = F.regexp_extract_all(low, F.lit(r"([\x{4e00}-\x{9fff}]{4,})"), 1)
+    pairs = F.flatten(F.transform(long, lambda run: F.transform(F.sequence(F.lit(1), F.length(run) - 1), lambda i: F.substring(run, i, F.lit(2)))))
+    return F.array_distinct(F.concat(F.regexp_extract_all(low, F.lit(r"([a-z0-9]{2,}|[\x{4e00}-\x{9fff}]{2,})"), 1), pairs))
 
 
 def char_ngrams(x: Column, n: int = 3) -> Column:
@@ -180,8 +186,8 @@ def normalize_quote(x: Column) -> Column:
 
 
 def normalize_fingerprint(x: Column) -> Column:
-    """STR30: letters and digits of the lower-case text."""
-    return F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}]+", "")
+    """STR30: ASCII letters, digits and CJK characters of the lower-case text, anything else between them as one space."""
+    return F.trim(F.regexp_replace(F.lower(x), r"[^a-z0-9\x{4e00}-\x{9fff}]+", " "))
 
 
 def selected_text_hash(x: Column) -> Column:
@@ -211,10 +217,10 @@ def is_front_matter(x: Column) -> Column:
 
 
 def is_metadata(x: Column) -> Column:
-    """STR35: a text that begins with `metadata:`, or holds three of five bibliographic marks."""
-    low = F.lower(x)
+    """STR35: a text that begins with one of the prefixes, or holds three of the marks."""
+    low = F.lower(F.trim(F.regexp_replace(x, r"\s+", " ")))
     marks = sum((F.contains(low, F.lit(m)).cast("int") for m in METADATA_MARKERS), F.lit(0))
-    return F.startswith(low, F.lit("metadata:")) | (marks >= 3)
+    return reduce(lambda a, b: a | b, [F.startswith(low, F.lit(p)) for p in METADATA_PREFIXES]) | (marks >= 3)
 
 
 def locator_contract(x: Column, page: Column, path: Column) -> Column:

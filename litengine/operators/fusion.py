@@ -87,10 +87,21 @@ def grouped_text_score(text: Column, phrase: str, terms: Sequence[str], scale: f
     return F.round((4.0 * F.contains(low, F.lit(phrase.lower())).cast("double") + 1.2 * words) * scale, 6)
 
 
-def section_adjustment(section: Column) -> Column:
-    """RET25: what a section adds when a query asks how something works."""
-    low = F.lower(section)
-    return F.when(low.rlike("method|approach|model"), 1.0).when(low.rlike("intro"), 0.25).when(low.rlike("reference|appendix|acknowledg"), -0.55).when(T.is_front_matter(section), -0.15).otherwise(0.0)
+# What a section's heading holds, and what that adds to a passage's score.
+SECTION_WEIGHTS = (
+    (("method", "approach", "architecture", "training details", "residual blocks"), 1.0),
+    (("introduction",), 0.25),
+    (("conclusion", "challenge", "benchmark", "result", "ntire"), -0.55),
+    (("front matter", "标题 / 摘要页"), -0.15),
+)
+
+
+def section_adjustment(section: Column, mechanism: Column) -> Column:
+    """RET25: what a passage's section adds where a query asks how something works; nothing for other queries."""
+    low, out = F.lower(F.coalesce(section, F.lit(""))), F.lit(0.0)
+    for words, weight in reversed(SECTION_WEIGHTS):
+        out = F.when(low.rlike("|".join(words)), weight).otherwise(out)
+    return F.when(mechanism, out).otherwise(0.0)
 
 
 def tier(score: Column, section: Column) -> Column:

@@ -33,41 +33,52 @@ def tokens(x: Column) -> Column:
 
 
 def postings(rows: DataFrame, key: str, columns: Sequence[str] = tuple(WEIGHTS)) -> DataFrame:
-    """SNK2: key, field, pos, token of every word of every column; null columns have none."""
-    fields = F.array(*[F.struct(F.lit(c).alias("field"), tokens(F.coalesce(C(c), F.lit(""))).alias("words")) for c in columns])
-    out = rows.select(key, F.explode(fields).alias("f"))
-    return out.select(key, C("f.field").alias("field"), F.posexplode("f.words").alias("pos", "token"))
+    """SNK2: key, field, pos, token of every word of every column, first (is it the row's first one of that token?) and words
+    (of the row, over all columns); null columns have none. An expression of the row: nothing is shuffled."""
+    fields = [(c, tokens(F.coalesce(C(c), F.lit("")))) for c in columns]
+    every = rows.select(key, F.concat(*[w for _, w in fields]).alias("all"), *[w.alias(f"_{c}") for c, w in fields])
+    entry = lambda c: F.transform(f"_{c}", lambda t, i: F.struct(F.lit(c).alias("field"), i.alias("pos"), t.alias("token")))
+    firsts = F.transform("all", lambda t, i: F.array_position(C("all"), t) == i + 1)
+    out = every.select(key, F.size("all").alias("words"), F.concat(*map(entry, columns)).alias("e"), firsts.alias("f"))
+    out = out.select(key, "words", F.explode(F.arrays_zip("e", "f")).alias("x"))
+    return out.select(key, "x.e.field", "x.e.pos", "x.e.token", C("x.f").alias("first"), "words")
 
 
-def lengths(rows: DataFrame, key: str, columns: Sequence[str] = tuple(WEIGHTS)) -> DataFrame:
-    """Words of each row over all columns: an expression of the row, no shuffle."""
-    return rows.select(key, sum((F.size(tokens(F.coalesce(C(c), F.lit("")))) for c in columns), F.lit(0)).alias("words"))
+def terms(posted: DataFrame) -> DataFrame:
+    """What the index holds of each token: n occurrences, in df rows; one sum, combined before the shuffle."""
+    return posted.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count_if("first").alias("df"))
+
+
+def index_tables(rows: DataFrame, key: str) -> dict[str, DataFrame]:
+    """SNK2, GEN1: the tables of an index generation. Postings are ranged by token and row, so that a filter of tokens reads
+    few row groups and a frequent token is many files' rows."""
+    posted = postings(rows, key).repartitionByRange("token", key).sortWithinPartitions("token", key)
+    return {"rows": rows, "postings": posted}
 
 
 def occurrences(posted: DataFrame, key: str, phrases: Sequence[str]) -> DataFrame:
-    """How often each phrase stands in each column of a row, overlapping ones counted: phrase, key, field, n.
+    """How often each phrase stands in each column of a row, overlapping ones counted: phrase, key, field, words, n.
 
-    Only postings of the phrases' words are read on; a phrase's words meet where they begin at the same place.
+    Only postings of the phrases' words are read on (a filter that the scan of a stored index takes); a phrase's words meet where they begin at the same place.
     """
     spark = posted.sparkSession
     parts = [(p, k, w, len(p.split())) for p in phrases for k, w in enumerate(p.split())]
     asked = spark.createDataFrame(parts or [("", 0, "", 0)], "phrase string, offset int, token string, size int")
-    met = posted.where(C("token").isin([p[2] for p in parts])).join(F.broadcast(asked), "token")
-    whole = met.groupBy("phrase", key, "field", (C("pos") - C("offset")).alias("at"), "size").agg(F.count(F.lit(1)).alias("m")).where("m = size")
-    return whole.groupBy("phrase", key, "field").agg(F.count(F.lit(1)).alias("n"))
+    met = posted.where(C("token").isin(sorted({p[2] for p in parts}))).join(F.broadcast(asked), "token")
+    whole = met.groupBy("phrase", key, "field", "words", (C("pos") - C("offset")).alias("at"), "size").agg(F.count(F.lit(1)).alias("m")).where("m = size")
+    return whole.groupBy("phrase", key, "field", "words").agg(F.count(F.lit(1)).alias("n"))
 
 
 def bm25(rows: DataFrame, posted: DataFrame, key: str, phrases: Sequence[str], every: bool) -> DataFrame:
     """RET7: key, bm25 of rows that hold all (or any) of the phrases. Document frequencies are over the whole index."""
     found = occurrences(posted, key, phrases)
     weight = F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv])
-    f = found.groupBy("phrase", key).agg(F.sum(C("n") * weight[C("field")]).alias("f"))
+    f = found.groupBy("phrase", key, "words").agg(F.sum(C("n") * weight[C("field")]).alias("f"))
     df = f.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
-    size = lengths(rows, key)
-    n, total = size.agg(F.count(F.lit(1)), F.sum("words")).first()
-    total = total or 1
+    # Both counts come from the footers of a stored index.
+    n, total = rows.count(), posted.count() or 1
     idf = F.log((F.lit(n) - C("df") + 0.5) / (C("df") + 0.5))
-    scored = f.join(df, "phrase").join(size, key).withColumn("idf", F.when(idf <= 0, FLOOR).otherwise(idf))
+    scored = f.join(df, "phrase").withColumn("idf", F.when(idf <= 0, FLOOR).otherwise(idf))
     part = C("idf") * C("f") * (K1 + 1) / (C("f") + K1 * (1 - B + B * C("words") / F.lit(total / max(1, n))))
     out = scored.groupBy(key).agg(F.sum(part).alias("bm25"), F.count(F.lit(1)).alias("_m"))
     return out.where(C("_m") >= (len(set(phrases)) if every else 1)).select(key, F.greatest(F.lit(0.0), "bm25").alias("bm25"))
@@ -84,8 +95,7 @@ def trigram(rows: DataFrame, key: str, columns: Sequence[str], terms: Sequence[s
 def fused(channels: Sequence[DataFrame], key: str) -> DataFrame:
     """RET8: the best channel's score and a tenth of the others'."""
     every = reduce(DataFrame.unionByName, [c.select(key, "bm25") for c in channels])
-    s = F.sort_array(F.collect_list("bm25"), False)
-    return every.groupBy(key).agg((F.element_at(s, 1) + 0.1 * F.aggregate(F.slice(s, 2, 100), F.lit(0.0), lambda a, x: a + x)).alias("bm25"))
+    return every.groupBy(key).agg((F.max("bm25") + 0.1 * (F.sum("bm25") - F.max("bm25"))).alias("bm25"))
 
 
 def signals(df: DataFrame, plan: QueryPlan) -> DataFrame:
@@ -152,9 +162,11 @@ def retrieved(rows: DataFrame, posted: DataFrame, key: str, plan: QueryPlan, lim
         norm = F.concat(F.lit(" "), normalize_for_search(C("text")), F.lit(" "))
         channels.append(rows.where(F.contains(norm, F.lit(f" {plan.normal} "))).select(key, F.lit(0.25).alias("bm25")))
     best = [c.orderBy(F.desc(F.round("bm25", 9)), key).limit(pool(offset, limit)) for c in channels]
-    # Scores that differ by less than a millionth are ties, which ids break.
-    found = scored(signals(rows.join(fused(best, key), key), plan)).withColumn("score", F.round("score", 6))
-    found = found.withColumn("base_rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("score"), key)))
+    # Sums are compared to nine digits. Equal scores go by BM25, by the place among the candidates, and by id.
+    near = lambda c: F.desc(F.round(c, 9))
+    first = fused(best, key)
+    first = first.withColumn("base_rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(near("bm25"), key)))
+    found = scored(signals(rows.join(first, key), plan))
     if coverage:
         return diversified(found.select(key, "document_id", "source_type", "score", "bm25", "base_rank"), "document_id", "source_type", "score", key).orderBy("rank").offset(offset).limit(limit)
-    return found.orderBy("base_rank").offset(offset).limit(limit)
+    return found.orderBy(near("score"), near("bm25"), "base_rank", key).offset(offset).limit(limit)

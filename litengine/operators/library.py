@@ -99,10 +99,21 @@ def objects_grouped(df: DataFrame, group: str, label: str, rank: Column) -> Data
     return df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.array_join(names, ",").alias("names"))
 
 
+# What a section's label holds, and what that adds to a match.
+SECTION_PRIORITY = ((("proposed", "method", "approach"), 1.5), (("experiment", "evaluation", "metric", "training"), 0.8), (("front matter", "abstract"), -0.4))
+
+
 def match_strength(spec: DataFrame, chunks: DataFrame, key: str) -> DataFrame:
-    """RET40: an object's best alias in each chunk: 5 in the heading, 2.2 in the text's first 200 characters, else 1.6."""
+    """RET40: an object's best alias in each chunk: 5 for the text, 2.2 for the heading and 1.6 for the title that hold it, and what the section adds.
+
+    A specification has few objects and aliases; chunks of a document meet those of its key.
+    """
     both = chunks.join(spec.select(key, "object", F.explode("aliases").alias("alias")), key)
-    low = F.lower("alias")
-    points = F.when(F.contains(F.lower("heading"), low), 5.0).when(F.contains(F.lower(F.substring("text", 1, 200)), low), 2.2).when(F.contains(F.lower("text"), low), 1.6)
-    found = both.withColumn("points", points).where("points is not null")
+    low = lambda c: F.lower(F.coalesce(C(c), F.lit("")))
+    parts = [F.when(F.contains(low(c), low("alias")), w).otherwise(0.0) for c, w in (("text", 5.0), ("heading", 2.2), ("title", 1.6))]
+    points = reduce(lambda a, b: a + b, parts)
+    added = F.lit(0.0)
+    for words, weight in reversed(SECTION_PRIORITY):
+        added = F.when(low("section").rlike("|".join(words)), weight).otherwise(added)
+    found = both.where(C("alias") != "").withColumn("points", points).where("points > 0").withColumn("points", F.round(C("points") + added, 6))
     return found.groupBy("object", "chunk_id").agg(F.max("points").alias("points"), F.min_by("alias", F.struct(-C("points"), "alias")).alias("alias"))

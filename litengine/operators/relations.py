@@ -132,9 +132,8 @@ def touching(edges: DataFrame, ends: Sequence[tuple[tuple[str, str], str]], ids:
 
 def same_identity(a: DataFrame, b: DataFrame, columns: Sequence[str], ident: str) -> DataFrame:
     """Rows of a with the least id of b that has the same columns, nulls counting as equal."""
-    b = b.select(*(C(c).alias(f"_{c}") for c in columns), C(ident).alias("existing"))
-    joined = a.join(b, reduce(and_, [a[c].eqNullSafe(b[f"_{c}"]) for c in columns]), "left")
-    return joined.groupBy(*a.columns).agg(F.min("existing").alias("existing"))
+    b = b.groupBy(*(C(c).alias(f"_{c}") for c in columns)).agg(F.min(ident).alias("existing"))
+    return a.join(b, reduce(and_, [a[c].eqNullSafe(b[f"_{c}"]) for c in columns]), "left").select(*(a[c] for c in a.columns), "existing")
 
 
 # --- counts
@@ -191,8 +190,14 @@ def merged_candidates(df: DataFrame, key: str, order: str, lists: Sequence[str],
 
 
 def content_hash(df: DataFrame, by: Sequence[str], entry: Column) -> DataFrame:
-    """AGG21: a hash over sorted entries."""
-    return df.groupBy(*by).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(entry)), "\n"), 256).alias("hash"))
+    """AGG21: a hash of a group's entries in whatever order: of their number and the sums of four pieces of each one's own hash.
+
+    Sums are combined before the shuffle, so a group of any size is a few numbers.
+    """
+    own = df.select(*by, F.sha2(entry, 256).alias("_h"))
+    piece = lambda k: F.sum(F.conv(F.substring("_h", 15 * k + 1, 15), 16, 10).cast("decimal(20,0)")).cast("decimal(38,0)").cast("string")
+    sums = [F.coalesce(piece(k), F.lit("0")) for k in range(4)]
+    return own.groupBy(*by).agg(F.sha2(F.concat_ws("|", F.count(F.lit(1)).cast("string"), *sums), 256).alias("hash"))
 
 
 def top_values(df: DataFrame, value: str, order: str, k: int) -> DataFrame:

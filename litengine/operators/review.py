@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import relations as R
 
 C = F.col
 
@@ -34,15 +35,26 @@ def in_order(df: DataFrame, ids: Sequence[int], key: str) -> DataFrame:
     return asked.join(df, key).orderBy("position")
 
 
-def locator_strategy(annotation: Column, bbox: Column, selected: Column, page: Column) -> Column:
-    """EVD6: the most exact way to a fragment's place, with how sure it is."""
-    return F.when(annotation.isNotNull(), "annotation:1.0").when(bbox.isNotNull() & page.isNotNull(), "bbox:0.9").when(selected.isNotNull() & page.isNotNull(), "text_on_page:0.7").when(page.isNotNull(), "page:0.5").otherwise("none:0.0")
+def locator_strategy(annotation: Column, note: Column, bbox: Column, selected: Column, page: Column, attachment: Column) -> Column:
+    """EVD6: the most exact way to a fragment's place, with how sure it is; a box, a selection or a page needs the attachment for full weight."""
+    here = lambda c: c.isNotNull() & attachment.isNotNull()
+    ladder = ((annotation.isNotNull(), "annotation:1.0"), (note.isNotNull(), "note:1.0"), (here(bbox), "bbox:0.98"), (here(selected), "text:0.85"), (here(page), "page:0.65"), (page.isNotNull(), "page:0.2"), (selected.isNotNull(), "text:0.1"))
+    return F.coalesce(*[F.when(c, F.lit(way)) for c, way in ladder], F.lit("page:0.0"))
 
 
-def evidence_jsonl(df: DataFrame, order: Sequence[Column], fields: Sequence[str]) -> DataFrame:
-    """EXP1, EXP3: a JSON line for each record, with ids E001, E002, ...; keys sorted."""
-    ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)))
-    number = F.concat(F.lit("E"), F.lpad(C("rank").cast("string"), 3, "0"))
+def evidence_jsonl(df: DataFrame, by: str, then: Sequence[Column], fields: Sequence[str], parts: int = 64) -> DataFrame:
+    """EXP1, EXP3: a JSON line for each record, with ids E001, E002, ... by falling `by` and then; keys sorted.
+
+    Ranks are counted within ranges of `by`, whose bounds are its quantiles, and moved on by the counts of the ranges before.
+    """
+    bounds = sorted({b for b in df.approxQuantile(by, [k / parts for k in range(1, parts)], 0.5 / parts)}, reverse=True)
+    part = F.coalesce(*[F.when(C(by) > b, F.lit(k)) for k, b in enumerate(bounds)], F.lit(len(bounds)))
+    rows = df.withColumn("_part", part)
+    sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(1)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    local = F.row_number().over(Window.partitionBy("_part").orderBy(F.desc(by), *then))
+    ranked = rows.withColumn("_local", local).join(before, "_part").withColumn("rank", C("_before") + C("_local"))
+    number = F.concat(F.lit("E"), F.when(C("rank") < 1000, F.lpad(C("rank").cast("string"), 3, "0")).otherwise(C("rank").cast("string")))
     names = sorted([*fields, "evidence_id"])
     return ranked.select("rank", F.to_json(F.struct(*[(number if n == "evidence_id" else C(n)).alias(n) for n in names])).alias("line"))
 
@@ -54,8 +66,8 @@ def evidence_markdown(df: DataFrame, group: str, title: str, text: str, order: s
 
 
 def export_fingerprint(df: DataFrame, entry: Column, options: str) -> DataFrame:
-    """EXP4: a hash over the options and the sorted entries."""
-    return df.agg(F.sha2(F.concat(F.lit(options + "\n"), F.array_join(F.array_sort(F.collect_list(entry)), "\n")), 256).alias("fingerprint"))
+    """EXP4: a hash over the options and all entries, in whatever order they come."""
+    return R.content_hash(df, [], F.concat(F.lit(options + "|"), entry)).select(C("hash").alias("fingerprint"))
 
 
 # --- alignment
@@ -79,12 +91,28 @@ def fuzzy(pairs: DataFrame, left: str, right: str) -> DataFrame:
     return pairs.mapInPandas(run, f"{fields}, ratio double")
 
 
-def exact_matches(notes: DataFrame, chunks: DataFrame, key: str, selected: str, text: str) -> DataFrame:
-    """ALN1, J11, J22: notes joined to chunks of their document that hold the selection: 1.0 for an equal text, 0.96 for a part."""
-    # Normal forms are made once for each side, before the join multiplies rows.
-    left, right = notes.withColumn("_a", T.normalize_match_text(C(selected))), chunks.withColumn("_b", T.normalize_match_text(C(text)))
-    both = left.join(right, key).withColumn("match", F.when(C("_a") == C("_b"), 1.0).when((C("_a") != "") & F.contains("_b", "_a"), 0.96))
-    return both.where(C("match").isNotNull()).drop("_a", "_b")
+def exact_matches(notes: DataFrame, chunks: DataFrame, note: str, selected: str, text: str, scope: Sequence[str] = ()) -> DataFrame:
+    """ALN1, J11: notes with the chunks that hold their selection: note, the chunk's other columns, match (1.0 for an equal text, 0.96 for a part).
+
+    Candidates share the longest run of three words inside the selection, by its hash (and the columns of scope, such as a document); a
+    selection of fewer than five words is looked for as whole words. Normal forms are made once for each side.
+    """
+    norm = lambda c: T.normalize_match_text(F.coalesce(C(c), F.lit("")))
+    runs = lambda words, first, last, n: F.transform(F.sequence(first, last - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))
+    left = notes.select(note, *scope, norm(selected).alias("_a")).where("_a <> ''").withColumn("_w", F.split("_a", " ")).withColumn("_k", F.size("_w"))
+    inner = F.when(C("_k") >= 5, runs(C("_w"), F.lit(2), C("_k") - 1, F.lit(3))).otherwise(runs(C("_w"), F.lit(1), C("_k"), F.least(C("_k"), F.lit(3))))
+    longest = F.element_at(F.array_sort(inner, lambda x, y: (F.length(x) - F.length(y)).cast("int")), -1)
+    left = left.select(note, *scope, "_a", "_k", longest.alias("_run"), F.size(F.split(longest, " ")).alias("_size"))
+    sizes = [r[0] for r in left.select("_size").distinct().collect()]  # at most 1, 2 and 3
+    right = chunks.withColumn("_b", norm(text)).withColumn("_bw", F.split("_b", " "))
+    some = [F.when(F.size("_bw") >= n, runs(C("_bw"), F.lit(1), F.size("_bw"), F.lit(n))).otherwise(F.array().cast("array<string>")) for n in sizes]
+    keys = F.array_distinct(F.transform(F.concat(F.array().cast("array<string>"), *some), lambda run: F.xxhash64(run)))
+    right = right.withColumn("_key", F.explode(keys)).drop("_bw", text)
+    both = left.withColumn("_key", F.xxhash64("_run")).join(right, ["_key", *scope])
+    whole = lambda c: F.concat(F.lit(" "), C(c), F.lit(" "))
+    held = F.when(C("_k") >= 5, F.contains("_b", "_a")).otherwise(F.contains(whole("_b"), whole("_a")))
+    both = both.withColumn("match", F.when(C("_a") == C("_b"), 1.0).when(held, 0.96)).where("match is not null")
+    return both.drop("_a", "_b", "_k", "_run", "_size", "_key")
 
 
 def ranked_matches(df: DataFrame, note: str, chunk: str, score: Column, most: int = 5) -> DataFrame:
@@ -93,10 +121,23 @@ def ranked_matches(df: DataFrame, note: str, chunk: str, score: Column, most: in
 
 
 def annotation_score(chunk: Column, annotation: Column, chunk_page: Column, page: Column) -> Column:
-    """ALN4: 1 for equal texts, 0.9 where one holds the other, else token overlap, less on another page."""
-    a, b = T.normalize_annotation(chunk), T.normalize_annotation(annotation)
-    base = F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).when(F.contains(a, b) | F.contains(b, a), 0.9).otherwise(0.8 * T.overlap(T.token_set(chunk), T.token_set(annotation)))
-    return F.round(base * F.when(chunk_page.isNull() | page.isNull() | (chunk_page == page), 1.0).when(F.abs(chunk_page - page) == 1, 0.8).otherwise(0.5), 6)
+    """ALN4: how well an annotation fits a chunk: score, method and confidence.
+
+    1.0 (or 0.95 off the page) for a text that is the chunk's or stands in it; 0.85 on the page with an overlap of 0.65 of
+    the smaller set of words, 0.75 anywhere with 0.8; 0.35 for the page alone.
+    """
+    norm = lambda x: F.trim(F.regexp_replace(F.lower(F.coalesce(x, F.lit(""))), r"[^a-z0-9\x{4e00}-\x{9fff}]+", " "))
+    a, b = norm(chunk), norm(annotation)
+    both = (a != "") & (b != "")
+    same = F.coalesce((chunk_page == page) & (page != 0), F.lit(False))
+    share = T.overlap(F.array_distinct(F.split(a, " ")), F.array_distinct(F.split(b, " ")))
+    graded = lambda score, method, sure: F.struct(F.lit(score).alias("score"), F.lit(method).alias("method"), F.lit(sure).alias("confidence"))
+    return (
+        F.when(both & (a == b) & same, graded(1.0, "text_exact", "high")).when(both & (a == b), graded(0.95, "text_exact", "high"))
+        .when(both & F.contains(a, b) & same, graded(1.0, "text_contains", "high")).when(both & F.contains(a, b), graded(0.95, "text_contains", "high"))
+        .when(both & same & (share >= 0.65), graded(0.85, "normalized_overlap", "medium")).when(both & (share >= 0.8), graded(0.75, "normalized_overlap", "medium"))
+        .when(same, graded(0.35, "page_only", "low")).otherwise(graded(0.0, "unknown", "low"))
+    )
 
 
 def fuzzy_contains(haystack: Column, needle: Column) -> Column:
@@ -123,8 +164,10 @@ def object_links(notes: DataFrame, objects: DataFrame, key: str) -> DataFrame:
 
 
 def relation_confidence(kind: Column, sources: Column, chunks: Column, pages: Column, compatible: Column) -> Column:
-    """J21, RES15."""
-    return F.when((kind == "defines") & (chunks > 0), 0.72).when((sources > 0) & (chunks > 0), 0.66).when(chunks > 0, 0.58).when((sources > 0) & compatible, 0.56).when((pages > 0) & compatible, 0.54).otherwise(0.5)
+    """J21, RES15: by what two objects share (numbers of sources, chunks and pages) and whether their types go together; a mere relation has at most 0.58."""
+    ladder = (((sources > 0) & compatible, 0.72), ((chunks > 0) & compatible, 0.66), (sources > 0, 0.58), (chunks > 0, 0.56), ((pages > 0) & compatible, 0.54))
+    value = F.coalesce(*[F.when(c, v) for c, v in ladder], F.lit(0.5))
+    return F.when(kind == "related_to", F.least(value, F.lit(0.58))).otherwise(value)
 
 
 # --- research packages
@@ -145,9 +188,15 @@ def uncovered(dimensions: dict[str, Sequence[str]], text: Column) -> Column:
     return F.array_join(F.array_compact(F.array(*[F.when(~holds(ws), F.lit(d)) for d, ws in dimensions.items()])), ",")
 
 
-def confidence(channels: Column) -> Column:
-    """RES8: high with three channels, or with keyword and vector both; medium with two; else low."""
-    return F.when((F.size(channels) >= 3) | (F.array_contains(channels, "keyword") & F.array_contains(channels, "vector")), "high").when(F.size(channels) == 2, "medium").otherwise("low")
+def confident(channels: Column, tag_matches: Column, relations: Column, notes: Column, tags: Column, score: Column) -> Column:
+    """RES8: is a fused result of high confidence? A fusion score of 3 at least, and either a note link with a tag or relation,
+    related notes with relations or tags, or three channels; never by the keyword or the vector channel alone."""
+    has = lambda c: F.array_contains(channels, c)
+    distinct = F.size(F.array_distinct(channels))
+    alone = (distinct == 1) & (has("keyword") | has("vector"))
+    structural = has("note_link") & (has("tag") | has("relation") | (tag_matches > 0) | (relations > 0))
+    network = (notes > 0) & ((relations > 0) | (F.size(tags) > 0) | has("tag") | has("relation"))
+    return ~alone & (structural | network | (distinct >= 3)) & (score >= 3.0)
 
 
 def clean(df: DataFrame, text: str) -> DataFrame:

@@ -17,9 +17,9 @@ def upsert(spark, sf):
     return S.upserted(first, e.where("event_id % 2 = 1"), "user_id", "event_id")
 
 
-@query("op_stm4_conflicts", "SELECT user_id, count(DISTINCT event_type) AS n FROM events WHERE event_id < 500 GROUP BY 1 HAVING count(DISTINCT event_type) > 1")
+@query("op_stm4_conflicts", "SELECT user_id, count(DISTINCT event_type) AS n FROM events GROUP BY 1 HAVING count(DISTINCT event_type) > 1")
 def conflicts(spark, sf):
-    return S.conflicts(table_of(spark, sf, "events").where("event_id < 500"), "user_id", "event_type")
+    return S.conflicts(table_of(spark, sf, "events"), "user_id", "event_type")
 
 
 @query("op_stm_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts)::TIMESTAMP AS at, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")

@@ -173,10 +173,10 @@ def touching(spark, sf):
     return R.touching(e, [(("l_partkey", "pt"), "p"), (("l_suppkey", "st"), "s")], ids, "s_suppkey").select("l_orderkey", "l_linenumber").distinct()
 
 
-@query("op_j26_same_identity", "SELECT a.event_id, coalesce(min(b.event_id), -1) AS existing FROM events a LEFT JOIN (SELECT event_id, user_id, event_type, CASE WHEN value > 1 THEN NULL ELSE 1 END AS v FROM events WHERE event_id < 50) b ON a.user_id IS NOT DISTINCT FROM b.user_id AND a.event_type IS NOT DISTINCT FROM b.event_type AND (CASE WHEN a.value > 1 THEN NULL ELSE 1 END) IS NOT DISTINCT FROM b.v GROUP BY 1")
+@query("op_j26_same_identity", "SELECT a.event_id, coalesce(min(b.event_id), -1) AS existing FROM events a LEFT JOIN (SELECT event_id, user_id, event_type, CASE WHEN value > 1 THEN NULL ELSE 1 END AS v FROM events) b ON a.user_id IS NOT DISTINCT FROM b.user_id AND a.event_type IS NOT DISTINCT FROM b.event_type AND (CASE WHEN a.value > 1 THEN NULL ELSE 1 END) IS NOT DISTINCT FROM b.v GROUP BY 1")
 def same_identity(spark, sf):
     e = table_of(spark, sf, "events").select("event_id", "user_id", "event_type", F.when(C("value") > 1, None).otherwise(1).alias("v"))
-    return R.same_identity(e, e.where("event_id < 50"), ["user_id", "event_type", "v"], "event_id").select("event_id", F.coalesce("existing", F.lit(-1)).cast("long").alias("existing"))
+    return R.same_identity(e, e, ["user_id", "event_type", "v"], "event_id").select("event_id", F.coalesce("existing", F.lit(-1)).cast("long").alias("existing"))
 
 
 @query("op_j27_union_ids", "SELECT DISTINCT doc_id AS id FROM labels UNION SELECT vec_id FROM embeddings")

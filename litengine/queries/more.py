@@ -12,6 +12,7 @@ from ..operators import library as Y
 from ..operators import relations as R
 from ..operators import review as V
 from . import column_query, query, table_of
+from .review import EXACT_SQL
 
 C = F.col
 
@@ -84,10 +85,11 @@ def object_groups(spark, sf):
     return out.withColumn("names", F.array_join(F.transform(F.split("names", ","), lambda x: x.cast("long").cast("string")), ","))
 
 
-@query("op_ret40_match_strength", "SELECT object, doc_id AS chunk_id, max(points)::DOUBLE AS points FROM (SELECT o AS object, doc_id, CASE WHEN contains(lower(source), a) THEN 5.0 WHEN contains(lower(substr(text, 1, 200)), a) THEN 2.2 WHEN contains(lower(text), a) THEN 1.6 END AS points FROM documents JOIN (VALUES ('x', 'the an'), ('x', 'src1'), ('y', 'pathetic')) s(o, a) ON true) WHERE points IS NOT NULL GROUP BY 1, 2")
+@query("op_ret40_match_strength", "SELECT object, chunk_id, max(points)::DOUBLE AS points FROM (SELECT o AS object, doc_id AS chunk_id, round(p + CASE lang WHEN 'en' THEN 1.5 WHEN 'de' THEN 0.8 WHEN 'fr' THEN -0.4 ELSE 0 END, 6) AS points FROM (SELECT o, doc_id, lang, 5.0 * contains(lower(text), a)::INT + 2.2 * contains(lower(source), a)::INT + 1.6 * contains(lower(source || ' ' || lang), a)::INT AS p FROM documents, (VALUES ('x', 'the an'), ('x', 'src1'), ('y', 'pathetic'), ('y', 'de')) s(o, a)) WHERE p > 0) GROUP BY 1, 2")
 def match_strength(spark, sf):
-    d = table_of(spark, sf, "documents").select(F.lit(1).alias("k"), C("doc_id").alias("chunk_id"), C("source").alias("heading"), "text")
-    spec = spark.createDataFrame([(1, "x", ["the an", "src1"]), (1, "y", ["Pathetic"])], "k int, object string, aliases array<string>")
+    section = F.when(C("lang") == "en", "Our Approach").when(C("lang") == "de", "Evaluation").when(C("lang") == "fr", "Abstract").otherwise("Other")
+    d = table_of(spark, sf, "documents").select(F.lit(1).alias("k"), C("doc_id").alias("chunk_id"), C("source").alias("heading"), F.concat_ws(" ", "source", "lang").alias("title"), section.alias("section"), "text")
+    spec = spark.createDataFrame([(1, "x", ["the an", "src1"]), (1, "y", ["Pathetic", "de"])], "k int, object string, aliases array<string>")
     return Y.match_strength(spec, d, "k").select("object", "chunk_id", "points")
 
 
@@ -173,9 +175,9 @@ def tagged(spark, sf):
     return table_of(spark, sf, "documents").join(table_of(spark, sf, "labels").where("quality = 1 AND toxic = 0"), "doc_id", "left_semi").select("doc_id", "lang")
 
 
-@query("op_lib8_note_evidence", "SELECT c.conv_id, c.turn, b.item_id FROM conversations c JOIN benchmark b ON b.item_id = c.conv_id ORDER BY 1, 2 LIMIT 200")
+@query("op_lib8_note_evidence", "SELECT c.conv_id, c.turn, b.item_id FROM conversations c JOIN benchmark b ON b.item_id = c.conv_id")
 def note_evidence(spark, sf):
-    return table_of(spark, sf, "conversations").join(table_of(spark, sf, "benchmark"), C("item_id") == C("conv_id")).select("conv_id", "turn", "item_id").orderBy("conv_id", "turn").limit(200)
+    return table_of(spark, sf, "conversations").join(table_of(spark, sf, "benchmark"), C("item_id") == C("conv_id")).select("conv_id", "turn", "item_id")
 
 
 @query("op_lib9_cards_by_status", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderdate DESC, o_orderkey LIMIT 50")
@@ -206,11 +208,10 @@ def document_fragments(spark, sf):
     return I.fragments(d, "document", ["doc_id"], "text", [C("doc_id")], "doc_id", "source").select("document_id", "locator", "content_hash")
 
 
-@query("op_aln2_ranked_matches", "SELECT item_id, doc_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank FROM (SELECT item_id, doc_id, round(n_chars % 97 / 97, 6) AS score FROM benchmark JOIN documents ON doc_id % 40 = item_id % 40) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 5")
+@query("op_aln2_ranked_matches", f"SELECT item_id, doc_id, (row_number() OVER (PARTITION BY item_id ORDER BY match DESC, doc_id))::INTEGER AS rank FROM ({EXACT_SQL}) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY match DESC, doc_id) <= 5")
 def ranked_matches(spark, sf):
-    b = table_of(spark, sf, "benchmark").select("item_id", (C("item_id") % 40).alias("k"))
-    both = b.join(table_of(spark, sf, "documents").withColumn("k", C("doc_id") % 40), "k")
-    return V.ranked_matches(both, "item_id", "doc_id", F.round(C("n_chars") % 97 / 97, 6)).select("item_id", "doc_id", "rank")
+    found = V.exact_matches(table_of(spark, sf, "benchmark"), table_of(spark, sf, "documents"), "item_id", "text", "text")
+    return V.ranked_matches(found, "item_id", "doc_id", C("match")).select("item_id", "doc_id", "rank")
 
 
 @query("op_ret27_flat_library", "SELECT type, id FROM (SELECT 'document' AS type, 0 AS t, doc_id AS id FROM documents WHERE contains(lower(text), 'scum') UNION ALL SELECT 'note', 1, conv_id * 1000 + turn FROM conversations WHERE contains(lower(text), 'the') UNION ALL SELECT 'page', 2, page_id FROM pages WHERE contains(lower(html), 'the')) ORDER BY t, id LIMIT 100")

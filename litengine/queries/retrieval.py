@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from ..operators import fusion as X
 from ..operators import ingest as I
 from ..operators import lexical as L
 from ..plans import query_plan as P
+from ..sources import tables as S
 from . import column_query, query, table_of
 
 C = F.col
@@ -24,6 +27,15 @@ def fragments(spark, sf):
     )
 
 
+def stored_index(spark, sf):
+    """Rows and postings of the active index generation of a library, built where there is none of these files yet."""
+    root = f"{S.shared_folder(spark)}/lexical-{hashlib.sha256(sf.encode()).hexdigest()[:16]}"
+    now = S.files_fingerprint(spark, f"{sf}/documents.parquet")
+    if S.active(spark, root, now)["state"] != "ready":
+        S.publish(spark, root, L.index_tables(fragments(spark, sf), "row_id"), now)
+    return S.generation(spark, root, "rows"), S.generation(spark, root, "postings")
+
+
 STARTS = "CASE WHEN length(text) > 700 THEN range(0, greatest(0, ceil((length(text) - 500) / 450.0))::BIGINT * 450 + 1, 450) ELSE [0] END"
 TOK = "list_filter(string_split(lower(strip_accents(regexp_replace({}, '[^\\p{{L}}\\p{{N}}\\p{{Co}}]+', ' ', 'g'))), ' '), lambda w: w <> '')"
 FRAGMENTS = f"""f AS (SELECT doc_id * 1000 + row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS row_id, doc_id AS document_id, source AS title, lang AS section, 't' || doc_id % 3 AS tags, c AS text
@@ -47,32 +59,51 @@ bm AS (SELECT row_id, sum(CASE WHEN idf <= 0 THEN 1e-6 ELSE idf END * f * 2.2 /
 
 @query("op_ret7_bm25", f"WITH {FRAGMENTS}, {bm25_sql(['the and', 'ing'], False)} SELECT row_id, round(bm25, 6) AS bm25 FROM bm")
 def bm25(spark, sf):
-    rows = fragments(spark, sf)
-    return L.bm25(rows, L.postings(rows, "row_id"), "row_id", ["the and", "ing"], False).select("row_id", F.round("bm25", 6).alias("bm25"))
+    rows, posted = stored_index(spark, sf)
+    return L.bm25(rows, posted, "row_id", ["the and", "ing"], False).select("row_id", F.round("bm25", 6).alias("bm25"))
 
 
 @query("op_snk2_index", f"WITH {FRAGMENTS} SELECT token, count(*) AS n, count(DISTINCT row_id) AS df FROM post GROUP BY token")
 def index(spark, sf):
-    return L.postings(fragments(spark, sf), "row_id").groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("row_id").alias("df"))
+    return L.terms(stored_index(spark, sf)[1])
 
 
 NORM = "trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
 HIT = lambda t: "(" + " OR ".join(f"contains({NORM.format(c)}, '{t}')" for c in ("title", "section", "tags", "text")) + ")"
 
 
-@query("op_ret13_lexical", f"""WITH {FRAGMENTS}, {bm25_sql(['the', 'and'], True)}, p AS (SELECT * FROM (SELECT row_id, greatest(0, bm25) AS bm25 FROM bm) ORDER BY round(bm25, 9) DESC, row_id LIMIT 400)
-SELECT row_id, round(bm25 + 4.0 * {HIT('the and')}::INT + 2.5 * ({HIT('the')}::INT + {HIT('and')}::INT) / 2 + 2.0 * (contains({NORM.format('title')}, 'the') OR contains({NORM.format('title')}, 'and'))::INT
-+ 1.25 * (contains({NORM.format('section')}, 'the') OR contains({NORM.format('section')}, 'and'))::INT + 1.25 * (contains({NORM.format('tags')}, 'the') OR contains({NORM.format('tags')}, 'and'))::INT, 6) AS score
-FROM p JOIN f USING (row_id) ORDER BY score DESC, row_id LIMIT 20""")
-def lexical(spark, sf):
-    rows = fragments(spark, sf)
-    return L.retrieved(rows, L.postings(rows, "row_id"), "row_id", P.plan("the and")).select("row_id", F.round("score", 6).alias("score"))
+def lexical_sql(phrases, every, normal, terms, identifiers=()):
+    """RET13's page for a query of these parts: candidates by BM25, their signals and scores."""
+    some = lambda parts: "(" + " OR ".join(parts) + ")" if parts else "false"
+    column = lambda c: some([f"contains({NORM.format(c)}, '{t}')" for t in terms])
+    return f"""WITH {FRAGMENTS}, {bm25_sql(phrases, every)}, p AS (SELECT * FROM (SELECT row_id, greatest(0, bm25) AS bm25 FROM bm) ORDER BY round(bm25, 9) DESC, row_id LIMIT 400)
+SELECT row_id, round(score, 6) AS score FROM (SELECT row_id, bm25, bm25 + 4.0 * {some([HIT(n) for n in normal])}::INT + 5.0 * {some([HIT(i) for i in identifiers])}::INT + 2.5 * ({' + '.join(HIT(t) + '::INT' for t in terms)}) / {len(terms)}
++ 2.0 * {column('title')}::INT + 1.25 * {column('section')}::INT + 1.25 * {column('tags')}::INT AS score FROM p JOIN f USING (row_id)) ORDER BY round(score, 9) DESC, round(bm25, 9) DESC, row_id LIMIT 20"""
+
+
+def lexical(name, text, sql):
+    @query(name, sql)
+    def run(spark, sf):
+        return L.retrieved(*stored_index(spark, sf), "row_id", P.plan(text)).select("row_id", F.round("score", 6).alias("score"))
+
+
+lexical("op_ret13_lexical", "the and", lexical_sql(["the", "and"], True, ["the and"], ["the", "and"]))
+lexical("op_ret5_quoted", '"the and" ing', lexical_sql(["the and", "ing"], True, ["the and"], ["the and", "ing"]))
+lexical("op_ret2_identifier", "src-3", lexical_sql(["src 3", "src3"], False, ["src 3"], ["src", "3"], ["src 3", "src3"]))
+lexical("op_ret10_single_term", "pathetic", lexical_sql(["pathetic"], True, [], ["pathetic"]))
+
+
+@query("op_ret1_query_plans")
+def query_plans(spark, sf):
+    """RET1 to RET5 of a few lines of query text, which are worked out on the driver."""
+    texts = ("the and", '"foot sliding" MDM', "R-precision", "T2M GPT", "GNN", "\u56fe\u795e\u7ecf\u7f51\u7edc model", "a", "x\u20153")
+    plans = [P.plan(t) for t in texts]
+    return spark.createDataFrame([(p.text, p.normal, list(p.phrases), list(p.terms), list(p.identifiers), p.cjk, p.short) for p in plans], "text string, normal string, phrases array<string>, terms array<string>, identifiers array<string>, cjk boolean, short boolean")
 
 
 @query("op_ret12_diversified")
 def coverage(spark, sf):
-    rows = fragments(spark, sf)
-    return L.retrieved(rows, L.postings(rows, "row_id"), "row_id", P.plan("the tion"), coverage=True)
+    return L.retrieved(*stored_index(spark, sf), "row_id", P.plan("the tion"), coverage=True)
 
 
 @query("op_ret6_trigram", "SELECT n_nationkey, (contains(lower(n_name), 'an')::INT + contains(lower(n_name), 'a')::INT)::DOUBLE AS bm25 FROM nation WHERE contains(lower(n_name), 'an') AND contains(lower(n_name), 'a')")
@@ -82,10 +113,8 @@ def trigram(spark, sf):
 
 @query("op_ret8_fused", "SELECT user_id, round(max(v) + 0.1 * (sum(v) - max(v)), 6) AS bm25 FROM (SELECT user_id, event_type, max(value) AS v FROM events GROUP BY 1, 2) GROUP BY 1")
 def fused(spark, sf):
-    e = table_of(spark, sf, "events")
-    kinds = [r[0] for r in e.select("event_type").distinct().orderBy("event_type").limit(20).collect()]
-    channels = [e.where(C("event_type") == k).groupBy("user_id").agg(F.max("value").alias("bm25")) for k in kinds]
-    return L.fused(channels, "user_id").select("user_id", F.round("bm25", 6).alias("bm25"))
+    channels = table_of(spark, sf, "events").groupBy("user_id", "event_type").agg(F.max("value").alias("bm25"))
+    return L.fused([channels], "user_id").select("user_id", F.round("bm25", 6).alias("bm25"))
 
 
 @query("op_ret14_keyword", "SELECT doc_id FROM documents WHERE contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'the an') AND lang = 'en' ORDER BY doc_id LIMIT 20")
@@ -128,7 +157,7 @@ def channel_fusion(spark, sf):
 
 column_query("op_ret20_heuristic", "documents", "doc_id", lambda: X.heuristic_score(["the", "an"], C("text"), C("source"), C("lang"), F.lit("a tag"), C("doc_id") % 8, C("doc_id") % 3, F.lit(2), F.lit(0.5)), "round(10 * (contains(lower(text), 'the')::INT + contains(lower(text), 'an')::INT) / 2 + 6 * (contains(source, 'the') OR contains(source, 'an'))::INT + 5 * (contains(lang, 'the') OR contains(lang, 'an'))::INT + 1.5 * least(len(regexp_extract_all(lower(text), 'the')) + len(regexp_extract_all(lower(text), 'an')), 5) + 2 * least(doc_id % 8, 5) + 2 * least(doc_id % 3, 5) + 2 + 0.5, 6)")
 column_query("op_ret23_grouped_score", "documents", "doc_id", lambda: X.grouped_text_score(C("text"), "the and", ["the", "of"]), "(round(4.0 * contains(lower(text), 'the and')::INT + 1.2 * (regexp_matches(' ' || regexp_replace(lower(text), '[^\\p{L}\\p{N}]', ' ', 'g') || ' ', ' the ')::INT + regexp_matches(' ' || regexp_replace(lower(text), '[^\\p{L}\\p{N}]', ' ', 'g') || ' ', ' of ')::INT), 6))::DOUBLE")
-column_query("op_ret25_section_adjustment", "part", "p_partkey", lambda: X.section_adjustment(F.when(C("p_size") % 4 == 0, "Methods").when(C("p_size") % 4 == 1, "Introduction").when(C("p_size") % 4 == 2, "References").otherwise("Abstract")), "(CASE p_size % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.25 WHEN 2 THEN -0.55 ELSE -0.15 END)::DOUBLE")
+column_query("op_ret25_section_adjustment", "part", "p_partkey", lambda: X.section_adjustment(F.element_at(F.array(*map(F.lit, ("3 Proposed Methods", "1 Introduction", "Results", "Front matter", "Conclusion and approach", "References"))), (1 + C("p_size") % 6).cast("int")), C("p_partkey") % 3 > 0), "(CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE [1.0, 0.25, -0.55, -0.15, 1.0, 0.0][1 + p_size % 6] END)::DOUBLE")
 column_query("op_ret32_tier", "events", "event_id", lambda: X.tier(C("value") - 1, F.when(C("user_id") % 5 == 0, "References").otherwise("Body")), "CASE WHEN user_id % 5 = 0 THEN 'reference' WHEN value > 1 THEN 'primary' ELSE 'secondary' END")
 column_query("op_ret39_object_score", "part", "p_partkey", lambda: X.object_score("brand 1", C("p_brand"), F.array(F.lit("x"), C("p_type")), C("p_size") % 9, C("p_size") % 4, C("p_size") > 45), "(round(least(1.0, greatest(0.0, CASE WHEN regexp_replace(lower(p_brand), '[\\s_-]+', '', 'g') = 'brand1' OR regexp_replace(lower(p_type), '[\\s_-]+', '', 'g') = 'brand1' THEN 0.42 WHEN contains(regexp_replace(lower(p_brand), '[\\s_-]+', '', 'g'), 'brand1') OR contains(regexp_replace(lower(p_type), '[\\s_-]+', '', 'g'), 'brand1') THEN 0.34 ELSE 0.14 END + 0.05 * least(p_size % 9, 5) + 0.03 * least(p_size % 4, 5) - CASE WHEN p_size > 45 THEN 0.3 ELSE 0 END)), 6))::DOUBLE")
 column_query("op_ret43_note_passage", "conversations", "conv_id, turn", lambda: X.note_passage(C("role"), F.lit(" "), C("text")), "role || CASE WHEN trim(text) <> '' THEN chr(10) || text ELSE '' END")

@@ -22,12 +22,12 @@ def in_order(spark, sf):
     return V.in_order(table_of(spark, sf, "documents"), [9, 3, 500, 9, 4, -5], "doc_id").select("position", "doc_id", "lang")
 
 
-column_query("op_evd6_locator_strategy", "documents", "doc_id", lambda: V.locator_strategy(F.when(C("doc_id") % 7 == 0, "k"), F.when(C("doc_id") % 3 == 0, "b"), F.when(C("doc_id") % 2 == 0, "s"), F.when(C("doc_id") % 5 != 0, 1)), "CASE WHEN doc_id % 7 = 0 THEN 'annotation:1.0' WHEN doc_id % 3 = 0 AND doc_id % 5 <> 0 THEN 'bbox:0.9' WHEN doc_id % 2 = 0 AND doc_id % 5 <> 0 THEN 'text_on_page:0.7' WHEN doc_id % 5 <> 0 THEN 'page:0.5' ELSE 'none:0.0' END")
+column_query("op_evd6_locator_strategy", "documents", "doc_id", lambda: V.locator_strategy(F.when(C("doc_id") % 11 == 0, "k"), F.when(C("doc_id") % 7 == 0, "n"), F.when(C("doc_id") % 5 == 0, "b"), F.when(C("doc_id") % 3 == 0, "s"), F.when(C("doc_id") % 2 == 0, 1), F.when(C("lang") != "fr", "a")), "CASE WHEN doc_id % 11 = 0 THEN 'annotation:1.0' WHEN doc_id % 7 = 0 THEN 'note:1.0' WHEN lang <> 'fr' AND doc_id % 5 = 0 THEN 'bbox:0.98' WHEN lang <> 'fr' AND doc_id % 3 = 0 THEN 'text:0.85' WHEN doc_id % 2 = 0 THEN CASE WHEN lang <> 'fr' THEN 'page:0.65' ELSE 'page:0.2' END WHEN doc_id % 3 = 0 THEN 'text:0.1' ELSE 'page:0.0' END")
 
 
-@query("op_exp1_jsonl", """SELECT rank, '{"doc_id":' || doc_id || ',"evidence_id":"E' || lpad(rank::VARCHAR, 3, '0') || '","lang":"' || lang || '"}' AS line FROM (SELECT *, (row_number() OVER (ORDER BY n_chars DESC, doc_id))::INTEGER AS rank FROM documents WHERE doc_id < 90)""")
+@query("op_exp1_jsonl", """SELECT rank, '{"doc_id":' || doc_id || ',"evidence_id":"E' || CASE WHEN rank < 1000 THEN lpad(rank::VARCHAR, 3, '0') ELSE rank::VARCHAR END || '","lang":"' || lang || '"}' AS line FROM (SELECT *, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents)""")
 def jsonl(spark, sf):
-    return V.evidence_jsonl(table_of(spark, sf, "documents").where("doc_id < 90"), [F.desc("n_chars"), C("doc_id")], ["doc_id", "lang"])
+    return V.evidence_jsonl(table_of(spark, sf, "documents"), "n_chars", [C("doc_id")], ["doc_id", "lang"])
 
 
 @query("op_exp2_markdown", "SELECT conv_id, '## ' || min(role) || chr(10) || chr(10) || string_agg('> ' || replace(text, chr(10), chr(10) || '> '), chr(10) || chr(10) ORDER BY turn) AS markdown FROM conversations GROUP BY conv_id")
@@ -35,7 +35,7 @@ def markdown(spark, sf):
     return V.evidence_markdown(table_of(spark, sf, "conversations"), "conv_id", "role", "text", "turn")
 
 
-@query("op_exp4_fingerprint", "SELECT sha256('md' || chr(10) || string_agg(doc_id || '|' || lang, chr(10) ORDER BY doc_id || '|' || lang)) AS fingerprint FROM documents")
+@query("op_exp4_fingerprint", "SELECT sha256(concat_ws('|', count(*), sum(('0x' || substr(h, 1, 15))::BIGINT::HUGEINT), sum(('0x' || substr(h, 16, 15))::BIGINT::HUGEINT), sum(('0x' || substr(h, 31, 15))::BIGINT::HUGEINT), sum(('0x' || substr(h, 46, 15))::BIGINT::HUGEINT))) AS fingerprint FROM (SELECT *, sha256('md|' || doc_id || '|' || lang) AS h FROM documents)")
 def fingerprint(spark, sf):
     return V.export_fingerprint(table_of(spark, sf, "documents"), F.concat_ws("|", "doc_id", "lang"), "md")
 
@@ -43,10 +43,12 @@ def fingerprint(spark, sf):
 NORM = "lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))"
 
 
-@query("op_aln1_exact_matches", f"SELECT item_id, doc_id, CASE WHEN n = h THEN 1.0 ELSE 0.96 END::DOUBLE AS match FROM (SELECT item_id, {NORM} AS n FROM benchmark) JOIN (SELECT doc_id, {NORM} AS h FROM documents) ON doc_id % 8 = item_id % 8 AND contains(h, n)")
+EXACT_SQL = f"SELECT item_id, doc_id, CASE WHEN n = h THEN 1.0 ELSE 0.96 END::DOUBLE AS match FROM (SELECT item_id, {NORM} AS n FROM benchmark) JOIN (SELECT doc_id, {NORM} AS h FROM documents) ON n <> '' AND CASE WHEN len(string_split(n, ' ')) < 5 THEN contains(' ' || h || ' ', ' ' || n || ' ') ELSE contains(h, n) END"
+
+
+@query("op_aln1_exact_matches", EXACT_SQL)
 def exact_matches(spark, sf):
-    notes = table_of(spark, sf, "benchmark").select("item_id", C("text").alias("selected"), (C("item_id") % 8).alias("scope"))
-    return V.exact_matches(notes, table_of(spark, sf, "documents").withColumn("scope", C("doc_id") % 8), "scope", "selected", "text").select("item_id", "doc_id", "match")
+    return V.exact_matches(table_of(spark, sf, "benchmark"), table_of(spark, sf, "documents"), "item_id", "text", "text").select("item_id", "doc_id", "match")
 
 
 @query("op_aln3_fuzzy")
@@ -59,20 +61,28 @@ ANNOTATION = "trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
 TOKENS = "list_distinct(regexp_extract_all(lower({}), '[a-z0-9]{{2,}}'))"
 
 
-@query("op_aln4_annotation_score", f"SELECT item_id, round(CASE WHEN na = '' OR nb = '' THEN 0.0 WHEN na = nb THEN 1.0 WHEN contains(na, nb) OR contains(nb, na) THEN 0.9 ELSE 0.8 * len(list_intersect(ta, tb)) / least(len(ta), len(tb)) END * CASE item_id % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.8 ELSE 0.5 END, 6) AS score FROM (SELECT a.item_id, {ANNOTATION.format('a.text')} AS na, {ANNOTATION.format('b.text')} AS nb, {TOKENS.format('a.text')} AS ta, {TOKENS.format('b.text')} AS tb FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1)")
+WORDS = "trim(regexp_replace(lower({}), '[^a-z0-9\\x{{4e00}}-\\x{{9fff}}]+', ' ', 'g'))"
+
+
+@query("op_aln4_annotation_score", f"""SELECT conv_id, turn, CASE WHEN x AND na = nb OR x AND contains(na, nb) THEN CASE WHEN same THEN 1.0 ELSE 0.95 END WHEN x AND same AND share >= 0.65 THEN 0.85 WHEN x AND share >= 0.8 THEN 0.75 WHEN same THEN 0.35 ELSE 0.0 END::DOUBLE AS score,
+  CASE WHEN x AND na = nb THEN 'text_exact' WHEN x AND contains(na, nb) THEN 'text_contains' WHEN x AND (same AND share >= 0.65 OR share >= 0.8) THEN 'normalized_overlap' WHEN same THEN 'page_only' ELSE 'unknown' END AS method
+FROM (SELECT *, na <> '' AND nb <> '' AS x, len(list_intersect(wa, wb)) / greatest(1, least(len(wa), len(wb))) AS share FROM (SELECT *, list_distinct(string_split(na, ' ')) AS wa, list_distinct(string_split(nb, ' ')) AS wb
+  FROM (SELECT a.conv_id, a.turn, {WORDS.format('a.text')} AS na, {WORDS.format("CASE WHEN a.turn % 3 = 0 THEN substr(a.text, 5, 30) ELSE b.text END")} AS nb, a.turn % 2 = 0 AS same FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)))""")
 def annotation_score(spark, sf):
-    b = table_of(spark, sf, "benchmark").select("item_id", "text")
-    pairs = b.join(b.select((C("item_id") - 1).alias("item_id"), C("text").alias("other")), "item_id")
-    return pairs.select("item_id", V.annotation_score(C("text"), C("other"), F.lit(1), 1 + C("item_id") % 3).alias("score"))
+    t = table_of(spark, sf, "conversations").select("conv_id", "turn", "text")
+    pairs = t.join(t.select("conv_id", (C("turn") - 1).alias("turn"), C("text").alias("other")), ["conv_id", "turn"])
+    noted = F.when(C("turn") % 3 == 0, F.substring("text", 5, 30)).otherwise(C("other"))
+    return pairs.select("conv_id", "turn", V.annotation_score(C("text"), noted, F.lit(1), F.when(C("turn") % 2 == 0, 1).otherwise(2)).alias("m")).select("conv_id", "turn", "m.score", "m.method")
 
 
 QUOTE = r"lower(trim(regexp_replace(regexp_replace(regexp_replace({}, '-\s*\n\s*', '', 'g'), '\[\d+(\s*,\s*\d+)*\]', '', 'g'), '\s+', ' ', 'g')))"
 
 
-@query("op_j22_fuzzy_contains", f"SELECT doc_id, contains(h, n) OR contains(h, substr(n, 1, 60)) AND length(n) > 60 OR contains(h, substr(n, 1, 40)) AND length(n) > 40 OR (len(ws) > 0 AND len(list_filter(ws, lambda w: NOT contains(h, w))) = 0) AS value FROM (SELECT doc_id, h, n, list_filter(string_split(n, ' '), lambda w: length(w) >= 3) AS ws FROM (SELECT d.doc_id, {QUOTE.format('d.text')} AS h, {QUOTE.format('b.text')} AS n FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40))")
+@query("op_j22_fuzzy_contains", f"SELECT conv_id, turn, n <> '' AND (contains(h, n) OR contains(h, substr(n, 1, 60)) AND length(n) > 60 OR contains(h, substr(n, 1, 40)) AND length(n) > 40 OR (len(ws) > 0 AND len(list_filter(ws, lambda w: NOT contains(h, w))) = 0)) AS value FROM (SELECT conv_id, turn, h, n, list_filter(string_split(n, ' '), lambda w: length(w) >= 3) AS ws FROM (SELECT a.conv_id, a.turn, {QUOTE.format('a.text')} AS h, {QUOTE.format("CASE WHEN a.turn % 2 = 0 THEN substr(a.text, 3, 50) ELSE b.text END")} AS n FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1))")
 def fuzzy_contains(spark, sf):
-    b = table_of(spark, sf, "benchmark").select("item_id", C("text").alias("needle"))
-    return table_of(spark, sf, "documents").withColumn("item_id", C("doc_id") % 40).join(b, "item_id").select("doc_id", V.fuzzy_contains(C("text"), C("needle")).alias("value"))
+    t = table_of(spark, sf, "conversations").select("conv_id", "turn", "text")
+    pairs = t.join(t.select("conv_id", (C("turn") - 1).alias("turn"), C("text").alias("other")), ["conv_id", "turn"])
+    return pairs.select("conv_id", "turn", V.fuzzy_contains(C("text"), F.when(C("turn") % 2 == 0, F.substring("text", 3, 50)).otherwise(C("other"))).alias("value"))
 
 
 @query("op_j24_aligned_blocks", f"SELECT conv_id, turn, other, grade, rank FROM (SELECT conv_id, turn, other, grade, (row_number() OVER (PARTITION BY conv_id, turn ORDER BY grade = 'exact' DESC, score DESC, other))::INTEGER AS rank FROM (SELECT *, CASE WHEN contains(ha, hb) THEN 'exact' WHEN score >= 0.3 THEN 'overlap' END AS grade FROM (SELECT a.conv_id, a.turn, b.turn AS other, {QUOTE.format('a.text')} AS ha, {QUOTE.format('b.text')} AS hb, CASE WHEN least(len({TOKENS.format('a.text')}), len({TOKENS.format('b.text')})) > 0 THEN round(len(list_intersect({TOKENS.format('a.text')}, {TOKENS.format('b.text')})) / least(len({TOKENS.format('a.text')}), len({TOKENS.format('b.text')})), 6) ELSE 0 END AS score FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn BETWEEN a.turn AND a.turn + 2)) WHERE grade IS NOT NULL) WHERE rank <= 8")
@@ -83,16 +93,18 @@ def aligned_blocks(spark, sf):
     return V.aligned_blocks(chunks, blocks, "conv_id", "chunk", "other").select("conv_id", "turn", "other", "grade", "rank")
 
 
-@query("op_j23_object_links", "SELECT item_id, part, reason FROM (SELECT n_nationkey AS item_id, p_partkey AS part, CASE WHEN p_partkey % 25 = n_nationkey THEN 'shared_chunk' WHEN contains(lower(n_name || ' green'), lower(p_brand)) THEN 'term' END AS reason FROM nation JOIN part ON n_nationkey % 5 = p_partkey % 5) WHERE reason IS NOT NULL")
+@query("op_j23_object_links", "SELECT s_suppkey AS item_id, n_nationkey AS part, CASE WHEN s_suppkey % 4 = n_nationkey % 4 THEN 'shared_chunk' WHEN contains(lower(s_name || ' of ' || n_name), lower(n_name)) AND length(n_name) >= 3 THEN 'term' END AS reason FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 def object_links(spark, sf):
-    notes = table_of(spark, sf, "nation").select((C("n_nationkey") % 5).alias("k"), C("n_nationkey").alias("item_id"), F.concat("n_name", F.lit(" green")).alias("note_text"), F.array(C("n_nationkey").cast("long")).alias("note_chunks"))
-    objects = table_of(spark, sf, "part").select((C("p_partkey") % 5).alias("k"), C("p_partkey").alias("part"), F.array("p_brand").alias("terms"), F.array((C("p_partkey") % 25).cast("long")).alias("object_chunks"))
+    notes = table_of(spark, sf, "supplier").join(table_of(spark, sf, "nation").select(C("n_nationkey").alias("s_nationkey"), "n_name"), "s_nationkey")
+    notes = notes.select(C("s_nationkey").alias("k"), C("s_suppkey").alias("item_id"), F.concat_ws(" of ", "s_name", "n_name").alias("note_text"), F.array((C("s_suppkey") % 4).cast("long")).alias("note_chunks"))
+    objects = table_of(spark, sf, "nation").select(C("n_nationkey").alias("k"), C("n_nationkey").alias("part"), F.array("n_name").alias("terms"), F.array((C("n_nationkey") % 4).cast("long")).alias("object_chunks"))
     return V.object_links(notes, objects, "k").select("item_id", "part", "reason")
 
 
-column_query("op_res15_relation_confidence", "documents", "doc_id", lambda: V.relation_confidence(F.when(C("doc_id") % 4 == 0, "defines").otherwise("uses"), C("doc_id") % 3, C("doc_id") % 2, C("doc_id") % 5, C("lang") == "en"), "CASE WHEN doc_id % 4 = 0 AND doc_id % 2 > 0 THEN 0.72 WHEN doc_id % 3 > 0 AND doc_id % 2 > 0 THEN 0.66 WHEN doc_id % 2 > 0 THEN 0.58 WHEN doc_id % 3 > 0 AND lang = 'en' THEN 0.56 WHEN doc_id % 5 > 0 AND lang = 'en' THEN 0.54 ELSE 0.5 END::DOUBLE")
+PAIR_VALUE = "CASE WHEN doc_id % 3 > 0 AND lang = 'en' THEN 0.72 WHEN doc_id % 2 > 0 AND lang = 'en' THEN 0.66 WHEN doc_id % 3 > 0 THEN 0.58 WHEN doc_id % 2 > 0 THEN 0.56 WHEN doc_id % 5 > 0 AND lang = 'en' THEN 0.54 ELSE 0.5 END"
+column_query("op_res15_relation_confidence", "documents", "doc_id", lambda: V.relation_confidence(F.when(C("doc_id") % 4 == 0, "related_to").otherwise("supports"), C("doc_id") % 3, C("doc_id") % 2, C("doc_id") % 5, C("lang") == "en"), f"CASE WHEN doc_id % 4 = 0 THEN least(0.58, {PAIR_VALUE}) ELSE {PAIR_VALUE} END::DOUBLE")
 column_query("op_res4_uncovered", "documents", "doc_id", lambda: V.uncovered({"size": ["thth", "ingth"], "time": ["onan"]}, C("text")), "array_to_string(list_filter([CASE WHEN NOT (contains(lower(text), 'thth') OR contains(lower(text), 'ingth')) THEN 'size' END, CASE WHEN NOT contains(lower(text), 'onan') THEN 'time' END], lambda x: x IS NOT NULL), ',')")
-column_query("op_res8_confidence", "documents", "doc_id", lambda: V.confidence(F.array_compact(F.array(F.when(C("doc_id") % 2 == 0, "keyword"), F.when(C("doc_id") % 3 == 0, "vector"), F.when(C("doc_id") % 5 == 0, "tag")))), "CASE WHEN (doc_id % 2 = 0)::INT + (doc_id % 3 = 0)::INT + (doc_id % 5 = 0)::INT >= 3 OR (doc_id % 2 = 0 AND doc_id % 3 = 0) THEN 'high' WHEN (doc_id % 2 = 0)::INT + (doc_id % 3 = 0)::INT + (doc_id % 5 = 0)::INT = 2 THEN 'medium' ELSE 'low' END")
+column_query("op_res8_confidence", "documents", "doc_id", lambda: V.confident(F.array_compact(F.array(F.when(C("doc_id") % 2 == 0, "keyword"), F.when(C("doc_id") % 3 == 0, "note_link"), F.when(C("doc_id") % 5 == 0, "tag"))), C("doc_id") % 2, C("doc_id") % 4, C("doc_id") % 3, F.array_compact(F.array(F.when(C("lang") == "en", "t"))), C("n_chars") / 100), "n_chars / 100 >= 3 AND NOT (doc_id % 2 = 0 AND doc_id % 3 > 0 AND doc_id % 5 > 0) AND (doc_id % 3 = 0 AND (doc_id % 5 = 0 OR doc_id % 2 > 0 OR doc_id % 4 > 0) OR doc_id % 3 > 0 AND (doc_id % 4 > 0 OR lang = 'en' OR doc_id % 5 = 0) OR doc_id % 30 = 0)")
 column_query("op_res10_support", "documents", "doc_id", lambda: V.support(F.array(C("doc_id") % 4), F.array(C("doc_id") % 3), F.array(C("doc_id") % 2), F.array(*[F.lit(x).cast("long") for x in (0, 1)]), F.array(F.lit(0).cast("long")), F.array(F.lit(1).cast("long")), F.array("lang"), C("doc_id") % 5 == 0, C("lang") == "de"), "(round(CASE WHEN doc_id % 4 <= 1 THEN 0.35 ELSE 0 END + CASE WHEN doc_id % 3 = 0 THEN 0.2 ELSE 0 END + CASE WHEN doc_id % 2 = 1 THEN 0.15 ELSE 0 END + 0.1 + CASE WHEN doc_id % 5 = 0 THEN 0.1 ELSE 0 END + CASE WHEN lang = 'de' THEN 0.1 ELSE 0 END, 6))::DOUBLE")
 
 
@@ -129,9 +141,11 @@ def verdict(spark, sf):
     return V.verdict(a.union(b))
 
 
-@query("op_int5_impact", "SELECT 'labels' AS relation, count(*) AS n FROM labels WHERE doc_id < 100 UNION ALL SELECT 'embeddings', count(*) FROM embeddings WHERE vec_id < 100")
+@query("op_int5_impact", "WITH gone AS (SELECT doc_id FROM labels WHERE toxic = 1) SELECT 'labels' AS relation, count(*) AS n FROM labels WHERE doc_id IN (FROM gone) UNION ALL SELECT 'embeddings', count(*) FROM embeddings WHERE vec_id IN (FROM gone) UNION ALL SELECT 'documents', count(*) FROM documents WHERE doc_id IN (FROM gone)")
 def impact(spark, sf):
-    return V.impact({"labels": table_of(spark, sf, "labels").where("doc_id < 100"), "embeddings": table_of(spark, sf, "embeddings").where("vec_id < 100")})
+    gone = table_of(spark, sf, "labels").where("toxic = 1").select("doc_id")
+    reached = lambda name, key: table_of(spark, sf, name).withColumn("doc_id", C(key)).join(gone, "doc_id", "left_semi")
+    return V.impact({"labels": reached("labels", "doc_id"), "embeddings": reached("embeddings", "vec_id"), "documents": reached("documents", "doc_id")})
 
 
 @query("op_lib10_transitions", "SELECT event_id FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS prev FROM events) WHERE prev IS NOT NULL AND NOT (prev = 'view' AND event_type = 'click' OR prev = 'click' AND event_type = 'purchase' OR prev = event_type AND prev = 'view')")

@@ -17,7 +17,7 @@ column_query("op_str1_normalize_for_search", *D, lambda: T.normalize_for_search(
 column_query("op_str2_compact_identifier", *D, lambda: T.compact_identifier(C("text")), f"replace({NORM}, ' ', '')")
 column_query("op_str4_normalize_text", "pages", "page_id", lambda: T.normalize_text(C("html")), r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')")
 column_query("op_str5_build_index_text", *D, lambda: T.build_index_text(C("source"), C("lang"), F.upper("lang"), F.lit(" ")), "source || chr(10) || lang")
-column_query("op_str6_infer_language", *D, lambda: T.infer_language(C("text")), "CASE WHEN regexp_matches(text, '[\\x{4e00}-\\x{9fff}]') AND regexp_matches(text, '[A-Za-z]') THEN 'mixed' WHEN regexp_matches(text, '[\\x{4e00}-\\x{9fff}]') THEN 'zh' WHEN regexp_matches(text, '[A-Za-z]') THEN 'en' ELSE 'und' END")
+column_query("op_str6_infer_language", *D, lambda: T.infer_language(C("text")), "CASE WHEN text IS NULL OR NOT regexp_matches(text, '[^\\s\\x00]') THEN NULL WHEN regexp_matches(text, '[\\x{3400}-\\x{9fff}]') AND regexp_matches(text, '[A-Za-z]') THEN 'mixed' WHEN regexp_matches(text, '[\\x{3400}-\\x{9fff}]') THEN 'zh' WHEN regexp_matches(text, '[A-Za-z]') THEN 'en' ELSE 'und' END")
 column_query(
     "op_str7_html_to_text", "pages", "page_id", lambda: T.html_to_text(C("html")),
     r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?i)<li[^>]*>', chr(10) || '- ', 'g'), '(?i)</?(p|div|br|h[1-6]|ul|ol|table|tr|blockquote|section|article)[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&nbsp;', ' '), '&amp;', '&'), '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')",
@@ -36,14 +36,14 @@ column_query("op_str20_contains_folded", *D, lambda: T.contains_folded(C("text")
 column_query("op_str21_open_url", "pages", "page_id", lambda: T.open_url(C("url"), C("page_id")), "'file:' || url || '#page=' || page_id")
 column_query("op_str22_query_tokens", *D, lambda: F.size(T.query_tokens(C("text"))).cast("long"), "len(list_distinct(regexp_extract_all(text, '[A-Za-z0-9_\\-]+|[\\x{4e00}-\\x{9fff}]{2,}')))")
 column_query("op_str24_hash_tokens", *D, lambda: F.size(T.hash_tokens(C("text"))).cast("long"), "len(regexp_extract_all(lower(text), '[a-z0-9_]+'))")
-column_query("op_str25_token_set", *D, lambda: F.array_join(F.array_sort(T.token_set(C("text"))), " "), "array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{2,}|[\\x{4e00}-\\x{9fff}]+'))), ' ')")
+column_query("op_str25_token_set", *D, lambda: F.array_join(F.array_sort(T.token_set(C("text"))), " "), "array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(lower(text), '[a-z0-9]{2,}|[\\x{4e00}-\\x{9fff}]{2,}'), flatten(list_transform(regexp_extract_all(lower(text), '[\\x{4e00}-\\x{9fff}]{4,}'), lambda r: list_transform(range(1, length(r)), lambda i: substr(r, i, 2))))))), ' ')")
 column_query("op_str28_normalize_match_text", *D, lambda: T.normalize_match_text(C("text")), f"lower({FLAT})")
 column_query("op_str29_normalize_quote", *D, lambda: T.normalize_quote(C("text")), r"lower(trim(regexp_replace(regexp_replace(regexp_replace(text, '-\s*\n\s*', '', 'g'), '\[\d+(\s*,\s*\d+)*\]', '', 'g'), '\s+', ' ', 'g')))")
-column_query("op_str30_normalize_fingerprint", *D, lambda: T.normalize_fingerprint(C("text")), "regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', '', 'g')")
+column_query("op_str30_normalize_fingerprint", *D, lambda: T.normalize_fingerprint(C("text")), "trim(regexp_replace(lower(text), '[^a-z0-9\\x{4e00}-\\x{9fff}]+', ' ', 'g'))")
 column_query("op_str31_selected_text_hash", *D, lambda: T.selected_text_hash(C("text")), f"'sha256:' || sha256({FLAT})")
 column_query("op_str33_numbered_path", "nation", "n_nationkey", lambda: F.array_join(T.numbered_path(F.array(F.lit("1 Intro"), F.lit("2 Method"), F.concat(F.lit("2."), C("n_nationkey").cast("string"), F.lit(" Part")))), "|"), "'2 Method|2.' || n_nationkey || ' Part'")
 column_query("op_str34_is_front_matter", "nation", "n_nationkey", lambda: T.is_front_matter(F.when(C("n_nationkey") % 2 == 0, " Abstract of it").otherwise("Results")), "n_nationkey % 2 = 0")
-column_query("op_str35_is_metadata", *D, lambda: T.is_metadata(C("text")), "lower(text) LIKE 'metadata:%' OR contains(lower(text), 'doi')::INT + contains(lower(text), 'issn')::INT + contains(lower(text), 'copyright')::INT + contains(lower(text), 'received')::INT + contains(lower(text), 'accepted')::INT >= 3")
+column_query("op_str35_is_metadata", *D, lambda: T.is_metadata(F.concat(F.when(C("doc_id") % 5 == 0, " - Backend: x ").when(C("doc_id") % 5 == 1, "Page_Count: 3 pages_with_text: 2\nheadings_detected: 4 ").when(C("doc_id") % 5 == 2, "see backend: x page_count: 3 ").otherwise(""), "text")), "doc_id % 5 IN (0, 1)")
 column_query("op_str36_locator_contract", *D, lambda: T.locator_contract(C("text"), F.when(C("doc_id") % 3 == 0, C("doc_id")), F.when(C("doc_id") % 2 == 0, C("source"))), "CASE WHEN trim(text) <> '' AND doc_id % 3 = 0 AND doc_id % 2 = 0 THEN 'exact_page' WHEN doc_id % 3 = 0 THEN 'page_only' WHEN trim(text) <> '' THEN 'text_only' ELSE 'missing' END")
 column_query("op_str37_chunk_tokens", *D, lambda: F.array_join(T.chunk_tokens(C("text")), " "), r"array_to_string(list_filter(regexp_extract_all(regexp_replace(lower(text), '\[\d+(,\s*\d+)*\]', ' ', 'g'), '[\p{L}\p{N}]+'), lambda t: length(t) >= 2 AND NOT regexp_full_match(t, '\d{1,3}')), ' ')")
 column_query("op_str40_is_test_record", "pages", "page_id", lambda: T.is_test_record(F.lit("Demo of it"), C("url")), "true")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +46,24 @@ def _fs(spark: SparkSession, path: str):
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Where tables that outlive a query are kept: spark.checkpoint.dir, which driver and executors share; a local one only in local mode."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="litengine-"))
+        path = spark.sparkContext.getCheckpointDir()
+    return path.rstrip("/")
+
+
+def files_fingerprint(spark: SparkSession, path: str) -> str:
+    """A hash of the names, sizes and times of a table's files: what a stored index was built from."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")
+    row = files.agg(F.count(F.lit(1)), F.sum("length"), F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(20,0)"))).first()
+    return f"{path} {row[0]} {row[1]} {row[2]}"
+
+
 def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], fingerprint: str) -> str:
     """GEN1, SNK6: write a new generation beside the others, then move the pointer to it by a rename. Returns its name.
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,38 +111,60 @@ def ocr_text(x: Column) -> Column:
     return F.trim(joined_lines(x))
 
 
-def quality_terms(text: Column) -> dict[str, Column]:
-    """Shares by which a page's text is judged."""
-    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
-    n, chars = F.greatest(F.size(lines), F.lit(1)), F.greatest(F.length(text), F.lit(1))
-    return {
-        "replacement": F.regexp_count(text, F.lit("\ufffd")) / chars,
-        "unprintable": F.regexp_count(text, F.lit(r"[\x00-\x08\x0b\x0c\x0e-\x1f]")) / chars,
-        "single": F.size(F.filter(lines, lambda x: F.length(F.trim(x)) == 1)) / n,
-        "short": F.size(F.filter(lines, lambda x: F.length(F.trim(x)) <= 3)) / n,
-        "spaced": F.regexp_count(text, F.lit(" {3,}")) / n,
-        "repeated": 1 - F.size(F.array_distinct(lines)) / n,
-    }
-
+# A share's most points, its points for a full share, the least share that is a reason, and how a reason is written.
+QUALITY_TERMS = {
+    "empty": (55.0, 65.0, 0.4, "high_empty_page_ratio:%.3f"),
+    "replacement": (25.0, 2500.0, 0.002, "unicode_replacement_ratio:%.4f"),
+    "unprintable": (20.0, 2000.0, 0.002, "nonprintable_character_ratio:%.4f"),
+    "single": (18.0, 80.0, 0.08, "single_character_line_ratio:%.3f"),
+    "short": (12.0, 25.0, 0.25, "very_short_line_ratio:%.3f"),
+    "spaced": (12.0, 3.0, 0.5, "abnormal_spacing:%.3f"),
+    "repeated": (18.0, 45.0, 0.2, "repeated_header_footer_ratio:%.3f"),
+    "broken": (20.0, 50.0, 0.08, "split_word_ratio:%.3f"),
+}
+FEW_CHARACTERS, FEW_POINTS = 120.0, 35.0
 
-# How many points a full share of each takes, and the shares from which it counts as a reason.
-PENALTIES = {"replacement": 300.0, "unprintable": 300.0, "single": 40.0, "short": 20.0, "spaced": 10.0, "repeated": 30.0}
-LIMITS = {"replacement": 0.01, "unprintable": 0.01, "single": 0.2, "short": 0.4, "spaced": 0.3, "repeated": 0.3}
 
+def text_quality(df: DataFrame, group: str, page: str, text: str = "text") -> DataFrame:
+    """ING12: score (0 to 100, to one digit), hard_failure and reasons of each document, from its pages.
 
-def text_quality(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """ING12: a score from 0 to 100, less a penalty for each share; reasons for the shares over their limits."""
-    terms = quality_terms(C(text))
-    score = F.lit(100.0) - F.when(F.length(F.trim(text)) < 40, 30.0).otherwise(0.0)
-    for name, x in terms.items():
-        score = score - F.lit(PENALTIES[name]) * x
-    reasons = F.array_compact(F.array(*[F.when(x > LIMITS[name], F.lit(name)) for name, x in terms.items()]))
-    return df.select(key, F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)), 4).alias("score"), F.array_join(reasons, ",").alias("reasons"))
+    Points go for pages without text, few characters a page, odd characters, short and repeated lines, runs of spaces, and
+    words in single letters; each has its most. A null page is empty. Pages are summed up before the shuffle.
+    """
+    raw = F.coalesce(C(text), F.lit(""))
+    bare = F.regexp_replace(raw, r"^\s+|\s+$", "")
+    lines = F.filter(F.transform(F.split(raw, r"\r\n?|\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    sized = df.select(
+        group, F.length(bare).alias("bare"), F.length(raw).alias("chars"), lines.alias("lines"), F.regexp_count(raw, F.lit("\ufffd")).alias("odd"),
+        (F.regexp_count(raw, F.lit(r"[\p{C}\p{Z}]")) - F.regexp_count(raw, F.lit(r"[ \n\r\t]"))).alias("hidden"), F.regexp_count(raw, F.lit(" {3,}")).alias("spaces"),
+        F.regexp_count(raw, F.lit(r"\b[A-Za-z]\s+(?:[A-Za-z]\s+){3,}[A-Za-z]\b")).alias("split"),
+    )
+    short = lambda n: F.sum(F.size(F.filter("lines", lambda x: F.length(x) <= n)))
+    sums = sized.groupBy(group).agg(
+        F.count(F.lit(1)).alias("pages"), F.count_if(C("bare") > 0).alias("full"), F.sum("bare").alias("bare"), (F.sum("chars") + F.count(F.lit(1)) - 1).alias("chars"), F.sum(F.size("lines")).alias("lines"),
+        short(1).alias("one"), short(3).alias("three"), F.sum("odd").alias("odd"), F.sum("hidden").alias("hidden"), F.sum("spaces").alias("spaces"), F.sum("split").alias("split"),
+    )
+    again = repeated_line_ratio(df.select(group, page, raw.alias(text)), group, page, text)
+    per = lambda c, of: C(c) / F.greatest(C(of), F.lit(1))
+    shares = {
+        "empty": 1 - per("full", "pages"), "replacement": per("odd", "chars"), "unprintable": per("hidden", "chars"), "single": per("one", "lines"), "short": per("three", "lines"),
+        "spaced": per("spaces", "lines"), "repeated": F.when(C("pages") > 1, F.coalesce("ratio", F.lit(0.0))).otherwise(0.0), "broken": per("split", "lines"),
+    }
+    rows = sums.join(again, group, "left").select(group, "full", per("bare", "pages").alias("mean"), *[x.alias(name) for name, x in shares.items()])
+    few = F.greatest(F.lit(0.0), FEW_CHARACTERS - C("mean")) / FEW_CHARACTERS * FEW_POINTS
+    lost = reduce(lambda x, y: x + y, [F.least(F.lit(most), C(name) * points) for name, (most, points, _, _) in QUALITY_TERMS.items()], few)
+    told = [F.when(C(name) >= least, F.format_string(form, C(name))) for name, (_, _, least, form) in QUALITY_TERMS.items()]
+    told.insert(1, F.when(C("mean") < FEW_CHARACTERS, F.format_string("low_characters_per_page:%.1f", "mean")))
+    reasons = F.array_compact(F.array(*told))
+    return rows.select(
+        group, F.round(F.greatest(F.lit(0.0), 100.0 - lost), 1).alias("score"), ((C("full") == 0) | (C("empty") >= 0.8)).alias("hard_failure"),
+        F.when(F.size(reasons) > 0, F.array_join(reasons, ",")).otherwise("native_text_layer_quality_acceptable").alias("reasons"),
+    )
 
 
 def repeated_line_ratio(df: DataFrame, group: str, page: str, text: str) -> DataFrame:
     """ING13: of a document's lines of four or more characters (digits as #), the share that stand on half its pages or more."""
-    lines = df.select(group, page, F.explode(F.array_distinct(F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(F.lower(F.trim(x)), r"\d", "#")))).alias("line")).where(F.length("line") >= 4)
+    lines = df.select(group, page, F.explode(F.array_distinct(F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(F.lower(F.trim(x)), r"\d+", "#")))).alias("line")).where(F.length("line") >= 4)
     pages = df.groupBy(group).agg(F.count_distinct(page).alias("pages"))
     df_ = lines.groupBy(group, "line").agg(F.count(F.lit(1)).alias("n")).join(pages, group)
     often = C("n") >= F.greatest(F.lit(2), F.floor(C("pages") / 2))

@@ -48,12 +48,24 @@ LINES = "list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')"
 N = f"greatest(len({LINES}), 1)"
 
 
-@query("op_ing12_text_quality", f"SELECT doc_id, round(greatest(0.0, least(100.0, 100 - CASE WHEN length(trim(text)) < 40 THEN 30.0 ELSE 0.0 END - 300.0 * (len(regexp_extract_all(text, '\ufffd')) / greatest(length(text), 1)) - 300.0 * (len(regexp_extract_all(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]')) / greatest(length(text), 1)) - 40.0 * s1 - 20.0 * s3 - 10.0 * sp - 30.0 * rp)), 4) AS score, array_to_string(list_filter([CASE WHEN s1 > 0.2 THEN 'single' END, CASE WHEN s3 > 0.4 THEN 'short' END, CASE WHEN sp > 0.3 THEN 'spaced' END, CASE WHEN rp > 0.3 THEN 'repeated' END], lambda x: x IS NOT NULL), ',') AS reasons FROM (SELECT doc_id, text, len(list_filter({LINES}, lambda x: length(trim(x)) = 1)) / {N} AS s1, len(list_filter({LINES}, lambda x: length(trim(x)) <= 3)) / {N} AS s3, len(regexp_extract_all(text, ' {{3,}}')) / {N} AS sp, 1 - len(list_distinct({LINES})) / {N} AS rp FROM documents)")
+QUALITY_SQL = r"""WITH d AS (SELECT source AS g, doc_id, coalesce(text, '') AS t, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\r\n?|\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ls FROM documents),
+s AS (SELECT g, count(*) AS pages, count(*) FILTER (regexp_replace(t, '^\s+|\s+$', '', 'g') <> '') AS filled, sum(length(regexp_replace(t, '^\s+|\s+$', '', 'g'))) AS bare, sum(length(t)) + count(*) - 1 AS chars, sum(len(ls)) AS n,
+  sum(len(list_filter(ls, lambda x: length(x) = 1))) AS one, sum(len(list_filter(ls, lambda x: length(x) <= 3))) AS three, sum(length(t) - length(replace(t, chr(65533), ''))) AS odd,
+  sum(len(regexp_extract_all(t, '[\p{C}\p{Z}]')) - len(regexp_extract_all(t, '[ \n\r\t]'))) AS hidden, sum(len(regexp_extract_all(t, ' {3,}'))) AS spaces, sum(len(regexp_extract_all(t, '\b[A-Za-z]\s+(?:[A-Za-z]\s+){3,}[A-Za-z]\b'))) AS split FROM d GROUP BY 1),
+l AS (SELECT DISTINCT g, doc_id, regexp_replace(lower(trim(unnest(string_split(t, chr(10))))), '\d+', '#', 'g') AS line FROM d WHERE true), c AS (SELECT g, line, count(*) AS k FROM l WHERE length(line) >= 4 GROUP BY ALL),
+r AS (SELECT g, round(sum(CASE WHEN k >= greatest(2, floor(pages / 2)) THEN k ELSE 0 END) / sum(k), 6) AS ratio FROM c JOIN s USING (g) GROUP BY g),
+x AS (SELECT g, filled, bare / pages AS mean, 1 - filled / pages AS e, odd / greatest(1, chars) AS o, hidden / greatest(1, chars) AS h, one / greatest(1, n) AS s1, three / greatest(1, n) AS s3, spaces / greatest(1, n) AS sp, CASE WHEN pages > 1 THEN coalesce(ratio, 0) ELSE 0 END AS rp, split / greatest(1, n) AS b FROM s LEFT JOIN r USING (g))
+SELECT g AS source, round(greatest(0.0, 100 - (greatest(0.0, 120 - mean) / 120 * 35 + least(55.0, e * 65) + least(25.0, o * 2500) + least(20.0, h * 2000) + least(18.0, s1 * 80) + least(12.0, s3 * 25) + least(12.0, sp * 3) + least(18.0, rp * 45) + least(20.0, b * 50))), 1)::DOUBLE AS score, filled = 0 OR e >= 0.8 AS hard_failure,
+  coalesce(nullif(concat_ws(',', CASE WHEN e >= 0.4 THEN printf('high_empty_page_ratio:%.3f', e) END, CASE WHEN mean < 120 THEN printf('low_characters_per_page:%.1f', mean) END, CASE WHEN o >= 0.002 THEN printf('unicode_replacement_ratio:%.4f', o) END, CASE WHEN h >= 0.002 THEN printf('nonprintable_character_ratio:%.4f', h) END,
+  CASE WHEN s1 >= 0.08 THEN printf('single_character_line_ratio:%.3f', s1) END, CASE WHEN s3 >= 0.25 THEN printf('very_short_line_ratio:%.3f', s3) END, CASE WHEN sp >= 0.5 THEN printf('abnormal_spacing:%.3f', sp) END, CASE WHEN rp >= 0.2 THEN printf('repeated_header_footer_ratio:%.3f', rp) END, CASE WHEN b >= 0.08 THEN printf('split_word_ratio:%.3f', b) END), ''), 'native_text_layer_quality_acceptable') AS reasons FROM x"""
+
+
+@query("op_ing12_text_quality", QUALITY_SQL)
 def text_quality(spark, sf):
-    return I.text_quality(table_of(spark, sf, "documents"), "doc_id")
+    return I.text_quality(table_of(spark, sf, "documents"), "source", "doc_id")
 
 
-@query("op_ing13_repeated_line_ratio", "WITH l AS (SELECT DISTINCT lang, doc_id, regexp_replace(lower(trim(unnest(string_split(text, chr(10))))), '\\d', '#', 'g') AS line FROM documents), n AS (SELECT lang, line, count(*) AS n FROM l WHERE length(line) >= 4 GROUP BY ALL), p AS (SELECT lang, count(DISTINCT doc_id) AS pages FROM documents GROUP BY 1) SELECT lang, round(sum(CASE WHEN n >= greatest(2, floor(pages / 2)) THEN n ELSE 0 END) / sum(n), 6) AS ratio FROM n JOIN p USING (lang) GROUP BY lang")
+@query("op_ing13_repeated_line_ratio", "WITH l AS (SELECT DISTINCT lang, doc_id, regexp_replace(lower(trim(unnest(string_split(text, chr(10))))), '\\d+', '#', 'g') AS line FROM documents), n AS (SELECT lang, line, count(*) AS n FROM l WHERE length(line) >= 4 GROUP BY ALL), p AS (SELECT lang, count(DISTINCT doc_id) AS pages FROM documents GROUP BY 1) SELECT lang, round(sum(CASE WHEN n >= greatest(2, floor(pages / 2)) THEN n ELSE 0 END) / sum(n), 6) AS ratio FROM n JOIN p USING (lang) GROUP BY lang")
 def repeated_line_ratio(spark, sf):
     return I.repeated_line_ratio(table_of(spark, sf, "documents"), "lang", "doc_id", "text")
 

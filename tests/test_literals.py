@@ -36,6 +36,10 @@ def test_blank_windows_take_no_index(spark):
 def test_text_functions(spark):
     assert one(spark, T.normalize_for_search(C("x")), x=" State–of-the_Art!  ") == "state of the art"
     assert one(spark, T.infer_language(C("x")), x="图 model") == "mixed" and one(spark, T.infer_language(C("x")), x="42") == "und"
+    assert one(spark, T.infer_language(C("x")), x=" \t") is None and one(spark, T.infer_language(C("x")), x="\u3456") == "zh"
+    assert set(one(spark, T.token_set(C("x")), x="A1 b 图神经网络 图 神经")) == {"a1", "图神经网络", "图神", "神经", "经网", "网络"}
+    assert one(spark, T.normalize_fingerprint(C("x")), x="Ünder A-b  图 3!") == "nder a b 图 3"
+    assert one(spark, T.is_metadata(C("x")), x=" - Backend: z") and not one(spark, T.is_metadata(C("x")), x="the backend: page_count: 3")
     assert one(spark, T.query_tokens(C("x")), x="图神经网络 R-precision 图") == ["图神经网络", "R-precision"]
     assert one(spark, T.uuid5(C("x")), x="http://a/b") == str(uuid.uuid5(uuid.NAMESPACE_URL, "http://a/b"))
     assert one(spark, T.parse_heading_path(C("x")), x='["A", " B "]') == ["A", "B"] and one(spark, T.parse_heading_path(C("x")), x="A::B") == ["A", "B"]
@@ -52,6 +56,12 @@ def test_plans():
     assert P.plan("gnn", {"g": ["GNN", "graph network"], "m": ["mdm"]}).aliases == ("graph network",) and P.plan("gnn x", {"g": ["gnn", "y"]}).aliases == ()
     with pytest.raises(ValueError):
         P.expanded_aliases("a", {"x": ["a"], "y": ["A"]})
+    assert P.plan("a\u2015b").normal == "a b" and P.plan("x\u2212y").identifiers == () and P.plan("图神经").terms == ("图神经",)
+    assert P.plan("T2M GPT").identifiers == ("t2m gpt", "t2mgpt") and P.plan("T2MGPT").identifiers == ("t2mgpt", "t2m gpt")
+    assert P.plan("the ResNet 50 v2 model").identifiers == ("the resnet 50 v2 model", "theresnet50v2model", "50 v2 model", "50v2model")
+    assert P.plan('"Foot Sliding" mdm x').normal == "foot sliding mdm x" and P.plan("mdm (two).").terms == ("mdm", "two")
+    with pytest.raises(ValueError):
+        P.plan("  ")
     assert P.recall_variants("R precision") == ("R precision", "R-precision") and P.recall_variants("a cat") == ("a cat",)
     assert P.pool(0, 1) == 200 and P.pool(500, 100) == 2000
 
@@ -86,6 +96,27 @@ def test_bm25_against_fts5(spark):
         assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_graded_matches(spark):
+    from litengine.operators import review as V
+
+    def graded(a, b, pa, pb):
+        r = one(spark, V.annotation_score(C("a"), C("b"), C("pa"), C("pb")), a=a, b=b, pa=pa, pb=pb)
+        return r.score, r.method, r.confidence
+
+    assert graded("A graph!", "a  graph", 3, 3) == (1.0, "text_exact", "high") and graded("A graph!", "a graph", 3, 4) == (0.95, "text_exact", "high")
+    assert graded("on a graph net", "graph net", None, 4) == (0.95, "text_contains", "high") and graded("graph", "on a graph", 1, 2) == (0.75, "normalized_overlap", "medium")
+    assert graded("a b c", "c b z", 2, 2) == (0.85, "normalized_overlap", "medium") and graded("a b c", "x", 2, 2) == (0.35, "page_only", "low") and graded(None, "x", 2, 1) == (0.0, "unknown", "low")
+
+
+def test_exact_matches_of_short_and_long_selections(spark):
+    from litengine.operators import review as V
+
+    notes = spark.createDataFrame([(1, "Graph"), (2, "raph neural networks learn m"), (3, "one two three"), (4, ""), (5, None), (6, "is a graph neural networks")], "note long, selected string")
+    chunks = spark.createDataFrame([(10, "is a graph  neural networks learn much"), (11, "graph"), (12, "graphs one two threes"), (13, None), (14, "zero one two three")], "chunk long, text string")
+    got = {(r.note, r.chunk, r.match) for r in V.exact_matches(notes, chunks, "note", "selected", "text").collect()}
+    assert got == {(1, 10, 0.96), (1, 11, 1.0), (2, 10, 0.96), (3, 14, 0.96), (6, 10, 0.96)}
+
+
 def test_scores_and_fusion(spark):
     row = spark.createDataFrame([(1.0, True, False, 1.0, True, False, False, False, None, "zotero_highlight")], "bm25 double, phrase_hit boolean, identifier_hit boolean, coverage double, title_hit boolean, section_hit boolean, tag_hit boolean, alias_hit boolean, note string, source_type string")
     assert round(lexical.scored(row).first().score, 6) == 10.30

@@ -187,7 +187,7 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 9) -> Model:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Model:
     """Learns from bounded samples outside the held-out fold: documents marked good, and any documents."""
     marks = labels.where(~held_out()).where("quality = 1").select("doc_id").distinct()
-    texts = docs.where(~held_out()).select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = docs.where(~held_out()).select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("bytes", F.octet_length("text"))
     good, any_ = (sample(x, rows).column("text").combine_chunks() for x in (texts.join(marks, "doc_id", "left_semi"), texts))
     return train(features(_plain(good)), features(_plain(any_)))
 

@@ -257,8 +257,8 @@ def _exceptions(folded: list[list[str]], toxic: list[int], lexicon: Lexicon) ->
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Lexicon:
     """Learns from a bounded sample of labelled rows outside the held-out fold. Repeated labels of a document count once."""
     marks = labels.where(~held_out()).where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    known = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(marks, "doc_id")
-    got = sample(known, rows)
+    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("bytes", F.octet_length("text"))
+    got = sample(texts.join(marks, "doc_id"), rows)
     return train(got.column("text").to_pylist(), got.column("toxic").to_pylist())
 
 

@@ -80,6 +80,21 @@ def heuristic_score(terms: Sequence[str], text: Column, title: Column, heading:
     return F.round(10 * share + 6 * some(title) + 5 * some(heading) + 4 * some(tags) + 1.5 * F.least(hits, five) + 2 * F.least(notes, five) + 2 * F.least(relations, five) + channels + fusion, 6)
 
 
+# Ways to rerank.
+RERANKERS = ("none", "heuristic", "external")
+
+
+def reranked(results: DataFrame, mode: str, rank: str, ident: str, score: Column | None = None) -> DataFrame:
+    """RET21, UDF3: results in the order of a rank, or by a score, with mode, external_called and degraded_reason.
+
+    A reranker is a score of each row (an expression or a pandas UDF); ties keep the rank they had. The external way is off: it keeps the order and says so.
+    """
+    if mode not in RERANKERS:
+        raise ValueError(f"unsupported rerank mode: {mode}")
+    out = results.withColumns({"mode": F.lit(mode), "external_called": F.lit(False), "degraded_reason": F.lit("external rerank is disabled" if mode == "external" else None).cast("string")})
+    return out.orderBy(F.desc(score), rank, ident) if mode == "heuristic" else out.orderBy(rank, ident)
+
+
 def grouped_text_score(text: Column, phrase: str, terms: Sequence[str], scale: float = 1.0) -> Column:
     """RET23, RET24: 4 for the phrase, 1.2 for each term as a word."""
     low = F.lower(text)
@@ -137,8 +152,7 @@ def note_passage(*parts: Column) -> Column:
 
 def unified(papers: DataFrame, notes: DataFrame, limit: int, floor: float = 4.0, gap: float = 1.25) -> DataFrame:
     """RET34, RET44, FIL10, FIL11, DUP3: papers near their best score, notes that are relevant enough, each identity once, one order."""
-    best = F.max("score").over(Window.partitionBy(F.lit(1)))
-    p = papers.withColumn("_best", best).where((C("_best") < floor) | (C("score") >= C("_best") - gap)).select("identity", "score", F.lit("pdf").alias("kind"))
+    p = papers.join(F.broadcast(papers.agg(F.max("score").alias("_best")))).where((C("_best") < floor) | (C("score") >= C("_best") - gap)).select("identity", "score", F.lit("pdf").alias("kind"))
     n = notes.where((C("score") >= 0) & ((C("shared") >= 2) | ((C("score") >= 0.5) & (C("semantic") >= 0.65)))).select("identity", "score", F.lit("note").alias("kind"))
     every = p.unionByName(n).withColumn("_r", F.row_number().over(Window.partitionBy("identity").orderBy(F.desc("score"), "kind"))).where("_r = 1").drop("_r")
     return every.orderBy(F.desc("score"), "identity").limit(limit)

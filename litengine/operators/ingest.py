@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -190,9 +189,30 @@ def plan_fingerprint(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256)
 
 
-def document_class(pages: Column, outline: Column, title: Column) -> Column:
-    """ING19: book, article, report or unknown, by pages, outline entries and title."""
-    return F.when((pages >= 120) | (outline >= 25), "book").when(F.lower(title).rlike(r"\b(report|thesis|manual)\b"), "report").when(pages.between(2, 60), "article").otherwise("unknown")
+# Kinds of items in a library, and what marks a thesis.
+ITEM_TYPES = {"book": "book", "bookSection": "book", "thesis": "thesis", "report": "report", "journalArticle": "paper", "conferencePaper": "paper", "preprint": "paper"}
+THESIS = r"(?i)\b(thesis|dissertation)\b|学位论文|硕士|博士"
+
+
+def document_class(item_type: Column, isbn: Column, book_title: Column, title: Column, pages: Column, paper_like: Column, book_outline: Column, chapters: Column) -> Column:
+    """ING19: document_type, object_import_mode, confidence and requires_user_confirmation of a file; null or empty metadata is unknown.
+
+    The type comes from the library's kind of item, signs of a book, a thesis in the title, or pages; the mode and the confidence from type, pages and outline.
+    """
+    given = lambda c: c.isNotNull() & (c != "")
+    typed, book = given(item_type), given(isbn) | given(book_title)
+    thesis = F.coalesce(title.rlike(THESIS), F.lit(False))
+    paper = (pages <= 60) | paper_like
+    listed = reduce(lambda w, kv: w.when(F.trim(item_type) == kv[0], kv[1]), ITEM_TYPES.items(), F.when(F.lit(False), ""))
+    kind = F.when(typed, F.coalesce(listed, F.lit("other"))).when(book, "book").when(thesis, "thesis").when(paper, "paper").otherwise("other")
+    sure = F.when(typed, F.when(listed.isNotNull(), "high").otherwise("medium")).when(book | thesis | paper, "medium").otherwise("low")
+    long, middle = pages >= 120, pages.between(61, 119)
+    chaptered = (typed & kind.isin("book", "thesis", "report")) | (middle & book_outline) | long
+    confidence = F.when(middle, F.when(book_outline, "medium").otherwise("low")).when(long, F.when((sure == "high") | book_outline, "high").otherwise("medium")).otherwise(sure)
+    small = paper_like & (pages <= 60)
+    mode = F.when(chapters >= 5, "chaptered").when(small, "full_document").when(chaptered, "chaptered").otherwise("full_document")
+    ask = F.when(pages <= 60, sure == "low").otherwise(True)
+    return F.struct(kind.alias("document_type"), mode.alias("object_import_mode"), F.when(chapters >= 5, "high").otherwise(confidence).alias("confidence"), ask.alias("requires_user_confirmation"))
 
 
 def fragments(df: DataFrame, kind: str, key: Sequence[str], text: str, order: Sequence[Column], scope: str, title: str) -> DataFrame:

@@ -72,12 +72,6 @@ def related(relations: DataFrame, predicates: Sequence[Column], ident: str, limi
     return reduce(DataFrame.unionByName, parts).dropDuplicates([ident]).orderBy(F.desc(ident), ident).limit(limit)
 
 
-def review_queue(parts: dict[str, DataFrame], ident: str) -> DataFrame:
-    """RES12: what people are to look at, by kind: evidence without confidence first."""
-    every = [df.select(C(ident).alias("id"), F.lit(kind).alias("kind"), F.lit(k).alias("priority")) for k, (kind, df) in enumerate(parts.items())]
-    return reduce(DataFrame.unionByName, every).orderBy("priority", "id")
-
-
 def readiness_score(*present: Column) -> Column:
     """RES13: the share of parts that are there, to four places."""
     return F.round(sum((p.cast("double") for p in present), F.lit(0.0)) / len(present), 4)

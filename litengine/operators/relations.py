@@ -309,6 +309,19 @@ def sync_counts(source: DataFrame, index: DataFrame, key: str, fields: Sequence[
     return out.withColumn("state", F.when(C("indexed") == 0, "unavailable").when((C("missing") + C("orphan") + C("stale")) > 0, "source_drift").otherwise("current"))
 
 
+def sync_status(source: DataFrame, index: DataFrame, fields: Sequence[str], order: str) -> DataFrame:
+    """SET5: sync_counts of records by source_id, or by vector_id where they have none; of records with one identity the last in an order counts."""
+    last = lambda df, ident: df.groupBy(ident.alias("_id")).agg(F.max_by(F.struct(*fields), order).alias("_f")).select("_id", "_f.*")
+    known = F.coalesce(F.nullif(C("source_id").cast("string"), F.lit("")), C("vector_id").cast("string"))
+    return sync_counts(last(source, C("source_id").cast("string")), last(index, known), "_id", fields)
+
+
+def ordered_unique(values: Column) -> Column:
+    """DUP7: trimmed values that are not empty, each once, in the order they first come; a struct of them and the number left out as repeated."""
+    some = F.filter(F.transform(values, lambda v: F.trim(v)), lambda v: v.isNotNull() & (v != ""))
+    return F.struct(F.array_distinct(some).alias("ids"), (F.size(some) - F.size(F.array_distinct(some))).alias("repeated"))
+
+
 def duplicate_candidates(df: DataFrame, group: str, kind: str, ident: str, kinds: Sequence[str]) -> DataFrame:
     """DUP1: groups that hold exactly the given kinds; each of their rows with its peers."""
     w = Window.partitionBy(group)

@@ -41,7 +41,6 @@ column_query("op_ing10_joiner", "conversations", "conv_id, turn", lambda: I.join
 column_query("op_ing11_ocr_text", "pages", "page_id", lambda: I.ocr_text(C("html")), "trim(regexp_replace(replace(replace(replace(replace(regexp_replace(html, '</?(sub|sup|b|i|u|math)[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&'), ' ([,.;:!?，。；：！？])', '\\1', 'g'))")
 column_query("op_ing15_sample_indexes", "documents", "doc_id", lambda: F.array_join(I.sample_indexes(C("doc_id") % 40).cast("array<string>"), ","), "CASE WHEN doc_id % 40 = 0 THEN '' WHEN doc_id % 40 <= 12 THEN array_to_string(range(0, doc_id % 40), ',') ELSE array_to_string(list_transform(range(0, 12), lambda i: round_even(i * (doc_id % 40 - 1) / 11, 0)::INTEGER), ',') END")
 column_query("op_ing17_fingerprint", "documents", "doc_id", lambda: I.plan_fingerprint(C("doc_id"), C("lang"), F.lit(None)), "sha256(doc_id || '|' || lang || '|')")
-column_query("op_ing19_document_class", "part", "p_partkey", lambda: I.document_class(C("p_size") * 4, C("p_size") % 30, F.concat(F.lit("A report of "), "p_name")), "CASE WHEN p_size * 4 >= 120 OR p_size % 30 >= 25 THEN 'book' ELSE 'report' END")
 
 
 LINES = "list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')"

@@ -67,12 +67,6 @@ def related(spark, sf):
     return Y.related(table_of(spark, sf, "orders"), [C("o_custkey") == 7, C("o_orderstatus") == "P", C("o_orderkey") % 500 == 0], "o_orderkey", 100).select("o_orderkey")
 
 
-@query("op_res12_review_queue", "SELECT doc_id AS id, 'toxic' AS kind, 0 AS priority FROM labels WHERE toxic = 1 UNION ALL SELECT doc_id, 'weak', 1 FROM labels WHERE quality = 0")
-def review_queue(spark, sf):
-    l = table_of(spark, sf, "labels")
-    return Y.review_queue({"toxic": l.where("toxic = 1"), "weak": l.where("quality = 0")}, "doc_id")
-
-
 column_query("op_res13_readiness", "documents", "doc_id", lambda: Y.readiness_score(C("lang") == "en", C("doc_id") % 2 == 0, C("doc_id") % 3 == 0), "round(((lang = 'en')::INT + (doc_id % 2 = 0)::INT + (doc_id % 3 = 0)::INT) / 3, 4)")
 column_query("op_int2_verdict_rules", "documents", "doc_id", lambda: Y.verdict_rules(C("doc_id") % 2 == 0, C("doc_id") % 3, C("doc_id") % 5, C("doc_id") % 7 == 0), "array_to_string(list_filter([CASE WHEN doc_id % 2 <> 0 THEN 'database_missing' END, CASE WHEN doc_id % 3 > 0 THEN 'index_drift' END, CASE WHEN doc_id % 5 > 0 THEN 'vectors_stale' END, CASE WHEN doc_id % 7 = 0 THEN 'writes_performed' END], lambda x: x IS NOT NULL), ',')")
 column_query("op_int4_status", "documents", "doc_id", lambda: Y.status(F.when(C("doc_id") % 11 != 0, C("doc_id") % 5), F.lit(3), (C("doc_id") % 2).cast("string"), F.lit("1")), "CASE WHEN doc_id % 11 = 0 THEN 'missing' WHEN doc_id % 5 = 0 THEN 'corrupt' WHEN doc_id % 2 <> 1 THEN 'stale' WHEN doc_id % 5 <> 3 THEN 'source_drift' ELSE 'ready' END")

@@ -17,7 +17,11 @@ C = F.col
 
 # What a column weighs in BM25, and what a source type adds to a score.
 WEIGHTS = {"title": 6.0, "section": 3.0, "tags": 2.0, "text": 1.0, "note": 2.0, "context": 0.75}
-BOOSTS = {"zotero_highlight": 0.45, "zotero_comment": 0.4, "personal_note": 0.3, "markdown_note": 0.2, "pdf_chunk": 0.0}
+# fixed values of the reference: what a source adds to a score
+BOOSTS = {
+    "pdf_chunk": 0.0, "zotero_highlight": 0.45, "zotero_annotation_comment": 0.55, "zotero_child_note": 0.35,
+    "zotero_inspiration_note": 0.45, "personal_note": 0.35, "markdown_note": 0.25,
+}
 K1, B, FLOOR = 1.2, 0.75, 1e-6
 
 _ACCENTED = [chr(c) for c in range(0xC0, 0x250) if len(unicodedata.normalize("NFD", chr(c))) > 1 and ord(unicodedata.normalize("NFD", chr(c))[0]) < 128]
@@ -114,13 +118,18 @@ def signals(df: DataFrame, plan: QueryPlan) -> DataFrame:
     )
 
 
+def source_points(kind: Column) -> Column:
+    """RET11: what a source type adds, and 0.35 more for a reader's own notes and highlights: for all known types but `pdf_chunk`."""
+    own = kind.isin(*(k for k in BOOSTS if k != "pdf_chunk"))
+    boost = F.create_map(*[F.lit(x) for kv in BOOSTS.items() for x in kv])[kind]
+    return F.coalesce(boost, F.lit(0.0)) + F.when(own, 0.35).otherwise(0.0)
+
+
 def scored(df: DataFrame) -> DataFrame:
     """RET10, RET11: BM25 and what the signals and the source add."""
-    boost = F.create_map(*[F.lit(x) for kv in BOOSTS.items() for x in kv])
     one = lambda c, w: C(c).cast("double") * w
-    user = (F.coalesce(F.trim("note"), F.lit("")) != "") | C("source_type").isin("zotero_highlight", "zotero_comment", "personal_note")
     score = C("bm25") + one("phrase_hit", 4.0) + one("identifier_hit", 5.0) + 2.5 * C("coverage") + one("title_hit", 2.0) + one("section_hit", 1.25) + one("tag_hit", 1.25) + one("alias_hit", 1.0)
-    return df.withColumn("score", score + F.coalesce(boost[C("source_type")], F.lit(0.0)) + F.when(user, 0.35).otherwise(0.0))
+    return df.withColumn("score", score + source_points(C("source_type")))
 
 
 def diversified(df: DataFrame, document: str, source: str, score: str, ident: str) -> DataFrame:

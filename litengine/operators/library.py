@@ -18,7 +18,7 @@ def annotation_fragments(annotations: DataFrame, parents: DataFrame, deleted: Da
     """SRC4, SRC6: annotations whose item and parent are not deleted, each as a highlight and, where it has one, a comment."""
     gone = deleted.select(C("id").alias(key))
     kept = annotations.join(gone, key, "left_anti").join(parents, "parent_id").join(deleted.select(C("id").alias("parent_id")), "parent_id", "left_anti")
-    parts = F.array(F.struct(F.lit("zotero_highlight").alias("source_type"), C("text").alias("body")), F.struct(F.lit("zotero_comment").alias("source_type"), C("comment").alias("body")))
+    parts = F.array(F.struct(F.lit("zotero_highlight").alias("source_type"), C("text").alias("body")), F.struct(F.lit("zotero_annotation_comment").alias("source_type"), C("comment").alias("body")))
     out = kept.select(key, "parent_id", "document_id", F.explode(parts).alias("f")).select(key, "parent_id", "document_id", "f.source_type", "f.body")
     return out.where(C("body").isNotNull() & (F.trim("body") != ""))
 

@@ -34,6 +34,6 @@ def table_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
-    from . import aggregates, incremental, ingest, joins, more, retrieval, review, text, workspace  # noqa: F401
+    from . import aggregates, incremental, ingest, joins, more, retrieval, review, states, text, workspace  # noqa: F401
 
     return QUERIES, ORACLES

@@ -17,7 +17,7 @@ from .review import EXACT_SQL
 C = F.col
 
 
-@query("op_src4_annotations", "SELECT a.event_id AS id, s.t AS source_type, CASE s.t WHEN 'zotero_highlight' THEN event_type ELSE comment END AS body FROM (SELECT *, CASE WHEN value > 1 THEN 'c' || event_id END AS comment FROM events) a JOIN (VALUES ('zotero_highlight'), ('zotero_comment')) s(t) ON true JOIN nation ON n_nationkey = user_id WHERE a.event_id % 10 <> 0 AND user_id % 10 <> 0 AND (s.t = 'zotero_highlight' OR comment IS NOT NULL)")
+@query("op_src4_annotations", "SELECT a.event_id AS id, s.t AS source_type, CASE s.t WHEN 'zotero_highlight' THEN event_type ELSE comment END AS body FROM (SELECT *, CASE WHEN value > 1 THEN 'c' || event_id END AS comment FROM events) a JOIN (VALUES ('zotero_highlight'), ('zotero_annotation_comment')) s(t) ON true JOIN nation ON n_nationkey = user_id WHERE a.event_id % 10 <> 0 AND user_id % 10 <> 0 AND (s.t = 'zotero_highlight' OR comment IS NOT NULL)")
 def annotations(spark, sf):
     e = table_of(spark, sf, "events").select(C("event_id").alias("id"), C("user_id").alias("parent_id"), C("event_type").alias("text"), F.when(C("value") > 1, F.concat(F.lit("c"), C("event_id").cast("string"))).alias("comment"))
     parents = table_of(spark, sf, "nation").select(C("n_nationkey").cast("long").alias("parent_id"), C("n_regionkey").alias("document_id"))

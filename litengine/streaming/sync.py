@@ -15,11 +15,6 @@ STAGES = ("planned", "copied", "parsed", "chunked", "indexed", "verified")
 TERMINAL = ("completed", "failed", "cancelled")
 
 
-def should_sync(added: int, changed: int, removed: int, threshold: int, enabled: bool = True) -> bool:
-    """STM2: only when something changed, and not more than the threshold."""
-    return enabled and 0 < added + changed + removed <= threshold
-
-
 def upserted(current: DataFrame, batch: DataFrame, key: str, order: str) -> DataFrame:
     """STM3, STM4: the current rows with those of a batch put in, the last of each key; batches may come twice."""
     from pyspark.sql import Window

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontamination, language_id, line_dedup, mixing, ngram_join, pii, quality, substring_dedup, toxicity
+from . import alignment, ann, decontamination, exact_dedup, language_id, lexical_search, line_dedup, mixing, ngram_join, pii, quality, substring_dedup, toxicity
 from .common import documents
 
 
@@ -96,9 +96,55 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents with the row of its text that stays; edge cases are those of exact_dedup.copies."""
+    return exact_dedup.copies(documents(spark, sf_dir))
+
+
+OP11_SQL = """
+WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), g AS (SELECT t, max(doc_id) AS keep_id, count(*)::BIGINT AS group_size, sha256(t) AS text_sha256 FROM t GROUP BY t)
+SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256 FROM t JOIN g USING (t)
+"""
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for each benchmark item; edge cases are those of lexical_search.search."""
+    return lexical_search.search(lexical_search.build(documents(spark, sf_dir)), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+OP12_SQL = r"""
+WITH w AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws
+  FROM documents
+), d AS (SELECT r, doc_id, len(ws)::BIGINT AS n FROM w WHERE len(ws) > 0
+), s AS (SELECT count(*)::BIGINT AS cn, sum(n)::BIGINT AS cl FROM d
+), q AS (
+  SELECT i, item_id, term, count(*)::BIGINT AS times FROM (
+    SELECT row_number() OVER () AS i, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark) GROUP BY ALL
+), p AS (SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(ws) AS term FROM w) GROUP BY ALL
+), f AS (SELECT term, count(*)::BIGINT AS df FROM p GROUP BY term
+), m AS (SELECT d.r, d.doc_id, 100 - 75 + ((75 * n * cn) // cl) AS m FROM d, s
+), c AS (
+  SELECT i, item_id, r, doc_id, sum(times * floor(1000 * ln((2 * cn + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM q JOIN p USING (term) JOIN f USING (term) JOIN m USING (r), s GROUP BY ALL
+)
+SELECT item_id, (row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score FROM c WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) <= 10
+"""
+
+
+def op13_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizations of every document; edge cases are those of alignment.alignment_counts."""
+    return alignment.alignment_counts(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_source_mixing": mixing.oracle_sql(), "op2_ngram_join": OP2_SQL, "op3_line_dedup": OP3_SQL}
+    return {
+        "op1_source_mixing": mixing.oracle_sql(), "op2_ngram_join": OP2_SQL, "op3_line_dedup": OP3_SQL, "op11_exact_dedup": OP11_SQL, "op12_lexical_search": OP12_SQL,
+    }

@@ -119,9 +119,14 @@ def section_adjustment(section: Column, mechanism: Column) -> Column:
     return F.when(mechanism, out).otherwise(0.0)
 
 
+# A heading that holds one of these is that of references.
+REFERENCE_HEADINGS = ("references", "参考文献", "bibliography")
+
+
 def tier(score: Column, section: Column) -> Column:
-    """RET32."""
-    return F.when(F.lower(section).rlike(r"^(references|bibliography)"), "reference").when(score > 0, "primary").otherwise("secondary")
+    """RET32: reference by the heading, whatever the score; primary for a positive score, else secondary."""
+    low = F.lower(F.coalesce(section, F.lit("")))
+    return F.when(reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in REFERENCE_HEADINGS]), "reference").when(score > 0, "primary").otherwise("secondary")
 
 
 def object_score(query: str, name: Column, aliases: Column, evidence: Column, notes: Column, deprecated: Column) -> Column:

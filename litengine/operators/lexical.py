@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
+from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_for_search
-from ..plans.query_plan import QueryPlan
+from ..plans.query_plan import CJK, PLANNED, QueryPlan
 
 C = F.col
 
@@ -24,6 +26,11 @@ BOOSTS = {
 }
 K1, B, FLOOR = 1.2, 0.75, 1e-6
 
+#: Bits of a row's place in its document, values that are pushed to a scan at most, and ranges of them.
+ROW_BITS, PUSHED, RANGES = 23, 5000, 64
+#: Raised whenever what an index holds changes, so that stored ones are built again.
+VERSION = 3
+
 _ACCENTED = [chr(c) for c in range(0xC0, 0x250) if len(unicodedata.normalize("NFD", chr(c))) > 1 and ord(unicodedata.normalize("NFD", chr(c))[0]) < 128]
 
 
@@ -53,68 +60,187 @@ def terms(posted: DataFrame) -> DataFrame:
     return posted.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count_if("first").alias("df"))
 
 
+def local(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A few rows as a relation of the plan itself, which no job has to read."""
+    names, kinds = zip(*(c.split(" ") for c in schema.split(", ")), strict=True)
+    kind = {"int": pa.int32(), "long": pa.int64(), "bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+    columns = list(zip(*rows, strict=True)) or [()] * len(names)
+    return spark.createDataFrame(pa.table([pa.array(c, kind[k]) for c, k in zip(columns, kinds, strict=True)], names=list(names)), schema)
+
+
+def row_id(document: Column, ordinal: Column) -> Column:
+    """A row's number from its document's and its place there, which no other pair gives: a text has fewer than 2^23 chunks.
+
+    Documents are numbered from -2^40 to 2^40; others are an error."""
+    fits = (F.abs(document) <= 1 << 40) & ordinal.between(0, (1 << ROW_BITS) - 1)
+    return F.when(fits, document * (1 << ROW_BITS) + ordinal).otherwise(F.raise_error(F.concat(F.lit("no row number for "), document.cast("string"))))
+
+
+def document_of(row: Column) -> Column:
+    """The document of a `row_id`."""
+    return F.shiftright(row, ROW_BITS)
+
+
+class Index(NamedTuple):
+    """SNK2: rows with words and grams (how many of each they have), postings of words, and postings of grams with a CJK character."""
+
+    rows: DataFrame
+    postings: DataFrame
+    grams: DataFrame
+
+
+def cjk_grams(x: Column) -> Column:
+    """RET6: the distinct runs of three characters of a text in lower case that hold a CJK character."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(x), F.lit(f"(?s)(?=({CJK}..|.{CJK}.|..{CJK}))"), F.lit(1)))
+
+
+def sized(rows: DataFrame, columns: Sequence[str] = tuple(WEIGHTS)) -> DataFrame:
+    """Rows with words and grams: how many words their columns hold, and how many runs of three characters."""
+    texts = [F.coalesce(C(c), F.lit("")) for c in columns]
+    words = reduce(lambda a, b: a + b, [F.size(tokens(t)) for t in texts])
+    grams = reduce(lambda a, b: a + b, [F.greatest(F.length(t) - 2, F.lit(0)) for t in texts])
+    return rows.withColumns({"words": words, "grams": grams})
+
+
+def gram_postings(rows: DataFrame, key: str, columns: Sequence[str] = tuple(WEIGHTS)) -> DataFrame:
+    """RET6: gram, key: once for each row that holds it in some column."""
+    held = F.array_distinct(F.concat(*[cjk_grams(F.coalesce(C(c), F.lit(""))) for c in columns]))
+    return rows.select(F.explode(held).alias("gram"), key)
+
+
 def index_tables(rows: DataFrame, key: str) -> dict[str, DataFrame]:
-    """SNK2, GEN1: the tables of an index generation. Postings are ranged by token and row, so that a filter of tokens reads
-    few row groups and a frequent token is many files' rows."""
-    posted = postings(rows, key).repartitionByRange("token", key).sortWithinPartitions("token", key)
-    return {"rows": rows, "postings": posted}
+    """SNK2, GEN1: the tables of an index generation. Postings are ranged by token (or gram) and row, so that a filter of
+    tokens reads few row groups and a frequent token is many files' rows; rows are ranged by their number."""
+    ranged = lambda df, *by: df.repartitionByRange(*by).sortWithinPartitions(*by)
+    return {"rows": ranged(sized(rows), key), "postings": ranged(postings(rows, key), "token", key), "grams": ranged(gram_postings(rows, key), "gram", key)}
 
 
-def occurrences(posted: DataFrame, key: str, phrases: Sequence[str]) -> DataFrame:
+def _sizes(rows: DataFrame, posted: DataFrame | None = None) -> tuple[int, int, int]:
+    """How many rows, words and grams there are; of rows without these columns, words are counted as postings."""
+    if "words" in rows.columns:
+        n, words, grams = rows.agg(F.count(F.lit(1)), F.sum("words"), F.sum("grams")).first()
+        return n, words or 0, grams or 0
+    return rows.count(), posted.count() if posted is not None else 0, 0
+
+
+def _bm25(found: DataFrame, by: str, key: str, length: str, n: int, total: int) -> DataFrame:
+    """Of what is found (by, key, length, f: weighted occurrences): by, key, part: what each adds to a row's score."""
+    df = found.groupBy(by).agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log((F.lit(n) - C("df") + 0.5) / (C("df") + 0.5))
+    scored = found.join(df, by).withColumn("idf", F.when(idf <= 0, FLOOR).otherwise(idf))
+    part = C("idf") * C("f") * (K1 + 1) / (C("f") + K1 * (1 - B + B * C(length) / F.lit(max(total, 1) / max(1, n))))
+    return scored.select(by, key, part.alias("part"))
+
+
+def _held(parts: DataFrame, asked: DataFrame, by: str, key: str) -> DataFrame:
+    """query_id, key, bm25 of the rows that hold as many of a query's parts as it needs."""
+    out = asked.join(parts, by).groupBy("query_id", key).agg(F.sum("part").alias("bm25"), F.count(F.lit(1)).alias("_m"), F.max("needed").alias("needed"))
+    return out.where("_m >= needed").select("query_id", key, F.greatest(F.lit(0.0), "bm25").alias("bm25"))
+
+
+def occurrences(posted: DataFrame, key: str, phrases: DataFrame) -> DataFrame:
     """How often each phrase stands in each column of a row, overlapping ones counted: phrase, key, field, words, n.
 
-    Only postings of the phrases' words are read on (a filter that the scan of a stored index takes); a phrase's words meet where they begin at the same place.
+    phrases: a table with that column. Only postings of the phrases' words are read on (a filter that the scan of a stored
+    index takes, while there are at most PUSHED words); a phrase's words meet where they begin at the same place.
     """
-    spark = posted.sparkSession
-    parts = [(p, k, w, len(p.split())) for p in phrases for k, w in enumerate(p.split())]
-    asked = spark.createDataFrame(parts or [("", 0, "", 0)], "phrase string, offset int, token string, size int")
-    met = posted.where(C("token").isin(sorted({p[2] for p in parts}))).join(F.broadcast(asked), "token")
+    cut = F.split("phrase", " ")
+    asked = phrases.select("phrase").distinct().select("phrase", F.size(cut).alias("size"), F.posexplode(cut).alias("offset", "token"))
+    wanted = [r[0] for r in asked.select("token").distinct().limit(PUSHED + 1).collect()]
+    if len(wanted) <= PUSHED:
+        posted = posted.where(C("token").isin(sorted(wanted)))
+    met = posted.join(asked, "token")
     whole = met.groupBy("phrase", key, "field", "words", (C("pos") - C("offset")).alias("at"), "size").agg(F.count(F.lit(1)).alias("m")).where("m = size")
     return whole.groupBy("phrase", key, "field", "words").agg(F.count(F.lit(1)).alias("n"))
 
 
-def bm25(rows: DataFrame, posted: DataFrame, key: str, phrases: Sequence[str], every: bool) -> DataFrame:
-    """RET7: key, bm25 of rows that hold all (or any) of the phrases. Document frequencies are over the whole index."""
-    found = occurrences(posted, key, phrases)
+def word_scores(index: Index, key: str, asked: DataFrame) -> DataFrame:
+    """RET7 for many queries: of asked (query_id, phrase, needed: how many phrases a row must hold), query_id, key, bm25.
+
+    Document frequencies are over the whole index. All queries go through the postings in one plan.
+    """
     weight = F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv])
-    f = found.groupBy("phrase", key, "words").agg(F.sum(C("n") * weight[C("field")]).alias("f"))
-    df = f.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
-    # Both counts come from the footers of a stored index.
-    n, total = rows.count(), posted.count() or 1
-    idf = F.log((F.lit(n) - C("df") + 0.5) / (C("df") + 0.5))
-    scored = f.join(df, "phrase").withColumn("idf", F.when(idf <= 0, FLOOR).otherwise(idf))
-    part = C("idf") * C("f") * (K1 + 1) / (C("f") + K1 * (1 - B + B * C("words") / F.lit(total / max(1, n))))
-    out = scored.groupBy(key).agg(F.sum(part).alias("bm25"), F.count(F.lit(1)).alias("_m"))
-    return out.where(C("_m") >= (len(set(phrases)) if every else 1)).select(key, F.greatest(F.lit(0.0), "bm25").alias("bm25"))
+    found = occurrences(index.postings, key, asked).groupBy("phrase", key, "words").agg(F.sum(C("n") * weight[C("field")]).alias("f"))
+    n, total, _ = _sizes(index.rows, index.postings)
+    return _held(_bm25(found, "phrase", key, "words", n, total), asked, "phrase", key)
 
 
-def trigram(rows: DataFrame, key: str, columns: Sequence[str], terms: Sequence[str]) -> DataFrame:
-    """RET6: rows that hold every term as a substring of some column, whatever its case; score 1 for each column that does."""
-    low = [F.lower(F.coalesce(C(c), F.lit(""))) for c in columns]
-    held = [reduce(lambda a, b: a | b, [F.contains(x, F.lit(t)) for x in low]) for t in terms]
-    hits = reduce(lambda a, b: a + b, [F.contains(x, F.lit(t)).cast("double") for x in low for t in terms], F.lit(0.0))
-    return rows.where(reduce(lambda a, b: a & b, held, F.lit(bool(terms)))).select(key, hits.alias("bm25"))
+def bm25(rows: DataFrame, posted: DataFrame, key: str, phrases: Sequence[str], every: bool) -> DataFrame:
+    """RET7: key, bm25 of rows that hold all (or any) of the phrases."""
+    needed = len(set(phrases)) if every else 1
+    asked = local(rows.sparkSession, [(0, p, needed) for p in dict.fromkeys(phrases)], "query_id int, phrase string, needed int")
+    return word_scores(Index(rows, posted, rows), key, asked).drop("query_id")
+
 
+def substring_candidates(index: Index, key: str, terms: DataFrame) -> DataFrame:
+    """RET6: term, key of rows that may hold a term as a substring; none that does is missing.
+
+    A term with a CJK character is looked for by its grams, all of which its rows have. Another one is, but for its ends, whole
+    words: its longest word is a part of some token, and the rows are those of such tokens.
+    """
+    cut = terms.select("term").distinct().withColumn("gram", cjk_grams(C("term")))
+    by_gram = cut.where(F.size("gram") > 0).select("term", F.size("gram").alias("size"), F.explode("gram").alias("gram"))
+    wanted = [r[0] for r in by_gram.select("gram").distinct().limit(PUSHED + 1).collect()]
+    grams = index.grams.where(C("gram").isin(sorted(wanted))) if len(wanted) <= PUSHED else index.grams
+    first = grams.join(by_gram, "gram").groupBy("term", key, "size").agg(F.count(F.lit(1)).alias("m")).where("m = size").select("term", key)
+    longest = F.element_at(F.array_sort(tokens(C("term")), lambda a, b: F.length(b) - F.length(a)), 1)
+    words = [tuple(r) for r in cut.where(F.size("gram") == 0).select("term", longest).collect()]  # words of some query lines
+    if not words:
+        return first
+    asked = F.broadcast(local(terms.sparkSession, words, "term string, word string"))
+    token = index.postings.select("token").distinct().join(asked, F.contains("token", "word")).select("term", "token")
+    return first.unionByName(index.postings.select("token", key).join(token, "token").select("term", key).distinct())
+
+
+def substring_scores(index: Index, key: str, asked: DataFrame) -> DataFrame:
+    """RET6 for many queries: of asked (query_id, term, needed), query_id, key, bm25 over runs of three characters.
+
+    Candidates come from postings, and each is verified: how often a column in lower case holds the term, overlapping ones
+    counted.
+    """
+    candidates = substring_candidates(index, key, asked)
+    times = [F.regexp_count(F.lower(F.coalesce(C(c), F.lit(""))), F.concat(F.lit("(?="), C("term"), F.lit(")"))) * F.lit(w) for c, w in WEIGHTS.items()]
+    found = index.rows.join(candidates, key).select("term", key, "grams", reduce(lambda a, b: a + b, times).alias("f")).where("f > 0")
+    n, _, total = _sizes(index.rows)
+    return _held(_bm25(found, "term", key, "grams", n, total), asked, "term", key)
 
-def fused(channels: Sequence[DataFrame], key: str) -> DataFrame:
+
+def short_scores(index: Index, key: str, asked: DataFrame) -> DataFrame:
+    """FIL6 for many queries of one or two characters (query_id, normal, cjk): rows whose text's normal form holds them; 0.25.
+
+    CJK ones anywhere, others as whole words. Words are found in postings of the text, and checked in the text.
+    """
+    first = F.element_at(F.split("normal", " "), 1)
+    words = [tuple(r) for r in asked.select("query_id", "normal", "cjk", first).collect()]  # a few characters for each query line
+    short = F.broadcast(local(asked.sparkSession, words, f"query_id {asked.schema['query_id'].dataType.simpleString()}, normal string, cjk boolean, word string"))
+    posted = index.postings.where("field = 'text'")
+    token = posted.select("token").distinct().join(short, F.when(C("cjk"), F.contains("token", "word")).otherwise(C("token") == C("word")))
+    rows = posted.select("token", key).join(token, "token").select("query_id", "normal", "cjk", key).distinct()
+    text = normalize_for_search(F.coalesce(C("text"), F.lit("")))
+    held = F.when(C("cjk"), F.contains(text, C("normal"))).otherwise(F.contains(F.concat(F.lit(" "), text, F.lit(" ")), F.concat(F.lit(" "), "normal", F.lit(" "))))
+    return index.rows.select(key, "text").join(rows, key).where(held).select("query_id", key, F.lit(0.25).alias("bm25"))
+
+
+def fused(channels: Sequence[DataFrame], key: str, *more: str) -> DataFrame:
     """RET8: the best channel's score and a tenth of the others'."""
-    every = reduce(DataFrame.unionByName, [c.select(key, "bm25") for c in channels])
-    return every.groupBy(key).agg((F.max("bm25") + 0.1 * (F.sum("bm25") - F.max("bm25"))).alias("bm25"))
-
-
-def signals(df: DataFrame, plan: QueryPlan) -> DataFrame:
-    """RET9: what the normal forms of the columns hold, as substrings: phrase, identifier, coverage, title, section, tag, alias."""
-    columns = list(WEIGHTS)
-    norm = {c: normalize_for_search(F.coalesce(C(c), F.lit(""))) for c in columns}
-    holds = lambda c, t: F.contains(norm[c], F.lit(t))
-    anywhere = lambda t: reduce(lambda a, b: a | b, [holds(c, t) for c in columns])
-    some = lambda parts: reduce(lambda a, b: a | b, parts, F.lit(False))
-    parts = (*plan.phrases, *plan.terms)
-    whole = plan.phrases or ((plan.normal,) if len(plan.terms) > 1 else ())
-    covered = sum((anywhere(t).cast("double") for t in parts), F.lit(0.0)) / max(1, len(parts))
-    return df.select(
-        "*", some([anywhere(p) for p in whole]).alias("phrase_hit"), some([anywhere(v) for v in plan.identifiers]).alias("identifier_hit"), covered.alias("coverage"),
-        some([holds("title", t) for t in parts]).alias("title_hit"), some([holds("section", t) for t in parts]).alias("section_hit"), some([holds("tags", t) for t in parts]).alias("tag_hit"), some([anywhere(a) for a in plan.aliases]).alias("alias_hit"),
+    every = reduce(DataFrame.unionByName, [c.select(*more, key, "bm25") for c in channels])
+    return every.groupBy(*more, key).agg((F.max("bm25") + 0.1 * (F.sum("bm25") - F.max("bm25"))).alias("bm25"))
+
+
+def signals(df: DataFrame) -> DataFrame:
+    """RET9: what the normal forms of the columns hold, as substrings: phrase, identifier, coverage, title, section, tag, alias.
+
+    df: rows with the columns of their query's plan."""
+    norm = {c: normalize_for_search(F.coalesce(C(c), F.lit(""))) for c in WEIGHTS}
+    wide = df.withColumns({f"_n_{c}": x for c, x in norm.items()}).withColumn("_parts", F.array_distinct(F.concat("phrases", "terms")))
+    holds = lambda c, t: F.contains(C(f"_n_{c}"), t)
+    anywhere = lambda t: reduce(lambda a, b: a | b, [holds(c, t) for c in WEIGHTS])
+    whole = F.when(F.size("phrases") > 0, C("phrases")).when(F.size("terms") > 1, F.array("normal")).otherwise(F.array().cast("array<string>"))
+    covered = F.size(F.filter("_parts", anywhere)) / F.greatest(F.size("_parts"), F.lit(1))
+    return wide.select(
+        *df.columns, F.exists(whole, anywhere).alias("phrase_hit"), F.exists("identifiers", anywhere).alias("identifier_hit"), covered.alias("coverage"),
+        F.exists("_parts", lambda t: holds("title", t)).alias("title_hit"), F.exists("_parts", lambda t: holds("section", t)).alias("section_hit"),
+        F.exists("_parts", lambda t: holds("tags", t)).alias("tag_hit"), F.exists("aliases", anywhere).alias("alias_hit"),
     )
 
 
@@ -132,11 +258,11 @@ def scored(df: DataFrame) -> DataFrame:
     return df.withColumn("score", score + source_points(C("source_type")))
 
 
-def diversified(df: DataFrame, document: str, source: str, score: str, ident: str) -> DataFrame:
-    """RET12: candidates in greedy order: +0.6 for a document and +0.3 for a source type not yet seen, none for the first.
+def diversified(df: DataFrame, document: str, source: str, score: str, ident: str, *by: str) -> DataFrame:
+    """RET12: candidates (of each query) in greedy order: +0.6 for a document and +0.3 for a source type not yet seen, none for the first.
 
     Ties go to the higher bm25, then the smaller base rank, then the larger id. Each pick depends on those before it, so
-    one task orders a candidate pool, which is bounded by the pool's limit.
+    one task orders the candidates of a query, which are bounded by the pool's limit.
     """
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -153,29 +279,108 @@ def diversified(df: DataFrame, document: str, source: str, score: str, ident: st
         return pd.DataFrame(order, columns=[*pdf.columns, "rank"])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
-    return df.groupBy(F.lit(1).alias("_all")).applyInPandas(lambda pdf: greedy(pdf.drop(columns="_all", errors="ignore")), f"{fields}, rank int")
+    groups = df.groupBy(*by) if by else df.groupBy(F.lit(1).alias("_all"))
+    return groups.applyInPandas(lambda pdf: greedy(pdf.drop(columns="_all", errors="ignore")), f"{fields}, rank int")
 
 
-def retrieved(rows: DataFrame, posted: DataFrame, key: str, plan: QueryPlan, limit: int = 20, offset: int = 0, coverage: bool = False) -> DataFrame:
-    """RET13: candidates of the word and trigram channels, each limited to the pool, their signals and scores, one page."""
+def rows_of(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows of a stored table (ranged by key) that have some of these numbers.
+
+    Up to PUSHED numbers go to the scan as the ranges between their widest gaps, so that other row groups are not read.
+    """
+    ids = sorted(r[0] for r in wanted.select(key).distinct().limit(PUSHED + 1).collect())
+    if len(ids) > PUSHED:
+        return rows.join(wanted.select(key).distinct(), key)
+    cuts = sorted(sorted(range(1, len(ids)), key=lambda i: ids[i - 1] - ids[i])[: RANGES - 1])
+    ranges = [C(key).between(ids[i], ids[j - 1]) for i, j in zip([0, *cuts], [*cuts, len(ids)], strict=True)] if ids else [F.lit(False)]
+    return rows.where(reduce(lambda a, b: a | b, ranges)).join(F.broadcast(wanted.select(key).distinct()), key)
+
+
+def per_query(*order: Column | str) -> Column:
+    """A row's place among those of its query."""
+    return F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
+
+
+def candidates(index: Index, key: str, plans: DataFrame, most: int, coverage: bool = False) -> DataFrame:
+    """RET8, TOP2 for a table of planned queries: query_id, key, bm25, base_rank of what the word, substring and short channels find.
+
+    Each channel gives `most` rows of a query. All queries go through the index together; the result is stored.
+    """
+    from ..sources.tables import written
+
+    needed = F.when(C("every"), F.size("parts")).otherwise(1)
+    channels = [word_scores(index, key, plans.select("query_id", F.explode("parts").alias("phrase"), needed.alias("needed")))]
+    alone = (F.size("parts") == 0) & (F.size("substrings") == 0)
+    some_substring, some_short = plans.agg(F.max(F.size("substrings") > 0), F.max(alone)).first()
+    if some_substring:
+        wanted = F.lit(1) if coverage else F.size("substrings")
+        channels.append(substring_scores(index, key, plans.select("query_id", F.explode("substrings").alias("term"), wanted.alias("needed"))))
+    if some_short:
+        channels.append(short_scores(index, key, plans.where(alone).select("query_id", "normal", "cjk")))
+    order = (F.desc(F.round("bm25", 9)), C(key))
+    best = [c.withColumn("_r", per_query(*order)).where(C("_r") <= most).drop("_r") for c in channels]
+    return written(fused(best, key, "query_id").withColumn("base_rank", per_query(*order)), "candidates")
+
+
+def search(index: Index, key: str, plans: DataFrame, limit: int = 20, offset: int = 0, coverage: bool = False) -> DataFrame:
+    """RET13 for a table of planned queries: the rows of each query's page, with query_id, rank (from 1), score, bm25 and signals.
+
+    Sums are compared to nine digits; equal scores go by BM25, by the place among the candidates, and by id (TOP1).
+    """
     from ..plans.query_plan import pool
 
-    phrases, every = plan.required(coverage)
-    channels = []
-    if phrases:
-        channels.append(bm25(rows, posted, key, phrases, every))
-    if plan.substrings():
-        channels.append(trigram(rows, key, list(WEIGHTS), plan.substrings()))
-    if not channels:
-        # FIL6: a query of one or two characters is looked for as a whole word.
-        norm = F.concat(F.lit(" "), normalize_for_search(C("text")), F.lit(" "))
-        channels.append(rows.where(F.contains(norm, F.lit(f" {plan.normal} "))).select(key, F.lit(0.25).alias("bm25")))
-    best = [c.orderBy(F.desc(F.round("bm25", 9)), key).limit(pool(offset, limit)) for c in channels]
-    # Sums are compared to nine digits. Equal scores go by BM25, by the place among the candidates, and by id.
-    near = lambda c: F.desc(F.round(c, 9))
-    first = fused(best, key)
-    first = first.withColumn("base_rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(near("bm25"), key)))
-    found = scored(signals(rows.join(first, key), plan))
+    first = candidates(index, key, plans, pool(offset, limit), coverage)
+    found = rows_of(index.rows, key, first).join(first, key).join(plans.withColumnRenamed("text", "query_text"), "query_id")
+    found = scored(signals(found))
     if coverage:
-        return diversified(found.select(key, "document_id", "source_type", "score", "bm25", "base_rank"), "document_id", "source_type", "score", key).orderBy("rank").offset(offset).limit(limit)
-    return found.orderBy(near("score"), near("bm25"), "base_rank", key).offset(offset).limit(limit)
+        ranked = diversified(found.select("query_id", key, "document_id", "source_type", "score", "bm25", "base_rank"), "document_id", "source_type", "score", key, "query_id")
+    else:
+        near = lambda c: F.desc(F.round(c, 9))
+        ranked = found.withColumn("rank", per_query(near("score"), near("bm25"), "base_rank", key))
+    return ranked.where(C("rank").between(offset + 1, offset + limit))
+
+
+def word_overlap(terms: Column, title: Column, section: Column, text: Column) -> Column:
+    """A stand-in for a cross-encoder's score of a query and a passage: positive where the passage holds more than half of the
+    query's words, or some and its title or section do too."""
+    holds = lambda x: F.size(F.filter(terms, lambda t: F.contains(normalize_for_search(F.coalesce(x, F.lit(""))), t)))
+    return F.round(10.0 * holds(text) / F.greatest(F.size(terms), F.lit(1)) + 3.0 * (holds(title) > 0).cast("double") + 2.5 * (holds(section) > 0).cast("double") - 5.0, 6)
+
+
+def reranked_variants(index: Index, key: str, queries: DataFrame, limit: int = 10, recall_limit: int = 20, scorer: Callable[..., Column] = word_overlap) -> DataFrame:
+    """RET30: queries (query_id, text) to query_id, rank, key, rerank_score, tier, recall_rank, variant.
+
+    Up to three spellings of every query (RET31) go through the index in one plan. Their lists are dealt in turn, each row
+    once (TOP11); a scorer compares each with the words of the query as it was asked; rows are tiered by score and heading
+    (RET32) and ordered by score, then by their place in the deal. At most 50 rows are recalled. Null and blank queries have no rows.
+    """
+    from ..plans.query_plan import normalized, planned, recall_variants
+    from ..sources.tables import written
+    from .fusion import tier
+
+    recall_limit = max(1, min(recall_limit, 50))
+    kind = queries.schema["query_id"].dataType.simpleString()
+
+    def spelled(pieces: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for piece in pieces:
+            asked = [(q, k, v, list(dict.fromkeys(normalized(t).split()))) for q, t in zip(piece["query_id"], piece["text"], strict=True) if t and t.strip() for k, v in enumerate(recall_variants(t))]
+            yield pd.DataFrame(asked, columns=["asked_id", "variant", "text", "words"])
+
+    variants = queries.select("query_id", F.col("text").cast("string").alias("text")).mapInPandas(spelled, f"asked_id {kind}, variant int, text string, words array<string>")
+    variants = written(variants.select(F.monotonically_increasing_id().alias("query_id"), "*"), "variants")
+    found = candidates(index, key, planned(variants), recall_limit).where(C("base_rank") <= recall_limit)
+    dealt = found.join(variants.select("query_id", "asked_id", "variant", C("words").alias("asked_words")), "query_id").groupBy(C("asked_id").alias("query_id"), key)
+    dealt = dealt.agg(F.min(F.struct(C("base_rank").alias("recall_rank"), "variant")).alias("at"), F.first("asked_words").alias("asked_words"))
+    dealt = dealt.select("query_id", key, "at.*", "asked_words").withColumn("_place", per_query("recall_rank", "variant")).where(C("_place") <= recall_limit)
+    score = scorer(C("asked_words"), C("title"), C("section"), C("text"))
+    out = rows_of(index.rows, key, dealt).join(dealt, key).withColumn("rerank_score", score).withColumn("tier", tier(C("rerank_score"), C("section")))
+    out = out.withColumn("rank", per_query(F.desc("rerank_score"), "_place"))
+    return out.where(C("rank") <= max(1, min(limit, recall_limit))).select("query_id", "rank", key, "rerank_score", "tier", "recall_rank", "variant")
+
+
+def retrieved(index: Index, key: str, plan: QueryPlan, limit: int = 20, offset: int = 0, coverage: bool = False) -> DataFrame:
+    """RET13 for one query: its page, in order."""
+    parts, every = plan.required(coverage)
+    row = (0, plan.text, plan.normal, *map(list, (plan.phrases, plan.terms, plan.identifiers, plan.aliases)), plan.cjk, plan.short, list(parts), every, list(plan.substrings()))
+    plans = local(index.rows.sparkSession, [row], PLANNED.format("int"))
+    return search(index, key, plans, limit, offset, coverage).orderBy("rank").drop("query_id")

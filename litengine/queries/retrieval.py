@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import inspect
+import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import deltas as D
 from ..operators import fusion as X
 from ..operators import ingest as I
 from ..operators import lexical as L
@@ -18,27 +21,29 @@ from . import column_query, query, table_of
 C = F.col
 
 
-def fragments(spark, sf):
+def fragments(documents):
     """Chunks of documents as fragments with all columns that the index knows."""
-    chunks = I.chunks(table_of(spark, sf, "documents"))
+    chunks = I.chunks(documents)
     return chunks.select(
-        (C("doc_id") * 1000 + C("chunk_index")).alias("row_id"), C("doc_id").alias("document_id"), F.lit("pdf_chunk").alias("source_type"), C("source").alias("title"), C("lang").alias("section"),
+        L.row_id(C("doc_id"), C("chunk_index")).alias("row_id"), C("doc_id").alias("document_id"), F.lit("pdf_chunk").alias("source_type"), C("source").alias("title"), C("lang").alias("section"),
         F.concat(F.lit("t"), (C("doc_id") % 3).cast("string")).alias("tags"), C("chunk_text").alias("text"), F.lit("").alias("note"), F.lit("").alias("context"),
     )
 
 
-def stored_index(spark, sf):
-    """Rows and postings of the active index generation of a library, built where there is none of these files yet."""
-    root = f"{S.shared_folder(spark)}/lexical-{hashlib.sha256(sf.encode()).hexdigest()[:16]}"
-    now = S.files_fingerprint(spark, f"{sf}/documents.parquet")
+def stored_index(spark, sf, kind="", change=lambda d: d):
+    """The active index generation of a library, built where there is none of these files and this version yet.
+
+    `change` is made to documents before they are indexed; each kind of change has an index of its own."""
+    root = f"{S.shared_folder(spark)}/lexical{kind}-{hashlib.sha256(sf.encode()).hexdigest()[:16]}"
+    now = f"{S.files_fingerprint(spark, f'{sf}/documents.parquet')} version {L.VERSION} chunks {inspect.signature(I.chunks)} columns {' '.join(L.WEIGHTS)}"
     if S.active(spark, root, now)["state"] != "ready":
-        S.publish(spark, root, L.index_tables(fragments(spark, sf), "row_id"), now)
-    return S.generation(spark, root, "rows"), S.generation(spark, root, "postings")
+        S.publish(spark, root, L.index_tables(fragments(change(table_of(spark, sf, "documents"))), "row_id"), now)
+    return L.Index(*(S.generation(spark, root, t) for t in L.Index._fields))
 
 
 STARTS = "CASE WHEN length(text) > 700 THEN range(0, greatest(0, ceil((length(text) - 500) / 450.0))::BIGINT * 450 + 1, 450) ELSE [0] END"
 TOK = "list_filter(string_split(lower(strip_accents(regexp_replace({}, '[^\\p{{L}}\\p{{N}}\\p{{Co}}]+', ' ', 'g'))), ' '), lambda w: w <> '')"
-FRAGMENTS = f"""f AS (SELECT doc_id * 1000 + row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS row_id, doc_id AS document_id, source AS title, lang AS section, 't' || doc_id % 3 AS tags, c AS text
+FRAGMENTS = f"""f AS (SELECT doc_id * 8388608 + row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS row_id, doc_id AS document_id, source AS title, lang AS section, 't' || doc_id % 3 AS tags, c AS text
   FROM (SELECT *, trim(substr(text, start + 1, CASE WHEN length(text) > 700 THEN 500 ELSE 700 END)) AS c FROM (SELECT doc_id, source, lang, text, unnest({STARTS}) AS start FROM documents WHERE length(text) > 0)) WHERE c <> ''),
 post AS (SELECT row_id, w, field, unnest(range(len(ws))) AS pos, unnest(ws) AS token FROM (
   SELECT row_id, 6.0 AS w, 'title' AS field, {TOK.format('title')} AS ws FROM f UNION ALL SELECT row_id, 3.0, 'section', {TOK.format('section')} FROM f
@@ -59,13 +64,16 @@ bm AS (SELECT row_id, sum(CASE WHEN idf <= 0 THEN 1e-6 ELSE idf END * f * 2.2 /
 
 @query("op_ret7_bm25", f"WITH {FRAGMENTS}, {bm25_sql(['the and', 'ing'], False)} SELECT row_id, round(bm25, 6) AS bm25 FROM bm")
 def bm25(spark, sf):
-    rows, posted = stored_index(spark, sf)
-    return L.bm25(rows, posted, "row_id", ["the and", "ing"], False).select("row_id", F.round("bm25", 6).alias("bm25"))
+    index = stored_index(spark, sf)
+    return L.bm25(index.rows, index.postings, "row_id", ["the and", "ing"], False).select("row_id", F.round("bm25", 6).alias("bm25"))
 
 
 @query("op_snk2_index", f"WITH {FRAGMENTS} SELECT token, count(*) AS n, count(DISTINCT row_id) AS df FROM post GROUP BY token")
 def index(spark, sf):
-    return L.terms(stored_index(spark, sf)[1])
+    """A generation built anew, and what it holds of each token."""
+    root = f"{S.shared_folder(spark)}/lexical-built-{uuid.uuid4().hex}"
+    S.publish(spark, root, L.index_tables(fragments(table_of(spark, sf, "documents")), "row_id"), "built")
+    return L.terms(S.generation(spark, root, "postings"))
 
 
 NORM = "trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
@@ -84,31 +92,113 @@ SELECT row_id, round(score, 6) AS score FROM (SELECT row_id, bm25, bm25 + 4.0 *
 def lexical(name, text, sql):
     @query(name, sql)
     def run(spark, sf):
-        return L.retrieved(*stored_index(spark, sf), "row_id", P.plan(text)).select("row_id", F.round("score", 6).alias("score"))
+        return L.retrieved(stored_index(spark, sf), "row_id", P.plan(text)).select("row_id", F.round("score", 6).alias("score"))
 
 
 lexical("op_ret13_lexical", "the and", lexical_sql(["the", "and"], True, ["the and"], ["the", "and"]))
 lexical("op_ret5_quoted", '"the and" ing', lexical_sql(["the and", "ing"], True, ["the and"], ["the and", "ing"]))
-lexical("op_ret2_identifier", "src-3", lexical_sql(["src 3", "src3"], False, ["src 3"], ["src", "3"], ["src 3", "src3"]))
+lexical("op_ret2_identifier", "src3-the", lexical_sql(["src3", "the"], True, ["src3 the"], ["src3", "the"], ["src3 the", "src3the"]))
+lexical("op_ret5_identifier_parts", "ing src3-and", lexical_sql(["ing", "src3", "and"], True, ["ing src3 and"], ["ing", "src3", "and"], ["ing src3 and", "ingsrc3and", "src3 and", "src3and"]))
+lexical("op_ret5_spelled", "SRC3", lexical_sql(["src3"], False, [], ["src3"], ["src3"]))
 lexical("op_ret10_single_term", "pathetic", lexical_sql(["pathetic"], True, [], ["pathetic"]))
 
 
-@query("op_ret1_query_plans")
+@query("op_ret1_query_plans", r"""WITH q AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark), t AS (SELECT item_id, w, '"' || w[2] || ' ' || w[3] || '" ' || w[4] || ' ' || w[5] || ' ' || w[4] || '-9' AS text FROM q)
+SELECT item_id AS query_id, text, w[2] || ' ' || w[3] || ' ' || array_to_string(list_distinct_kept, ' ') AS normal, [w[2] || ' ' || w[3]] AS phrases, list_distinct_kept AS terms, true AS every FROM (SELECT *, CASE WHEN w[4] = w[5] THEN [w[4], '9'] ELSE [w[4], w[5], '9'] END AS list_distinct_kept FROM t)""")
 def query_plans(spark, sf):
-    """RET1 to RET5 of a few lines of query text, which are worked out on the driver."""
-    texts = ("the and", '"foot sliding" MDM', "R-precision", "T2M GPT", "GNN", "\u56fe\u795e\u7ecf\u7f51\u7edc model", "a", "x\u20153")
-    plans = [P.plan(t) for t in texts]
-    return spark.createDataFrame([(p.text, p.normal, list(p.phrases), list(p.terms), list(p.identifiers), p.cjk, p.short) for p in plans], "text string, normal string, phrases array<string>, terms array<string>, identifiers array<string>, cjk boolean, short boolean")
+    """RET1 to RET6 of a table of query lines."""
+    w = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"))
+    line = F.concat(F.lit('"'), w[1], F.lit(" "), w[2], F.lit('" '), w[3], F.lit(" "), w[4], F.lit(" "), w[3], F.lit("-9"))
+    return P.planned(table_of(spark, sf, "benchmark").select(C("item_id").alias("query_id"), line.alias("text"))).select("query_id", "text", "normal", "phrases", "terms", "every")
 
 
 @query("op_ret12_diversified")
 def coverage(spark, sf):
-    return L.retrieved(*stored_index(spark, sf), "row_id", P.plan("the tion"), coverage=True)
+    return L.retrieved(stored_index(spark, sf), "row_id", P.plan("the tion"), coverage=True)
+
+
+# Letters of a text as CJK characters: the bundled documents have none.
+LETTERS, CHARACTERS = "etaoinshr", "\u7684\u4e00\u662f\u4e0d\u4e86\u5728\u4eba\u6709\u6211"
+
+
+def in_cjk(documents):
+    return documents.withColumn("text", F.when(C("lang") == "en", F.translate("text", LETTERS, CHARACTERS)).otherwise(C("text")))
+
+
+def cjk_query(parts):
+    return [p.translate(str.maketrans(LETTERS, CHARACTERS)) for p in parts]
+
+
+CJK_FRAGMENTS = FRAGMENTS.replace("FROM documents", f"FROM (SELECT * REPLACE (CASE WHEN lang = 'en' THEN translate(text, '{LETTERS}', '{CHARACTERS}') ELSE text END AS text) FROM documents)")
+
+
+def trigram_sql(terms, every):
+    """RET6's scores of some substrings: BM25 over runs of three characters."""
+    times = lambda c, w, t: f"{w} * len(list_filter(range(1, length({c}) + 1), lambda i: substr(lower({c}), i, {len(t)}) = '{t}'))"
+    parts = " UNION ALL ".join(f"SELECT '{t}' AS term, row_id, {times('title', 6.0, t)} + {times('section', 3.0, t)} + {times('tags', 2.0, t)} + {times('text', 1.0, t)} AS f FROM f WHERE contains(lower(concat_ws(chr(10), title, section, tags, text)), '{t}')" for t in terms)
+    return f"""WITH {CJK_FRAGMENTS}, g AS (SELECT row_id, greatest(length(title) - 2, 0) + greatest(length(coalesce(section, '')) - 2, 0) + greatest(length(tags) - 2, 0) + greatest(length(text) - 2, 0) AS grams FROM f),
+ga AS (SELECT count(*) AS n, sum(grams) / count(*) AS a FROM g), o AS (SELECT * FROM ({parts}) WHERE f > 0), d AS (SELECT term, count(*) AS df FROM o GROUP BY 1)
+SELECT row_id, round(sum(CASE WHEN idf <= 0 THEN 1e-6 ELSE idf END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * grams / a))), 6) AS bm25 FROM (
+  SELECT o.row_id, f, grams, a, ln((n - df + 0.5) / (df + 0.5)) AS idf FROM o JOIN d USING (term) JOIN g USING (row_id), ga) GROUP BY row_id HAVING count(*) >= {len(terms) if every else 1}"""
+
+
+def trigram_query(name, parts, every):
+    @query(name, trigram_sql(cjk_query(parts), every))
+    def run(spark, sf):
+        terms = cjk_query(parts)
+        asked = L.local(spark, [(0, t, len(terms) if every else 1) for t in terms], "query_id int, term string, needed int")
+        return L.substring_scores(stored_index(spark, sf, "-cjk", in_cjk), "row_id", asked).select("row_id", F.round("bm25", 6).alias("bm25"))
+
+
+trigram_query("op_ret6_trigram", ["the", "ion"], True)
+trigram_query("op_ret6_trigram_coverage", ["thand", "ung d", "blew"], False)
+
+
+HOLDS = lambda c: f"len(list_filter(ws, lambda t: contains({NORM.format(c)}, t)))"
+
+
+@query("op_ret30_reranked_variants", f"""WITH {FRAGMENTS}, w AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark),
+q AS (SELECT 2 * item_id AS query_id, 0 AS variant, w[2:4] AS ws, w[2:4] AS ts FROM w UNION ALL SELECT 2 * item_id + 1, 0, [substr(w[5], 1, 2), w[6]], [substr(w[5], 1, 2), w[6]] FROM w
+  UNION ALL SELECT 2 * item_id + 1, 2, [substr(w[5], 1, 2), w[6]], [substr(w[5], 1, 2) || w[6]] FROM w WHERE length(w[6]) >= 2 AND w[5] NOT IN ('a', 'i')),
+t AS (SELECT query_id, variant, list_distinct(ws) AS ws, unnest(list_distinct(ts)) AS token, len(list_distinct(ts)) AS needed FROM q),
+oc AS (SELECT token, row_id, sum(w) AS f FROM post WHERE token IN (SELECT token FROM t) GROUP BY ALL), d AS (SELECT token, count(*) AS df FROM oc GROUP BY 1),
+pt AS (SELECT token, row_id, CASE WHEN idf <= 0 THEN 1e-6 ELSE idf END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * words / a)) AS part FROM (SELECT oc.*, words, a, ln((n - df + 0.5) / (df + 0.5)) AS idf FROM oc JOIN d USING (token) JOIN len USING (row_id), st, av)),
+b AS (SELECT query_id, variant, ws, row_id, greatest(0, sum(part)) AS bm25 FROM t JOIN pt USING (token) GROUP BY ALL HAVING count(*) >= any_value(needed)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id, variant ORDER BY round(bm25, 9) DESC, row_id) AS base FROM b QUALIFY base <= 20),
+m AS (SELECT query_id, ws, row_id, min((base, variant)) AS dealt FROM r GROUP BY ALL), p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dealt) AS place FROM m QUALIFY place <= 20),
+s AS (SELECT query_id, row_id, place, round(10.0 * {HOLDS('text')} / len(ws) + 3.0 * ({HOLDS('title')} > 0)::INT + 2.5 * ({HOLDS('section')} > 0)::INT - 5.0, 6) AS rerank_score FROM p JOIN f USING (row_id))
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, place) AS rank, row_id, rerank_score, CASE WHEN rerank_score > 0 THEN 'primary' ELSE 'secondary' END AS tier FROM s QUALIFY rank <= 10""")
+def reranked_variants(spark, sf):
+    """Two lines of every benchmark item: three of its words, and a short name with a dash, which has three spellings."""
+    w = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"))
+    lines = F.array(F.array_join(F.slice(w, 2, 3), " "), F.concat(F.substring(w[4], 1, 2), F.lit("-"), w[5]))
+    queries = table_of(spark, sf, "benchmark").select("item_id", F.posexplode(lines).alias("k", "text")).select((2 * C("item_id") + C("k")).alias("query_id"), "text")
+    return L.reranked_variants(stored_index(spark, sf), "row_id", queries).select("query_id", "rank", "row_id", "rerank_score", "tier")
+
+
+def changed(documents):
+    """A library in which every hundredth document is rewritten and another hundredth is gone: (rewritten, gone)."""
+    at = F.pmod(C("doc_id"), F.lit(100))
+    return documents.where(at == 7).withColumn("text", F.concat(F.lit("rewritten the and "), F.substring("text", 1, 3000))), documents.where(at == 8)
+
+
+CHANGED = "FROM (SELECT * REPLACE (CASE WHEN doc_id % 100 = 7 THEN 'rewritten the and ' || substr(text, 1, 3000) ELSE text END AS text) FROM documents WHERE doc_id % 100 <> 8)"
+
+
+def delta(name, phrases, every):
+    @query(name, f"WITH {FRAGMENTS.replace('FROM documents', CHANGED)}, {bm25_sql(phrases, every)} SELECT row_id, round(bm25, 6) AS bm25 FROM bm")
+    def run(spark, sf):
+        folder = f"{S.shared_folder(spark)}/lexical-changes-{uuid.uuid4().hex}"
+        new, gone = changed(table_of(spark, sf, "documents"))
+        ids = lambda d: d.select(C("doc_id").alias("document_id"))
+        D.upsert(spark, folder, "row_id", ids(new), fragments(new))
+        D.upsert(spark, folder, "row_id", ids(gone), None)
+        index = D.merged(stored_index(spark, sf), folder, "row_id")
+        return L.bm25(index.rows, index.postings, "row_id", phrases, every).select("row_id", F.round("bm25", 6).alias("bm25"))
 
 
-@query("op_ret6_trigram", "SELECT n_nationkey, (contains(lower(n_name), 'an')::INT + contains(lower(n_name), 'a')::INT)::DOUBLE AS bm25 FROM nation WHERE contains(lower(n_name), 'an') AND contains(lower(n_name), 'a')")
-def trigram(spark, sf):
-    return L.trigram(table_of(spark, sf, "nation"), "n_nationkey", ["n_name"], ["an", "a"])
+delta("op_snk3_upserted", ["rewritten", "the and"], False)
+delta("op_snk4_cleaned", ["the", "ing"], True)
 
 
 @query("op_ret8_fused", "SELECT user_id, round(max(v) + 0.1 * (sum(v) - max(v)), 6) AS bm25 FROM (SELECT user_id, event_type, max(value) AS v FROM events GROUP BY 1, 2) GROUP BY 1")

@@ -57,6 +57,16 @@ def shared_folder(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, which is deleted when the session ends: work is not done twice, and survives lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/litengine-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    fs, where = _fs(spark, path)
+    fs.deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def files_fingerprint(spark: SparkSession, path: str) -> str:
     """A hash of the names, sizes and times of a table's files: what a stored index was built from."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")

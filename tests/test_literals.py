@@ -62,7 +62,13 @@ def test_plans():
     assert P.plan('"Foot Sliding" mdm x').normal == "foot sliding mdm x" and P.plan("mdm (two).").terms == ("mdm", "two")
     with pytest.raises(ValueError):
         P.plan("  ")
-    assert P.recall_variants("R precision") == ("R precision", "R-precision") and P.recall_variants("a cat") == ("a cat",)
+    assert P.recall_variants("R-precision") == ("R-precision", "r precision", "rprecision") and P.recall_variants("R  precision") == ("R precision", "rprecision")
+    assert P.recall_variants("a cat") == ("a cat",) and P.recall_variants("I-beam") == ("I-beam",) and P.recall_variants("abcd-x1") == ("abcd-x1",) and P.recall_variants("kl\u2013loss") == ("kl\u2013loss", "kl loss", "klloss")
+    # RET5: parts are all needed, whatever the query looks like; only a single part may be spelled otherwise.
+    assert P.plan("GPT-2 residual blocks").required() == (("gpt", "2", "residual", "blocks"), True) and P.plan("T2M").required() == (("t2m",), False)
+    assert P.plan("GPT-2").required() == (("gpt", "2"), True) and P.plan("x").required() == ((), False) and P.plan("gnn", {"g": ["gnn", "graph net"]}).required(True) == (("gnn", "graph net"), False)
+    # RET6: the whole query counts among the terms.
+    assert P.plan("图神经 model").substrings() == ("图神经 model", "图神经", "model") and P.plan("图神").substrings() == () and P.plan("model").substrings() == ()
     assert P.pool(0, 1) == 200 and P.pool(500, 100) == 2000
 
 

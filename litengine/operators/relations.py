@@ -124,6 +124,80 @@ def pairs_of_groups(df: DataFrame, group: str, ident: str, extra: Sequence[str]
     return l.join(r, group).where(C(f"{ident}_l") < C(f"{ident}_r"))
 
 
+# Kinds of objects in order, what counts as a method or a concept, and which two kinds make which relation. A
+# rule holds either way round; the relation's subject is the first or the second kind of the rule, or the left object.
+OBJECT_TYPES = ("research_problem", "method", "algorithm", "model", "concept", "theorem_or_principle", "metric", "dataset", "experiment_candidate", "mechanism_candidate")
+METHODS, CONCEPTS = ("method", "algorithm", "model", "experiment_candidate"), ("concept", "theorem_or_principle")
+RELATION_RULES = (
+    (("research_problem",), METHODS + CONCEPTS, "addresses_problem", "second"),
+    (("metric",), METHODS, "evaluates_with_metric", "second"),
+    (("dataset",), METHODS, "evaluated_on_dataset", "second"),
+    (("mechanism_candidate",), METHODS + CONCEPTS, "suggests_mechanism", "first"),
+    (("algorithm", "model"), ("method",), "uses_method", "first"),
+    (METHODS, CONCEPTS, "supports", "first"),
+    (CONCEPTS, CONCEPTS, "related_to", "left"),
+)
+#: Objects of an inverted list that meet in one task; longer lists are cut.
+LIST = 1000
+
+
+def relation_type(left: Column, right: Column) -> Column:
+    """What kind of relation two objects of these kinds have: relation_type and swapped (is the right one its subject?); null for none."""
+    made = lambda kind, swapped: F.struct(F.lit(kind).alias("relation_type"), F.lit(swapped).alias("swapped"))
+    cases = []
+    for first, second, kind, subject in RELATION_RULES:
+        cases.append((left.isin(*first) & right.isin(*second), made(kind, subject == "second")))
+        cases.append((right.isin(*first) & left.isin(*second), made(kind, subject == "first")))
+    cases.append(((left == "metric") | (right == "metric"), made("related_to", False)))
+    return F.coalesce(*[F.when(test, value) for test, value in cases])
+
+
+def listed_pairs(df: DataFrame, ident: str, lists: dict[str, str], order: Column, extra: Sequence[str], keep: Column | None = None) -> DataFrame:
+    """Pairs of rows that stand in the same inverted list, each pair once: columns of both with _l and _r, and shared_<kind> counts.
+
+    lists: kind to an array column. The row that is first in `order` is the left one; `keep`, over the columns of both and
+    `kind`, is tested before pairs are gathered. A list of many rows is cut: its left rows are dealt to several tasks, and its
+    right rows sent to each of them. Null lists and null entries meet nothing.
+    """
+    entries = F.array(*[F.struct(F.lit(kind).alias("kind"), F.transform(F.array_distinct(c), lambda x: x.cast("string")).alias("keys")) for kind, c in lists.items()])
+    held = df.select(ident, *extra, order.alias("_o"), F.explode(entries).alias("e")).select(ident, *extra, "_o", "e.kind", F.explode("e.keys").alias("key")).where("key is not null")
+    sizes = held.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("cuts", F.ceil(C("n") / LIST).cast("int"))
+    held = held.join(sizes, ["kind", "key"])
+    side = lambda rows, s: rows.select("kind", "key", "_cut", *(C(c).alias(f"{c}_{s}") for c in (ident, "_o", *extra)))
+    left = side(held.withColumn("_cut", F.pmod(F.xxhash64(ident), C("cuts"))), "l")
+    right = side(held.withColumn("_cut", F.explode(F.sequence(F.lit(0).cast("long"), (C("cuts") - 1).cast("long")))), "r")
+    met = left.join(right, ["kind", "key", "_cut"]).where(C("_o_l") < C("_o_r"))
+    met = met if keep is None else met.where(keep)
+    names = [f"{c}_{s}" for s in "lr" for c in (ident, *extra)]
+    return met.groupBy(*names).agg(*(F.count_if(C("kind") == kind).alias(f"shared_{kind}") for kind in lists))
+
+
+def relation_candidates(objects: DataFrame) -> DataFrame:
+    """J20, J21, RES15: relations that approved objects may have: relation_type, subject_id, object_id, basis, confidence.
+
+    objects: id, name, object_type, dedup_group, notes, chunks, pages (arrays), synthetic. Candidates come from the lists of a note's,
+    a chunk's or a page's objects; a page alone counts only for kinds that fit each other, and kinds without a rule only by a
+    note. Objects of one duplicate group, of one name, or synthetic ones make no pair, nor do those without an id.
+    """
+    place = F.coalesce(*[F.when(C("object_type") == t, F.lit(k)) for k, t in enumerate(OBJECT_TYPES)], F.lit(999))
+    order = F.struct(place, F.lower(F.coalesce("name", F.lit(""))), C("id").cast("string"))
+    name = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    apart = (name("name_l") != name("name_r")) & ((F.coalesce("dedup_group_l", F.lit("")) == "") | ~C("dedup_group_l").eqNullSafe(C("dedup_group_r")))
+    typed = relation_type(F.coalesce("object_type_l", F.lit("")), F.coalesce("object_type_r", F.lit("")))
+    fits = F.coalesce(typed["relation_type"] != "related_to", F.lit(False))
+    real = objects.where("id is not null and not coalesce(synthetic, false)")
+    pairs = listed_pairs(real, "id", {"notes": "notes", "chunks": "chunks", "pages": "pages"}, order, ["name", "object_type", "dedup_group"], apart & ((C("kind") == "notes") | (typed.isNotNull() & (C("kind") == "chunks")) | fits))
+    notes, chunks, pages = (C(f"shared_{k}") > 0 for k in ("notes", "chunks", "pages"))
+    pairs = pairs.withColumn("_t", F.coalesce(typed, F.struct(F.lit("related_to").alias("relation_type"), F.lit(False).alias("swapped")))).withColumn("_fits", fits)
+    value = F.when(notes & C("_fits"), 0.72).when(chunks & C("_fits"), 0.66).when(notes, 0.58).when(chunks, 0.56).when(pages & C("_fits"), 0.54).otherwise(0.5)
+    ends = F.when(C("_t.swapped"), F.struct(C("id_r").alias("s"), C("id_l").alias("o"))).otherwise(F.struct(C("id_l").alias("s"), C("id_r").alias("o")))
+    basis = F.when(notes, "shared_source_server_note_id").when(chunks, "shared_evidence_chunk_id").otherwise("same_page_type_compatibility")
+    return pairs.select(
+        C("_t.relation_type"), ends["s"].alias("subject_id"), ends["o"].alias("object_id"), basis.alias("basis"),
+        F.when(C("_t.relation_type") == "related_to", F.least(value, F.lit(0.58))).otherwise(value).alias("confidence"),
+    )
+
+
 def touching(edges: DataFrame, ends: Sequence[tuple[tuple[str, str], str]], ids: DataFrame, ident: str) -> DataFrame:
     """Edges with an asked id at one of their ends, as a union of equi-joins."""
     parts = [edges.join(ids.select(C(ident).alias(c), F.lit(kind).alias(t)), [c, t], "left_semi") for (c, t), kind in ends]

@@ -166,6 +166,40 @@ def group_pairs(spark, sf):
     return out.select(C("n_nationkey_l").alias("l"), C("n_nationkey_r").alias("r"), F.when(C("n_name_l") < C("n_name_r"), "before").otherwise("after").alias("kind"))
 
 
+KINDS = ["research_problem", "method", "algorithm", "concept", "metric", "dataset", "mechanism_candidate", "other", "theorem_or_principle", "model", "experiment_candidate"]
+OBJECTS_SQL = f"""SELECT p_partkey AS id, p_name AS name, {KINDS!r}[1 + p_size % {len(KINDS)}] AS t, p_partkey % 41 AS g, [p_partkey // 12, 1000000 + (p_partkey + 6) // 12] AS ns, [p_partkey // 5] AS cs, [p_partkey // 9 + p_size % 2] AS ps
+FROM part WHERE p_size % 17 <> 3"""
+
+
+def relation_sql():
+    """J20 and J21 over all pairs."""
+    m, c = "('method', 'algorithm', 'model', 'experiment_candidate')", "('concept', 'theorem_or_principle')"
+    both = m[:-1] + ", " + c[1:]
+    rules = [("('research_problem')", both, "addresses_problem", True), ("('metric')", m, "evaluates_with_metric", True), ("('dataset')", m, "evaluated_on_dataset", True), ("('mechanism_candidate')", both, "suggests_mechanism", False), ("('algorithm', 'model')", "('method')", "uses_method", False), (m, c, "supports", False)]
+    cases = " ".join(f"WHEN l.t IN {a} AND r.t IN {b} THEN '{k} {second}' WHEN r.t IN {a} AND l.t IN {b} THEN '{k} {not second}'" for a, b, k, second in rules)
+    order = "list_position(['research_problem', 'method', 'algorithm', 'model', 'concept', 'theorem_or_principle', 'metric', 'dataset', 'experiment_candidate', 'mechanism_candidate'], t)"
+    return f"""WITH o AS (SELECT *, (coalesce({order}, 999), lower(name), id::VARCHAR) AS o FROM ({OBJECTS_SQL})),
+p AS (SELECT l.id AS l, r.id AS r, CASE {cases} WHEN l.t IN {c} AND r.t IN {c} OR l.t = 'metric' OR r.t = 'metric' THEN 'related_to False' END AS k,
+  len(list_intersect(l.ns, r.ns)) > 0 AS n, len(list_intersect(l.cs, r.cs)) > 0 AS c, len(list_intersect(l.ps, r.ps)) > 0 AS p
+  FROM o l JOIN o r ON abs(l.id - r.id) < 30 AND l.o < r.o AND l.g <> r.g AND lower(trim(l.name)) <> lower(trim(r.name))),
+q AS (SELECT *, coalesce(split_part(k, ' ', 1), 'related_to') AS relation_type, coalesce(k LIKE '% True', false) AS swapped FROM p WHERE n OR (c AND k IS NOT NULL) OR (p AND k NOT LIKE 'related_to%')),
+v AS (SELECT *, CASE WHEN n AND relation_type <> 'related_to' THEN 0.72 WHEN c AND relation_type <> 'related_to' THEN 0.66 WHEN n THEN 0.58 WHEN c THEN 0.56 WHEN p THEN 0.54 ELSE 0.5 END AS x FROM q)
+SELECT relation_type, CASE WHEN swapped THEN r ELSE l END AS subject_id, CASE WHEN swapped THEN l ELSE r END AS object_id, CASE WHEN n THEN 'shared_source_server_note_id' WHEN c THEN 'shared_evidence_chunk_id' ELSE 'same_page_type_compatibility' END AS basis,
+  CASE WHEN relation_type = 'related_to' THEN least(x, 0.58) ELSE x END::DOUBLE AS confidence FROM v"""
+
+
+@query("op_j20_relation_candidates", relation_sql())
+def relation_candidates(spark, sf):
+    """Parts as approved objects, neighbours of which share notes, chunks and pages."""
+    k, size = C("p_partkey"), C("p_size")
+    part = lambda x, n: F.floor(x / n).cast("long")
+    objects = table_of(spark, sf, "part").select(
+        k.alias("id"), C("p_name").alias("name"), F.array(*map(F.lit, KINDS))[size % len(KINDS)].alias("object_type"), (k % 41).cast("string").alias("dedup_group"),
+        F.array(part(k, 12), part(k + 6, 12) + 1000000).alias("notes"), F.array(part(k, 5)).alias("chunks"), F.array(part(k, 9) + size % 2).alias("pages"), (size % 17 == 3).alias("synthetic"),
+    )
+    return R.relation_candidates(objects)
+
+
 @query("op_j25_touching", "SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE (l_partkey IN (SELECT s_suppkey FROM supplier WHERE s_nationkey = 3)) OR (l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_nationkey = 3))")
 def touching(spark, sf):
     e = table_of(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.lit("p").alias("pt"), F.lit("s").alias("st"))

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import evidence as E
 from ..operators import ingest as I
+from ..operators import lexical as L
 from ..operators import review as V
+from ..operators import windows as X
 from . import column_query, query, table_of
 
 C = F.col
@@ -17,6 +20,17 @@ def stitched(spark, sf):
     return V.stitched(I.chunks(table_of(spark, sf, "documents")), "doc_id", "chunk_index", "chunk_text", "overlap_before", "overlap_after").select("doc_id", "chunk_index", "evidence")
 
 
+@query("op_evd1_coherent")
+def coherent(spark, sf):
+    """Chunks of documents as those of a book of six chunks a page and forty a chapter."""
+    k = C("chunk_index")
+    chunks = I.chunks(table_of(spark, sf, "documents")).select(
+        C("doc_id").alias("document_id"), "chunk_index", F.floor(k / 40).cast("long").alias("chapter_id"), C("lang").alias("heading_path"), "chunk_text", "overlap_before", "overlap_after",
+        F.floor(k / 6).cast("int").alias("pdf_page_start"), F.floor((k + 1) / 6).cast("int").alias("pdf_page_end"),
+    )
+    return E.coherent(chunks).select("document_id", "chunk_index", "evidence", "page_first", "page_last", "context_before", "context_after")
+
+
 @query("op_evd3_in_order", "SELECT position, doc_id, lang FROM (VALUES (0, 9), (1, 3), (2, 500), (3, 4)) v(position, id) JOIN documents ON doc_id = id")
 def in_order(spark, sf):
     return V.in_order(table_of(spark, sf, "documents"), [9, 3, 500, 9, 4, -5], "doc_id").select("position", "doc_id", "lang")
@@ -51,10 +65,24 @@ def exact_matches(spark, sf):
     return V.exact_matches(table_of(spark, sf, "benchmark"), table_of(spark, sf, "documents"), "item_id", "text", "text").select("item_id", "doc_id", "match")
 
 
+def near_passages(spark, sf):
+    """Benchmark items and chunks of documents that share four words in a row, with both texts."""
+    items = table_of(spark, sf, "benchmark").select("item_id", "text")
+    chunks = I.chunks(table_of(spark, sf, "documents")).select(L.row_id(C("doc_id"), C("chunk_index")).alias("chunk_id"), C("chunk_text").alias("text"))
+    pairs = X.sharing_runs(items, chunks, "item_id", "chunk_id")
+    return pairs.join(items.withColumnRenamed("text", "selected"), "item_id").join(chunks, "chunk_id")
+
+
 @query("op_aln3_fuzzy")
 def fuzzy(spark, sf):
-    b = table_of(spark, sf, "benchmark").select("item_id", "text")
-    return V.fuzzy(b.join(b.select((C("item_id") - 1).alias("item_id"), C("text").alias("other")), "item_id"), "text", "other").select("item_id", "ratio")
+    return X.fuzzy(near_passages(spark, sf), "selected", "text").select("item_id", "chunk_id", "ratio")
+
+
+@query("op_win8_windows")
+def windows(spark, sf):
+    words = lambda c: F.filter(F.split(T.normalize_for_search(C(c)), " "), lambda w: w != "")
+    pairs = near_passages(spark, sf).select("item_id", "chunk_id", words("selected").alias("a"), words("text").alias("b"))
+    return X.located(pairs, "a", "b")
 
 
 ANNOTATION = "trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"

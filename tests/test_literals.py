@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from litengine.functions import text as T
-from litengine.operators import fusion, ingest, lexical, relations, review
+from litengine.operators import fusion, ingest, lexical, relations, review, windows
 from litengine.plans import query_plan as P
 from litengine.sources import tables
 from litengine.streaming import sync
@@ -161,7 +161,7 @@ def test_evidence_and_review(spark):
     df = spark.createDataFrame([(1, 1, "values rise. It", "The observed ", " becomes complete. Next")], "d long, at long, text string, before string, after string")
     assert review.stitched(df, "d", "at", "text", "before", "after").first().evidence == "The observed values rise. It becomes complete."
     pairs = spark.createDataFrame([("abcdef", "xx abcdef yy"), ("abc", None), ("", "x")], "a string, b string")
-    assert [r.ratio for r in review.fuzzy(pairs, "a", "b").collect()][1:] == [0.0, 0.0]
+    assert [r.ratio for r in windows.fuzzy(pairs, "a", "b").collect()][1:] == [0.0, 0.0]
     spark.createDataFrame([(1,)], "document_id long").createOrReplaceTempView("strange_table")
     assert "strange_table" in review.tables_with_column(spark, "document_id", [])
     same = relations.same_identity(spark.createDataFrame([(1, None)], "a long, b string"), spark.createDataFrame([(1, None, 9)], "a long, b string, id long"), ["a", "b"], "id")

@@ -69,30 +69,40 @@ def _probe(keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def align(text: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def align(text: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Smith-Waterman of rows of word hashes: (B, W) windows of texts with (B, L) items; 0 stands for no word.
 
-    Returns the best score of each row, and the window position after its last word.
+    Returns the best score of each row, and the window's words from its first to after its last: of alignments with that
+    score the one that ends first, and of these the one that begins last. Each cell carries where its alignment began, in
+    the low half of the number that is maximised.
     """
     b, w = text.shape
-    steps = -GAP * np.arange(1, w + 1)
-    row = np.zeros((b, w), np.int32)
-    best, at = np.zeros(b, np.int32), np.zeros(b, np.int64)
+    one = np.int64(1) << 32
+    steps = -GAP * one * np.arange(1, w + 1)
+    places = np.arange(w, dtype=np.int64)
+    row = np.zeros((b, w), np.int64)
+    best, start, end = np.zeros(b, np.int64), np.zeros(b, np.int64), np.zeros(b, np.int64)
     for i in range(item.shape[1]):
         word = item[:, i : i + 1]
         diagonal = np.zeros_like(row)
         diagonal[:, 1:] = row[:, :-1]
+        # Where nothing was aligned, an alignment begins here.
+        diagonal = np.where(diagonal < one, places, diagonal)
         same = (text == word) & (word != 0)
-        score = np.maximum(diagonal + np.where(same, MATCH, MISMATCH), row + GAP)
-        np.maximum(score, 0, out=score)
+        score = np.maximum(diagonal + np.where(same, MATCH * one, MISMATCH * one), row + GAP * one)
+        score[score < one] = 0
         # A gap along the window: the best of all starts, each less what the gap costs.
         score = np.maximum.accumulate(score + steps, axis=1) - steps
-        live = (word != 0) & (text != 0)
-        row = np.where(live, score, 0).astype(np.int32)
-        high = row.max(1)
-        better = high > best
-        best[better], at[better] = high[better], row[better].argmax(1) + 1
-    return best, at
+        live = (word != 0) & (text != 0) & (score >= one)
+        row = np.where(live, score, 0)
+        high = (row >> 32).max(1)
+        some = np.flatnonzero((high >= best) & (high > 0))
+        at = (row[some] >> 32).argmax(1)
+        begins = row[some, at] & (one - 1)
+        better = (high[some] > best[some]) | (at + 1 < end[some]) | (at + 1 == end[some]) & (begins > start[some])
+        some, at = some[better], at[better]
+        best[some], end[some], start[some] = high[some], at + 1, begins[better]
+    return best, start, end
 
 
 def _counted(items):
@@ -202,13 +212,12 @@ def _scored(block: Items, first, hashes, row, hit, lo, n, threshold) -> list[tup
         cols = np.arange(m) + np.zeros((len(some), 1), np.int64)
         inside = cols < size[some][:, None]
         other[inside] = block.words[(block.first[item[some]][:, None] + cols)[inside]]
-        best, end = align(window, other)
+        best, start, end = align(window, other)
         share = best / (MATCH * np.maximum(size[some], 1))
         ok = share >= np.where(size[some] < SHORT, 1.0, threshold)
         for q in rows[ok]:
             p = some[q]
-            hi_word = int(begin[p] + end[q])
-            out.append((int(text[p]), int(item[p]), float(share[q]), int(max(begin[p], hi_word - size[p])), hi_word))
+            out.append((int(text[p]), int(item[p]), float(share[q]), int(begin[p] + start[q]), int(begin[p] + end[q])))
     return out
 
 

@@ -37,5 +37,7 @@ def components(edges: DataFrame) -> DataFrame:
         if size == before:
             break
         before = size
+    else:
+        raise RuntimeError(f"components are not found after {MAX_ROUNDS} rounds")
     found = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return found.unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()

@@ -32,7 +32,7 @@ MIN_TEXTS, MIN_SHARE, MIN_WEIGHT = 6, 0.02, 3.0
 #: Lengths of word beginnings that may be entries.
 STEMS = (4, 5, 6, 7)
 #: Powers of the length among which the one is chosen that tells the training texts apart best.
-POWERS = (0.0, 0.25, 0.5, 1.0)
+POWERS = (0.25, 0.5, 1.0)
 
 # Letters that look like Latin ones, and signs that stand for letters.
 HOMOGLYPHS = {

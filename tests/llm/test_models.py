@@ -7,11 +7,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from litengine.llm import ann, decontamination, language_id, mixing, pii, quality, toxicity
+from litengine.llm.words import split
 
 from .conftest import clashing, prose
 
@@ -243,15 +245,51 @@ def test_decontamination(spark):
     assert decontamination.contaminated(docs.limit(0), bench).count() == 0 and decontamination.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def plain_score(text, item):
+    h = np.zeros((len(item) + 1, len(text) + 1), int)
+    for i in range(1, len(item) + 1):
+        for j in range(1, len(text) + 1):
+            h[i, j] = max(0, h[i - 1, j - 1] + (2 if item[i - 1] == text[j - 1] else -1), h[i - 1, j] - 1, h[i, j - 1] - 1)
+    return h.max()
+
+
 def test_alignment_against_a_plain_table():
+    """The score, and both ends: the first end of an alignment with that score, and the last beginning of those."""
     rng = np.random.default_rng(0)
-    for _ in range(30):
-        text, item = rng.integers(1, 6, 14).astype(np.uint64), rng.integers(1, 6, 7).astype(np.uint64)
-        h = np.zeros((8, 15), int)
-        for i in range(1, 8):
-            for j in range(1, 15):
-                h[i, j] = max(0, h[i - 1, j - 1] + (2 if item[i - 1] == text[j - 1] else -1), h[i - 1, j] - 1, h[i, j - 1] - 1)
-        assert decontamination.align(text[None], item[None])[0][0] == h.max()
+    for _ in range(60):
+        text, item = rng.integers(1, 6, 14).astype(np.uint64), rng.integers(1, 7, 7).astype(np.uint64)
+        best, start, end = (int(x[0]) for x in decontamination.align(text[None], item[None]))
+        assert best == plain_score(text, item)
+        if best:
+            assert plain_score(text[start:end], item) == best and plain_score(text[start + 1 : end], item) < best and plain_score(text[: end - 1], item) < best
+
+
+def test_alignment_spans(spark):
+    """Put in, cut short and doubled words: the span holds the copy from its first word to its last, and nothing else."""
+    item = "a1 b2 c3 d4 e5 f6 g7 h8 i9 j10 k11 l12".split()
+    copies = [item[:6] + ["x", "y", "z"] + item[6:], item[:9], item[2:], item[:4] + item[5:], item]
+    rows = [(k, " ".join(["q"] * 9 + c + ["r"] * 9)) for k, c in enumerate(copies)]
+    got = decontamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert {r.doc_id: dict(rows)[r.doc_id][r.start : r.end] for r in got} == {k: " ".join(c) for k, c in enumerate(copies)}
+
+
+@pytest.mark.parametrize("edits", [0.1, 0.15, 0.2, 0.25])
+def test_seeds_find_edited_copies(edits):
+    """Of 200 items with so many words replaced at random, the share that seeds find, of those that a full alignment would."""
+    rng = random.Random(17)
+    words = [f"w{k}" for k in range(3000)]
+    items = [[rng.choice(words) for _ in range(40)] for _ in range(200)]
+    block = decontamination.Items(np.arange(200), [" ".join(i) for i in items])
+    block.seeds(np.zeros(len(block.keys), np.int64))
+    copies = [[rng.choice(words) if rng.random() < edits else w for w in i] for i in items]
+    texts = [" ".join([rng.choice(words) for _ in range(60)] + c + [rng.choice(words) for _ in range(60)]) for c in copies]
+    cut = split(pa.array(texts))
+    found = decontamination._search(block, cut.first, cut.hashes(), cut.row(), decontamination.THRESHOLD)
+    have = {(int(t), int(i)) for t, i in zip(found[0], found[1], strict=True)}
+    wanted = {k for k in range(200) if plain_score(copies[k], items[k]) >= decontamination.THRESHOLD * 80}
+    share = sum((k, k) in have for k in wanted) / len(wanted)
+    print(f"edits {edits}: {share:.3f} of {len(wanted)}")
+    assert share >= 0.9
 
 
 # --- op7

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -134,9 +135,25 @@ def open_url(path: Column, page: Column) -> Column:
     return F.when(path.isNull() | (path == ""), None).when(page.isNull(), F.concat(F.lit("file:"), path)).otherwise(F.concat(F.lit("file:"), path, F.lit("#page="), page.cast("string")))
 
 
-def query_tokens(x: Column) -> Column:
-    """STR22, STR23: runs of ASCII letters, digits, _ and -, and runs of two or more CJK characters."""
-    return F.array_distinct(F.regexp_extract_all(x, F.lit(r"([A-Za-z0-9_\-]+|[\x{4e00}-\x{9fff}]{2,})"), 1))
+#: Parts of a long CJK run that are tokens too: their lengths, the run's length from which, and how many at most.
+CJK_PARTS, CJK_LONG, CJK_MOST = (4, 3, 2), 5, 40
+
+
+def query_tokens(x: Column, rerank: bool = False) -> Column:
+    """STR22: runs of two or more ASCII letters, digits, _ and -, and of CJK characters, each followed by the parts of a long CJK run.
+
+    STR23 (rerank): of the text in lower case, and the whole of it where it has none.
+    """
+    x = F.lower(x) if rerank else x
+    runs = F.filter(F.regexp_extract_all(x, F.lit(r"([A-Za-z0-9_\-]+|[\x{4e00}-\x{9fff}]{2,})"), 1), lambda t: F.length(t) >= 2)
+
+    def parts(t: Column) -> Column:
+        cut = [F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i, n=n: F.substring(t, i, F.lit(n)))) for n in CJK_PARTS]
+        every = F.slice(F.array_distinct(F.flatten(F.array_compact(F.array(*cut)))), 1, CJK_MOST)
+        return F.when(t.rlike(rf"^[\x{{4e00}}-\x{{9fff}}]{{{CJK_LONG},}}$"), F.concat(F.array(t), every)).otherwise(F.array(t))
+
+    found = F.array_distinct(F.flatten(F.transform(runs, parts)))
+    return F.when((F.size(found) == 0) & (F.trim(x) != ""), F.array(F.trim(x))).otherwise(found) if rerank else found
 
 
 def hash_tokens(x: Column) -> Column:
@@ -223,10 +240,16 @@ def is_metadata(x: Column) -> Column:
     return reduce(lambda a, b: a | b, [F.startswith(low, F.lit(p)) for p in METADATA_PREFIXES]) | (marks >= 3)
 
 
-def locator_contract(x: Column, page: Column, path: Column) -> Column:
-    """STR36: metadata, exact_page, page_only, text_only or missing."""
-    text = x.isNotNull() & (F.trim(x) != "")
-    return F.when(text & is_metadata(x), "metadata").when(text & page.isNotNull() & path.isNotNull(), "exact_page").when(page.isNotNull(), "page_only").when(text, "text_only").otherwise("missing")
+def locator_contract(x: Column, page: Column, path: Column, metadata: Column | None = None) -> Column:
+    """STR36: can a passage be found on a page? metadata_non_locatable, no_page, no_text, pdf_missing or page_level_only, the first that holds.
+
+    A page of 0 and an empty path are none; whether a text is metadata may be told beforehand.
+    """
+    told = is_metadata(F.coalesce(x, F.lit(""))) if metadata is None else F.coalesce(metadata, F.lit(False))
+    return (
+        F.when(told, "metadata_non_locatable").when(F.coalesce(page, F.lit(0)) == 0, "no_page").when(F.coalesce(x, F.lit("")).rlike(r"(?U)^\s*$"), "no_text")
+        .when(F.coalesce(path, F.lit("")) == "", "pdf_missing").otherwise("page_level_only")
+    )
 
 
 def chunk_tokens(x: Column) -> Column:
@@ -243,9 +266,16 @@ def hygiene(x: Column) -> Column:
     return F.when(strong, "strong").when(weak, "weak").when(low.rlike("test|demo|mock"), "false_positive").otherwise("none")
 
 
-def is_test_record(title: Column, path: Column) -> Column:
-    """STR40: titles that begin with test or demo, or paths with a folder of that name."""
-    return F.coalesce(F.lower(title).rlike(r"^(test|demo|tmp)\b"), F.lit(False)) | F.coalesce(F.lower(path).rlike(r"(^|/)(tests?|tmp|fixtures)/"), F.lit(False))
+# What marks a record of a test, in its title, its kinds and its paths.
+TEST_TITLES, TEST_TITLE_PREFIXES, TEST_KINDS, TEST_PATHS = ("mock", "test minimal"), ("test ",), ("mock", "fixture", "test_seed"), ("fixture", "mock", "test_minimal")
+
+
+def is_test_record(title: Column, kinds: Sequence[Column] = (), paths: Sequence[Column] = ()) -> Column:
+    """STR40: a title that holds a marker or begins with one, a kind that is one, or a path that holds one; nulls are empty."""
+    plain = lambda c: F.lower(F.trim(F.coalesce(c.cast("string"), F.lit(""))))
+    some = lambda tests: reduce(lambda a, b: a | b, tests, F.lit(False))
+    by_title = some([F.contains(plain(title), F.lit(m)) for m in TEST_TITLES]) | some([F.startswith(plain(title), F.lit(m)) for m in TEST_TITLE_PREFIXES])
+    return by_title | some([plain(k).isin(*TEST_KINDS) for k in kinds]) | some([F.contains(F.replace(plain(x), F.lit("\\"), F.lit("/")), F.lit(m)) for x in paths for m in TEST_PATHS])
 
 
 def normalize_annotation(x: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -139,6 +140,58 @@ def object_score(query: str, name: Column, aliases: Column, evidence: Column, no
     return F.round(V.clamp(base + 0.05 * F.least(evidence, F.lit(5)) + 0.03 * F.least(notes, F.lit(5)) - F.when(deprecated, 0.3).otherwise(0.0)), 6)
 
 
+# Words of a query that ask for a kind of object, marks of made-up titles, and headings of methods and front matter.
+INTENTS = (
+    (("指标", "metric", "psnr", "fid"), "metric"),
+    (("数据集", "benchmark", "div2k"), "dataset"),
+    (("方法", "model", "algorithm", "估计"), "method"),
+    (("机制", "原理", "怎么", "为什么", "block", "scaling", "约束"), "mechanism"),
+    (("问题", "failure", "limitation", "不合理", "脚滑", "穿地"), "problem"),
+)
+SYNTHETIC, METHOD_HEADINGS, FRONT_HEADINGS = ("mock", "test", "phase"), ("method", "proposed", "approach"), ("front matter", "title page")
+
+
+def object_scores(objects: DataFrame, query: str) -> DataFrame:
+    """RET39: objects with the parts of their score for a query, score (0 to 1, three digits) and label (high, medium, low).
+
+    objects: object_name, object_key, object_type, aliases, source, mapping_status, review_status, confidence, warnings (arrays of
+    strings), evidence (structs of snippet, document_title, evidence_role, section_label) and notes (structs of title,
+    short_preview). Texts are compared in lower case with single spaces; null ones, and null arrays, are empty.
+    """
+    norm = lambda c: F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"(?U)\s+", " "))
+    q = " ".join(query.lower().split())
+    any_in = lambda words, c: reduce(lambda a, b: a | b, [F.contains(c, F.lit(w)) for w in words], F.lit(False))
+    count = lambda c, test: F.size(F.filter(c, test))
+    aliases = F.filter(F.transform(F.coalesce("aliases", F.array().cast("array<string>")), norm), lambda a: a != "")
+    names = F.filter(F.concat(F.array(norm(C("object_name")), norm(C("object_key"))), aliases), lambda a: a != "")
+    words = re.findall(r"[a-z0-9_\-]+|[\u4e00-\u9fff]{2,}", q)
+    alias = F.when(F.lit(q == ""), 0.0).when(F.array_contains(names, q), 0.42).when(F.exists(names, lambda n: F.contains(n, F.lit(q)) | F.contains(F.lit(q), n)), 0.34)
+    alias = alias.when(F.exists(names, lambda n: any_in(words, n)), 0.14).otherwise(0.0)
+    asked = [kind for terms, kind in INTENTS if any(t in q for t in terms)]
+    intent = F.when(any_in(asked, norm(C("object_type"))), 0.1).otherwise(0.0)
+
+    evidence, notes, n = C("evidence"), C("notes"), F.greatest(F.size("evidence"), F.lit(0))
+    says = lambda text: (F.contains(text, F.lit(q)) if q else F.lit(False)) | F.exists(aliases, lambda a: F.contains(text, a))
+    direct = count(evidence, lambda e: says(F.concat_ws(" ", norm(e["snippet"]), norm(e["document_title"]))))
+    roles = count(evidence, lambda e: (norm(e["evidence_role"]) != "") & F.contains(norm(C("object_type")), norm(e["evidence_role"])))
+    made_up = F.lit(0) if any(m in q for m in SYNTHETIC) else count(evidence, lambda e: any_in(SYNTHETIC, norm(e["document_title"])))
+    most = lambda top, c, each: F.least(F.lit(top), c * each)
+    support = F.when(n > 0, F.greatest(F.lit(0.0), most(0.16, n, 0.035) + most(0.1, direct, 0.03) + most(0.04, roles, 0.015) - most(0.12, made_up, 0.04))).otherwise(0.0)
+    section = F.greatest(F.lit(0.0), most(0.1, count(evidence, lambda e: any_in(METHOD_HEADINGS, norm(e["section_label"]))), 0.03) - most(0.06, count(evidence, lambda e: any_in(FRONT_HEADINGS, norm(e["section_label"]))), 0.02))
+    told = count(notes, lambda x: says(norm(F.concat_ws(" ", F.coalesce(x["title"], F.lit("")), F.coalesce(x["short_preview"], F.lit(""))))))
+    noted = F.when(told > 0, most(0.08, told, 0.035)).when(F.size("notes") > 0, most(0.03, F.size("notes"), 0.01)).otherwise(0.0)
+    mapped = F.when(C("mapping_status") == "mapped", 0.04).when(C("mapping_status") == "partial", 0.01).when(C("mapping_status") == "failed", -0.05).otherwise(0.0)
+    source = F.when(C("source") == "object_candidates", 0.12 + F.when(C("review_status") == "accepted", 0.04).otherwise(0.0) + mapped).otherwise(0.0)
+    warned = F.concat(F.transform(F.coalesce("warnings", F.array().cast("array<string>")), norm), F.when(n == 0, F.array(F.lit("no_evidence_refs"))).when(made_up > 0, F.array(F.lit("synthetic_test_document_downranked"))).otherwise(F.array().cast("array<string>")))
+    loss = F.aggregate(warned, F.when(F.lower("confidence") == "low", -0.05).otherwise(0.0), lambda s, w: s - F.when(any_in(("source_gap_reason", "no_evidence_refs"), w), 0.14).when(F.contains(w, F.lit("synthetic_test_document_downranked")), 0.05).otherwise(0.0))
+    parts = {"alias_direct_match": alias, "object_type_intent": intent, "evidence_support": support, "section_priority": section, "note_support": noted, "source_priority": source, "warning_penalty": F.greatest(F.lit(-0.25), loss)}
+    full = objects.withColumns(parts)
+    total = V.clamp(reduce(lambda a, b: a + b, [C(c) for c in parts]))
+    scored = full.withColumn("_s", F.round(total, 9))
+    label = F.when(C("_s") >= 0.7, "high").when(C("_s") >= 0.38, "medium").otherwise("low")
+    return scored.withColumns({c: F.round(c, 3) for c in parts} | {"object_score": F.round("_s", 3), "score_label": label}).drop("_s")
+
+
 def term_points(terms: Sequence[str], text: Column, each: float = 3.0, most: int = 12) -> Column:
     """RET45: points for each of the first terms that a text holds."""
     return sum((F.contains(F.lower(text), F.lit(t.lower())).cast("double") * each for t in list(dict.fromkeys(terms))[:most]), F.lit(0.0))

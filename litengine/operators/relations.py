@@ -383,6 +383,23 @@ def sync_counts(source: DataFrame, index: DataFrame, key: str, fields: Sequence[
     return out.withColumn("state", F.when(C("indexed") == 0, "unavailable").when((C("missing") + C("orphan") + C("stale")) > 0, "source_drift").otherwise("current"))
 
 
+def freshness(tables: DataFrame, available: bool, manifest_reason: str | None = None) -> DataFrame:
+    """SET6: what the counts of some tables (source, indexed, missing, stale, orphan: a row each) say about a store: one row of sums,
+    count_mismatch, drift_count, state, reason and complete.
+
+    unavailable before manifest_mismatch, this before source_drift (a table's counts differ, or a sum of missing, stale or orphan
+    rows is not 0), else current. Null counts are 0, and so are those of no tables.
+    """
+    names = ("source", "indexed", "missing", "stale", "orphan")
+    count = lambda c: F.coalesce(C(c), F.lit(0).cast("long"))
+    sums = tables.agg(*(F.coalesce(F.sum(count(c)), F.lit(0).cast("long")).alias(c) for c in names), F.coalesce(F.max(count("source") != count("indexed")), F.lit(False)).alias("count_mismatch"))
+    sums = sums.withColumn("drift_count", C("missing") + C("stale") + C("orphan"))
+    drift = C("count_mismatch") | (C("drift_count") > 0)
+    state = F.when(F.lit(not available), "unavailable").when(F.lit(manifest_reason is not None), "manifest_mismatch").when(drift, "source_drift").otherwise("current")
+    reason = F.when(C("state") == "manifest_mismatch", F.lit(manifest_reason)).when(C("state") == "source_drift", "vector_store_source_drift")
+    return sums.withColumn("state", state).withColumn("reason", reason).withColumn("complete", C("state") == "current")
+
+
 def sync_status(source: DataFrame, index: DataFrame, fields: Sequence[str], order: str) -> DataFrame:
     """SET5: sync_counts of records by source_id, or by vector_id where they have none; of records with one identity the last in an order counts."""
     last = lambda df, ident: df.groupBy(ident.alias("_id")).agg(F.max_by(F.struct(*fields), order).alias("_f")).select("_id", "_f.*")

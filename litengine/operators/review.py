@@ -184,11 +184,14 @@ def clean(df: DataFrame, text: str) -> DataFrame:
     return df.where(~T.hygiene(C(text)).isin("strong", "weak"))
 
 
-def support(evidence: Column, notes: Column, relations: Column, valid_evidence: Column, valid_notes: Column, valid_relations: Column, tags: Column, experiment: Column, risks: Column) -> Column:
-    """RES10: 0.35, 0.2 and 0.15 for ids that are all known, 0.1 each for tags, an experiment check and named risks."""
+def support(evidence: Column, notes: Column, relations: Column, valid_evidence: Column, valid_notes: Column, valid_relations: Column, tags: Column, experiment: Column, risks: Column, failed: Column | None = None) -> Column:
+    """RES10: 0.35, 0.2 and 0.15 for ids that are all known, 0.1 for tags and for named risks, 0.1 for an experiment check that is
+    `pass` and 0.04 for one that is `weak`; at most 1, and 0 for what failed for good."""
     known = lambda a, v: (F.size(a) > 0) & (F.size(F.array_except(a, v)) == 0)
     one = lambda c, w: F.when(c, w).otherwise(0.0)
-    return F.round(one(known(evidence, valid_evidence), 0.35) + one(known(notes, valid_notes), 0.2) + one(known(relations, valid_relations), 0.15) + one(F.size(tags) > 0, 0.1) + one(experiment, 0.1) + one(risks, 0.1), 6)
+    total = one(known(evidence, valid_evidence), 0.35) + one(known(notes, valid_notes), 0.2) + one(known(relations, valid_relations), 0.15) + one(F.size(tags) > 0, 0.1) + one(risks, 0.1)
+    total = total + F.when(experiment == "pass", 0.1).when(experiment == "weak", 0.04).otherwise(0.0)
+    return F.when(F.coalesce(failed, F.lit(False)) if failed is not None else F.lit(False), 0.0).otherwise(F.round(F.least(total, F.lit(1.0)), 4))
 
 
 def clusters(df: DataFrame, support_key: str, ident: str, most: int = 5) -> DataFrame:

@@ -243,6 +243,13 @@ def sync_counts(spark, sf):
     return R.sync_counts(l.where("k % 5 <> 0").select("k", C("quality").alias("v")), l.where("k % 3 <> 0").select("k", C("toxic").alias("v")), "k", ["v"])
 
 
+@query("op_set6_freshness", "WITH t AS (SELECT count(a.k) AS source, count(b.k) AS indexed, count(*) FILTER (b.k IS NULL) AS missing, count(*) FILTER (a.k IS NOT NULL AND b.k IS NOT NULL AND a.v IS DISTINCT FROM b.v) AS stale, count(*) FILTER (a.k IS NULL) AS orphan FROM (SELECT doc_id AS k, quality AS v FROM labels WHERE doc_id % 5 <> 0) a FULL JOIN (SELECT doc_id AS k, toxic AS v FROM labels WHERE doc_id % 3 <> 0) b ON a.k = b.k UNION ALL SELECT count(*), count(*), 0, 0, 0 FROM documents) SELECT sum(source)::BIGINT AS source, sum(indexed)::BIGINT AS indexed, sum(missing)::BIGINT AS missing, sum(stale)::BIGINT AS stale, sum(orphan)::BIGINT AS orphan, bool_or(source <> indexed) AS count_mismatch, sum(missing + stale + orphan)::BIGINT AS drift_count, 'source_drift' AS state, 'vector_store_source_drift' AS reason, false AS complete FROM t")
+def freshness(spark, sf):
+    l, d = table_of(spark, sf, "labels").withColumnRenamed("doc_id", "k"), table_of(spark, sf, "documents").select(C("doc_id").alias("k"), C("lang").alias("v"))
+    passages = R.sync_counts(l.where("k % 5 <> 0").select("k", C("quality").alias("v")), l.where("k % 3 <> 0").select("k", C("toxic").alias("v")), "k", ["v"])
+    return R.freshness(passages.unionByName(R.sync_counts(d, d, "k", ["v"])), True)
+
+
 @query("op_dup1_duplicate_candidates", "SELECT doc_id, duplicate, CASE WHEN duplicate THEN array_to_string(list_sort(list_filter(ids, lambda x: x <> doc_id)), ' ') END AS peers FROM (SELECT doc_id, list_sort(list_distinct(list(lang) OVER w)) = ['de', 'en'] AS duplicate, list(doc_id) OVER w AS ids FROM (SELECT *, length(text) AS len FROM documents) WINDOW w AS (PARTITION BY len))")
 def duplicate_candidates(spark, sf):
     d = table_of(spark, sf, "documents").withColumn("len", F.length("text"))

@@ -250,6 +250,28 @@ column_query("op_ret23_grouped_score", "documents", "doc_id", lambda: X.grouped_
 column_query("op_ret25_section_adjustment", "part", "p_partkey", lambda: X.section_adjustment(F.element_at(F.array(*map(F.lit, ("3 Proposed Methods", "1 Introduction", "Results", "Front matter", "Conclusion and approach", "References"))), (1 + C("p_size") % 6).cast("int")), C("p_partkey") % 3 > 0), "(CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE [1.0, 0.25, -0.55, -0.15, 1.0, 0.0][1 + p_size % 6] END)::DOUBLE")
 column_query("op_ret32_tier", "events", "event_id", lambda: X.tier(C("value") - 1, F.when(C("user_id") % 5 == 0, "References").otherwise("Body")), "CASE WHEN user_id % 5 = 0 THEN 'reference' WHEN value > 1 THEN 'primary' ELSE 'secondary' END")
 column_query("op_ret39_object_score", "part", "p_partkey", lambda: X.object_score("brand 1", C("p_brand"), F.array(F.lit("x"), C("p_type")), C("p_size") % 9, C("p_size") % 4, C("p_size") > 45), "(round(least(1.0, greatest(0.0, CASE WHEN regexp_replace(lower(p_brand), '[\\s_-]+', '', 'g') = 'brand1' OR regexp_replace(lower(p_type), '[\\s_-]+', '', 'g') = 'brand1' THEN 0.42 WHEN contains(regexp_replace(lower(p_brand), '[\\s_-]+', '', 'g'), 'brand1') OR contains(regexp_replace(lower(p_type), '[\\s_-]+', '', 'g'), 'brand1') THEN 0.34 ELSE 0.14 END + 0.05 * least(p_size % 9, 5) + 0.03 * least(p_size % 4, 5) - CASE WHEN p_size > 45 THEN 0.3 ELSE 0 END)), 6))::DOUBLE")
+HAS = lambda c, *words: "(" + " OR ".join(f"contains({c}, '{w}')" for w in words) + ")"
+
+
+@query("op_ret39_object_scores", f"""WITH o AS (SELECT p_partkey AS id, lower(p_name) AS name, lower(p_brand) AS alias, CASE WHEN p_size % 4 = 0 THEN 'method' ELSE 'dataset' END AS kind, p_size % 6 AS n, p_partkey % 5 AS m, p_size % 3 = 0 AS made, p_size % 2 = 0 AS sect, p_partkey % 3 AS src, p_partkey % 2 = 0 AS low FROM part),
+e AS (SELECT *, CASE WHEN name = 'brand model' OR alias = 'brand model' THEN 0.42 WHEN contains(name, 'brand model') OR contains(alias, 'brand model') OR contains('brand model', name) OR contains('brand model', alias) THEN 0.34 WHEN {HAS('name', 'brand', 'model')} OR {HAS('alias', 'brand', 'model')} THEN 0.14 ELSE 0 END AS a, CASE WHEN kind = 'method' THEN 0.1 ELSE 0 END AS i,
+  CASE WHEN n > 0 THEN greatest(0, least(0.16, n * 0.035) + least(0.1, n * 0.03) + CASE WHEN kind = 'method' THEN least(0.04, n * 0.015) ELSE 0 END - CASE WHEN made THEN least(0.12, n * 0.04) ELSE 0 END) ELSE 0 END AS s,
+  CASE WHEN sect THEN least(0.1, n * 0.03) ELSE 0 END AS c, CASE WHEN m = 0 THEN 0 ELSE least(0.08, m * 0.035) END AS t, CASE src WHEN 0 THEN 0.2 WHEN 1 THEN 0.07 ELSE 0 END AS b,
+  greatest(-0.25, CASE WHEN low THEN -0.05 ELSE 0 END - CASE WHEN n = 0 THEN 0.14 WHEN made THEN 0.05 ELSE 0 END) AS w FROM o)
+SELECT id, round(s, 3)::DOUBLE AS evidence_support, round(w, 3)::DOUBLE AS warning_penalty, round(x, 3)::DOUBLE AS object_score, CASE WHEN x >= 0.7 THEN 'high' WHEN x >= 0.38 THEN 'medium' ELSE 'low' END AS score_label FROM (SELECT *, round(least(1, greatest(0, a + i + s + c + t + b + w)), 9) AS x FROM e)""")
+def object_scores(spark, sf):
+    size, key = C("p_size"), C("p_partkey")
+    item = lambda _: F.struct(F.concat(F.lit("on "), "p_brand").alias("snippet"), F.when(size % 3 == 0, "A Mock  paper").otherwise("Paper").alias("document_title"), F.lit("method").alias("evidence_role"), F.when(size % 2 == 0, "3 Proposed").otherwise("Body").alias("section_label"))
+    note = lambda _: F.struct(C("p_brand").alias("title"), F.lit(None).cast("string").alias("short_preview"))
+    several = lambda n, make: F.transform(F.sequence(F.lit(1), n + 1), make)
+    objects = table_of(spark, sf, "part").select(
+        key.alias("id"), C("p_name").alias("object_name"), F.lit(None).cast("string").alias("object_key"), F.when(size % 4 == 0, "method").otherwise("dataset").alias("object_type"), F.array("p_brand").alias("aliases"),
+        F.when(key % 3 < 2, "object_candidates").otherwise("rules").alias("source"), F.when(key % 3 == 0, "mapped").otherwise("failed").alias("mapping_status"), F.when(key % 3 == 0, "accepted").alias("review_status"),
+        F.when(key % 2 == 0, "Low").alias("confidence"), F.lit(None).cast("array<string>").alias("warnings"), F.slice(several(size % 6, item), F.lit(1), size % 6).alias("evidence"), F.slice(several((key % 5).cast("int"), note), F.lit(1), (key % 5).cast("int")).alias("notes"),
+    )
+    return X.object_scores(objects, "Brand  model").select("id", "evidence_support", "warning_penalty", "object_score", "score_label")
+
+
 column_query("op_ret43_note_passage", "conversations", "conv_id, turn", lambda: X.note_passage(C("role"), F.lit(" "), C("text")), "role || CASE WHEN trim(text) <> '' THEN chr(10) || text ELSE '' END")
 column_query("op_ret45_term_points", "conversations", "conv_id, turn", lambda: X.term_points(["the", "de", "the", "an"], C("text")), "(3.0 * (contains(lower(text), 'the')::INT + contains(lower(text), 'de')::INT + contains(lower(text), 'an')::INT))::DOUBLE")
 column_query("op_ret46_library_rank", "part", "p_partkey", lambda: F.coalesce(X.library_rank("1", C("p_partkey").cast("string"), C("p_name"), C("p_brand")), F.lit(-1)), "CASE WHEN p_partkey = 1 THEN 0 WHEN lower(p_name) = '1' THEN 1 WHEN lower(p_name) LIKE '1%' THEN 2 WHEN contains(lower(p_brand), '1') THEN 3 ELSE -1 END")

@@ -133,7 +133,7 @@ PAIR_VALUE = "CASE WHEN doc_id % 3 > 0 AND lang = 'en' THEN 0.72 WHEN doc_id % 2
 column_query("op_res15_relation_confidence", "documents", "doc_id", lambda: V.relation_confidence(F.when(C("doc_id") % 4 == 0, "related_to").otherwise("supports"), C("doc_id") % 3, C("doc_id") % 2, C("doc_id") % 5, C("lang") == "en"), f"CASE WHEN doc_id % 4 = 0 THEN least(0.58, {PAIR_VALUE}) ELSE {PAIR_VALUE} END::DOUBLE")
 column_query("op_res4_uncovered", "documents", "doc_id", lambda: V.uncovered({"size": ["thth", "ingth"], "time": ["onan"]}, C("text")), "array_to_string(list_filter([CASE WHEN NOT (contains(lower(text), 'thth') OR contains(lower(text), 'ingth')) THEN 'size' END, CASE WHEN NOT contains(lower(text), 'onan') THEN 'time' END], lambda x: x IS NOT NULL), ',')")
 column_query("op_res8_confidence", "documents", "doc_id", lambda: V.confident(F.array_compact(F.array(F.when(C("doc_id") % 2 == 0, "keyword"), F.when(C("doc_id") % 3 == 0, "note_link"), F.when(C("doc_id") % 5 == 0, "tag"))), C("doc_id") % 2, C("doc_id") % 4, C("doc_id") % 3, F.array_compact(F.array(F.when(C("lang") == "en", "t"))), C("n_chars") / 100), "n_chars / 100 >= 3 AND NOT (doc_id % 2 = 0 AND doc_id % 3 > 0 AND doc_id % 5 > 0) AND (doc_id % 3 = 0 AND (doc_id % 5 = 0 OR doc_id % 2 > 0 OR doc_id % 4 > 0) OR doc_id % 3 > 0 AND (doc_id % 4 > 0 OR lang = 'en' OR doc_id % 5 = 0) OR doc_id % 30 = 0)")
-column_query("op_res10_support", "documents", "doc_id", lambda: V.support(F.array(C("doc_id") % 4), F.array(C("doc_id") % 3), F.array(C("doc_id") % 2), F.array(*[F.lit(x).cast("long") for x in (0, 1)]), F.array(F.lit(0).cast("long")), F.array(F.lit(1).cast("long")), F.array("lang"), C("doc_id") % 5 == 0, C("lang") == "de"), "(round(CASE WHEN doc_id % 4 <= 1 THEN 0.35 ELSE 0 END + CASE WHEN doc_id % 3 = 0 THEN 0.2 ELSE 0 END + CASE WHEN doc_id % 2 = 1 THEN 0.15 ELSE 0 END + 0.1 + CASE WHEN doc_id % 5 = 0 THEN 0.1 ELSE 0 END + CASE WHEN lang = 'de' THEN 0.1 ELSE 0 END, 6))::DOUBLE")
+column_query("op_res10_support", "documents", "doc_id", lambda: V.support(F.array(C("doc_id") % 4), F.array(C("doc_id") % 3), F.array(C("doc_id") % 2), F.array(*[F.lit(x).cast("long") for x in (0, 1)]), F.array(F.lit(0).cast("long")), F.array(F.lit(1).cast("long")), F.array("lang"), F.when(C("doc_id") % 5 == 0, "pass").when(C("doc_id") % 5 == 1, "weak").otherwise("fail"), C("lang") == "de", C("doc_id") % 13 == 0), "(CASE WHEN doc_id % 13 = 0 THEN 0 ELSE round(CASE WHEN doc_id % 4 <= 1 THEN 0.35 ELSE 0 END + CASE WHEN doc_id % 3 = 0 THEN 0.2 ELSE 0 END + CASE WHEN doc_id % 2 = 1 THEN 0.15 ELSE 0 END + 0.1 + CASE WHEN doc_id % 5 = 0 THEN 0.1 WHEN doc_id % 5 = 1 THEN 0.04 ELSE 0 END + CASE WHEN lang = 'de' THEN 0.1 ELSE 0 END, 4) END)::DOUBLE")
 
 
 @query("op_res3_gaps", "SELECT user_id, pieces, documents, notes, strong, array_to_string(list_filter([CASE WHEN documents < 2 THEN 'single_document' END, CASE WHEN notes = 0 THEN 'no_notes' END, CASE WHEN strong = 0 THEN 'low_confidence' END], lambda x: x IS NOT NULL), ',') AS gaps, CASE WHEN pieces >= 3 AND documents >= 2 THEN 'ready' ELSE 'partial' END AS readiness FROM (SELECT user_id, count(*) AS pieces, count(*) FILTER (event_type = 'click') AS documents, count(*) FILTER (event_type = 'view') AS notes, count(*) FILTER (value > 3) AS strong FROM events GROUP BY 1)")

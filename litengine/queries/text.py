@@ -34,7 +34,7 @@ column_query("op_str17_make_snippet", *D, lambda: T.make_snippet(C("text"), F.li
 column_query("op_str18_best_snippet", *D, lambda: T.make_snippet(C("text"), F.lit("de "), 160, 60), f"(SELECT CASE WHEN s > 1 THEN '…' ELSE '' END || substr(f, s, 160) || CASE WHEN s + 159 < length(f) THEN '…' ELSE '' END FROM (SELECT f, CASE WHEN strpos(lower(f), 'de ') > 0 THEN greatest(1, strpos(lower(f), 'de ') - 60) ELSE 1 END AS s FROM (SELECT {FLAT} AS f)))")
 column_query("op_str20_contains_folded", *D, lambda: T.contains_folded(C("text"), F.lit("THE %_A")), "contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'the %_a')")
 column_query("op_str21_open_url", "pages", "page_id", lambda: T.open_url(C("url"), C("page_id")), "'file:' || url || '#page=' || page_id")
-column_query("op_str22_query_tokens", *D, lambda: F.size(T.query_tokens(C("text"))).cast("long"), "len(list_distinct(regexp_extract_all(text, '[A-Za-z0-9_\\-]+|[\\x{4e00}-\\x{9fff}]{2,}')))")
+column_query("op_str22_query_tokens", *D, lambda: F.size(T.query_tokens(C("text"))).cast("long"), "len(list_distinct(list_filter(regexp_extract_all(text, '[A-Za-z0-9_\\-]+|[\\x{4e00}-\\x{9fff}]{2,}'), lambda t: length(t) >= 2)))")
 column_query("op_str24_hash_tokens", *D, lambda: F.size(T.hash_tokens(C("text"))).cast("long"), "len(regexp_extract_all(lower(text), '[a-z0-9_]+'))")
 column_query("op_str25_token_set", *D, lambda: F.array_join(F.array_sort(T.token_set(C("text"))), " "), "array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(lower(text), '[a-z0-9]{2,}|[\\x{4e00}-\\x{9fff}]{2,}'), flatten(list_transform(regexp_extract_all(lower(text), '[\\x{4e00}-\\x{9fff}]{4,}'), lambda r: list_transform(range(1, length(r)), lambda i: substr(r, i, 2))))))), ' ')")
 column_query("op_str28_normalize_match_text", *D, lambda: T.normalize_match_text(C("text")), f"lower({FLAT})")
@@ -44,9 +44,9 @@ column_query("op_str31_selected_text_hash", *D, lambda: T.selected_text_hash(C("
 column_query("op_str33_numbered_path", "nation", "n_nationkey", lambda: F.array_join(T.numbered_path(F.array(F.lit("1 Intro"), F.lit("2 Method"), F.concat(F.lit("2."), C("n_nationkey").cast("string"), F.lit(" Part")))), "|"), "'2 Method|2.' || n_nationkey || ' Part'")
 column_query("op_str34_is_front_matter", "nation", "n_nationkey", lambda: T.is_front_matter(F.when(C("n_nationkey") % 2 == 0, " Abstract of it").otherwise("Results")), "n_nationkey % 2 = 0")
 column_query("op_str35_is_metadata", *D, lambda: T.is_metadata(F.concat(F.when(C("doc_id") % 5 == 0, " - Backend: x ").when(C("doc_id") % 5 == 1, "Page_Count: 3 pages_with_text: 2\nheadings_detected: 4 ").when(C("doc_id") % 5 == 2, "see backend: x page_count: 3 ").otherwise(""), "text")), "doc_id % 5 IN (0, 1)")
-column_query("op_str36_locator_contract", *D, lambda: T.locator_contract(C("text"), F.when(C("doc_id") % 3 == 0, C("doc_id")), F.when(C("doc_id") % 2 == 0, C("source"))), "CASE WHEN trim(text) <> '' AND doc_id % 3 = 0 AND doc_id % 2 = 0 THEN 'exact_page' WHEN doc_id % 3 = 0 THEN 'page_only' WHEN trim(text) <> '' THEN 'text_only' ELSE 'missing' END")
+column_query("op_str36_locator_contract", *D, lambda: T.locator_contract(C("text"), F.when(C("doc_id") % 3 > 0, C("doc_id") % 4), F.when(C("doc_id") % 5 > 0, C("source")), C("doc_id") % 7 == 0), "CASE WHEN doc_id % 7 = 0 THEN 'metadata_non_locatable' WHEN doc_id % 3 = 0 OR doc_id % 4 = 0 THEN 'no_page' WHEN trim(text) = '' OR text IS NULL THEN 'no_text' WHEN doc_id % 5 = 0 OR source IS NULL THEN 'pdf_missing' ELSE 'page_level_only' END")
 column_query("op_str37_chunk_tokens", *D, lambda: F.array_join(T.chunk_tokens(C("text")), " "), r"array_to_string(list_filter(regexp_extract_all(regexp_replace(lower(text), '\[\d+(,\s*\d+)*\]', ' ', 'g'), '[\p{L}\p{N}]+'), lambda t: length(t) >= 2 AND NOT regexp_full_match(t, '\d{1,3}')), ' ')")
-column_query("op_str40_is_test_record", "pages", "page_id", lambda: T.is_test_record(F.lit("Demo of it"), C("url")), "true")
+column_query("op_str40_is_test_record", "part", "p_partkey", lambda: T.is_test_record(F.concat(F.when(C("p_size") % 9 == 0, "Test ").otherwise(""), C("p_name")), [F.when(C("p_size") % 11 == 0, " Fixture").otherwise(C("p_brand"))], [F.when(C("p_size") % 13 == 0, "c:\\data\\Mock\\a.pdf").otherwise(C("p_type"))]), "p_size % 9 = 0 OR p_size % 11 = 0 OR p_size % 13 = 0")
 column_query("op_str41_normalize_annotation", "benchmark", "item_id", lambda: T.normalize_annotation(C("text")), NORM)
 column_query("op_str42_object_key", "part", "p_partkey", lambda: T.object_key(C("p_name")), "lower(trim(p_name))")
 column_query("op_str43_citation", *D, lambda: T.citation("doc", C("doc_id"), C("source"), F.when(C("doc_id") % 2 == 0, C("n_chars"))), "'[doc:' || doc_id || '] ' || source || CASE WHEN doc_id % 2 = 0 THEN ', p. ' || n_chars ELSE '' END")

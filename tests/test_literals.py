@@ -40,13 +40,18 @@ def test_text_functions(spark):
     assert set(one(spark, T.token_set(C("x")), x="A1 b 图神经网络 图 神经")) == {"a1", "图神经网络", "图神", "神经", "经网", "网络"}
     assert one(spark, T.normalize_fingerprint(C("x")), x="Ünder A-b  图 3!") == "nder a b 图 3"
     assert one(spark, T.is_metadata(C("x")), x=" - Backend: z") and not one(spark, T.is_metadata(C("x")), x="the backend: page_count: 3")
-    assert one(spark, T.query_tokens(C("x")), x="图神经网络 R-precision 图") == ["图神经网络", "R-precision"]
+    parts = ["图神经网", "神经网络", "图神经", "神经网", "经网络", "图神", "神经", "经网", "网络"]
+    assert one(spark, T.query_tokens(C("x")), x="图神经网络 R-precision 图 a") == ["图神经网络", *parts, "R-precision"] and one(spark, T.query_tokens(C("x"), True), x=" A ") == ["a"]
+    assert one(spark, T.query_tokens(C("x"), True), x="图神经网络 R-precision R-Precision") == ["图神经网络", *parts, "r-precision"]
+    record = lambda title, *kinds: one(spark, T.is_test_record(C("t"), [C("k")], [C("k")]), t=title, k=kinds[0] if kinds else None)
+    assert record("A Mock paper") and record("Test of time") and not record("Testing") and record("x", "Test_Seed") and record("x", "c:\\fixtures\\a.pdf") and not record("x", "seed")
     assert one(spark, T.uuid5(C("x")), x="http://a/b") == str(uuid.uuid5(uuid.NAMESPACE_URL, "http://a/b"))
     assert one(spark, T.parse_heading_path(C("x")), x='["A", " B "]') == ["A", "B"] and one(spark, T.parse_heading_path(C("x")), x="A::B") == ["A", "B"]
     assert one(spark, T.numbered_path(C("x")), x=["1 A", "2 B", "2.3 C", "2.3.1 D"]) == ["2 B", "2.3 C", "2.3.1 D"]
     assert one(spark, T.html_to_text(C("x")), x="<p>a &amp; b</p><ul><li>c</ul>") == "a & b\n\n- c"
     assert one(spark, T.hash_tokens(C("x")), x="A 图神") == ["a", "图", "神", "图神"]
-    assert one(spark, T.locator_contract(C("x"), F.lit(None), F.lit(None)), x=" ") == "missing"
+    where = lambda x, page, path: one(spark, T.locator_contract(C("x"), F.lit(page).cast("int"), F.lit(path).cast("string")), x=x)
+    assert (where(" ", None, None), where("a", 0, "p"), where(" ", 1, "p"), where("a", 1, ""), where("a", 1, "p")) == ("no_page", "no_page", "no_text", "pdf_missing", "page_level_only")
 
 
 def test_plans():

@@ -148,7 +148,8 @@ def query_tokens(x: Column, rerank: bool = False) -> Column:
     runs = F.filter(F.regexp_extract_all(x, F.lit(r"([A-Za-z0-9_\-]+|[\x{4e00}-\x{9fff}]{2,})"), 1), lambda t: F.length(t) >= 2)
 
     def parts(t: Column) -> Column:
-        cut = [F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i, n=n: F.substring(t, i, F.lit(n)))) for n in CJK_PARTS]
+        of = lambda n: F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substring(t, i, F.lit(n))))
+        cut = [of(n) for n in CJK_PARTS]
         every = F.slice(F.array_distinct(F.flatten(F.array_compact(F.array(*cut)))), 1, CJK_MOST)
         return F.when(t.rlike(rf"^[\x{{4e00}}-\x{{9fff}}]{{{CJK_LONG},}}$"), F.concat(F.array(t), every)).otherwise(F.array(t))
 

@@ -134,9 +134,8 @@ def located(pairs: DataFrame, passage: str, page: str) -> DataFrame:
             rest = pdf.drop(columns=[passage, page])
             yield rest.assign(window_start=start, window_end=end, match_count=matches, match_ratio=[round(r, 3) for r in ratio], coverage=[round(c, 3) for c in coverage], fits=fits)
 
-    kept = [f for f in pairs.schema if f.name not in (passage, page)]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return pairs.mapInPandas(run, f"{fields}{', ' if kept else ''}window_start int, window_end int, match_count int, match_ratio double, coverage double, fits boolean")
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema if f.name not in (passage, page)]
+    return pairs.mapInPandas(run, ", ".join([*fields, "window_start int, window_end int, match_count int, match_ratio double, coverage double, fits boolean"]))
 
 
 def text_ratio(selected: str, text: str) -> float:
@@ -171,5 +170,5 @@ def fuzzy(pairs: DataFrame, selected: str, text: str) -> DataFrame:
         for pdf in pieces:
             yield pdf.drop(columns=[selected, text]).assign(ratio=[round(text_ratio(a or "", b or ""), 6) for a, b in zip(pdf[selected], pdf[text], strict=True)])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema if f.name not in (selected, text))
-    return pairs.mapInPandas(run, f"{fields}, ratio double")
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema if f.name not in (selected, text)]
+    return pairs.mapInPandas(run, ", ".join([*fields, "ratio double"]))

@@ -21,7 +21,7 @@ def substring_predicate(spark, sf):
     return R.any_contains(table_of(spark, sf, "documents"), ["text", "source"], "sRc1", {"lang": "en"}).unionByName(R.any_contains(table_of(spark, sf, "documents"), ["text"], "TRASH", {"lang": "en"})).select("doc_id").distinct()
 
 
-for name, columns, terms in (("op_fil3_tag_conditions", ["n_name"], ["an", "US"]), ("op_fil4_relation_conditions", ["n_name", "n_nationkey::VARCHAR"], ["in", "7"]), ("op_fil5_note_conditions", ["n_name"], ["a", "q"])):
+for name, columns, terms in (("op_fil3_tag_conditions", ["n_name"], ["A", "1"]), ("op_fil4_relation_conditions", ["n_name", "n_nationkey::VARCHAR"], ["in", "7"]), ("op_fil5_note_conditions", ["n_name"], ["a", "q"])):
     sql = " OR ".join(f"contains({FOLD.format(c)}, '{t.lower()}')" for c in columns for t in terms)
     query(name, f"SELECT n_nationkey FROM nation WHERE {sql}")(lambda spark, sf, columns=columns, terms=terms: R.any_term(table_of(spark, sf, "nation").withColumn("n_nationkey::VARCHAR", C("n_nationkey").cast("string")), [f"`{c}`" for c in columns], terms).select("n_nationkey"))
 
@@ -128,9 +128,10 @@ def nearest_page(spark, sf):
     return R.nearest_page(points, t.where("turn % 3 = 0").select("conv_id", C("turn").alias("page")), "conv_id", "turn", "page", "ident").select("ident", "page", "offset_rank")
 
 
-@query("op_j14_anti_joins", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) AND c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey % 2 = 0)")
+@query("op_j14_anti_joins", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 7 = 0) AND c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey % 5 = 0 AND s_nationkey < 20)")
 def anti_joins(spark, sf):
-    o, s = table_of(spark, sf, "orders").withColumnRenamed("o_custkey", "c_custkey"), table_of(spark, sf, "supplier").where("s_suppkey % 2 = 0").withColumnRenamed("s_nationkey", "c_nationkey")
+    o = table_of(spark, sf, "orders").where("o_orderkey % 7 = 0").withColumnRenamed("o_custkey", "c_custkey")
+    s = table_of(spark, sf, "supplier").where("s_suppkey % 5 = 0 and s_nationkey < 20").withColumnRenamed("s_nationkey", "c_nationkey")
     return R.without(table_of(spark, sf, "customer"), (o, ["c_custkey"]), (s, ["c_nationkey"])).select("c_custkey")
 
 

@@ -25,10 +25,11 @@ def annotations(spark, sf):
     return Y.annotation_fragments(e, parents, gone, "id").select("id", "source_type", "body")
 
 
-@query("op_ing16_first_marked", "SELECT regexp_extract(text, 'password=([0-9a-f]{4})', 1) AS value, min(source || '/' || doc_id) AS path FROM documents WHERE regexp_extract(text, 'password=([0-9a-f]{4})', 1) <> '' GROUP BY 1")
+@query("op_ing16_first_marked", "SELECT regexp_extract(text, 'sha256:([0-9a-f]{3})', 1) AS value, min(source || '/' || doc_id) AS path FROM (SELECT doc_id, source, substr(text, 1, 60) || ' sha256:' || substr(sha256(text), 1, 4) AS text FROM documents WHERE doc_id % 3 > 0 AND source IS NOT NULL) GROUP BY 1")
 def first_marked(spark, sf):
-    d = table_of(spark, sf, "documents").withColumn("path", F.concat_ws("/", "source", "doc_id"))
-    return Y.first_marked(d, "path", "text", "password=([0-9a-f]{4})")
+    d = table_of(spark, sf, "documents").where("source is not null").withColumn("path", F.concat_ws("/", "source", "doc_id"))
+    marked = F.concat(F.substring("text", 1, 60), F.when(C("doc_id") % 3 > 0, F.concat(F.lit(" sha256:"), F.substring(F.sha2("text", 256), 1, 4))).otherwise(""))
+    return Y.first_marked(d.withColumn("text", marked), "path", "text", "sha256:([0-9a-f]{3})")
 
 
 @query("op_ing18_unique_numbers", "SELECT doc_id, CASE WHEN k = 1 THEN number ELSE number || '-' || k END AS section_id FROM (SELECT doc_id, number, row_number() OVER (PARTITION BY lang, number ORDER BY doc_id) AS k FROM (SELECT doc_id, lang, doc_id % 7 || '.' || doc_id % 3 AS number FROM documents))")

@@ -204,8 +204,12 @@ def relations(spark, sf):
     return table_of(spark, sf, "orders").where("o_orderstatus = 'P'").orderBy(F.desc("o_orderkey")).limit(50).select("o_orderkey")
 
 
-@query("op_src12_invalid_vectors", "SELECT vec_id, 'vector' AS reason FROM embeddings WHERE len(embedding) <> 64")
+@query("op_src12_invalid_vectors", "SELECT vec_id, 'vector' AS reason FROM embeddings WHERE vec_id % 9 IN (2, 4, 6) UNION ALL SELECT vec_id, 'repeated' FROM embeddings WHERE vec_id % 11 = 1")
 def invalid_vectors(spark, sf):
     from ..sources.tables import invalid_vectors as check
 
-    return check(table_of(spark, sf, "embeddings"), "vec_id", "embedding", 64)
+    e, nine = table_of(spark, sf, "embeddings").select("vec_id", "embedding"), C("vec_id") % 9
+    # Some vectors lose a component, hold one that is no number, or are null; some rows come twice.
+    spoiled = F.when(nine == 2, F.slice("embedding", 1, 63)).when(nine == 4, F.transform("embedding", lambda x, i: F.when(i == 5, F.lit(float("nan"))).otherwise(x).cast("float"))).when(nine != 6, C("embedding"))
+    again = e.where("vec_id % 11 = 1").select("vec_id", F.array_repeat(F.lit(1.0).cast("float"), 64).alias("embedding"))
+    return check(e.withColumn("embedding", spoiled).unionByName(again), "vec_id", "embedding", 64)

@@ -69,7 +69,7 @@ def paragraphs(text: Column) -> Column:
 
 
 def line_role(text: Column, y: Column, height: Column) -> Column:
-    """ING6, ING7: page_number, header, footer, heading, formula or body, by place on the page and form."""
+    """ING6: page_number, header, footer, heading, formula or body, by place on the page and form."""
     return (
         F.when(F.trim(text).rlike(r"^\d{1,4}$") & ((y < 0.08 * height) | (y > 0.92 * height)), "page_number")
         .when(y < 0.06 * height, "header").when(y > 0.94 * height, "footer")
@@ -77,6 +77,37 @@ def line_role(text: Column, y: Column, height: Column) -> Column:
     )
 
 
+# Forms of page numbers, running heads, captions and marks of formulas.
+PAGE_NUMBER = r"^(\d{1,4}|[ivxlcdmIVXLCDM]{1,8})$"
+RUNNING_HEAD = r"(?i)第\s*\d+\s*章|chapter\s+\d+|单源最短路径|最短路径"
+CAPTION = r"(?i)^(图|表)\s*\d+([-－]\d+)?(?![\w])|^fig(ure)?\.?\s*\d+"
+MATH_MARK = r"([\\\\δ∞∈≤≥=+\-*/_^()]|<math)"
+
+
+def layout_role(text: Column, x0: Column, y0: Column, x1: Column, y1: Column, width: Column, height: Column) -> Column:
+    """ING7: unknown (blank), page_number, header, footer, figure_caption, formula or body, by a line's box on its page and its form.
+
+    A page without a size counts as large as the box; null numbers count as 0, null texts as blank.
+    """
+    zero = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
+    x0, y0, x1, y1 = zero(x0), zero(y0), F.coalesce(x1.cast("double"), zero(x0)), F.coalesce(y1.cast("double"), zero(y0))
+    side = lambda given, end: F.when(zero(given) > 0, zero(given)).otherwise(F.greatest(end, F.lit(1.0)))
+    width, height = side(width, x1), side(height, y1)
+    top, bottom, middle = y0 / height, y1 / height, (x0 + x1) / 2 / width
+    shown = ocr_text(F.coalesce(text, F.lit("")))
+    bare = F.regexp_replace(shown, r"\s+", "")
+    marks = F.regexp_count(F.coalesce(text, F.lit("")), F.lit(MATH_MARK))
+    return (
+        F.when(bare == "", "unknown")
+        .when(bare.rlike(PAGE_NUMBER) & ((top <= 0.12) | (bottom >= 0.9)) & middle.between(0.35, 1.05), "page_number")
+        .when((top <= 0.08) & shown.rlike(RUNNING_HEAD) & (F.length(bare) <= 28), "header")
+        .when((bottom >= 0.94) & (y0 >= F.greatest(F.lit(250.0), height * 0.75)) & (F.length(bare) <= 40), "footer")
+        .when(shown.rlike(CAPTION), "figure_caption")
+        .when((marks >= 6) & (F.regexp_count(shown, F.lit(r"[\x{4e00}-\x{9fff}]")) <= 4), "formula")
+        .otherwise("body")
+    )
+
+
 def grouped_lines(df: DataFrame, key: str, order: str, page: str, role: str, text: str, target: int = 700) -> DataFrame:
     """ING8, ING9: lines to units: a new one at a page's end, a heading, a formula, or when the target length is passed.
 

@@ -73,12 +73,6 @@ def merged_scores(a: DataFrame, b: DataFrame, key: str, first: str, second: str)
     return a.join(b, key, "full").select(key, F.coalesce(first, F.lit(0.0)).alias(first), F.coalesce(second, F.lit(0.0)).alias(second))
 
 
-def within(points: DataFrame, ranges: DataFrame, key: str, at: str, low: str, high: str, how: str = "inner") -> DataFrame:
-    """Points joined to the ranges of their key that hold them; an open end counts as the start."""
-    r = ranges.withColumnRenamed(key, "_k")
-    return points.join(r, (points[key] == r["_k"]) & points[at].between(r[low], F.coalesce(r[high], r[low])), how).drop("_k")
-
-
 def nearest_page(points: DataFrame, pages: DataFrame, key: str, at: str, page: str, ident: str) -> DataFrame:
     """Rows on the same page, else on the next, else on the one before; the least offset that has any, then all its rows."""
     steps = F.explode(F.array(*[F.struct(F.lit(k).alias("rank"), F.lit(d).alias("step")) for k, d in enumerate((0, 1, -1))])).alias("s")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import ranges as G
 from ..operators import relations as R
 from . import query, table_of
 
@@ -93,7 +94,7 @@ def source_counts(spark, sf):
 def role_summary(spark, sf):
     t = table_of(spark, sf, "conversations").select("conv_id", "turn", "role")
     ranges = t.groupBy("conv_id").agg(F.min("turn").alias("lo"), (F.max("turn") - 1).alias("hi"))
-    return R.within(t, ranges, "conv_id", "turn", "lo", "hi").groupBy("conv_id").agg(F.count_if(C("role") == "user").alias("users"), F.count_if(C("role") != "user").alias("others"))
+    return G.held(t, ranges, "conv_id", "turn", "lo", "hi").groupBy("conv_id").agg(F.count_if(C("role") == "user").alias("users"), F.count_if(C("role") != "user").alias("others"))
 
 
 @query("op_agg20_merged_candidates", "SELECT l_partkey, array_to_string(list_sort(list_distinct(list(l_suppkey))), ' ') AS suppliers, min_by(l_quantity, l_orderkey * 10 + l_linenumber)::DOUBLE AS quantity FROM lineitem GROUP BY 1")

@@ -36,7 +36,12 @@ def blocks(spark, sf):
 
 
 column_query("op_ing5_paragraphs", "pages", "page_id", lambda: F.array_join(I.paragraphs(C("html")), "¶"), "array_to_string(list_filter(list_transform(regexp_split_to_array(html, '\\n\\s*\\n+'), lambda p: trim(p)), lambda p: p <> ''), '¶')")
-column_query("op_ing7_line_role", "conversations", "conv_id, turn", lambda: I.line_role(C("text"), C("turn") * 10, F.lit(100)), "CASE WHEN regexp_full_match(trim(text), '\\d{1,4}') AND (turn * 10 < 8 OR turn * 10 > 92) THEN 'page_number' WHEN turn * 10 < 6 THEN 'header' WHEN turn * 10 > 94 THEN 'footer' WHEN regexp_matches(text, '^\\d+(\\.\\d+)*\\s+\\p{Lu}') THEN 'heading' WHEN regexp_matches(text, '[=∑∫√]') THEN 'formula' ELSE 'body' END")
+OCR_TEXT = "trim(regexp_replace(replace(replace(replace(replace(regexp_replace(coalesce(text, ''), '</?(sub|sup|b|i|u|math)[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&'), ' ([,.;:!?，。；：！？])', '\\1', 'g'))"
+column_query(
+    "op_ing7_line_role", "conversations", "conv_id, turn", lambda: I.layout_role(F.concat_ws(" ", F.when(C("turn") == 0, F.lit("Chapter")), F.when(C("turn") % 2 == 0, C("conv_id").cast("string")).otherwise(C("text"))), F.lit(100), C("turn") * 100, F.lit(500), C("turn") * 100 + 60, F.lit(600), F.lit(800)),
+    r"""CASE WHEN turn % 2 = 1 AND regexp_replace(text, '\s+', '', 'g') = '' THEN 'unknown' WHEN turn % 2 = 0 AND turn > 0 AND length(conv_id::VARCHAR) <= 4 AND (turn * 100 <= 96 OR turn * 100 + 60 >= 720) THEN 'page_number' WHEN turn = 0 THEN 'header' WHEN turn * 100 + 60 >= 752 AND turn * 100 >= 600 AND (turn % 2 = 0 OR length(regexp_replace({0}, '\s+', '', 'g')) <= 40) THEN 'footer'
+    WHEN turn % 2 = 1 AND regexp_matches({0}, '^fig(ure)?\.?\s*\d+', 'i') THEN 'figure_caption' WHEN turn % 2 = 1 AND len(regexp_extract_all(text, '[\\δ∞∈≤≥=+*/_^()-]|<math')) >= 6 AND len(regexp_extract_all({0}, '[一-鿿]')) <= 4 THEN 'formula' ELSE 'body' END""".format(OCR_TEXT),
+)
 column_query("op_ing10_joiner", "conversations", "conv_id, turn", lambda: I.joined_lines(F.concat(F.replace("text", F.lit("."), F.lit(" .")), F.lit(" 图 神"))), "regexp_replace(replace(text, '.', ' .'), ' ([,.;:!?，。；：！？])', '\\1', 'g') || ' 图神'")
 column_query("op_ing11_ocr_text", "pages", "page_id", lambda: I.ocr_text(C("html")), "trim(regexp_replace(replace(replace(replace(replace(regexp_replace(html, '</?(sub|sup|b|i|u|math)[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&'), ' ([,.;:!?，。；：！？])', '\\1', 'g'))")
 column_query("op_ing15_sample_indexes", "documents", "doc_id", lambda: F.array_join(I.sample_indexes(C("doc_id") % 40).cast("array<string>"), ","), "CASE WHEN doc_id % 40 = 0 THEN '' WHEN doc_id % 40 <= 12 THEN array_to_string(range(0, doc_id % 40), ',') ELSE array_to_string(list_transform(range(0, 12), lambda i: round_even(i * (doc_id % 40 - 1) / 11, 0)::INTEGER), ',') END")

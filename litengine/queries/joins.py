@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import ingest as I
+from ..operators import ranges as G
 from ..operators import relations as R
 from . import query, table_of
+from .ingest import STARTS
 
 C = F.col
 FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -113,12 +117,38 @@ def _ranges(spark, sf):
 
 @query("op_j10_interval_join", f"SELECT c.conv_id, c.turn, r.lo, coalesce(r.hi, -1)::BIGINT AS hi FROM conversations c JOIN {RANGES} r ON r.conv_id = c.conv_id AND c.turn BETWEEN r.lo AND coalesce(r.hi, r.lo)")
 def interval_join(spark, sf):
-    return R.within(_turns(spark, sf), _ranges(spark, sf), "conv_id", "turn", "lo", "hi").select("conv_id", "turn", "lo", F.coalesce(C("hi"), F.lit(-1)).cast("long").alias("hi"))
+    return G.held(_turns(spark, sf), _ranges(spark, sf), "conv_id", "turn", "lo", "hi").select("conv_id", "turn", "lo", F.coalesce(C("hi"), F.lit(-1)).cast("long").alias("hi"))
 
 
 @query("op_j12_interval_left_join", f"SELECT c.conv_id, c.turn, coalesce(r.lo, -1)::BIGINT AS lo FROM conversations c LEFT JOIN {RANGES} r ON r.conv_id = c.conv_id AND c.turn BETWEEN r.lo AND coalesce(r.hi, r.lo)")
 def interval_left_join(spark, sf):
-    return R.within(_turns(spark, sf), _ranges(spark, sf), "conv_id", "turn", "lo", "hi", "left").select("conv_id", "turn", F.coalesce(C("lo"), F.lit(-1)).cast("long").alias("lo"))
+    return G.held(_turns(spark, sf), _ranges(spark, sf), "conv_id", "turn", "lo", "hi", ["conv_id", "turn"], "left").select("conv_id", "turn", F.coalesce(C("lo"), F.lit(-1)).cast("long").alias("lo"))
+
+
+def _pages(start, end):
+    """Pages of 3000 characters from one position to another, from 1."""
+    return (F.floor(start / 3000) + 1).cast("long").alias("page_start"), (F.floor((end - 1) / 3000) + 1).cast("long").alias("page_end")
+
+
+def _paged_chunks(spark, sf):
+    return I.chunks(table_of(spark, sf, "documents")).select("doc_id", C("chunk_index").cast("long").alias("chunk"), *_pages(C("start"), C("end")), "chunk_text")
+
+
+@query("op_j11_page_candidates", f"WITH s AS (SELECT doc_id, text, unnest({STARTS}) AS start FROM documents WHERE length(text) > 0), c AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS chunk, start, least(length(text), start + CASE WHEN length(text) > 700 THEN 500 ELSE length(text) END) AS stop FROM s WHERE trim(substr(text, start + 1, CASE WHEN length(text) > 700 THEN 500 ELSE length(text) END)) <> '') SELECT l.doc_id, 1 + quality + toxic AS page, chunk FROM labels l JOIN c ON c.doc_id = l.doc_id AND 1 + quality + toxic BETWEEN start // 3000 + 1 AND (stop - 1) // 3000 + 1")
+def page_candidates(spark, sf):
+    """Labels as notes on one of the first three pages of their documents, with the chunks that may hold them."""
+    notes = table_of(spark, sf, "labels").select("doc_id", (C("quality") + C("toxic") + 1).cast("long").alias("page"))
+    return G.held(notes, _paged_chunks(spark, sf).drop("chunk_text"), "doc_id", "page", "page_start", "page_end").select("doc_id", "page", "chunk")
+
+
+@query("op_aln6_chunk_lines")
+def chunk_lines(spark, sf):
+    """Lines of documents as those of pages of 3000 characters, with the chunks they were cut into."""
+    split = table_of(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    before = F.sum(F.length("text") + 1).over(Window.partitionBy("doc_id").orderBy("line").rowsBetween(Window.unboundedPreceding, -1))
+    lines = split.withColumn("page", (F.floor(F.coalesce(before, F.lit(0)) / 3000) + 1).cast("long"))
+    role = I.layout_role(C("text"), *(F.lit(x) for x in (0, 300, 500, 320, 600, 800)))
+    return G.aligned_lines(_paged_chunks(spark, sf), lines.select("doc_id", "page", C("line").cast("long").alias("line_index"), C("line").cast("long"), "text", role.alias("role")), "doc_id")
 
 
 @query("op_j13_nearest_page", "SELECT ident, page, offset_rank FROM (SELECT a.conv_id * 100 + a.turn AS ident, b.turn AS page, s.r AS offset_rank, min(s.r) OVER (PARTITION BY a.conv_id * 100 + a.turn) AS best FROM conversations a CROSS JOIN (VALUES (0, 0), (1, 1), (2, -1)) s(r, d) JOIN (SELECT * FROM conversations WHERE turn % 3 = 0) b ON b.conv_id = a.conv_id AND b.turn = a.turn + s.d) WHERE offset_rank = best")

@@ -189,16 +189,35 @@ def test_generations(spark, tmp_path):
 
 
 def test_streams(spark, tmp_path):
-    rows = [("a", "planned", "running"), ("a", "parsed", "running"), ("a", "copied", "running"), ("a", "verified", "completed"), ("a", "verified", "running"), ("b", "odd", "running")]
-    for k, (i, stage, status) in enumerate(rows):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = [  # file, operation, stage, status, whether it is accepted
+        (0, "a", "body_import_started", "running", False), (0, "a", "confirmation_accepted", "accepted", True), (0, "b", "confirmation_accepted", "accepted", True),
+        (1, "a", "publish_completed", "running", True), (1, "a", "publish_started", "running", False), (1, "a", "receipt_persisted", "committed", False),
+        (2, "a", "final_verification_completed", "running", True), (2, "a", "receipt_persisted", "committed", True), (2, "a", "rollback_started", "running", False),
+        (3, "c", "confirmation_accepted", "accepted", True), (3, "c", "odd", "running", False), (3, "c", "rollback_started", "running", True), (3, "c", "receipt_persisted", "failed", True), (4, "d", "confirmation_accepted", "accepted", True),
+    ]
+    for k in range(5):
         path = tmp_path / f"{k:03}.json"
-        path.write_text(json.dumps({"operation_id": i, "stage": stage, "status": status}) + "\n")
+        lines = [json.dumps({"operation_id": o, "seq": n, "stage": a, "status": s, "at": f"2024-01-01T0{k}:00:00Z"}) for n, (f, o, a, s, _) in enumerate(rows) if f == k]
+        path.write_text("\n".join(lines) + "\n")
         os.utime(path, (1_700_000_000 + k, 1_700_000_000 + k))  # files come in the order of their times
-    stream = spark.readStream.schema("operation_id string, stage string, status string").option("maxFilesPerTrigger", 1).json(str(tmp_path))
-    query = sync.journal(stream).writeStream.format("memory").queryName("journal").outputMode("append").option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
+    stream = spark.readStream.schema("operation_id string, seq long, stage string, status string, at timestamp").option("maxFilesPerTrigger", 1).json(str(tmp_path))
+    out = sync.journal(stream.withWatermark("at", "0 seconds"), silence=90 * 60 * 1000)
+    query = out.writeStream.format("memory").queryName("journal").outputMode("append").option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
     query.awaitTermination(120)
-    got = [(r.operation_id, r.stage, r.verdict) for r in spark.table("journal").collect()]
-    assert sorted(got) == sorted([("a", "planned", "accepted"), ("a", "parsed", "accepted"), ("a", "copied", "rejected"), ("a", "verified", "accepted"), ("a", "verified", "rejected"), ("b", "odd", "rejected")])
+    got = spark.table("journal").collect()
+    assert sorted((r.seq, r.verdict == "accepted") for r in got if r.verdict != "timer") == [(n, x[4]) for n, x in enumerate(rows)]
+    # b is silent for more than an hour and a half; a and c have ended; d is too young
+    assert [(r.operation_id, r.stage, r.status, r.seq) for r in got if r.verdict == "timer"] == [("b", "confirmation_accepted", "orphaned", None)]
     seen = []
     sync.worker(stream, lambda df, k: seen.append(df.count()), str(tmp_path / "c2")).awaitTermination(120)
     assert sum(seen) == len(rows)
+
+
+def test_legal_moves():
+    moves = sync.legal_moves()
+    run = lambda a, b, t="running": (a, "running", b, t) in moves
+    assert run("body_import_started", "rollback_started") and run("rollback_started", "rollback_completed") and not run("rollback_completed", "rollback_started")
+    assert not run("rollback_started", "publish_started") and run("rollback_completed", "receipt_persisted", "failed") and not run("rollback_completed", "receipt_persisted", "committed")
+    assert run("final_verification_completed", "receipt_persisted", "committed") and not run("publish_completed", "receipt_persisted", "committed") and not run("publish_completed", "publish_started")
+    assert ("confirmation_accepted", "accepted", "confirmation_accepted", "orphaned") in moves and not any(s in ("committed", "failed", "orphaned") for _, s, _, _ in moves)

@@ -82,6 +82,44 @@ def verdict_rules(database: Column, index: Column, vectors: Column, writes: Colu
     return F.array_join(F.array_compact(F.array(F.when(~database, "database_missing"), F.when(index > 0, "index_drift"), F.when(vectors > 0, "vectors_stale"), F.when(writes, "writes_performed"))), ",")
 
 
+# Counts that must be 0, and the reason each of them gives; counts of orphans may be unknown.
+FAILURE_COUNTS = {
+    "foreign_key_issues": "database_foreign_key_issues", "missing_pdf_chunk_count": "fts_missing_pdf_chunk_count", "orphan_pdf_chunk_count": "fts_orphan_pdf_chunk_count",
+    "missing_personal_note_count": "fts_missing_personal_note_count", "orphan_personal_note_count": "fts_orphan_personal_note_count",
+}
+MISSING_VECTORS, ORPHAN_VECTORS = ("passage_missing_count", "note_missing_count"), ("passage_orphan_count", "note_orphan_count")
+
+
+def integrity_verdict(r: Column) -> Column:
+    """INT2: a document's verdict and its reasons, from a report as a struct: verdict (fail, warn or pass) and reasons.
+
+    r: source_recorded, database_ok, foreign_key_issues, fts_ready, the counts of FAILURE_COUNTS, vectors_available,
+    MISSING_VECTORS and ORPHAN_VECTORS (null: not known), vector_reasons, wrote, journal_failures, pdf_warning,
+    excluded_notes, history_recorded, journal_warnings. Null flags are false, null counts 0 and null lists empty; a document
+    without a recorded history has a warning. Reasons are distinct: warnings first, then failures.
+    """
+    true = lambda c: F.coalesce(r[c], F.lit(False))
+    count = lambda c: F.coalesce(r[c], F.lit(0))
+    listed = lambda c: F.coalesce(r[c], F.array().cast("array<string>"))
+    some = lambda *reasons: F.array_compact(F.array(*reasons))
+    counted = [F.when(count(c) > 0, reason) for c, reason in FAILURE_COUNTS.items()]
+    vectors = [F.when(count(c) > 0, f"vector_{c}") for c in (*MISSING_VECTORS, *ORPHAN_VECTORS)]
+    failures = F.concat(
+        some(
+            F.when(~true("source_recorded"), "document_source_binding_missing"), F.when(~true("database_ok"), "database_integrity_check_failed"), counted[0], F.when(~true("fts_ready"), "fts_not_ready"), *counted[1:],
+            F.when(~true("vectors_available"), "vector_store_unavailable"), *vectors, F.when(true("wrote"), "read_only_contract_violated"),
+        ),
+        listed("journal_failures"),
+    )
+    notes = F.when(count("excluded_notes") > 0, F.concat(F.lit("personal_notes_excluded_from_fts:"), count("excluded_notes").cast("string")))
+    warnings = F.concat(
+        some(*[F.when(r[c].isNull(), f"vector_{c}_not_available") for c in ORPHAN_VECTORS]), F.transform(listed("vector_reasons"), lambda x: F.concat(F.lit("vector_inspection:"), x)),
+        some(r["pdf_warning"], notes, F.when(~true("history_recorded"), "historical_events_not_recorded")), listed("journal_warnings"),
+    )
+    reasons = F.array_distinct(F.concat(warnings, failures))
+    return F.struct(F.when(F.size(failures) > 0, "fail").when(F.size(reasons) > 0, "warn").otherwise("pass").alias("verdict"), reasons.alias("reasons"))
+
+
 def status(indexed: Column, expected: Column, fingerprint: Column, active: Column) -> Column:
     """INT4, INT7: missing, corrupt, stale, source_drift or ready, in this order."""
     return F.when(indexed.isNull(), "missing").when(indexed == 0, "corrupt").when(~fingerprint.eqNullSafe(active), "stale").when(indexed != expected, "source_drift").otherwise("ready")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -162,6 +163,52 @@ def gaps(package: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return out.withColumn("gaps", F.array_join(lacks, ",")).withColumn("readiness", ready)
 
 
+# Words of evidence about limits, and what is said of each gap.
+LIMITS = ("limitation", "experiment", "ablation", "failure", "failure case", "局限", "实验", "消融", "失败", "失败案例")
+GAPS = {
+    "no_chunks": "当前知识库未检索到相关 evidence chunk，不能进入假设生成。",
+    "no_notes": "未找到相关 personal_notes，缺少个人理解层判断。",
+    "no_tags": "未找到相关标签，任务/方法/问题/局限结构仍不明确。",
+    "no_relations": "未找到相关 knowledge_relations，方法-问题-证据链仍不完整。",
+    "no_pages": "检索到的证据缺少 PDF 页码，后续需要补齐页码回溯。",
+    "test_data": "当前命中的证据包含 mock/test/acceptance 数据，不应作为真实研究问题的充分证据。",
+    "only_test_data": "当前没有可用于真实研究判断的有效 evidence chunk。",
+    "dimension": "当前 evidence 未覆盖问题维度：%s。",
+    "few": "证据数量偏少，且缺少 limitation / experiment / ablation / failure case 相关证据。",
+}
+
+
+def evidence_gaps(questions: DataFrame, evidence: DataFrame, ident: str, dimensions: dict[str, Sequence[str]]) -> DataFrame:
+    """RES3: for each question what its evidence lacks: ident and gaps, an array of codes in the order of GAPS.
+
+    questions: ident, question; evidence: ident, kind (chunk, note, tag or relation), page, text. A dimension that the question
+    names and no piece of evidence does is `dimension:<name>`. Only flags are gathered, before the shuffle. Null texts hold
+    nothing; questions without evidence lack all of it; `gap_text` gives a code's words.
+    """
+    holds = lambda x, words: reduce(or_, [F.contains(F.lower(F.coalesce(x, F.lit(""))), F.lit(w.lower())) for w in words])
+    chunk, test = C("kind") == "chunk", T.hygiene(F.coalesce("text", F.lit(""))).isin("strong", "weak")
+    flags = evidence.groupBy(ident).agg(
+        *(F.count_if(C("kind") == k).alias(f"_{k}") for k in ("chunk", "note", "tag", "relation")), F.count_if(chunk & C("page").isNotNull()).alias("_paged"),
+        F.count_if(test).alias("_test"), F.count_if(chunk & test).alias("_testing"), F.count_if(holds(C("text"), LIMITS)).alias("_limits"),
+        *(F.count_if(holds(C("text"), words)).alias(f"_d{k}") for k, words in enumerate(dimensions.values())),
+    )
+    both = questions.select(ident, "question").join(flags, ident, "left")
+    n = lambda c: F.coalesce(C(c), F.lit(0))
+    some = n("_chunk") > 0
+    open_ = [F.when(holds(C("question"), words) & (n(f"_d{k}") == 0), f"dimension:{name}") for k, (name, words) in enumerate(dimensions.items())]
+    found = [
+        F.when(~some, "no_chunks"), F.when(n("_note") == 0, "no_notes"), F.when(n("_tag") == 0, "no_tags"), F.when(n("_relation") == 0, "no_relations"), F.when(some & (n("_paged") == 0), "no_pages"),
+        F.when(n("_test") > 0, "test_data"), F.when(some & (n("_testing") == n("_chunk")), "only_test_data"), *open_, F.when((n("_chunk") == 1) & (n("_limits") == 0), "few"),
+    ]
+    return both.select(ident, F.array_compact(F.array(*found)).alias("gaps"))
+
+
+def gap_text(code: str) -> str:
+    """RES3: what is said of a gap."""
+    kind, _, name = code.partition(":")
+    return GAPS[kind] % name if name else GAPS[kind]
+
+
 def uncovered(dimensions: dict[str, Sequence[str]], text: Column) -> Column:
     """RES4: dimensions of a question none of whose keywords the evidence holds."""
     holds = lambda words: reduce(lambda a, b: a | b, [F.contains(F.lower(text), F.lit(w.lower())) for w in words])
@@ -221,6 +268,33 @@ def tables_with_column(spark, column: str, known: Sequence[str]) -> list[str]:
     return sorted(t.name for t in spark.catalog.listTables() if t.name not in known and any(c.name == column for c in spark.catalog.listColumns(t.name)))
 
 
+# Columns that name a document, and those that name a chunk.
+DOCUMENT_COLUMNS = ("document_id", "matched_document_id", "source_doc_id")
+CHUNK_COLUMNS = ("chunk_id", "matched_chunk_id", "source_chunk_id", "evidence_chunk_id")
+
+
+def unknown_references(spark, documents: DataFrame, chunks: DataFrame, known: Sequence[str] = (), pattern: str | None = None) -> DataFrame:
+    """INT8: tables and views of the catalog beyond the known ones that refer to a document or chunk: relation, column, n.
+
+    documents, chunks: one column of ids each; repeated and null ones count once and not at all. The plan is made from the
+    catalog: each column that names a document or a chunk is one branch of a union, counted where the ids are few or many.
+    pattern: which tables to look at, as the catalog matches names. Without any such table the result is empty.
+    """
+    asked = {**dict.fromkeys(DOCUMENT_COLUMNS, documents), **dict.fromkeys(CHUNK_COLUMNS, chunks)}
+    parts = []
+    for table in sorted(spark.catalog.listTables(pattern=pattern), key=lambda t: t.name):
+        if table.name in known:
+            continue
+        name = ".".join(f"`{x}`" for x in [*([table.catalog, *(table.namespace or [])] if table.catalog and not table.isTemporary else []), table.name])
+        df = spark.table(name)
+        for column in (c for c in df.columns if c in asked):
+            ids = asked[column].toDF(column).distinct()
+            parts.append(df.select(column).join(ids, column, "left_semi").agg(F.lit(table.name).alias("relation"), F.lit(column).alias("column"), F.count(F.lit(1)).alias("n")))
+    if not parts:
+        return spark.createDataFrame([], "relation string, column string, n long")
+    return reduce(DataFrame.unionByName, parts).where("n > 0")
+
+
 def illegal_transitions(df: DataFrame, key: str, order: str, status: str, edges: Sequence[tuple[str, str]]) -> DataFrame:
     """LIB10, STM5: consecutive statuses of a record that are no legal edge."""
     legal = df.sparkSession.createDataFrame(list(edges), "before string, after string")

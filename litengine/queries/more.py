@@ -70,6 +70,29 @@ def related(spark, sf):
 
 column_query("op_res13_readiness", "documents", "doc_id", lambda: Y.readiness_score(C("lang") == "en", C("doc_id") % 2 == 0, C("doc_id") % 3 == 0), "round(((lang = 'en')::INT + (doc_id % 2 = 0)::INT + (doc_id % 3 = 0)::INT) / 3, 4)")
 column_query("op_int2_verdict_rules", "documents", "doc_id", lambda: Y.verdict_rules(C("doc_id") % 2 == 0, C("doc_id") % 3, C("doc_id") % 5, C("doc_id") % 7 == 0), "array_to_string(list_filter([CASE WHEN doc_id % 2 <> 0 THEN 'database_missing' END, CASE WHEN doc_id % 3 > 0 THEN 'index_drift' END, CASE WHEN doc_id % 5 > 0 THEN 'vectors_stale' END, CASE WHEN doc_id % 7 = 0 THEN 'writes_performed' END], lambda x: x IS NOT NULL), ',')")
+def _report():
+    """A made state for each document, from its number, language and size."""
+    k, none = C("doc_id"), F.lit(None)
+    zero = {c: F.when(k % (11 + i) == 0, k % 3).alias(c) for i, c in enumerate(Y.FAILURE_COUNTS)}
+    return F.struct(
+        *zero.values(), (k % 17 > 0).alias("source_recorded"), (k % 19 > 0).alias("database_ok"), (k % 23 > 0).alias("fts_ready"), (k % 29 > 0).alias("vectors_available"), (k % 31 == 0).alias("wrote"),
+        F.lit(0).alias("passage_missing_count"), F.when(C("lang") == "de", C("n_chars") % 2).alias("note_missing_count"), F.when(k % 4 > 0, 0).alias("passage_orphan_count"), F.when(k % 9 > 0, 0).otherwise(2).alias("note_orphan_count"),
+        F.when(C("lang") == "fr", F.array(C("lang"), C("lang"))).alias("vector_reasons"), none.cast("array<string>").alias("journal_failures"), F.when(k % 10 == 0, "pdf_missing").alias("pdf_warning"), (k % 2).alias("excluded_notes"),
+        (k % 7 > 0).alias("history_recorded"), F.when(k % 21 == 0, F.array(F.lit("stage_late"))).alias("journal_warnings"),
+    )
+
+
+_W = "[CASE WHEN doc_id % 4 = 0 THEN 'vector_passage_orphan_count_not_available' END, CASE WHEN lang = 'fr' THEN 'vector_inspection:fr' END, CASE WHEN doc_id % 10 = 0 THEN 'pdf_missing' END, CASE WHEN doc_id % 2 > 0 THEN 'personal_notes_excluded_from_fts:1' END, CASE WHEN doc_id % 7 = 0 THEN 'historical_events_not_recorded' END, CASE WHEN doc_id % 21 = 0 THEN 'stage_late' END]"
+_C = [f"CASE WHEN doc_id % {11 + i} = 0 AND doc_id % 3 > 0 THEN '{r}' END" for i, r in enumerate(("database_foreign_key_issues", "fts_missing_pdf_chunk_count", "fts_orphan_pdf_chunk_count", "fts_missing_personal_note_count", "fts_orphan_personal_note_count"))]
+_F = f"[CASE WHEN doc_id % 17 = 0 THEN 'document_source_binding_missing' END, CASE WHEN doc_id % 19 = 0 THEN 'database_integrity_check_failed' END, {_C[0]}, CASE WHEN doc_id % 23 = 0 THEN 'fts_not_ready' END, {', '.join(_C[1:])}, CASE WHEN doc_id % 29 = 0 THEN 'vector_store_unavailable' END, CASE WHEN lang = 'de' AND n_chars % 2 > 0 THEN 'vector_note_missing_count' END, CASE WHEN doc_id % 9 = 0 THEN 'vector_note_orphan_count' END, CASE WHEN doc_id % 31 = 0 THEN 'read_only_contract_violated' END]"
+
+
+@query("op_int2_integrity_verdict", f"SELECT doc_id, CASE WHEN len(f) > 0 THEN 'fail' WHEN len(w) > 0 THEN 'warn' ELSE 'pass' END AS verdict, array_to_string(w || f, ',') AS reasons FROM (SELECT doc_id, list_filter({_W}, lambda x: x IS NOT NULL) AS w, list_filter({_F}, lambda x: x IS NOT NULL) AS f FROM documents)")
+def integrity_verdict(spark, sf):
+    v = table_of(spark, sf, "documents").select("doc_id", Y.integrity_verdict(_report()).alias("v"))
+    return v.select("doc_id", "v.verdict", F.array_join("v.reasons", ",").alias("reasons"))
+
+
 column_query("op_int4_status", "documents", "doc_id", lambda: Y.status(F.when(C("doc_id") % 11 != 0, C("doc_id") % 5), F.lit(3), (C("doc_id") % 2).cast("string"), F.lit("1")), "CASE WHEN doc_id % 11 = 0 THEN 'missing' WHEN doc_id % 5 = 0 THEN 'corrupt' WHEN doc_id % 2 <> 1 THEN 'stale' WHEN doc_id % 5 <> 3 THEN 'source_drift' ELSE 'ready' END")
 
 

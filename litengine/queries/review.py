@@ -143,6 +143,24 @@ def gaps(spark, sf):
     return V.gaps(e, ["user_id"])
 
 
+_TEST = "regexp_matches(' ' || regexp_replace(lower(coalesce(e.text, '')), '[^\\p{L}\\p{N}]', ' ', 'g') || ' ', ' (mock data|dummy|lorem ipsum|placeholder|test|demo|mock) ')"
+_LIMIT = "regexp_matches(lower(coalesce(e.text, '')), 'limitation|experiment|ablation|failure|局限|实验|消融|失败')"
+_KIND = "CASE turn % 4 WHEN 1 THEN 'note' WHEN 2 THEN 'tag' WHEN 3 THEN 'relation' ELSE 'chunk' END"
+
+
+@query("op_res3_evidence_gaps", f"""WITH q AS (SELECT conv_id, text AS question FROM conversations WHERE turn = 0), e AS (SELECT conv_id, {_KIND} AS kind, CASE WHEN conv_id % 3 > 0 THEN turn END AS page, text FROM conversations WHERE turn > 0 OR conv_id % 2 = 0),
+f AS (SELECT conv_id, count(*) FILTER (kind = 'chunk') AS c, count(*) FILTER (kind = 'note') AS n, count(*) FILTER (kind = 'tag') AS t, count(*) FILTER (kind = 'relation') AS r, count(*) FILTER (kind = 'chunk' AND page IS NOT NULL) AS p, count(*) FILTER ({_TEST}) AS x, count(*) FILTER (kind = 'chunk' AND {_TEST}) AS y, count(*) FILTER ({_LIMIT}) AS l, count(*) FILTER (contains(lower(text), 'th')) AS d0, count(*) FILTER (contains(lower(text), 'qu')) AS d1 FROM e GROUP BY 1)
+SELECT conv_id, array_to_string(list_filter([CASE WHEN coalesce(c, 0) = 0 THEN 'no_chunks' END, CASE WHEN coalesce(n, 0) = 0 THEN 'no_notes' END, CASE WHEN coalesce(t, 0) = 0 THEN 'no_tags' END, CASE WHEN coalesce(r, 0) = 0 THEN 'no_relations' END, CASE WHEN c > 0 AND p = 0 THEN 'no_pages' END, CASE WHEN x > 0 THEN 'test_data' END, CASE WHEN c > 0 AND y = c THEN 'only_test_data' END,
+  CASE WHEN contains(lower(question), 'th') AND coalesce(d0, 0) = 0 THEN 'dimension:th' END, CASE WHEN contains(lower(question), 'qu') AND coalesce(d1, 0) = 0 THEN 'dimension:qu' END, CASE WHEN c = 1 AND l = 0 THEN 'few' END], lambda v: v IS NOT NULL), ',') AS gaps FROM q LEFT JOIN f USING (conv_id)""")
+def evidence_gaps(spark, sf):
+    """First turns as questions, the others (of every second talk, the first one too) as chunks, notes, tags and relations."""
+    t = table_of(spark, sf, "conversations")
+    kind = F.when(C("turn") % 4 == 1, "note").when(C("turn") % 4 == 2, "tag").when(C("turn") % 4 == 3, "relation").otherwise("chunk")
+    evidence = t.where("turn > 0 or conv_id % 2 = 0").select("conv_id", kind.alias("kind"), F.when(C("conv_id") % 3 > 0, C("turn")).alias("page"), "text")
+    out = V.evidence_gaps(t.where("turn = 0").select("conv_id", C("text").alias("question")), evidence, "conv_id", {"th": ["TH"], "qu": ["qu"]})
+    return out.select("conv_id", F.array_join("gaps", ",").alias("gaps"))
+
+
 @query("op_res6_hygiene", "SELECT doc_id FROM documents WHERE NOT regexp_matches(' ' || regexp_replace(lower(text), '[^\\p{L}\\p{N}]', ' ', 'g') || ' ', ' (mock data|dummy|lorem ipsum|placeholder|test|demo|mock) ')")
 def hygiene(spark, sf):
     return V.clean(table_of(spark, sf, "documents"), "text").select("doc_id")
@@ -176,6 +194,19 @@ def impact(spark, sf):
     return V.impact({"labels": reached("labels", "doc_id"), "embeddings": reached("embeddings", "vec_id"), "documents": reached("documents", "doc_id")})
 
 
+@query("op_int8_unknown_references", "WITH d AS (SELECT doc_id FROM labels WHERE toxic = 1), c AS (SELECT DISTINCT conv_id FROM conversations WHERE role = 'user') SELECT * FROM (SELECT 'int8_embeddings' AS relation, 'document_id' AS \"column\", count(*) AS n FROM embeddings WHERE vec_id IN (FROM d) UNION ALL SELECT 'int8_events', 'matched_document_id', count(*) FROM events WHERE event_id IN (FROM d) UNION ALL SELECT 'int8_events', 'chunk_id', count(*) FROM events WHERE user_id IN (FROM c)) WHERE n > 0")
+def unknown_references(spark, sf):
+    """Tables that name documents or chunks, one known, one without such a column, against toxic documents and the talks of users."""
+    t = lambda name: table_of(spark, sf, name)
+    views = {
+        "labels": t("labels").withColumnRenamed("doc_id", "document_id"), "embeddings": t("embeddings").withColumnRenamed("vec_id", "document_id"), "nation": t("nation"),
+        "events": t("events").withColumnRenamed("event_id", "matched_document_id").withColumnRenamed("user_id", "chunk_id"),
+    }
+    for name, df in views.items():
+        df.createOrReplaceTempView(f"int8_{name}")
+    return V.unknown_references(spark, t("labels").where("toxic = 1").select("doc_id"), t("conversations").where("role = 'user'").select("conv_id"), ["int8_labels"], "int8_*")
+
+
 @query("op_lib10_transitions", "SELECT event_id FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS prev FROM events) WHERE prev IS NOT NULL AND NOT (prev = 'view' AND event_type = 'click' OR prev = 'click' AND event_type = 'purchase' OR prev = event_type AND prev = 'view')")
 def transitions(spark, sf):
     return V.illegal_transitions(table_of(spark, sf, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id", "event_type", [("view", "click"), ("click", "purchase"), ("view", "view")]).select("event_id")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import deltas as D
+from ..operators import expansion as N
 from ..operators import fusion as X
 from ..operators import ingest as I
 from ..operators import lexical as L
@@ -289,3 +290,24 @@ def unified(spark, sf):
 def prefilter(spark, sf):
     e = table_of(spark, sf, "events")
     return X.prefilter_state(e.select(F.when(C("event_type") == "error", "failed").when(C("event_type") == "view", "unavailable").otherwise("applied").alias("state")))
+
+
+def _list(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]::VARCHAR[]"
+
+
+_RULE_ROWS = ", ".join(f"({k}, '{name}', {_list(markers)}, {_list(x.lower() for x in terms)}, {_list(x.lower() for x in anchors)}, '{policy}')" for k, (name, markers, terms, anchors, policy) in enumerate(N.RULES))
+
+
+@query("op_ret22_expanded", f"""WITH r(place, rule, markers, terms, anchors, policy) AS (VALUES {_RULE_ROWS}),
+q AS (SELECT item_id, trim(regexp_replace(text || CASE item_id % 5 WHEN 0 THEN ' Motion' WHEN 1 THEN ' 牛顿 MFA' WHEN 2 THEN ' TICe note' ELSE '' END, '\s+', ' ', 'g')) AS c FROM benchmark),
+m AS (SELECT item_id, string_agg(rule, ',' ORDER BY place) AS rules, list(terms ORDER BY place) AS ts, string_agg(rule || ':' || policy || ':' || array_to_string(anchors, '/'), ';' ORDER BY place) FILTER (len(anchors) > 0) AS groups FROM q JOIN r ON len(list_filter(markers, lambda x: contains(lower(c), x))) > 0 GROUP BY 1),
+b AS (SELECT item_id, [lower(c)] || list_filter(regexp_extract_all(lower(c), '[a-z0-9_+.^-]+'), lambda w: length(w) >= 2 AND NOT list_contains({_list(N.STOPWORDS)}, w)) || list_filter({_list(N.MARKED)}, lambda w: contains(c, w)) || coalesce(flatten(ts), []) AS t, coalesce(rules, '') AS rules, coalesce(groups, '') AS groups FROM q LEFT JOIN m USING (item_id))
+SELECT item_id, array_to_string(list_filter(t, lambda x, i: list_position(t, x) = i), '|') AS terms, rules, groups FROM b""")
+def expanded(spark, sf):
+    """Items of the benchmark as queries, some with a marker added."""
+    k = C("item_id") % 5
+    text = F.concat("text", F.when(k == 0, " Motion").when(k == 1, " 牛顿 MFA").when(k == 2, " TICe note").otherwise(""))
+    out = N.expanded(table_of(spark, sf, "benchmark").select("item_id", text.alias("text")), N.rules_table(spark), "item_id", "text")
+    group = lambda g: F.concat_ws(":", g["rule"], g["policy"], F.array_join(g["terms"], "/"))
+    return out.select("item_id", F.array_join("terms", "|").alias("terms"), F.array_join("rules", ",").alias("rules"), F.array_join(F.transform("groups", group), ";").alias("groups"))

@@ -300,7 +300,7 @@ _RULE_ROWS = ", ".join(f"({k}, '{name}', {_list(markers)}, {_list(x.lower() for
 
 
 @query("op_ret22_expanded", f"""WITH r(place, rule, markers, terms, anchors, policy) AS (VALUES {_RULE_ROWS}),
-q AS (SELECT item_id, trim(regexp_replace(text || CASE item_id % 5 WHEN 0 THEN ' Motion' WHEN 1 THEN ' 牛顿 MFA' WHEN 2 THEN ' TICe note' ELSE '' END, '\s+', ' ', 'g')) AS c FROM benchmark),
+q AS (SELECT item_id, trim(regexp_replace(text || CASE item_id % 5 WHEN 0 THEN ' Motion' WHEN 1 THEN ' 牛顿 MFA' WHEN 2 THEN ' TICe note' ELSE '' END, '\\s+', ' ', 'g')) AS c FROM benchmark),
 m AS (SELECT item_id, string_agg(rule, ',' ORDER BY place) AS rules, list(terms ORDER BY place) AS ts, string_agg(rule || ':' || policy || ':' || array_to_string(anchors, '/'), ';' ORDER BY place) FILTER (len(anchors) > 0) AS groups FROM q JOIN r ON len(list_filter(markers, lambda x: contains(lower(c), x))) > 0 GROUP BY 1),
 b AS (SELECT item_id, [lower(c)] || list_filter(regexp_extract_all(lower(c), '[a-z0-9_+.^-]+'), lambda w: length(w) >= 2 AND NOT list_contains({_list(N.STOPWORDS)}, w)) || list_filter({_list(N.MARKED)}, lambda w: contains(c, w)) || coalesce(flatten(ts), []) AS t, coalesce(rules, '') AS rules, coalesce(groups, '') AS groups FROM q LEFT JOIN m USING (item_id))
 SELECT item_id, array_to_string(list_filter(t, lambda x, i: list_position(t, x) = i), '|') AS terms, rules, groups FROM b""")

@@ -95,33 +95,43 @@ def _best_window(tokens: Set[str], rows: list[tuple], longest: int) -> tuple | N
     for i, first in enumerate(rows):
         if not first[2] or max(x[4] for x in rows[i : i + longest]) < MEDIUM:
             continue
-        total, strong, medium, low, held = 0.0, 0, 0, 0, set()
-        for n, (index, _, _, words, score, _) in enumerate(rows[i : i + longest], 1):
+        total, strong, medium, low, held, seen = 0.0, 0, 0, 0, set(), 0
+        for n, (index, _, _, _, score, _) in enumerate(rows[i : i + longest], 1):
             if index - first[0] != n - 1:
                 break
             total, strong, medium, low = total + score, strong + (score >= STRONG), medium + (MEDIUM <= score < STRONG), low + (score < MEDIUM)
-            held |= words
             if (strong or medium > 1) and total / n >= DENSITY:
-                value = total + OVERLAP * _overlap(tokens, held) + PER_STRONG * strong + PER_MEDIUM * medium - PER_LINE_OVER * max(0, n - FREE_LINES) - PER_LOW * low
+                rest = PER_STRONG * strong, PER_MEDIUM * medium, PER_LINE_OVER * max(0, n - FREE_LINES), PER_LOW * low
+                # No overlap is above 1: a run that even then stays below the best one needs no words.
+                if best and total + OVERLAP + rest[0] + rest[1] - rest[2] - rest[3] + 0.001 < best[0][0]:
+                    continue
+                held.update(*(x[3] for x in rows[i + seen : i + n]))
+                seen = n
+                value = total + OVERLAP * _overlap(tokens, held) + rest[0] + rest[1] - rest[2] - rest[3]
                 rank = (round(value, 4), n, -first[0])
                 best = max(best, (rank, i), key=lambda x: x[0]) if best else (rank, i)
     return best and (*best[0], rows[best[1] : best[1] + best[0][1]])
 
 
 def _runs(longest: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def scored(row: dict) -> tuple | None:
-        chunk = _forms(row["chunk_text"])
-        labels = set(re.findall(LABEL, row["chunk_text"]))
+    def scored(text: str, lines: list[tuple]) -> tuple | None:
+        chunk = _forms(text)
+        labels = set(re.findall(LABEL, text))
         rows = []
-        for x in row["lines"]:
+        for x, own in lines:
             if not x["caption"] or any(label in x["shown"] for label in labels):
-                own = _forms(x["match"])
                 rows.append((x["index"], x["line"], x["own"], own[1], *_relevance(chunk, own)))
         return _best_window(chunk[1], rows, longest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece, lines = None, []
         for batch in batches:
-            found = [scored(row) for row in batch.to_pylist()]
+            found = []
+            places = zip(*(batch.column(c).to_pylist() for c in ("_key", "page", "piece")), strict=True)
+            for k, (place, text) in enumerate(zip(places, batch.column("chunk_text").to_pylist(), strict=True)):
+                if place != piece:  # rows of a piece come together: its lines are read once
+                    piece, lines = place, [(x, _forms(x["match"])) for x in batch.column("lines")[k].as_py()]
+                found.append(scored(text, lines))
             at = pa.array([k for k, x in enumerate(found) if x], pa.int64())
             best = [x for x in found if x]
             lines = [[{"line": r[1], "score": r[4], "exact": r[5]} for r in x[3]] for x in best]
@@ -155,10 +165,10 @@ def aligned_lines(chunks: DataFrame, lines: DataFrame, key: str, longest: int =
 
     chunks = chunks.where(C("chunk_text").isNotNull())
     places = held(pieces.select(key, "page", "piece"), chunks.select(key, "chunk", "page_start", "page_end"), key, "page", "page_start", "page_end")
-    both = places.select(key, "chunk", "page", "piece").join(pieces, [key, "page", "piece"]).join(chunks.select(key, "chunk", "chunk_text"), [key, "chunk"])
+    both = places.select(key, "chunk", "page", "piece").join(chunks.select(key, "chunk", "chunk_text"), [key, "chunk"]).join(pieces, [key, "page", "piece"])
     types = {f.name: f.dataType.simpleString() for f in both.schema}
     schema = f"_key {types[key]}, chunk {types['chunk']}, page {types['page']}, total double, n int, start bigint, lines array<struct<line: bigint, score: double, exact: boolean>>"
-    runs = both.select(C(key).alias("_key"), "chunk", "page", "lines", "chunk_text").mapInArrow(_runs(longest), schema).withColumnRenamed("_key", key)
+    runs = both.select(C(key).alias("_key"), "chunk", "page", "piece", "lines", "chunk_text").mapInArrow(_runs(longest), schema).withColumnRenamed("_key", key)
     best = runs.groupBy(key, "chunk").agg(F.max_by(F.struct("page", "lines"), F.struct(C("total"), -C("page"), C("n"), C("start"))).alias("b"))
     places_of = F.transform("b.lines", lambda x, i: F.when(x["score"] >= EDGE, i))
     ends = best.withColumn("_a", F.array_min(places_of)).withColumn("_z", F.array_max(places_of))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import ingest as I
 from ..operators import ranges as G
 from ..operators import relations as R
+from ..sources import tables as S
 from . import query, table_of
 from .ingest import STARTS
 
@@ -131,7 +132,7 @@ def _pages(start, end):
 
 
 def _paged_chunks(spark, sf):
-    return I.chunks(table_of(spark, sf, "documents")).select("doc_id", C("chunk_index").cast("long").alias("chunk"), *_pages(C("start"), C("end")), "chunk_text")
+    return I.chunks(S.spread(table_of(spark, sf, "documents"), "doc_id")).select("doc_id", C("chunk_index").cast("long").alias("chunk"), *_pages(C("start"), C("end")), "chunk_text")
 
 
 @query("op_j11_page_candidates", f"WITH s AS (SELECT doc_id, text, unnest({STARTS}) AS start FROM documents WHERE length(text) > 0), c AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS chunk, start, least(length(text), start + CASE WHEN length(text) > 700 THEN 500 ELSE length(text) END) AS stop FROM s WHERE trim(substr(text, start + 1, CASE WHEN length(text) > 700 THEN 500 ELSE length(text) END)) <> '') SELECT l.doc_id, 1 + quality + toxic AS page, chunk FROM labels l JOIN c ON c.doc_id = l.doc_id AND 1 + quality + toxic BETWEEN start // 3000 + 1 AND (stop - 1) // 3000 + 1")

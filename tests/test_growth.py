@@ -24,3 +24,28 @@ def test_of_equal_places_the_first_row_counts(spark, tmp_path):
     con.sql(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet'")
     want = con.sql(entry.oracle_sql()["op_agg20_merged_candidates"]).fetchall()
     assert {tuple(r) for r in entry.queries()["op_agg20_merged_candidates"](spark, str(tmp_path)).collect()} == set(want)
+
+
+def test_runs_that_cannot_win_are_not_compared(monkeypatch):
+    calls, overlap = [], ranges._overlap
+    monkeypatch.setattr(ranges, "_overlap", lambda a, b: calls.append(1) or overlap(a, b))
+    chunk = frozenset(f"w{k}" for k in range(40))
+    rows = [(k, k, True, frozenset({f"w{k % 40}"}), 1.0 if k < 10 else 0.4, False) for k in range(64)]
+    value, n, start, run = ranges._best_window(chunk, rows, 10)
+    assert (n, start, [r[0] for r in run]) == (10, 0, list(range(10)))
+    assert len(calls) < 64
+
+
+def test_chunks_walk_through_a_text_once(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab é𝄞\n ") for _ in range(n)) for n in (1, 700, 701, 950, 951, 1400, 1401, 5000)] + ["a" + " " * 1500 + "b"]
+    df = ingest.chunks(spark.createDataFrame(list(enumerate(texts)), "id int, text string"))
+    assert "regexp_extract_all" in plan(df)
+    got = {}
+    for r in df.collect():
+        got.setdefault(r.id, []).append((r.start, r.end, r.chunk_text, r.overlap_before, r.overlap_after))
+    for k, t in enumerate(texts):
+        n, size = len(t), 500 if len(t) > 700 else len(t)
+        starts = range(0, max(0, -(-(n - 500) // 450)) * 450 + 1, 450) if n > 700 else [0]
+        want = [(s, min(n, s + size), t[s : s + size].strip(" "), t[max(0, s - 50) : s], t[min(n, s + size) : s + size + 50]) for s in starts if t[s : s + size].strip(" ")]
+        assert sorted(got.get(k, [])) == want

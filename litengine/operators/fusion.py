@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,17 +21,49 @@ C = F.col
 DIMENSIONS = 256
 
 
+@functools.lru_cache(100_000)
+def _buckets(word: str, dimensions: int) -> tuple[tuple[int, ...], tuple[float, ...]]:
+    """The four buckets that a word adds to, and what it adds to each."""
+    h = hashlib.sha256(word.encode()).hexdigest()
+    at = tuple(int(h[8 * k : 8 * k + 4], 16) % dimensions for k in range(4))
+    return at, tuple((1.0 if int(h[8 * k + 4], 16) % 2 == 0 else -1.0) * (1 + len(word) / 16) for k in range(4))
+
+
+#: Words that are summed up at once.
+WORDS = 500_000
+
+
+def _unit_vectors(dimensions: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.cumsum(pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False))
+            start = 0
+            while start < batch.num_rows:
+                done = ends[start - 1] if start else 0
+                stop = max(start + 1, int(np.searchsorted(ends, done + WORDS, "right")))
+                part = batch.slice(start, stop - start)
+                sizes = np.diff(ends[start:stop], prepend=done)
+                words = part.column(1).flatten().dictionary_encode()
+                at, x = (np.array(c).reshape(-1, 4) for c in zip(*(_buckets(w, dimensions) for w in words.dictionary.to_pylist()), strict=True))
+                codes = words.indices.to_numpy()
+                row = np.repeat(np.arange(len(sizes)), sizes) * dimensions
+                raw = sum(np.bincount(row + at[codes, k], x[codes, k], len(sizes) * dimensions) for k in range(4)).reshape(-1, dimensions)
+                length = np.sqrt((raw * raw).sum(axis=1, keepdims=True))
+                unit = np.divide(raw, length, out=raw.copy(), where=length > 0)
+                offsets = pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * dimensions)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offsets, pa.array(unit.ravel()))], [part.schema.names[0], "vector"])
+                start = stop
+
+    return run
+
+
 def hash_embedding(df: DataFrame, key: str, text: str, dimensions: int = DIMENSIONS) -> DataFrame:
-    """RET15, UDF1: key and a unit vector: every token adds to four buckets taken from its SHA-256, with signs from it too."""
-    words = df.select(key, F.explode(T.hash_tokens(C(text))).alias("w")).groupBy(key, "w").agg(F.count(F.lit(1)).alias("n"))
-    h = F.sha2("w", 256)
-    at = [F.conv(F.substring(h, 8 * k + 1, 4), 16, 10).cast("int") % dimensions for k in range(4)]
-    sign = [F.when(F.conv(F.substring(h, 8 * k + 5, 1), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0) for k in range(4)]
-    parts = words.select(key, F.explode(F.array(*[F.struct(a.alias("at"), (s * C("n") * (1 + F.length("w") / 16)).alias("x")) for a, s in zip(at, sign, strict=True)])).alias("p"))
-    sums = parts.groupBy(key, C("p.at").alias("at")).agg(F.sum("p.x").alias("x"))
-    by = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("at", "x"))).alias("m"))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(C("m")[i], F.lit(0.0)))
-    return by.select(key, raw.alias("raw")).select(key, V.l2_normalize(C("raw")).alias("vector"))
+    """RET15, UDF1: key and a unit vector: every token adds to four buckets taken from its SHA-256, with signs from it too.
+
+    Rows of one key are one text; keys without a token have no vector.
+    """
+    words = df.select(key, T.hash_tokens(C(text)).alias("w")).where(F.size("w") > 0).groupBy(key).agg(F.flatten(F.collect_list("w")).alias("w"))
+    return words.mapInArrow(_unit_vectors(dimensions), f"`{key}` {df.schema[key].dataType.simpleString()}, vector array<double>")
 
 
 EMBEDDERS: dict[str, Callable[..., DataFrame]] = {"hash-text-v1": hash_embedding}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
+from ..sources.tables import written
 from . import fusion, library
 
 C = F.col
@@ -89,7 +90,9 @@ def semantic_passages(documents: DataFrame, chunks: DataFrame, query: str, limit
     both = both.where((text != "") & ~T.is_metadata(text))
     parts = F.array(C("title"), compact(C("heading")), F.substring(text, 1, PASSAGE))
     passage = F.array_join(F.filter(parts, lambda p: p != ""), " ")
-    scored = by_meaning(both.select("chunk_id", "document_id", passage.alias("passage")), "chunk_id", "passage", query, encode)
+    # Passages are read twice, to be encoded and to be shown: they are cut once.
+    passages = written(both.select("chunk_id", "document_id", passage.alias("passage")), "passages")
+    scored = by_meaning(passages, "chunk_id", "passage", query, encode)
     return scored.orderBy(F.desc("score"), "chunk_id").limit(max(1, min(limit, PASSAGES)))
 
 

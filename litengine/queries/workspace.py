@@ -11,6 +11,7 @@ from ..operators import lexical as L
 from ..operators import objects as O
 from ..operators import relations as R
 from ..operators import workspace as W
+from ..sources import tables as S
 from . import column_query, query, table_of
 from .retrieval import FRAGMENTS, hashed_sql
 
@@ -81,7 +82,7 @@ PASSAGE_ROWS = f"{FRAGMENTS.split(',' + chr(10) + 'post AS')[0]}, p AS (SELECT r
 def semantic_passages(spark, sf):
     d = table_of(spark, sf, "documents")
     status = F.when(C("lang") == "en", "read").when(C("lang") == "de", "mastered").otherwise("unread")
-    chunks = I.chunks(d).select(L.row_id(C("doc_id"), C("chunk_index")).alias("chunk_id"), C("doc_id").alias("document_id"), C("lang").alias("heading"), "chunk_text")
+    chunks = I.chunks(S.spread(d, "doc_id")).select(L.row_id(C("doc_id"), C("chunk_index")).alias("chunk_id"), C("doc_id").alias("document_id"), C("lang").alias("heading"), "chunk_text")
     return O.semantic_passages(d.select(C("doc_id").alias("document_id"), C("source").alias("title"), status.alias("read_status")), chunks, " the of and  de la ", 20).select("chunk_id", "score")
 
 

@@ -36,6 +36,16 @@ def test_runs_that_cannot_win_are_not_compared(monkeypatch):
     assert len(calls) < 64
 
 
+def test_embedding_shuffles_texts_once(spark):
+    df = spark.createDataFrame([(1, "the ring The"), (1, "牛顿 ring"), (2, "..."), (3, None), (4, "a_1 é")], "k long, t string")
+    got = fusion.hash_embedding(df, "k", "t")
+    assert plan(got).count("Exchange hashpartitioning") == 1
+    rows = {r.k: r.vector for r in got.collect()}
+    assert set(rows) == {1, 4} and all(abs(sum(x * x for x in v) - 1) < 1e-12 and len(v) == 256 for v in rows.values())
+    both = fusion.hash_embedding(spark.createDataFrame([(1, "the ring The 牛 ring 顿 牛顿")], "k long, t string"), "k", "t").first().vector
+    assert sum(a * b for a, b in zip(both, rows[1], strict=True)) > 0.8  # rows of one key are one text
+
+
 def test_chunks_walk_through_a_text_once(spark):
     rng = random.Random(3)
     texts = ["".join(rng.choice("ab é𝄞\n ") for _ in range(n)) for n in (1, 700, 701, 950, 951, 1400, 1401, 5000)] + ["a" + " " * 1500 + "b"]

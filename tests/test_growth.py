@@ -46,6 +46,15 @@ def test_embedding_shuffles_texts_once(spark):
     assert sum(a * b for a, b in zip(both, rows[1], strict=True)) > 0.8  # rows of one key are one text
 
 
+def test_index_is_built_without_a_shuffle(spark):
+    rows = spark.createDataFrame([(1, "Café the the", None), (2, "the İs", "x-1")], "id long, text string, title string")
+    full = rows.select("id", "text", "title", *[F.lit("").alias(c) for c in ("section", "tags", "note", "context")])
+    for df in lexical.index_tables(full, "id").values():
+        assert "Exchange" not in plan(df)
+    got = sorted(tuple(r) for r in lexical.postings(full, "id").collect())
+    assert got == sorted([(1, "text", 0, "cafe", True, 3), (1, "text", 1, "the", True, 3), (1, "text", 2, "the", False, 3), (2, "title", 0, "x", True, 4), (2, "title", 1, "1", True, 4), (2, "text", 0, "the", True, 4), (2, "text", 1, "is", True, 4)])
+
+
 def test_chunks_walk_through_a_text_once(spark):
     rng = random.Random(3)
     texts = ["".join(rng.choice("ab é𝄞\n ") for _ in range(n)) for n in (1, 700, 701, 950, 951, 1400, 1401, 5000)] + ["a" + " " * 1500 + "b"]
@@ -59,3 +68,15 @@ def test_chunks_walk_through_a_text_once(spark):
         starts = range(0, max(0, -(-(n - 500) // 450)) * 450 + 1, 450) if n > 700 else [0]
         want = [(s, min(n, s + size), t[s : s + size].strip(" "), t[max(0, s - 50) : s], t[min(n, s + size) : s + size + 50]) for s in starts if t[s : s + size].strip(" ")]
         assert sorted(got.get(k, [])) == want
+
+
+def test_rows_come_to_a_query_by_its_rarest_parts(spark, monkeypatch):
+    seen, written = {}, tables.written
+    monkeypatch.setattr(tables, "written", lambda df, name: seen.setdefault(name, written(df, name)))
+    held = {k: {"the"} | ({"rare"} if k % 50 == 0 else set()) | ({"ing"} if k % 3 == 0 else set()) for k in range(200)}
+    parts = spark.createDataFrame([(p, k, float(len(p) + k)) for k, ps in held.items() for p in ps], "phrase string, id long, part double")
+    asked = [(1, ["the", "rare"], 2), (2, ["the", "ing", "rare"], 2), (3, ["ing", "none"], 1), (4, ["the", "none"], 2), (5, ["the", "rare", "the"], 3)]
+    table = spark.createDataFrame([(q, p, n) for q, ps, n in asked for p in ps], "query_id int, phrase string, needed int")
+    got = {(r.query_id, r.id): r.bm25 for r in lexical._held(parts, table, "phrase", "id").collect()}
+    assert got == {(q, k): sum(len(p) + k for p in ps if p in held[k]) for q, ps, n in asked for k in held if sum(p in held[k] for p in ps) >= n}
+    assert {r.phrase for r in seen["first"].where("query_id = 1").collect()} == {"rare"}

@@ -10,6 +10,7 @@ from ..operators import ingest as I
 from ..operators import lexical as L
 from ..operators import review as V
 from ..operators import windows as X
+from ..sources import tables as S
 from . import column_query, query, table_of
 
 C = F.col
@@ -17,14 +18,14 @@ C = F.col
 
 @query("op_evd1_stitched")
 def stitched(spark, sf):
-    return V.stitched(I.chunks(table_of(spark, sf, "documents")), "doc_id", "chunk_index", "chunk_text", "overlap_before", "overlap_after").select("doc_id", "chunk_index", "evidence")
+    return V.stitched(I.chunks(S.spread(table_of(spark, sf, "documents"), "doc_id")), "doc_id", "chunk_index", "chunk_text", "overlap_before", "overlap_after").select("doc_id", "chunk_index", "evidence")
 
 
 @query("op_evd1_coherent")
 def coherent(spark, sf):
     """Chunks of documents as those of a book of six chunks a page and forty a chapter."""
     k = C("chunk_index")
-    chunks = I.chunks(table_of(spark, sf, "documents")).select(
+    chunks = I.chunks(S.spread(table_of(spark, sf, "documents"), "doc_id")).select(
         C("doc_id").alias("document_id"), "chunk_index", F.floor(k / 40).cast("long").alias("chapter_id"), C("lang").alias("heading_path"), "chunk_text", "overlap_before", "overlap_after",
         F.floor(k / 6).cast("int").alias("pdf_page_start"), F.floor((k + 1) / 6).cast("int").alias("pdf_page_end"),
     )
@@ -68,7 +69,7 @@ def exact_matches(spark, sf):
 def near_passages(spark, sf):
     """Benchmark items and chunks of documents that share four words in a row, with both texts."""
     items = table_of(spark, sf, "benchmark").select("item_id", "text")
-    chunks = I.chunks(table_of(spark, sf, "documents")).select(L.row_id(C("doc_id"), C("chunk_index")).alias("chunk_id"), C("chunk_text").alias("text"))
+    chunks = I.chunks(S.spread(table_of(spark, sf, "documents"), "doc_id")).select(L.row_id(C("doc_id"), C("chunk_index")).alias("chunk_id"), C("chunk_text").alias("text"))
     pairs = X.sharing_runs(items, chunks, "item_id", "chunk_id")
     return pairs.join(items.withColumnRenamed("text", "selected"), "item_id").join(chunks, "chunk_id")
 

@@ -80,3 +80,28 @@ def test_rows_come_to_a_query_by_its_rarest_parts(spark, monkeypatch):
     got = {(r.query_id, r.id): r.bm25 for r in lexical._held(parts, table, "phrase", "id").collect()}
     assert got == {(q, k): sum(len(p) + k for p in ps if p in held[k]) for q, ps, n in asked for k in held if sum(p in held[k] for p in ps) >= n}
     assert {r.phrase for r in seen["first"].where("query_id = 1").collect()} == {"rare"}
+
+
+def test_a_token_is_stored_once_a_segment(spark, tmp_path):
+    n, text = 400, "the ring the café ÀÉ x_1 ﾊ 𝄞 İs 图神经网 the"
+    rows = spark.createDataFrame([(k, "pdf_chunk", text if k % 4 else None, "图" * (k % 5)) for k in range(n)], "id long, source_type string, text string, title string").repartition(2)
+    full = rows.select("*", *[F.lit("").alias(c) for c in ("section", "tags", "note", "context")])
+    stored = tables.store(spark, f"file://{tmp_path}/index", lexical.stored_tables(full, "id"))
+    assert stored["postings"].where("token = 'the'").count() <= 2 and stored["grams"].where("gram = '图神经'").count() <= 2
+    assert {r.token: (r.n, r.df) for r in lexical.terms(stored["postings"]).collect()}["the"] == (900, 300)
+    opened, plain = lexical.opened(stored, "id"), lexical.Index(*lexical.index_tables(full, "id").values())
+    for a, b in zip(opened, plain, strict=True):
+        assert sorted(map(repr, a.select(*b.columns).collect())) == sorted(map(repr, b.collect()))
+
+
+def test_words_of_segments_are_those_of_expressions(spark):
+    texts = [f"a{chr(c)}B {chr(c)}" for c in range(1, 0x3100)] + ["", " ", "x", "İstanbul ŠĐ", "\U0001d11e\U00020000 q"]
+    # Characters that the JVM's Unicode doesn't know yet are left out.
+    known = spark.createDataFrame(list(enumerate(texts)), "k int, t string").where(~F.col("t").rlike(r"\p{Cn}")).orderBy("k").select("t", lexical.tokens(F.col("t")).alias("w")).collect()
+    texts, want = [r.t for r in known], [r.w for r in known]
+    assert len(texts) > 11000
+    letters, begins, of = lexical._cut(texts)
+    got = [[] for _ in texts]
+    for k, w in zip(of, lexical._strings(letters, begins).to_pylist(), strict=True):
+        got[k].append(w)
+    assert [(t, a, b) for t, a, b in zip(texts, got, want, strict=True) if a != b] == []

@@ -138,9 +138,10 @@ SECTION_PRIORITY = ((("proposed", "method", "approach"), 1.5), (("experiment", "
 def match_strength(spec: DataFrame, chunks: DataFrame, key: str) -> DataFrame:
     """RET40: an object's best alias in each chunk: 5 for the text, 2.2 for the heading and 1.6 for the title that hold it, and what the section adds.
 
-    A specification has few objects and aliases; chunks of a document meet those of its key.
+    A specification has few objects and aliases and goes to the chunks, which stay where they are: all of one key would be one
+    task's work. Chunks of a document meet those of its key.
     """
-    both = chunks.join(spec.select(key, "object", F.explode("aliases").alias("alias")), key)
+    both = chunks.join(F.broadcast(spec.select(key, "object", F.explode("aliases").alias("alias"))), key)
     low = lambda c: F.lower(F.coalesce(C(c), F.lit("")))
     parts = [F.when(F.contains(low(c), low("alias")), w).otherwise(0.0) for c, w in (("text", 5.0), ("heading", 2.2), ("title", 1.6))]
     points = reduce(lambda a, b: a + b, parts)

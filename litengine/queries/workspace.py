@@ -131,7 +131,7 @@ def object_by_key(spark, sf):
 
 @query("op_ret41b_objects_for_chunks", "SELECT object, chunk_id, max(points)::DOUBLE AS points FROM (SELECT o AS object, conv_id * 100 + turn AS chunk_id, 5.0 * contains(lower(text), a)::INT + 2.2 * contains(lower(role), a)::INT AS points FROM conversations, (VALUES ('x', 'the'), ('x', 'user'), ('y', 'de'), ('y', 'assist')) s(o, a)) WHERE points > 0 GROUP BY 1, 2")
 def objects_for_chunks(spark, sf):
-    t = table_of(spark, sf, "conversations").select(F.lit(1).alias("k"), (C("conv_id") * 100 + C("turn")).alias("chunk_id"), C("role").alias("heading"), F.lit("").alias("title"), F.lit("Other").alias("section"), "text")
+    t = S.spread(table_of(spark, sf, "conversations"), "conv_id", "turn").select(F.lit(1).alias("k"), (C("conv_id") * 100 + C("turn")).alias("chunk_id"), C("role").alias("heading"), F.lit("").alias("title"), F.lit("Other").alias("section"), "text")
     spec = spark.createDataFrame([(1, "x", ["the", "user"]), (1, "y", ["De", "assist"])], "k int, object string, aliases array<string>")
     return O.objects_for_chunks(spec, t, "k").select("object", "chunk_id", "points")
 

@@ -8,7 +8,8 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from litengine.operators import fusion, ingest, lexical, ranges
+from litengine.functions import text
+from litengine.operators import fusion, ingest, lexical, library, ranges
 from litengine.sources import tables
 
 
@@ -105,3 +106,17 @@ def test_words_of_segments_are_those_of_expressions(spark):
     for k, w in zip(of, lexical._strings(letters, begins).to_pylist(), strict=True):
         got[k].append(w)
     assert [(t, a, b) for t, a, b in zip(texts, got, want, strict=True) if a != b] == []
+
+
+def test_a_text_is_normalised_once_for_metadata(spark):
+    df = spark.createDataFrame([(1, "  Backend:  x"), (2, "plain text"), (3, None), (4, "a page_count: PAGES_with_text:\n headings_detected:")], "k int, t string")
+    told = df.where(~text.is_metadata(F.col("t")))
+    assert plan(told).count("regexp_replace") == 1 and [r.k for r in told.collect()] == [2]
+
+
+def test_chunks_of_one_key_stay_where_they_are(spark):
+    chunks = spark.createDataFrame([(1, k, "the ring" if k % 2 else "x", "", "", "") for k in range(50)], "k int, chunk_id int, text string, heading string, title string, section string")
+    spec = spark.createDataFrame([(1, "o", ["Ring", "the"])], "k int, object string, aliases array<string>")
+    got = library.match_strength(spec, chunks, "k")
+    assert "BroadcastHashJoin" in plan(got) and "SortMergeJoin" not in plan(got) and "hashpartitioning(k" not in plan(got)
+    assert sorted(r.chunk_id for r in got.collect()) == list(range(1, 50, 2))

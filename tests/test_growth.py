@@ -95,6 +95,45 @@ def test_a_token_is_stored_once_a_segment(spark, tmp_path):
         assert sorted(map(repr, a.select(*b.columns).collect())) == sorted(map(repr, b.collect()))
 
 
+def test_batches_become_one_sorted_segment():
+    texts = ["the ring", "", None, "a ring the the é", "x" * 40, "Ring"]
+    batches = [pa.record_batch({"id": [7 - k << 40], "a": [t or ""], "b": ["the" if k % 2 else ""]}) for k, t in enumerate(texts)]
+    (segment,) = lexical._posted(iter(batches))
+    tokens = segment["token"].to_pylist()
+    assert tokens == sorted(tokens) and segment["packed"].type == pa.binary()
+    got = [(t, o["row"], o["field"], o["at"], o["words"], o["first"]) for t, of in zip(tokens, lexical._occurrences(segment["packed"]).to_pylist(), strict=True) for o in of]
+    want = []
+    for k, t in enumerate(texts):
+        fields = [(t or "").lower().replace("é", "e").split(), ["the"] * (k % 2)]
+        for field, words in enumerate(fields):
+            want += [(w, 7 - k << 40, field, at, sum(map(len, fields)), w not in words[:at] and (field == 0 or w not in fields[0])) for at, w in enumerate(words)]
+    assert sorted(got) == sorted(want)
+    sliced = lexical._occurrences(segment["packed"].slice(1, 3)).to_pylist()
+    assert sliced == lexical._occurrences(segment["packed"]).to_pylist()[1:4]
+
+
+def test_pieces_lose_no_row(monkeypatch):
+    monkeypatch.setattr(lexical, "SEGMENT", 100)
+    monkeypatch.setattr(lexical, "ROW", 1)
+    rng = random.Random(5)
+    texts = ["x" * rng.choice([0, 3, 40, 99, 100, 250]) for _ in range(300)]
+    whole = pa.record_batch({"id": list(range(300)), "t": texts})
+    for step in (1, 7, 300):
+        pieces = list(lexical._pieces(whole.slice(k, step) for k in range(0, 300, step)))
+        assert [i for p in pieces for i in p["id"].to_pylist()] == list(range(300))
+        assert all(p.num_rows == 1 or sum(len(t) + 1 for t in p["t"].to_pylist()) <= 100 for p in pieces)
+        assert len(pieces) < 300
+
+
+def test_postings_of_one_query_are_read_once(spark, monkeypatch):
+    seen, written = [], tables.written
+    monkeypatch.setattr(tables, "written", lambda df, name: seen.append(name) or written(df, name))
+    df = spark.createDataFrame([(k, "the ring" if k % 2 else "the") for k in range(9)], "id int, text string")
+    full = df.select("id", "text", *[F.lit("").alias(c) for c in ("title", "section", "tags", "note", "context")])
+    got = lexical.bm25(full, lexical.postings(full, "id"), "id", ["the ring"], True)
+    assert "found" in seen and sorted(r.id for r in got.collect()) == [1, 3, 5, 7]
+
+
 def test_words_of_segments_are_those_of_expressions(spark):
     texts = [f"a{chr(c)}B {chr(c)}" for c in range(1, 0x3100)] + ["", " ", "x", "İstanbul ŠĐ", "\U0001d11e\U00020000 q"]
     # Characters that the JVM's Unicode doesn't know yet are left out.

@@ -112,6 +112,21 @@ def test_batches_become_one_sorted_segment():
     assert sliced == lexical._occurrences(segment["packed"]).to_pylist()[1:4]
 
 
+def test_grams_are_sorted_once(monkeypatch):
+    monkeypatch.delattr(lexical.np, "unique")
+    rng = random.Random(9)
+    texts = [["".join(rng.choice("图神经a Bé𠀀") for _ in range(rng.randint(0, 12))) for _ in range(60)] for _ in range(2)]
+    batch = pa.record_batch({"id": [k - 30 << 40 for k in range(60)], "a": texts[0], "b": texts[1]})
+    got = [(g, r) for s in lexical._gram_lists(iter([batch.slice(0, 7), batch.slice(7)])) for g, rows in zip(s["gram"].to_pylist(), lexical._rows_packed(s["packed"]).to_pylist(), strict=True) for r in rows]
+    assert got == sorted(set(got))
+    assert set(got) == {(t[i : i + 3], k - 30 << 40) for column in texts for k, t in enumerate(x.lower() for x in column) for i in range(len(t) - 2) if any("\u3400" <= c <= "\u9fff" for c in t[i : i + 3])}
+    # So many different characters that a gram and a row don't fit one number: the piece is halved.
+    wide = "".join(map(chr, [*range(0x20, 0xD800), *range(0xE000, 0x110000)])).lower()
+    piece = pa.record_batch({"id": list(range(16)), "a": [wide] + ["图神经"] * 15})
+    parts = list(lexical._grams(piece))
+    assert len(parts) > 1 and sorted(r for s in parts for g, rows in zip(s["gram"].to_pylist(), lexical._rows_packed(s["packed"]).to_pylist(), strict=True) if g == "图神经" for r in rows) == list(range(1, 16))
+
+
 def test_pieces_lose_no_row(monkeypatch):
     monkeypatch.setattr(lexical, "SEGMENT", 100)
     monkeypatch.setattr(lexical, "ROW", 1)

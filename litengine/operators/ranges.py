@@ -129,15 +129,15 @@ def _runs(longest: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
             found = []
             places = zip(*(batch.column(c).to_pylist() for c in ("_key", "page", "piece")), strict=True)
             for k, (place, text) in enumerate(zip(places, batch.column("chunk_text").to_pylist(), strict=True)):
-                if place != piece:  # rows of a piece come together: its lines are read once
+                if place != piece:  # rows of a piece come together, also over batches: its lines are read once
                     piece, lines = place, [(x, _forms(x["match"])) for x in batch.column("lines")[k].as_py()]
                 found.append(scored(text, lines))
             at = pa.array([k for k, x in enumerate(found) if x], pa.int64())
             best = [x for x in found if x]
-            lines = [[{"line": r[1], "score": r[4], "exact": r[5]} for r in x[3]] for x in best]
+            links = [[{"line": r[1], "score": r[4], "exact": r[5]} for r in x[3]] for x in best]
             kind = pa.list_(pa.struct([("line", pa.int64()), ("score", pa.float64()), ("exact", pa.bool_())]))
             held = [batch.column(c).take(at) for c in ("_key", "chunk", "page")]
-            columns = [*held, pa.array([x[0] for x in best], pa.float64()), pa.array([x[1] for x in best], pa.int32()), pa.array([x[2] for x in best], pa.int64()), pa.array(lines, kind)]
+            columns = [*held, pa.array([x[0] for x in best], pa.float64()), pa.array([x[1] for x in best], pa.int32()), pa.array([x[2] for x in best], pa.int64()), pa.array(links, kind)]
             yield pa.RecordBatch.from_arrays(columns, ["_key", "chunk", "page", "total", "n", "start", "lines"])
 
     return run

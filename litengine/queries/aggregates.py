@@ -99,8 +99,9 @@ def role_summary(spark, sf):
 
 @query("op_agg20_merged_candidates", "SELECT l_partkey, array_to_string(list_sort(list_distinct(list(l_suppkey))), ' ') AS suppliers, min_by(l_quantity, l_orderkey * 10 + l_linenumber)::DOUBLE AS quantity FROM lineitem GROUP BY 1")
 def merged_candidates(spark, sf):
-    # Numbers of lines come again: of equal ones the first in the table counts, as in SQL.
-    at = F.struct(C("l_orderkey") * 10 + C("l_linenumber"), "_metadata.file_path", "_metadata.row_index")
+    # Numbers of lines come again: of equal ones the first in the table counts. As in SQL, a row without a number or quantity is passed over.
+    number = C("l_orderkey") * 10 + C("l_linenumber")
+    at = F.when(number.isNotNull() & C("l_quantity").isNotNull(), F.struct(number, "_metadata.file_path", "_metadata.row_index"))
     l = table_of(spark, sf, "lineitem").select("l_partkey", F.array("l_suppkey").alias("suppliers"), C("l_quantity").cast("double").alias("quantity"), at.alias("at"))
     return R.merged_candidates(l, "l_partkey", "at", ["suppliers"], ["quantity"]).withColumn("suppliers", F.array_join(C("suppliers").cast("array<string>"), " "))
 

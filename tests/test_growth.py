@@ -27,6 +27,22 @@ def test_of_equal_places_the_first_row_counts(spark, tmp_path):
     assert {tuple(r) for r in entry.queries()["op_agg20_merged_candidates"](spark, str(tmp_path)).collect()} == set(want)
 
 
+def test_rows_without_a_place_or_value_do_not_come_first(spark, tmp_path):
+    """Nulls in every column: DuckDB's min_by passes over rows whose number or quantity is null, also where no other row is left."""
+    rng = random.Random(20)
+    some = lambda share, x: None if rng.random() < share else x
+    rows = [{"l_orderkey": some(0.2, k), "l_linenumber": some(0.1, k % 7), "l_partkey": some(0.05, rng.randrange(150)), "l_suppkey": some(0.3, k % 5), "l_quantity": some(0.3, float(k))} for k in range(400)]
+    rows += [{"l_orderkey": 1, "l_linenumber": 1, "l_partkey": 900, "l_suppkey": None, "l_quantity": None}, {"l_orderkey": None, "l_linenumber": 1, "l_partkey": 901, "l_suppkey": 3, "l_quantity": 2.0}]
+    kinds = pa.schema([("l_orderkey", pa.int64()), ("l_linenumber", pa.int32()), ("l_partkey", pa.int64()), ("l_suppkey", pa.int64()), ("l_quantity", pa.float64())])
+    pq.write_table(pa.Table.from_pylist(rows, kinds), tmp_path / "lineitem.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet'")
+    want = con.sql(entry.oracle_sql()["op_agg20_merged_candidates"]).fetchall()
+    got = [tuple(r) for r in entry.queries()["op_agg20_merged_candidates"](spark, str(tmp_path)).collect()]
+    assert set(got) == set(want) and len(got) == len(want)
+    assert {(900, "", None), (901, "3", None)} <= set(got)
+
+
 def test_runs_that_cannot_win_are_not_compared(monkeypatch):
     calls, overlap = [], ranges._overlap
     monkeypatch.setattr(ranges, "_overlap", lambda a, b: calls.append(1) or overlap(a, b))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import functools
 import re
 from collections.abc import Callable, Iterator, Sequence, Set
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,32 +58,66 @@ STRONG, MEDIUM, EDGE, DENSITY = 0.72, 0.35, 0.25, 0.28
 OVERLAP, PER_STRONG, PER_MEDIUM, PER_LINE_OVER, FREE_LINES, PER_LOW = 1.25, 0.08, 0.03, 0.06, 6, 0.12
 LABEL = r"(?:图|表)\s*\d+(?:[-－]\d+)?"
 APART = ("header", "page_number", "footer")
-#: Lines in one piece of a page; a window may reach into the next piece.
-PIECE = 64
+#: What is no letter or digit, in plain and in all texts; tokens; runs that are cut into pairs.
+BETWEEN = {k: None for k in range(128) if not chr(k).isalnum()}
+NO_LETTER, WORD, CJK_RUN = re.compile(r"[\W_]+"), re.compile(r"[a-z0-9]{2,}|[\u4e00-\u9fff]{2,}"), re.compile(r"[\u4e00-\u9fff]{4,}")
+#: Lines in one piece of a page; a window may reach into the next piece. Pieces that a task holds at once.
+PIECE, HELD = 64, 8
 
 
-@functools.lru_cache(4096)
-def _forms(text: str) -> tuple[str, frozenset[str], frozenset[str]]:
-    """A text's letters and digits without anything between them, its tokens (STR25), and the runs of three of the former."""
+def _forms(text: str) -> tuple[str, frozenset[str], np.ndarray]:
+    """A text's letters and digits without anything between them, its tokens (STR25), and the runs of three of the former as sorted numbers."""
     low = text.lower()
-    bare = "".join(c for c in low if c.isalnum())
-    held = re.findall(r"[a-z0-9]{2,}|[\u4e00-\u9fff]{2,}", low)
-    held += [run[i : i + 2] for run in re.findall(r"[\u4e00-\u9fff]{4,}", low) for i in range(len(run) - 1)]
-    return bare, frozenset(held), frozenset(bare[i : i + 3] for i in range(len(bare) - 2))
+    if low.isascii():
+        bare, held = low.translate(BETWEEN), WORD.findall(low)
+        codes = np.frombuffer(bare.encode(), np.uint8).astype(np.int64)
+    else:
+        bare, held = NO_LETTER.sub("", low), WORD.findall(low)
+        held += [run[i : i + 2] for run in CJK_RUN.findall(low) for i in range(len(run) - 1)]
+        codes = np.frombuffer(bare.encode("utf-32-le"), np.uint32).astype(np.int64)
+    grams = (codes[:-2] << 42) | (codes[1:-1] << 21) | codes[2:]  # a character has 21 bits
+    grams.sort()
+    return bare, frozenset(held), grams[np.concatenate(([True], grams[1:] != grams[:-1]))] if len(grams) else grams
 
 
 def _overlap(a: Set[str], b: Set[str]) -> float:
     return len(a & b) / min(len(a), len(b)) if a and b else 0.0
 
 
-def _relevance(chunk: tuple, line: tuple) -> tuple[float, bool]:
-    """How much of a line a chunk holds, and whether it holds all of it."""
-    (bare, tokens, grams), (own, words, runs) = chunk, line
-    if not own:
-        return 0.0, False
-    if own in bare or (len(bare) >= 24 and bare in own):
-        return 1.0, True
-    return round(max(_overlap(tokens, words), _overlap(grams, runs)), 4), False
+class _Piece:
+    """The lines of a piece of a page, told apart by their runs of three characters once for all chunks."""
+
+    def __init__(self, lines: list[dict]):
+        self.lines = lines
+        self.bare, self.words, grams = zip(*(_forms(x["match"]) for x in lines), strict=True)
+        self.sizes = [len(g) for g in grams]
+        self.grams, at = np.unique(np.concatenate(grams), return_inverse=True)
+        self.holds = np.zeros((len(self.grams), len(lines)), np.float32)
+        self.holds[at, np.repeat(np.arange(len(lines)), self.sizes)] = 1
+
+    def shared(self, grams: np.ndarray) -> list[float]:
+        """How many of a chunk's runs each line has."""
+        if not len(self.grams):
+            return [0] * len(self.lines)
+        at = np.searchsorted(self.grams, grams).clip(max=len(self.grams) - 1)
+        return self.holds[at[self.grams[at] == grams]].sum(0).tolist()
+
+    def rows(self, text: str, chunk: tuple[str, frozenset[str], np.ndarray]) -> list[tuple]:
+        """Lines that may take part with a chunk (index, line, owned, words), how much of each it holds, and whether all of it."""
+        bare, tokens, grams = chunk
+        labels = None
+        out = []
+        for x, own, words, both, n in zip(self.lines, self.bare, self.words, self.shared(grams), self.sizes, strict=True):
+            if x["caption"]:
+                labels = set(re.findall(LABEL, text)) if labels is None else labels
+                if not any(label in x["shown"] for label in labels):
+                    continue
+            if own and (own in bare or (len(bare) >= 24 and bare in own)):
+                score, exact = 1.0, True
+            else:
+                score, exact = round(max(_overlap(tokens, words), both / min(n, len(grams)) if both else 0.0), 4) if own else 0.0, False
+            out.append((x["index"], x["line"], x["own"], words, score, exact))
+        return out
 
 
 def _best_window(tokens: Set[str], rows: list[tuple], longest: int) -> tuple | None:
@@ -91,47 +125,49 @@ def _best_window(tokens: Set[str], rows: list[tuple], longest: int) -> tuple | N
 
     The highest score wins, then the longer run, then the earlier one; None where no run will do.
     """
-    best = None
-    for i, first in enumerate(rows):
-        if not first[2] or max(x[4] for x in rows[i : i + longest]) < MEDIUM:
+    best, least = None, 0.0
+    scores = [x[4] for x in rows]
+    for i, (start, _, owned, *_) in enumerate(rows):
+        if not owned or max(scores[i : i + longest]) < MEDIUM:
             continue
-        total, strong, medium, low, held, seen = 0.0, 0, 0, 0, set(), 0
-        for n, (index, _, _, _, score, _) in enumerate(rows[i : i + longest], 1):
-            if index - first[0] != n - 1:
+        total, strong, medium, held, seen = 0.0, 0, 0, set(), i
+        for at in range(i, min(i + longest, len(rows))):
+            n = at - i + 1
+            if rows[at][0] - start != n - 1:
                 break
-            total, strong, medium, low = total + score, strong + (score >= STRONG), medium + (MEDIUM <= score < STRONG), low + (score < MEDIUM)
+            score = scores[at]
+            total += score
+            if score >= STRONG:
+                strong += 1
+            elif score >= MEDIUM:
+                medium += 1
             if (strong or medium > 1) and total / n >= DENSITY:
-                rest = PER_STRONG * strong, PER_MEDIUM * medium, PER_LINE_OVER * max(0, n - FREE_LINES), PER_LOW * low
+                rest = PER_STRONG * strong, PER_MEDIUM * medium, PER_LINE_OVER * max(0, n - FREE_LINES), PER_LOW * (n - strong - medium)
                 # No overlap is above 1: a run that even then stays below the best one needs no words.
-                if best and total + OVERLAP + rest[0] + rest[1] - rest[2] - rest[3] + 0.001 < best[0][0]:
+                if total + OVERLAP + rest[0] + rest[1] - rest[2] - rest[3] + 0.001 < least:
                     continue
-                held.update(*(x[3] for x in rows[i + seen : i + n]))
-                seen = n
+                held.update(*(x[3] for x in rows[seen : at + 1]))
+                seen = at + 1
                 value = total + OVERLAP * _overlap(tokens, held) + rest[0] + rest[1] - rest[2] - rest[3]
-                rank = (round(value, 4), n, -first[0])
-                best = max(best, (rank, i), key=lambda x: x[0]) if best else (rank, i)
+                rank = (round(value, 4), n, -start)
+                if best is None or rank > best[0]:
+                    best, least = (rank, i), rank[0]
     return best and (*best[0], rows[best[1] : best[1] + best[0][1]])
 
 
 def _runs(longest: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def scored(text: str, lines: list[tuple]) -> tuple | None:
-        chunk = _forms(text)
-        labels = set(re.findall(LABEL, text))
-        rows = []
-        for x, own in lines:
-            if not x["caption"] or any(label in x["shown"] for label in labels):
-                rows.append((x["index"], x["line"], x["own"], own[1], *_relevance(chunk, own)))
-        return _best_window(chunk[1], rows, longest)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece, lines = None, []
+        pieces: dict[tuple, _Piece] = {}
         for batch in batches:
             found = []
             places = zip(*(batch.column(c).to_pylist() for c in ("_key", "page", "piece")), strict=True)
             for k, (place, text) in enumerate(zip(places, batch.column("chunk_text").to_pylist(), strict=True)):
-                if place != piece:  # rows of a piece come together, also over batches: its lines are read once
-                    piece, lines = place, [(x, _forms(x["match"])) for x in batch.column("lines")[k].as_py()]
-                found.append(scored(text, lines))
+                if place not in pieces:  # rows of a piece come together, also over batches: its lines are read once
+                    if len(pieces) == HELD:
+                        pieces.clear()
+                    pieces[place] = _Piece(batch.column("lines")[k].as_py())
+                chunk = _forms(text)
+                found.append(_best_window(chunk[1], pieces[place].rows(text, chunk), longest))
             at = pa.array([k for k, x in enumerate(found) if x], pa.int64())
             best = [x for x in found if x]
             links = [[{"line": r[1], "score": r[4], "exact": r[5]} for r in x[3]] for x in best]
@@ -143,7 +179,18 @@ def _runs(longest: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     return run
 
 
-def aligned_lines(chunks: DataFrame, lines: DataFrame, key: str, longest: int = 10) -> DataFrame:
+def _on_pages(chunks: DataFrame, pages: DataFrame, key: str, span: int | None) -> DataFrame:
+    """Key, page, chunk and chunk_text of the pages that a chunk covers."""
+    if span is None:
+        places = held(pages, chunks.select(key, "chunk", "page_start", "page_end"), key, "page", "page_start", "page_end")
+        return places.select(key, "chunk", "page").join(chunks.select(key, "chunk", "chunk_text"), [key, "chunk"])
+    last = F.coalesce("page_end", "page_start")
+    wide = F.raise_error(F.format_string("a chunk covers more than %d pages", F.lit(span))).cast("array<bigint>")
+    covered = F.when(last - C("page_start") < span, F.sequence(C("page_start").cast("long"), last.cast("long"))).otherwise(wide)
+    return chunks.where(last >= C("page_start")).select(key, F.explode(covered).alias("page"), "chunk", "chunk_text")
+
+
+def aligned_lines(chunks: DataFrame, lines: DataFrame, key: str, longest: int = 10, span: int | None = None) -> DataFrame:
     """ALN6, WIN7, J11: each chunk's lines: key, chunk, page, line, score, method and confidence.
 
     chunks: key, chunk, page_start, page_end, chunk_text; lines: key, page, line_index, line, text, role. On each page a chunk
@@ -151,21 +198,22 @@ def aligned_lines(chunks: DataFrame, lines: DataFrame, key: str, longest: int =
     (at the same score the earlier page, the longer run, the earlier start), less weak lines at its ends. Heads, feet, page
     numbers, blank lines and captions that the chunk does not name take no part, and break a run. Of lines with one index on
     a page the least `line` counts. Pages are cut into pieces of bounded length that overlap by a run, so a page may have any
-    number of lines. Chunks without a page or text, and null lines, have no links.
+    number of lines. Chunks without a page or text, and null lines, have no links. span: how many pages a chunk covers at most,
+    where that is known: chunks are then dealt to their pages without a range join, and one that covers more is an error.
     """
-    shown = lines.where(C("line_index").isNotNull() & (F.trim("text") != "") & ~F.coalesce("role", F.lit("body")).isin(*APART))
+    shown = lines.where(C("page").isNotNull() & C("line_index").isNotNull() & C("line").isNotNull() & (F.trim("text") != "") & ~F.coalesce("role", F.lit("body")).isin(*APART))
     match = F.trim(F.regexp_replace(F.regexp_replace(F.lower("text"), r"[`*_#]+", " "), r"\s+", " "))
-    line = F.struct(C("line_index").alias("index"), C("line").cast("long").alias("line"), match.alias("match"), (C("role") == "figure_caption").alias("caption"), C("text").alias("shown"))
-    first = shown.groupBy(key, "page", "line_index").agg(F.min_by(line, "line").alias("l"))
+    caption = F.coalesce(C("role") == "figure_caption", F.lit(False))
     piece = F.floor(C("line_index") / PIECE).cast("long")
     owners = F.when((C("line_index") % PIECE < longest - 1) & (piece > 0), F.array(piece, piece - 1)).otherwise(F.array(piece))
-    pieces = first.select(key, "page", F.explode(owners).alias("piece"), C("l").withField("own", piece).alias("l"))
-    pieces = pieces.groupBy(key, "page", "piece").agg(F.array_sort(F.collect_list("l")).alias("lines"))
-    pieces = pieces.withColumn("lines", F.transform("lines", lambda x: x.withField("own", x["own"] == C("piece"))))
-
-    chunks = chunks.where(C("chunk_text").isNotNull())
-    places = held(pieces.select(key, "page", "piece"), chunks.select(key, "chunk", "page_start", "page_end"), key, "page", "page_start", "page_end")
-    both = places.select(key, "chunk", "page", "piece").join(chunks.select(key, "chunk", "chunk_text"), [key, "chunk"]).join(pieces, [key, "page", "piece"])
+    dealt = shown.select(key, "page", "line_index", C("line").cast("long").alias("line"), match.alias("match"), caption.alias("caption"), F.when(caption, C("text")).alias("shown"), F.explode(owners).alias("piece"))
+    # Lines are shuffled once: the page holds its pieces, a piece its lines.
+    line = F.struct(C("line_index").alias("index"), "line", "match", "caption", "shown", (piece == C("piece")).alias("own"))
+    first = dealt.repartition(key, "page").groupBy(key, "page", "piece", "line_index").agg(F.min_by(line, "line").alias("l"))
+    pieces = first.groupBy(key, "page", "piece").agg(F.array_sort(F.collect_list("l")).alias("lines"))
+
+    at = _on_pages(chunks.where(C("chunk_text").isNotNull()), shown.select(key, "page").distinct(), key, span)
+    both = pieces.join(at, [key, "page"])
     types = {f.name: f.dataType.simpleString() for f in both.schema}
     schema = f"_key {types[key]}, chunk {types['chunk']}, page {types['page']}, total double, n int, start bigint, lines array<struct<line: bigint, score: double, exact: boolean>>"
     runs = both.select(C(key).alias("_key"), "chunk", "page", "piece", "lines", "chunk_text").mapInArrow(_runs(longest), schema).withColumnRenamed("_key", key)

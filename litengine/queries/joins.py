@@ -149,7 +149,7 @@ def chunk_lines(spark, sf):
     before = F.sum(F.length("text") + 1).over(Window.partitionBy("doc_id").orderBy("line").rowsBetween(Window.unboundedPreceding, -1))
     lines = split.withColumn("page", (F.floor(F.coalesce(before, F.lit(0)) / 3000) + 1).cast("long"))
     role = I.layout_role(C("text"), *(F.lit(x) for x in (0, 300, 500, 320, 600, 800)))
-    return G.aligned_lines(_paged_chunks(spark, sf), lines.select("doc_id", "page", C("line").cast("long").alias("line_index"), C("line").cast("long"), "text", role.alias("role")), "doc_id")
+    return G.aligned_lines(_paged_chunks(spark, sf), lines.select("doc_id", "page", C("line").cast("long").alias("line_index"), C("line").cast("long"), "text", role.alias("role")), "doc_id", span=2)
 
 
 @query("op_j13_nearest_page", "SELECT ident, page, offset_rank FROM (SELECT a.conv_id * 100 + a.turn AS ident, b.turn AS page, s.r AS offset_rank, min(s.r) OVER (PARTITION BY a.conv_id * 100 + a.turn) AS best FROM conversations a CROSS JOIN (VALUES (0, 0), (1, 1), (2, -1)) s(r, d) JOIN (SELECT * FROM conversations WHERE turn % 3 = 0) b ON b.conv_id = a.conv_id AND b.turn = a.turn + s.d) WHERE offset_rank = best")

@@ -85,38 +85,42 @@ def _overlap(a: Set[str], b: Set[str]) -> float:
 
 
 class _Piece:
-    """The lines of a piece of a page, told apart by their runs of three characters once for all chunks."""
+    """The lines of a piece of a page, told apart by their words and their runs of three characters once for all chunks."""
 
-    def __init__(self, lines: list[dict]):
-        self.lines = lines
-        self.bare, self.words, grams = zip(*(_forms(x["match"]) for x in lines), strict=True)
+    def __init__(self, lines: pa.StructArray):
+        self.lines = list(zip(*(lines.field(c).to_pylist() for c in ("index", "line", "own", "caption", "shown")), strict=True))
+        self.bare, self.words, grams = zip(*map(_forms, lines.field("match").to_pylist()), strict=True)
         self.sizes = [len(g) for g in grams]
         self.grams, at = np.unique(np.concatenate(grams), return_inverse=True)
         self.holds = np.zeros((len(self.grams), len(lines)), np.float32)
         self.holds[at, np.repeat(np.arange(len(lines)), self.sizes)] = 1
+        self.tokens = {w: k for k, w in enumerate(set().union(*self.words))}
+        self.holds_token = np.zeros((len(self.tokens), len(lines)), np.float32)
+        for k, words in enumerate(self.words):
+            self.holds_token[[self.tokens[w] for w in words], k] = 1
 
-    def shared(self, grams: np.ndarray) -> list[float]:
-        """How many of a chunk's runs each line has."""
-        if not len(self.grams):
-            return [0] * len(self.lines)
-        at = np.searchsorted(self.grams, grams).clip(max=len(self.grams) - 1)
-        return self.holds[at[self.grams[at] == grams]].sum(0).tolist()
+    def shared(self, tokens: Set[str], grams: np.ndarray) -> Iterator[tuple[float, float]]:
+        """How many of a chunk's words and runs each line has."""
+        of_token = self.holds_token[[self.tokens[w] for w in tokens if w in self.tokens]].sum(0)
+        at = np.searchsorted(self.grams, grams).clip(max=len(self.grams) - 1) if len(self.grams) else grams[:0]
+        return zip(of_token.tolist(), self.holds[at[self.grams[at] == grams[: len(at)]]].sum(0).tolist(), strict=True)
 
     def rows(self, text: str, chunk: tuple[str, frozenset[str], np.ndarray]) -> list[tuple]:
         """Lines that may take part with a chunk (index, line, owned, words), how much of each it holds, and whether all of it."""
         bare, tokens, grams = chunk
         labels = None
         out = []
-        for x, own, words, both, n in zip(self.lines, self.bare, self.words, self.shared(grams), self.sizes, strict=True):
-            if x["caption"]:
+        for (index, line, owned, caption, shown), own, words, n, (of_token, of_gram) in zip(self.lines, self.bare, self.words, self.sizes, self.shared(tokens, grams), strict=True):
+            if caption:
                 labels = set(re.findall(LABEL, text)) if labels is None else labels
-                if not any(label in x["shown"] for label in labels):
+                if not any(label in shown for label in labels):
                     continue
+            score, exact = 0.0, False
             if own and (own in bare or (len(bare) >= 24 and bare in own)):
                 score, exact = 1.0, True
-            else:
-                score, exact = round(max(_overlap(tokens, words), both / min(n, len(grams)) if both else 0.0), 4) if own else 0.0, False
-            out.append((x["index"], x["line"], x["own"], words, score, exact))
+            elif own and (of_token or of_gram):
+                score = round(max(of_token and of_token / min(len(tokens), len(words)), of_gram and of_gram / min(len(grams), n)), 4)
+            out.append((index, line, owned, words, score, exact))
         return out
 
 
@@ -127,7 +131,12 @@ def _best_window(tokens: Set[str], rows: list[tuple], longest: int) -> tuple | N
     """
     best, least = None, 0.0
     scores = [x[4] for x in rows]
-    for i, (start, _, owned, *_) in enumerate(rows):
+    gains = [max(0.0, s + (PER_STRONG if s >= STRONG else PER_MEDIUM if s >= MEDIUM else -PER_LOW)) for s in scores]
+    most = [sum(gains[i : i + longest]) + OVERLAP + 0.001 for i in range(len(rows))]
+    for i in sorted(range(len(rows)), key=most.__getitem__, reverse=True):
+        if most[i] < least:
+            break
+        start, owned = rows[i][0], rows[i][2]
         if not owned or max(scores[i : i + longest]) < MEDIUM:
             continue
         total, strong, medium, held, seen = 0.0, 0, 0, set(), i
@@ -165,7 +174,7 @@ def _runs(longest: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                 if place not in pieces:  # rows of a piece come together, also over batches: its lines are read once
                     if len(pieces) == HELD:
                         pieces.clear()
-                    pieces[place] = _Piece(batch.column("lines")[k].as_py())
+                    pieces[place] = _Piece(batch.column("lines")[k].values)
                 chunk = _forms(text)
                 found.append(_best_window(chunk[1], pieces[place].rows(text, chunk), longest))
             at = pa.array([k for k, x in enumerate(found) if x], pa.int64())

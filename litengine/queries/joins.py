@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from ..operators import ingest as I
@@ -142,14 +146,26 @@ def page_candidates(spark, sf):
     return G.held(notes, _paged_chunks(spark, sf).drop("chunk_text"), "doc_id", "page", "page_start", "page_end").select("doc_id", "page", "chunk")
 
 
+def _page_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of whole texts: doc_id, line, page of the character they begin with, text."""
+    for batch in batches:
+        cut = pc.split_pattern(batch.column("text"), "\n")
+        text, at = pc.list_flatten(cut), pc.list_parent_indices(cut)
+        n = pc.utf8_length(text).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        start = np.cumsum(n) - n
+        first = np.flatnonzero(np.diff(at.to_numpy(zero_copy_only=False), prepend=-1))
+        first = np.repeat(first, np.diff(first, append=len(n)))  # of each line's document
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), pa.array(np.arange(len(n)) - first), pa.array((start - start[first]) // 3000 + 1), text], ["doc_id", "line", "page", "text"])
+
+
 @query("op_aln6_chunk_lines")
 def chunk_lines(spark, sf):
     """Lines of documents as those of pages of 3000 characters, with the chunks they were cut into."""
-    split = table_of(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    before = F.sum(F.length("text") + 1).over(Window.partitionBy("doc_id").orderBy("line").rowsBetween(Window.unboundedPreceding, -1))
-    lines = split.withColumn("page", (F.floor(F.coalesce(before, F.lit(0)) / 3000) + 1).cast("long"))
-    role = I.layout_role(C("text"), *(F.lit(x) for x in (0, 300, 500, 320, 600, 800)))
-    return G.aligned_lines(_paged_chunks(spark, sf), lines.select("doc_id", "page", C("line").cast("long").alias("line_index"), C("line").cast("long"), "text", role.alias("role")), "doc_id", span=2)
+    documents = S.spread(table_of(spark, sf, "documents"), "doc_id").select("doc_id", "text")
+    lines = documents.mapInArrow(_page_lines, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, line long, page long, text string")
+    # Exploded as arrays of one, since Spark would work out a role once for each of its uses.
+    role = F.explode(F.array(I.layout_role(C("text"), *(F.lit(x) for x in (0, 300, 500, 320, 600, 800)))))
+    return G.aligned_lines(_paged_chunks(spark, sf), lines.select("doc_id", "page", C("line").alias("line_index"), "line", "text", role.alias("role")), "doc_id", span=2)
 
 
 @query("op_j13_nearest_page", "SELECT ident, page, offset_rank FROM (SELECT a.conv_id * 100 + a.turn AS ident, b.turn AS page, s.r AS offset_rank, min(s.r) OVER (PARTITION BY a.conv_id * 100 + a.turn) AS best FROM conversations a CROSS JOIN (VALUES (0, 0), (1, 1), (2, -1)) s(r, d) JOIN (SELECT * FROM conversations WHERE turn % 3 = 0) b ON b.conv_id = a.conv_id AND b.turn = a.turn + s.d) WHERE offset_rank = best")
